@@ -43,3 +43,9 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def small_batches(df: DataFrame, rows: int = 400) -> DataFrame:
+    """Bounds the rows that an Arrow batch of the session holds, so that a batch of long texts fits in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

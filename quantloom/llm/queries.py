@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import exact_dedup, line_clean, sql
-from quantloom.llm.common import table
+from quantloom.llm import bpe, exact_dedup, line_clean, pack, sql
+from quantloom.llm.common import table, tokenizer_path
 
 
 def op5_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op5_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack.tokenise(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), max_len=2048)
+    return pack.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), max_len=2048)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks)
+    decoded = bpe.decode_documents(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
@@ -26,6 +38,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_line_clean": op5_line_clean,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
