@@ -21,6 +21,8 @@ cut into pieces of ``max_len``; rows repeated with their id are packed each; an
 from __future__ import annotations
 
 import functools
+import os
+import struct
 from collections import deque
 from collections.abc import Iterator
 
@@ -36,6 +38,11 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ɏ]"
 
 
+#: The sign of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100 on.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {byte: chr(0x100 + k) for k, byte in enumerate(sorted(set(range(0x100)).difference(SHOWN)))}
+
+
 class WordTokenizer:
     """A public word vocabulary; words met before come from a bounded memo, unusual texts go through it whole."""
 
@@ -43,8 +50,10 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.find, self.unusual = regex.compile(WORDS).findall, regex.compile(PLAIN).search
         self.memo, self.max_memo = {}, max_memo
 
@@ -61,7 +70,8 @@ class WordTokenizer:
             if len(memo) > self.max_memo:
                 memo.clear()
             for x in set(words).difference(memo):
-                memo[x] = self.whole(x)
+                ids = [token.id for token in self.model.tokenize(x.encode().decode("latin-1").translate(BYTE_SIGNS))]
+                memo[x] = struct.pack(f"<{len(ids)}I", *ids)
             return b"".join([memo[x] for x in words])
 
 
