@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, exact_dedup, line_clean, pack, sql
+from quantloom.llm import bpe, exact_dedup, htmltext, langid, line_clean, pack, quality, sql
 from quantloom.llm.common import table, tokenizer_path
 
 
+def op3_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.not_held_out())
+    scored = quality.score(docs, model, ["doc_id"])
+    held_out = F.coalesce(~quality.not_held_out(), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.clean_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed"
     )
 
 
+def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, langid.not_held_out()), ["doc_id"])
+    held_out = F.coalesce(~langid.not_held_out(), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op7_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = htmltext.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.tokenise(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), max_len=2048)
     return pack.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), max_len=2048)
@@ -37,7 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_compression": op3_quality_compression,
         "op5_line_clean": op5_line_clean,
+        "op6_language_ppm": op6_language_ppm,
+        "op7_html_tag_paths": op7_html_tag_paths,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
