@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, exact_dedup, htmltext, langid, line_clean, pack, quality, sql
+from quantloom.llm import bpe, exact_dedup, htmltext, langid, line_clean, pack, quality, sql, suffix_dedup
 from quantloom.llm.common import table, tokenizer_path
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_copies(table(spark, sf_dir, "documents"), ["doc_id"], width=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.not_held_out())
@@ -57,6 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_quality_compression": op3_quality_compression,
         "op5_line_clean": op5_line_clean,
         "op6_language_ppm": op6_language_ppm,
