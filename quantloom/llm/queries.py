@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, exact_dedup, htmltext, langid, line_clean, pack, quality, sql, suffix_dedup
+from quantloom.llm import bpe, exact_dedup, htmltext, langid, line_clean, near_dedup, pack, quality, sql, suffix_dedup
 from quantloom.llm.common import table, tokenizer_path
 
 
@@ -24,6 +24,10 @@ def op3_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op5_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.clean_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed"
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op3_quality_compression": op3_quality_compression,
+        "op4_dart_minhash": op4_dart_minhash,
         "op5_line_clean": op5_line_clean,
         "op6_language_ppm": op6_language_ppm,
         "op7_html_tag_paths": op7_html_tag_paths,

@@ -11,10 +11,14 @@ def id_remainder(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
 
 
-def per_class(rows: DataFrame, class_col: str, id_col: str, n: int) -> DataFrame:
-    """At most ``n`` rows of each class: those with the smallest hashes of their ids (a limit before the shuffle)."""
-    order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), id_col)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+def per_class(rows: DataFrame, class_col: str, id_col: str, n: int, salts: int = 64) -> DataFrame:
+    """At most ``n`` rows of each class: those with the smallest hashes of their ids. The smallest of each of
+    ``salts`` parts are found first, so a class with most of the rows doesn't meet in one task."""
+    hashed = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_salt", F.pmod("_h", F.lit(salts)))
+    for keys in ([class_col, "_salt"], [class_col]):
+        order = Window.partitionBy(*keys).orderBy("_h", id_col)
+        hashed = hashed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    return hashed.drop("_h", "_salt")
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, class_col: str, max_bytes: int) -> list[tuple]:
