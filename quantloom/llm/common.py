@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.functions.ship import ship_package
+
 #: The white space that separates words, as a character class for Java and RE2.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +48,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def small_batches(df: DataFrame, rows: int = 400) -> DataFrame:
-    """Bounds the rows that an Arrow batch of the session holds, so that a batch of long texts fits in a worker."""
+    """Bounds the rows that an Arrow batch of the session holds, so that a batch of long texts fits in a worker,
+    and makes sure that workers have the package."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df

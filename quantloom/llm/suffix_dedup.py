@@ -14,11 +14,12 @@ few of the suffixes:
    row's windows cover. A row whose previous neighbour has its context has a smaller position with the same bytes: all
    its windows are later copies. The first rows of contexts whose seed has a second context may still share some of
    their windows, and go on.
-3. Suffix order of windows, for those rows: their single windows, sorted by (window, position); every row with a
-   previous neighbour of equal bytes is a later copy.
+3. Suffix order of windows, for those rows: their single windows, sorted by (seed, window, position); every row with
+   a previous neighbour of equal bytes is a later copy. The windows of a row stay together, so that they compress; only
+   seeds with many rows are dealt out by window as well.
 4. Each document's copied windows become byte spans, and the bytes left are joined.
 
-Bytes are compared by hashes of 128 bits (seed and context) and 96 bits (windows). Both sorts are pre-aggregated:
+Bytes are compared by hashes of 128 bits (seed, and context or window). Both sorts are pre-aggregated:
 among the rows of a batch only the smallest position of a context or window is sent on, the others are settled there,
 so a passage that a third of all documents share sends few rows. No group is gathered in Python.
 
@@ -34,7 +35,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import materialise, small_batches
@@ -61,16 +63,14 @@ def anchors(text: bytes, width: int, seed: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else ()
 
 
-def window_hashes(text: bytes, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of hash of the windows at ``starts``."""
-    data, one, two = np.frombuffer(text, np.uint8), np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+def window_hashes(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
+    data, found = np.frombuffer(text, np.uint8), np.zeros(len(starts), np.uint64)
     for base in range(0, len(data), CHUNK):
         here = (starts >= base) & (starts < base + CHUNK)
         if here.any():
-            part, at = data[base : base + CHUNK + width - 1], starts[here] - base
-            one[here] = Prefixes(part, 0).of(at, at + width)
-            two[here] = Prefixes(part, 1).of(at, at + width)
-    return one, (two >> U(33)).astype(np.int32)
+            at = starts[here] - base
+            found[here] = Prefixes(data[base : base + CHUNK + width - 1]).of(at, at + width)
+    return found
 
 
 def settle(keys: list[np.ndarray], position: list[np.ndarray]) -> np.ndarray:
@@ -113,64 +113,71 @@ def anchor_rows(texts: DataFrame, width: int, seed: int) -> DataFrame:
                 ["seed", "context", "id", "version", "start", "n", "copied"],
             )
 
-    return texts.mapInArrow(run, "seed long, context long, id long, version long, start int, n short, copied boolean")
+    return texts.mapInArrow(run, "seed long, context long, id long, version int, start int, n short, copied boolean")
 
 
 def window_rows(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             found = []
-            columns = (batch.column(c).to_pylist() for c in ("id", "version", "text", "starts", "ns"))
-            for key, version, text, starts, ns in zip(*columns, strict=True):
-                start, n = np.array(starts, np.int64), np.array(ns, np.int64)
-                at = np.unique(np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
-                found.append((*window_hashes(text.encode(), at, width), at, np.full(len(at), key), np.full(len(at), version)))
+            columns = (batch.column(c).to_pylist() for c in ("id", "version", "packed", "rows"))
+            for key, version, packed, rows in zip(*columns, strict=True):
+                start, n, seed, spread = (np.array([r[c] for r in rows], np.int64) for c in ("start", "n", "seed", "spread"))
+                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hashed = window_hashes(unpack(packed), at, width)
+                size = len(at)
+                found.append((np.repeat(seed.view(np.uint64), n), np.repeat(spread, n).astype(np.uint64), hashed, np.full(size, key), np.full(size, version, np.int32), at))
             if not found:
                 continue
-            one, two, start, ids, versions = (np.concatenate(x) for x in zip(*found, strict=True))
-            copied = settle([one, two], [ids, versions, start])
-            one = np.where(copied, mix(one ^ ids.astype(np.uint64) ^ start.astype(np.uint64)), one)
+            seed, spread, hashed, ids, versions, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            copied = settle([seed, hashed], [ids, versions, start])
+            seed = np.where(copied, mix(seed ^ ids.astype(np.uint64)), seed)
+            part = np.where(copied, seed, mix(seed + hashed % spread))
             yield pa.RecordBatch.from_arrays(
-                [column(one), pa.array(two), column(ids), column(versions), pa.array(start.astype(np.int32)), pa.array(copied)],
-                ["one", "two", "id", "version", "start", "copied"],
+                [column(part), column(seed), column(hashed), column(ids), pa.array(versions), pa.array(start.astype(np.int32)), pa.array(copied)],
+                ["part", "seed", "hash", "id", "version", "start", "copied"],
             )
 
-    return texts.mapInArrow(run, "one long, two int, id long, version long, start int, copied boolean")
+    return texts.mapInArrow(run, "part long, seed long, hash long, id long, version int, start int, copied boolean")
 
 
-def copied_windows(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, version, start, n): runs of windows that start earlier too. ``texts`` is partitioned by (id, version)."""
+def follows(keys: tuple[str, ...], order) -> Column:
+    """Whether the row before this one in its partition has equal keys."""
+    same = F.lit(True)
+    for key in keys:
+        same = same & (F.lag(key).over(order) == F.col(key))
+    return F.coalesce(same, F.lit(False))
+
+
+def copied_windows(texts: DataFrame, placed: DataFrame, width: int, seed: int, rows_in_part: int = 64) -> DataFrame:
+    """(id, version, start, n): runs of windows that start earlier too. ``placed`` has the packed texts by (id, version)."""
     in_seed = Window.partitionBy("seed").orderBy("context", "id", "version", "start")
     whole = in_seed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    previous = lambda c, w: F.lag(c).over(w)
     position = ("id", "version", "start")
-
-    def follows(keys: tuple[str, ...], w) -> F.Column:
-        same = F.lit(True)
-        for key in keys:
-            same = same & (previous(key, w) == F.col(key))
-        return F.coalesce(same, F.lit(False))
-
     ordered = (
         anchor_rows(texts, width, seed)
         .withColumn("_same", follows(("context",), in_seed))
         .withColumn("_again", follows(("context", *position), in_seed))
         .withColumn("_other", F.min("context").over(whole) != F.max("context").over(whole))
+        .withColumn("_size", F.count(F.lit(1)).over(whole))
     )
     # a repeat of the very same position belongs to a repeated row; it is a copy only if the row it repeats is one,
     # and as such rows get equal results it says nothing of its own
-    settled = (
-        ordered.where("NOT _again")
-        .withColumn("whole", F.col("copied") | F.col("_same"))
-        .where("whole OR _other")
-        .select(*position, F.col("n").cast("int").alias("n"), "whole")
-    )
+    settled = ordered.where("NOT _again").withColumn("whole", F.col("copied") | F.col("_same")).where("whole OR _other")
+    on_open = lambda c: F.when(~F.col("whole"), c)
+    settled = settled.select(
+        *position, F.col("n").cast("int").alias("n"), "whole",
+        on_open(F.col("seed")).alias("seed"), on_open(F.ceil(F.col("_size") / rows_in_part).cast("int")).alias("spread"),
+    )
     settled = materialise(settled, "anchors")
-    open_rows = settled.where("NOT whole").groupBy("id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    windows = window_rows(texts.join(open_rows.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "starts", "ns"), width)
-    in_window = Window.partitionBy("one", "two").orderBy(*position)
+    row = F.struct("start", "n", "seed", "spread")
+    open_rows = settled.where("NOT whole").groupBy("id", "version").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    windows = window_rows(placed.join(open_rows.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "packed", "rows"), width)
+    in_window = Window.partitionBy("part", "seed", "hash").orderBy(*position)
     single = (
-        windows.withColumn("_same", follows(("one", "two"), in_window))
+        windows.repartition("part")
+        .withColumn("_same", follows(("hash",), in_window))
         .withColumn("_again", follows(position, in_window))
         .where("copied OR (_same AND NOT _again)")
         .select(*position, F.lit(1).alias("n"))
@@ -178,10 +185,10 @@ def copied_windows(texts: DataFrame, width: int, seed: int) -> DataFrame:
     return settled.where("whole").select(*position, "n").unionByName(single)
 
 
-def spans_of(starts: list[int] | None, ns: list[int] | None, width: int) -> list[tuple[int, int]]:
-    """Maximal byte spans that windows cover."""
+def spans_of(runs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """Maximal byte spans that runs of windows (first, how many) cover."""
     spans: list[tuple[int, int]] = []
-    for start, n in sorted(zip(starts or [], ns or [], strict=True)):
+    for start, n in sorted(runs):
         end = start + n - 1 + width
         if spans and start <= spans[-1][1]:
             spans[-1] = spans[-1][0], max(end, spans[-1][1])
@@ -190,8 +197,21 @@ def spans_of(starts: list[int] | None, ns: list[int] | None, width: int) -> list
     return spans
 
 
+def packed_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` of ``rows`` and the text as a zstandard frame, which is what moves between tasks."""
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([pack(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), packed], [*names, "packed"])
+
+    return rows.mapInArrow(run, f"{schema}, packed binary")
+
+
 def remove_copies(
-    docs: DataFrame, keep: list[str], width: int = 100, seed: int = 24, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, keep: list[str], width: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The columns ``keep`` of ``docs``, n_bytes, n_removed, n_spans and kept: the bytes left, joined."""
     names = [f"_c{k}" for k in range(len(keep))]
@@ -199,23 +219,25 @@ def remove_copies(
     rows = small_batches(
         docs.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"),
-            F.xxhash64(text).alias("version"),
+            F.hash(text).alias("version"),
             text.alias("text"),
             *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)),
         )
     )
-    placed = rows.repartition("id", "version")
-    copied = copied_windows(rows.select("id", "version", "text"), width, seed)
-    copied = copied.groupBy("id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    joined = placed.join(copied.hint("shuffle_hash"), ["id", "version"], "left").select(*names, "text", "starts", "ns")
+    placed = packed_rows(rows, ["id", "version", *names]).repartition("id", "version")
+    copied = copied_windows(rows.select("id", "version", "text"), placed, width, seed)
+    run_of = F.struct("start", "n")
+    copied = copied.groupBy("id", "version").agg(F.collect_list(run_of).alias("runs"))
+    joined = placed.join(copied.hint("shuffle_hash"), ["id", "version"], "left").select(*names, "packed", "runs")
     schema = ", ".join(f"{n} {joined.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, number, left = [], [], [], []
-            for text, starts, ns in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ns")), strict=True):
-                data = text.encode()
-                spans = spans_of(starts, ns, width)
+            for packed, runs in zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                data = unpack(packed)
+                spans = spans_of([(r["start"], r["n"]) for r in runs or ()], width)
                 at, parts = 0, []
                 for begin, end in spans:
                     parts.append(data[at:begin])
@@ -234,15 +256,16 @@ def remove_copies(
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *counts)
 
 
-def deduplicated(docs: DataFrame, width: int = 100, seed: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the later copies cut out of the text. A character that a cut divides goes whole; documents of
-    which nothing is left go, documents that were empty stay."""
-    found = remove_copies(docs, docs.columns, width, seed, id_col, text_col)
+    which nothing is left go, documents that were empty or null stay."""
+    was_null = "_was_null"
+    others = [c for c in docs.columns if c != text_col]
+    found = remove_copies(docs.withColumn(was_null, F.col(text_col).isNull()), [*others, was_null], width, seed, id_col, text_col)
 
     @F.pandas_udf("string")
     def readable(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda x: x.decode("utf-8", "ignore"))
+        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
-    left = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col(text_col))
-    found = found.withColumn(text_col, left).where((F.col("n_removed") == 0) | (F.length(text_col) > 0))
-    return found.select(docs.columns)
+    found = found.withColumn(text_col, F.when(~F.col(was_null), readable("kept")))
+    return found.where((F.col("n_removed") == 0) | (F.length(text_col) > 0)).select(docs.columns)
