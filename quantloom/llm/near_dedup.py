@@ -10,7 +10,11 @@ and similarity is the sum of the smaller weights over the sum of the larger ones
   probability of their similarity, at a cost of weight plus darts instead of weight times coordinates.
 * Classes. Documents with equal multisets are one node. Nodes that agree on all ``rows`` coordinates of a band share a
   bucket.
-* Links. In the first round every bucket compares its members with its smallest one. Verified links join nodes; then
+* Bounds. Runs that no other node in a shared bucket has can be common to no pair; and where the parities of two
+  multisets, hashed to ``64 * PARITIES`` bits, differ in d bits, the multisets differ in d runs or more. Both bound the
+  similarity of a pair from above inside the join, before it is emitted, and never exclude a link.
+* Links. In the first round every bucket compares its members with the one of the least share of own runs. Verified
+  links join nodes; then
   only buckets with members of several components go on, the members outside a bucket's largest component being
   compared with all others, some in each round and more in each later one, until no bucket has an untried pair of
   different components. So no bucket is expanded into all pairs unless it is of nothing but unlinked nodes, yet every
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import materialise, small_batches
@@ -43,6 +47,22 @@ POISSON = (np.minimum(np.cumsum(_mass), 1 - 2.0**-53) * 2.0**64).astype(np.uint6
 GOLDEN = U(0x9E3779B97F4A7C15)
 
 
+PARITIES = 8
+PARITY_COLUMNS = [f"p{k}" for k in range(PARITIES)]
+
+
+def cells_of(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash for each unit of weight of each element."""
+    unit = np.arange(int(weights.sum()), dtype=np.uint64) - np.repeat(np.cumsum(weights) - weights, weights).astype(np.uint64)
+    return mix(np.repeat(elements, weights) + unit * GOLDEN)
+
+
+def parities(cells: np.ndarray) -> np.ndarray:
+    """For each of ``64 * PARITIES`` bits whether an odd number of units falls on it, as signed 64-bit words."""
+    odd = np.bincount((mix(cells ^ GOLDEN) % U(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int, darts: int) -> np.ndarray:
     """The earliest dart of each coordinate; 0 where none fell."""
     signature = np.zeros(coordinates, np.uint64)
@@ -51,8 +71,7 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int,
         return signature
     rank_limit = darts / total
     layers = np.arange(int(np.ceil(rank_limit)), dtype=np.uint64)
-    unit = np.arange(total, dtype=np.uint64) - np.repeat(np.cumsum(weights) - weights, weights).astype(np.uint64)
-    cells = mix(np.repeat(elements, weights) + unit * GOLDEN)
+    cells = cells_of(elements, weights)
     squares = mix(cells[:, None] ^ ((layers + U(1)) * U(0xC2B2AE3D27D4EB4F))[None, :]).ravel()
     number = np.searchsorted(POISSON, squares, "right")
     source = np.repeat(np.arange(len(squares)), number)
@@ -99,15 +118,17 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, darts: int) -
 
 
 def multisets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, runs): distinct runs as sorted 64-bit hashes, then their counts, in one binary value."""
+    """(node, runs, parities): distinct runs as sorted 64-bit hashes, then their counts, in one binary value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles((x or "").encode(), words) for x in batch.column("text").to_pylist()]
             packed = [e.tobytes() + c.astype("<u4").tobytes() for e, c in found]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "runs"])
+            odd = np.stack([parities(cells_of(e, c)) for e, c in found]).T
+            columns = [batch.column("node"), pa.array(packed, pa.binary()), *map(pa.array, odd)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "runs", *PARITY_COLUMNS])
 
-    return texts.mapInArrow(run, "node long, runs binary")
+    return texts.mapInArrow(run, "node long, runs binary, " + ", ".join(f"{c} long" for c in PARITY_COLUMNS))
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -138,19 +159,52 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def links_between(members: DataFrame, sets: DataFrame, threshold: float, first_centers: int = 8) -> DataFrame | None:
-    """(node, root) of linked nodes, from bucket members (bucket, node, weight)."""
-    alike = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)  # noqa: E731  weights bound the similarity
+def own_runs(sets: DataFrame) -> DataFrame:
+    """(node, own): how many distinct runs of each node no other node has; nodes without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("runs").to_pylist()
+            sizes = [len(x) // 12 for x in packed]
+            runs = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(packed, sizes, strict=True)])
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(nodes)], ["run", "node"])
+
+    once = sets.mapInArrow(run, "run long, node long").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    return once.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def links_between(members: DataFrame, sets: DataFrame, threshold: float, first_centers: int = 8) -> DataFrame:
+    """(node, root) of linked nodes, from bucket members (bucket, node, weight, own, parities)."""
+
+    def may_link(row: str, center: str) -> Column:
+        common = F.least(F.expr(f"{row}weight - {row}own"), F.expr(f"{center}weight - {center}own"))
+        both = F.col(f"{row}weight") + F.col(f"{center}weight")
+        differ = F.expr(" + ".join(f"bit_count({row}{c} ^ {center}{c})" for c in PARITY_COLUMNS))
+        within = differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6
+        return (common >= F.lit(threshold) * (both - common) - 1e-6) & within
 
-    def tried(centers: DataFrame, others: DataFrame, differ) -> DataFrame:
-        pairs = others.join(centers, "bucket").where(differ & alike(F.col("weight"), F.col("center_weight")))
-        pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    def tried(centers: DataFrame, others: DataFrame, differ: Column) -> DataFrame:
+        pairs = others.join(centers, "bucket").where(differ & may_link("", "center_"))
+        pairs = pairs.select(F.least("node", "center_node").alias("a"), F.greatest("node", "center_node").alias("b")).distinct()
         return materialise(verified(pairs, sets, threshold), "links")
 
-    smallest = members.groupBy("bucket").agg(F.min(F.struct("node", "weight")).alias("m"))
-    centers = smallest.select("bucket", F.col("m.node").alias("center"), F.col("m.weight").alias("center_weight"))
-    links = tried(centers, members, F.col("node") != F.col("center"))
-    active = members.join(centers.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti")
+    def as_centers(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("bucket", *(F.col(c).alias(f"center_{c}") for c in (*carried, *more)))
+
+    carried = ("node", "weight", "own", *PARITY_COLUMNS)
+
+    # a partner within the bounds weighs at most this, so a bucket of heavier nodes has none
+    heaviest = (F.col("weight") - F.col("own")) * ((1 + threshold) / threshold) - F.col("weight")
+    members = materialise(members, "bounded")
+    lightest = members.groupBy("bucket").agg(F.min("weight").alias("lightest"))
+    active = members.join(lightest, "bucket").where(heaviest >= F.col("lightest") - 1e-6).drop("lightest")
+    active = materialise(active, "active")
+    share = F.col("own") / F.col("weight")
+    first = active.groupBy("bucket").agg(F.min(F.struct(share.alias("share"), *carried)).alias("m"))
+    first = as_centers(first.select("bucket", "m.*"))
+    links = tried(first, active, F.col("node") != F.col("center_node"))
+    active = active.join(first.select("bucket", F.col("center_node").alias("node")), ["bucket", "node"], "left_anti")
     centers_each = first_centers
     while True:
         roots = materialise(components(links), "roots")
@@ -161,17 +215,13 @@ def links_between(members: DataFrame, sets: DataFrame, threshold: float, first_c
         active = materialise(placed.join(main, "bucket"), "active")
         if active.isEmpty():
             return roots
-        order = Window.partitionBy("bucket").orderBy("node")
+        order = Window.partitionBy("bucket").orderBy(share, "node")
         outside = active.where("root <> main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= centers_each)
-        chosen = materialise(
-            outside.select("bucket", F.col("node").alias("center"), F.col("weight").alias("center_weight"), F.col("root").alias("center_root")),
-            "centers",
-        )
+        chosen = materialise(as_centers(outside, "root"), "centers")
         found = tried(chosen, active, F.col("root") != F.col("center_root"))
         links = links.unionByName(found)
-        active = active.join(chosen.select("bucket", F.col("center").alias("node")), ["bucket", "node"], "left_anti").select(
-            "bucket", "node", "weight"
-        )
+        tested = chosen.select("bucket", F.col("center_node").alias("node"))
+        active = active.join(tested, ["bucket", "node"], "left_anti").select("bucket", *carried)
         centers_each *= 4
 
 
@@ -205,7 +255,9 @@ def near_classes(
     wanted = members.select("node", "id", "version").distinct()
     sets = rows_in.join(wanted, ["id", "version"]).select("node", "text")
     sets = materialise(multisets(sets, words).dropDuplicates(["node"]), "multisets")
-    roots = links_between(members.select("bucket", "node", "weight"), sets, threshold)
+    bounds = sets.drop("runs").join(own_runs(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    bounded = members.select("bucket", "node", "weight").join(bounds, "node")
+    roots = links_between(bounded, sets.select("node", "runs"), threshold)
     rooted = nodes.join(roots, "node", "left").select(*equal, F.coalesce("root", "node").alias("root"))
     placed = materialise(with_words.join(rooted, list(equal)).select("id", "version", "node", "root"), "placed")
     alone = signed.where("weight = 0").select("id", "version", "node", F.col("node").alias("root"))
