@@ -16,10 +16,10 @@ any one of them. Empty input gives an empty result. Other columns of the input,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WS, materialise
+from quantloom.llm.common import WS, materialise, unused
 
 KEY = ("sha", "n_norm", "check")
 
@@ -78,21 +78,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id with an equal text are told apart by their position only; such rows, and no
     others, go through a window that keeps the longest of them."""
     groups = exact_groups(docs, id_col, text_col, **tree)
-    stay = groups.groupBy(F.col(id_col).alias("_id"), F.col("sha").alias("_sha")).agg(
-        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies")
+    key_id, key_sha, copies, n, row_sha = unused(docs, "_id", "_sha", "_copies", "_n", "_row_sha")
+    stay = groups.groupBy(F.col(id_col).alias(key_id), F.col("sha").alias(key_sha)).agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias(copies)
     )
-    stay = materialise(stay.where("_kept").drop("_kept"), "stay")
+    stay = materialise(stay.where("kept").drop("kept"), "stay")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_row_sha", F.unhex(F.sha2(F.regexp_replace(text, WS, ""), 256)))
-    on = keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_row_sha") == F.col("_sha"))
-    single = keyed.join(stay.where("_copies = 1"), on, "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_id", "_sha").orderBy(F.length(text).desc())
-    repeated = (
-        keyed.join(stay.where("_copies > 1"), on)
-        .withColumn("_n", F.row_number().over(order))
-        .where("_n = 1")
-        .select(single.columns)
-    )
-    return single.unionByName(repeated).drop("_row_sha")
+    keyed = docs.withColumn(row_sha, F.unhex(F.sha2(F.regexp_replace(text, WS, ""), 256)))
+    on = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(row_sha) == F.col(key_sha))
+    single = keyed.join(stay.where(F.col(copies) == 1), on, "left_semi")
+    order = Window.partitionBy(key_id, key_sha).orderBy(F.length(text).desc())
+    repeated = keyed.join(stay.where(F.col(copies) > 1), on).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return single.unionByName(repeated.select(single.columns)).drop(row_sha)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialise, small_batches
+from quantloom.llm.common import materialise, small_batches, unused
 from quantloom.llm.graph import components
 from quantloom.llm.hashing import U, mix, shingles
 
@@ -278,7 +278,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, one of each class, with all their columns. Of rows repeated with their id and
     text all stay or go together."""
     classes = near_classes(docs, id_col=id_col, text_col=text_col, **parameters)
-    stay = classes.where("kept").select(F.col(id_col).alias("_id"), F.col("version").alias("_version")).distinct()
-    keyed = docs.withColumn("_text_version", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version"))
-    return keyed.join(stay, same, "left_semi").drop("_text_version")
+    key_id, key_version, version = unused(docs, "_id", "_version", "_text_version")
+    stay = classes.where("kept").select(F.col(id_col).alias(key_id), F.col("version").alias(key_version)).distinct()
+    keyed = docs.withColumn(version, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key_id)) & (F.col(version) == F.col(key_version))
+    return keyed.join(stay, same, "left_semi").drop(version)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, exact_dedup, htmltext, langid, line_clean, near_dedup, pack, quality, sql, suffix_dedup
+from quantloom.llm import bpe, exact_dedup, htmltext, langid, licenses, line_clean, near_dedup, pack, quality, sql, suffix_dedup
 from quantloom.llm.common import table, tokenizer_path
 
 
@@ -16,6 +16,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.not_held_out())
@@ -67,6 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_license_rules": op2_license_rules,
         "op3_quality_compression": op3_quality_compression,
         "op4_dart_minhash": op4_dart_minhash,
         "op5_line_clean": op5_line_clean,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_license_rules": sql.license_scan(),
         "op5_line_clean": sql.LINE_CLEAN,
         "op10_exact_dedup": sql.EXACT_DEDUP,
     }

@@ -1,5 +1,42 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from quantloom.llm import licenses
+
+
+def license_scan() -> str:
+    """Normalisation and rules as chained common table expressions over the same fixed values."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    text = "chr(10) || lower(coalesce(text, '')) || ' ' || chr(10)"
+    for pattern, to in licenses.STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    text = f"regexp_replace({text}, '\x02[\x02 ]*', {quoted(licenses.LINE)}, 'g')"
+    text = f"regexp_replace({text}, ' *\x01 *', {quoted(' ' + licenses.END)}, 'g')"
+    pairs = ", ".join(
+        f"{quoted(s.replace('|', '| |') + ' ')}: {quoted(name)}" for name, many in licenses.SENTENCES.items() for s in many
+    )
+    steps, before = [], "r"
+    for k, (name, rule) in enumerate(licenses.RULES):
+        sequence = quoted(licenses.as_sequence(rule))
+        found = f"CASE WHEN contains(seq, {sequence}) THEN list_append(found, {quoted(name)}) ELSE found END"
+        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(seq, {sequence}, '') AS seq, {found} AS found FROM {before})")
+        before = f"r{k}"
+    return f"""
+WITH n AS (
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {quoted(licenses.KEYWORD)})
+    THEN regexp_extract_all({text}, {quoted(licenses.sentence_pattern())}, 1) ELSE []::VARCHAR[] END AS found
+  FROM documents
+), i AS (
+  SELECT doc_id, list_transform(found, lambda x: (MAP {{{pairs}}})[replace(x, {quoted(licenses.LINE)}, '')]) AS ids FROM n
+), r AS (
+  SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS seq, []::VARCHAR[] AS found FROM i
+), {", ".join(steps)}
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, (length(seq) - length(replace(seq, '<', '')))::BIGINT AS n_open,
+       coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+       coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licenses
+FROM {before}
+"""
+
+
 EXACT_DEDUP = r"""
 WITH n AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialise, small_batches
+from quantloom.llm.common import materialise, small_batches, unused
 from quantloom.llm.hashing import Prefixes, U, mix, sliding_min
 
 CHUNK = 1 << 19
@@ -210,10 +210,20 @@ def packed_rows(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, packed binary")
 
 
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
 def remove_copies(
-    docs: DataFrame, keep: list[str], width: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    keep: list[str],
+    width: int = 100,
+    seed: int = 32,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    results: tuple[str, ...] = RESULTS,
 ) -> DataFrame:
-    """The columns ``keep`` of ``docs``, n_bytes, n_removed, n_spans and kept: the bytes left, joined."""
+    """The columns ``keep`` of ``docs``, n_bytes, n_removed, n_spans and kept: the bytes left, joined. ``results`` gives
+    these four other names."""
     names = [f"_c{k}" for k in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = small_batches(
@@ -252,20 +262,21 @@ def remove_copies(
             )
 
     found = joined.mapInArrow(run, (f"{schema}, " if names else "") + "n_bytes long, n_removed long, n_spans long, kept binary")
-    counts = ("n_bytes", "n_removed", "n_spans", "kept")
-    return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *counts)
+    renamed = (F.col(n).alias(c) for n, c in zip((*names, *RESULTS), (*keep, *results), strict=True))
+    return found.select(*renamed)
 
 
 def deduplicated(docs: DataFrame, width: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the later copies cut out of the text. A character that a cut divides goes whole; documents of
     which nothing is left go, documents that were empty or null stay."""
-    was_null = "_was_null"
+    was_null, *results = unused(docs, "_was_null", *RESULTS)
     others = [c for c in docs.columns if c != text_col]
-    found = remove_copies(docs.withColumn(was_null, F.col(text_col).isNull()), [*others, was_null], width, seed, id_col, text_col)
+    marked = docs.withColumn(was_null, F.col(text_col).isNull())
+    found = remove_copies(marked, [*others, was_null], width, seed, id_col, text_col, tuple(results))
 
     @F.pandas_udf("string")
     def readable(kept: pd.Series) -> pd.Series:
         return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
-    found = found.withColumn(text_col, F.when(~F.col(was_null), readable("kept")))
-    return found.where((F.col("n_removed") == 0) | (F.length(text_col) > 0)).select(docs.columns)
+    found = found.withColumn(text_col, F.when(~F.col(was_null), readable(results[3])))
+    return found.where((F.col(results[1]) == 0) | (F.length(text_col) > 0)).select(docs.columns)
