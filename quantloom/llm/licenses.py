@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A text without any of these holds no known sentence.
-KEYWORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|public domain|all rights reserved|liab|notice|sublicens|gnu|mozilla"
+KEYWORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|public domain|all rights reserved|liab|notice|sublicens|gnu|mozilla|cc0"
 
 #: Known licence sentences, normalised; "|" stands for a sentence end inside.
 SENTENCES: dict[str, tuple[str, ...]] = {
