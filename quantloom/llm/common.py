@@ -25,11 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None, rows_per_task: int = 100_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors,
-    is computed once and has sizes that adaptive execution can see."""
+    is computed once and has sizes that adaptive execution can see. A bound on its ``rows``, where the caller has one,
+    saves a small table from being written by many tasks with a file each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None and (tasks := rows // rows_per_task + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(max(tasks, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

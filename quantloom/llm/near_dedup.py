@@ -144,19 +144,19 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets are at least ``threshold`` alike."""
+    """(ra, rb) of the pairs (a, b, ra, rb) of nodes and their components whose multisets are at least ``threshold`` alike."""
     one = sets.select(F.col("node").alias("a"), F.col("runs").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("runs").alias("y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    joined = pairs.join(one, "a").join(two, "b").select("ra", "rb", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [similarity(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            kept = batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            kept = batch.select(["ra", "rb"]).filter(pa.array(alike, pa.bool_()))
             if kept.num_rows:
                 yield kept
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "ra long, rb long")
 
 
 def own_runs(sets: DataFrame) -> DataFrame:
@@ -174,8 +174,16 @@ def own_runs(sets: DataFrame) -> DataFrame:
     return once.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
-def links_between(members: DataFrame, sets: DataFrame, threshold: float, first_centers: int = 8) -> DataFrame:
-    """(node, root) of linked nodes, from bucket members (bucket, node, weight, own, parities)."""
+def moved(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``rows`` with root replaced by what ``mapping`` (node, root) says of it."""
+    to = mapping.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return rows.join(to, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+
+
+def merges(members: DataFrame, sets: DataFrame, threshold: float, first_centers: int = 32) -> list[DataFrame]:
+    """Mappings (node, root) to apply one after the other to nodes that begin as their own roots, from bucket members
+    (bucket, node, weight, own, parities). Later mappings join whole components, so they are small."""
+    carried = ("node", "root", "weight", "own", *PARITY_COLUMNS)
 
     def may_link(row: str, center: str) -> Column:
         common = F.least(F.expr(f"{row}weight - {row}own"), F.expr(f"{center}weight - {center}own"))
@@ -184,45 +192,45 @@ def links_between(members: DataFrame, sets: DataFrame, threshold: float, first_c
         within = differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6
         return (common >= F.lit(threshold) * (both - common) - 1e-6) & within
 
-    def tried(centers: DataFrame, others: DataFrame, differ: Column) -> DataFrame:
-        pairs = others.join(centers, "bucket").where(differ & may_link("", "center_"))
-        pairs = pairs.select(F.least("node", "center_node").alias("a"), F.greatest("node", "center_node").alias("b")).distinct()
-        return materialise(verified(pairs, sets, threshold), "links")
-
-    def as_centers(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("bucket", *(F.col(c).alias(f"center_{c}") for c in (*carried, *more)))
+    def tried(centers: DataFrame, others: DataFrame) -> DataFrame:
+        pairs = others.join(centers, "bucket").where((F.col("root") != F.col("center_root")) & may_link("", "center_"))
+        one, two = F.struct("node", "root"), F.struct(F.col("center_node").alias("node"), F.col("center_root").alias("root"))
+        pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+        return materialise(verified(pairs.distinct(), sets, threshold), "links")
 
-    carried = ("node", "weight", "own", *PARITY_COLUMNS)
+    def as_centers(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", *(F.col(c).alias(f"center_{c}") for c in carried))
 
     # a partner within the bounds weighs at most this, so a bucket of heavier nodes has none
     heaviest = (F.col("weight") - F.col("own")) * ((1 + threshold) / threshold) - F.col("weight")
-    members = materialise(members, "bounded")
+    members = materialise(members.withColumn("root", F.col("node")), "bounded")
     lightest = members.groupBy("bucket").agg(F.min("weight").alias("lightest"))
     active = members.join(lightest, "bucket").where(heaviest >= F.col("lightest") - 1e-6).drop("lightest")
-    active = materialise(active, "active")
+    n_rows = members.count()
+    active = materialise(active, "active", rows=n_rows)
     share = F.col("own") / F.col("weight")
     first = active.groupBy("bucket").agg(F.min(F.struct(share.alias("share"), *carried)).alias("m"))
-    first = as_centers(first.select("bucket", "m.*"))
-    links = tried(first, active, F.col("node") != F.col("center_node"))
-    active = active.join(first.select("bucket", F.col("center_node").alias("node")), ["bucket", "node"], "left_anti")
-    centers_each = first_centers
+    chosen = as_centers(first.select("bucket", "m.*"))
+    centers_each, found = first_centers, []
     while True:
-        roots = materialise(components(links), "roots")
-        placed = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        links = tried(chosen, active)
+        active = active.join(chosen.select("bucket", F.col("center_node").alias("node")), ["bucket", "node"], "left_anti")
+        if not links.isEmpty():
+            found.append(materialise(components(links, "ra", "rb"), "roots", rows=2 * links.count()))
+            active = moved(active, found[-1])
+        sizes = active.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
         main = main.where("parts > 1").select("bucket", F.col("m.root").alias("main"))
-        active = materialise(placed.join(main, "bucket"), "active")
-        if active.isEmpty():
-            return roots
+        active = materialise(active.join(main, "bucket"), "active", rows=n_rows)
+        n_rows = active.count()
+        if not n_rows:
+            return found
         order = Window.partitionBy("bucket").orderBy(share, "node")
         outside = active.where("root <> main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= centers_each)
-        chosen = materialise(as_centers(outside, "root"), "centers")
-        found = tried(chosen, active, F.col("root") != F.col("center_root"))
-        links = links.unionByName(found)
-        tested = chosen.select("bucket", F.col("center_node").alias("node"))
-        active = active.join(tested, ["bucket", "node"], "left_anti").select("bucket", *carried)
-        centers_each *= 4
+        chosen = materialise(as_centers(outside), "centers", rows=n_rows)
+        active = active.drop("main")
+        centers_each *= 8
 
 
 def near_classes(
@@ -257,8 +265,9 @@ def near_classes(
     sets = materialise(multisets(sets, words).dropDuplicates(["node"]), "multisets")
     bounds = sets.drop("runs").join(own_runs(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     bounded = members.select("bucket", "node", "weight").join(bounds, "node")
-    roots = links_between(bounded, sets.select("node", "runs"), threshold)
-    rooted = nodes.join(roots, "node", "left").select(*equal, F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select(*equal, F.col("node").alias("root"))
+    for mapping in merges(bounded, sets.select("node", "runs"), threshold):
+        rooted = moved(rooted, mapping)
     placed = materialise(with_words.join(rooted, list(equal)).select("id", "version", "node", "root"), "placed")
     alone = signed.where("weight = 0").select("id", "version", "node", F.col("node").alias("root"))
     placed = placed.unionByName(alone)
