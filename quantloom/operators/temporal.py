@@ -61,7 +61,7 @@ def known_order() -> list[Column]:
 def what_was_known(df: DataFrame, as_of: Column) -> DataFrame:
     """Visible records with their position in each instrument's story."""
     order = Window.partitionBy("instrument_id").orderBy(*known_order())
-    return point_in_time(df, as_of).withColumn("position", F.row_number().over(order))
+    return point_in_time(df, as_of).withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def events_between(df: DataFrame, start: Column, end: Column, types: tuple[str, ...] = (), known_by_end: bool = False) -> DataFrame:

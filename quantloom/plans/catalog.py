@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
+#: Added before rounding, so that exact halves go the same way in two engines.
+NUDGE = 1e-9
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def present(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), DIGITS) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         out.append(c.alias(f.name))
@@ -33,7 +35,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
     def register(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: present(f(spark, sf_dir))
         if sql is not None:
-            parts = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in doubles.split())
+            parts = ", ".join(f"round({c} + {NUDGE}::DOUBLE, {DIGITS}) + 0.0 AS {c}" for c in doubles.split())
             ORACLES[name] = f"SELECT * REPLACE ({parts}) FROM ({sql})" if parts else sql
         return f
 
@@ -43,6 +45,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from quantloom.plans import (  # noqa: F401
         comparative_queries,
+        foundation_queries,
         market_queries,
     )
 
