@@ -44,6 +44,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from quantloom.plans import (  # noqa: F401
+        company_queries,
         comparative_queries,
         foundation_queries,
         market_queries,

@@ -110,9 +110,9 @@ def grp_01(spark, d):
     return records.grouped(versions(spark, d), "event_type", "_seq")
 
 
-@query("flt_01_titles_containing", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1')")
+@query("flt_01_titles_containing", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bolt')")
 def flt_01(spark, d):
-    return records.titles_containing(read(spark, d, "part"), "1", "p_name").select("p_partkey", "p_name")
+    return records.titles_containing(read(spark, d, "part"), "BOLT", "p_name").select("p_partkey", "p_name")
 
 
 _DAMAGED = """b AS (SELECT instrument_id, ts, CASE WHEN day(ts) = 1 THEN -open ELSE open END AS open, CASE WHEN day(ts) = 2 THEN low / 2 ELSE high END AS high,
