@@ -180,10 +180,13 @@ def moved(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.join(to, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
-def merges(members: DataFrame, sets: DataFrame, threshold: float, first_centers: int = 32) -> list[DataFrame]:
+def merges(members: DataFrame, sets: DataFrame, threshold: float, first_centers: int = 8) -> list[DataFrame]:
     """Mappings (node, root) to apply one after the other to nodes that begin as their own roots, from bucket members
-    (bucket, node, weight, own, parities). Later mappings join whole components, so they are small."""
-    carried = ("node", "root", "weight", "own", *PARITY_COLUMNS)
+    (bucket, band, node, bands, weight, own, parities). Later mappings join whole components, so they are small.
+
+    The first round has one centre a bucket. After it, a node that one of its buckets chooses as centre is centre in
+    all of them, and a pair is tried in the first band that both nodes share, so each pair comes out of the join once."""
+    carried = ("node", "root", "weight", "own", "bands", *PARITY_COLUMNS)
 
     def may_link(row: str, center: str) -> Column:
         common = F.least(F.expr(f"{row}weight - {row}own"), F.expr(f"{center}weight - {center}own"))
@@ -192,8 +195,10 @@ def merges(members: DataFrame, sets: DataFrame, threshold: float, first_centers:
         within = differ <= both * ((1 - threshold) / (1 + threshold)) + 1e-6
         return (common >= F.lit(threshold) * (both - common) - 1e-6) & within
 
-    def tried(centers: DataFrame, others: DataFrame) -> DataFrame:
-        pairs = others.join(centers, "bucket").where((F.col("root") != F.col("center_root")) & may_link("", "center_"))
+    first_shared = F.array_position(F.zip_with("bands", "center_bands", lambda x, y: x == y), True) == F.col("band") + 1
+
+    def tried(centers: DataFrame, others: DataFrame, where: Column) -> DataFrame:
+        pairs = others.join(centers, "bucket").where((F.col("root") != F.col("center_root")) & may_link("", "center_") & where)
         one, two = F.struct("node", "root"), F.struct(F.col("center_node").alias("node"), F.col("center_root").alias("root"))
         pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
         pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
@@ -211,11 +216,12 @@ def merges(members: DataFrame, sets: DataFrame, threshold: float, first_centers:
     active = materialise(active, "active", rows=n_rows)
     share = F.col("own") / F.col("weight")
     first = active.groupBy("bucket").agg(F.min(F.struct(share.alias("share"), *carried)).alias("m"))
-    chosen = as_centers(first.select("bucket", "m.*"))
+    chosen = materialise(as_centers(first.select("bucket", "m.*")), "centers", rows=n_rows)
+    on, where = ["bucket", "node"], F.lit(True)
     centers_each, found = first_centers, []
     while True:
-        links = tried(chosen, active)
-        active = active.join(chosen.select("bucket", F.col("center_node").alias("node")), ["bucket", "node"], "left_anti")
+        links = tried(chosen, active, where)
+        active = active.join(chosen.withColumnRenamed("center_node", "node").select(*on).distinct(), on, "left_anti")
         if not links.isEmpty():
             found.append(materialise(components(links, "ra", "rb"), "roots", rows=2 * links.count()))
             active = moved(active, found[-1])
@@ -228,7 +234,8 @@ def merges(members: DataFrame, sets: DataFrame, threshold: float, first_centers:
             return found
         order = Window.partitionBy("bucket").orderBy(share, "node")
         outside = active.where("root <> main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= centers_each)
-        chosen = materialise(as_centers(outside), "centers", rows=n_rows)
+        chosen = materialise(as_centers(active.join(outside.select("node").distinct(), "node", "left_semi")), "centers", rows=n_rows)
+        on, where = ["node"], first_shared
         active = active.drop("main")
         centers_each *= 8
 
@@ -259,12 +266,13 @@ def near_classes(
     members = nodes.select("node", "weight", "id", "version", F.posexplode("bands").alias("band", "hash")).where("hash IS NOT NULL")
     members = members.withColumn("bucket", F.xxhash64("band", "hash"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(members.join(shared, "bucket").select("bucket", "node", "weight", "id", "version"), "members")
+    members = materialise(members.join(shared, "bucket").select("bucket", "band", "node", "weight", "id", "version"), "members")
     wanted = members.select("node", "id", "version").distinct()
     sets = rows_in.join(wanted, ["id", "version"]).select("node", "text")
     sets = materialise(multisets(sets, words).dropDuplicates(["node"]), "multisets")
     bounds = sets.drop("runs").join(own_runs(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    bounded = members.select("bucket", "node", "weight").join(bounds, "node")
+    bounds = bounds.join(nodes.select("node", "bands"), "node")
+    bounded = members.select("bucket", "band", "node", "weight").join(bounds, "node")
     rooted = nodes.select(*equal, F.col("node").alias("root"))
     for mapping in merges(bounded, sets.select("node", "runs"), threshold):
         rooted = moved(rooted, mapping)
