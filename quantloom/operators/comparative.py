@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import TRADING_DAYS, compounded, ratio
 from quantloom.operators.market import latest_first, prepared, with_previous
 
-YEAR = F.sqrt(F.lit(float(TRADING_DAYS)))
+YEAR = TRADING_DAYS**0.5
 
 
 def aligned_returns(prices: DataFrame, benchmark: DataFrame) -> DataFrame:

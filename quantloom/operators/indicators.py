@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import TRADING_DAYS, change, days_between, full_window, history, last_rows, ratio
 from quantloom.operators.market import drawdown_series, prepared, valid_returns
 
-YEAR = F.sqrt(F.lit(float(TRADING_DAYS)))
+YEAR = TRADING_DAYS**0.5
 
 
 def bollinger(prices: DataFrame, window: int = 20, width: float = 2.0) -> DataFrame:

@@ -9,7 +9,7 @@ from quantloom.functions.columns import TRADING_DAYS, change, history, last_rows
 from quantloom.operators.market import latest_first, prepared, valid_returns
 
 LOOKBACKS = (("1y", 252), ("3y", 756), ("5y", 1260), ("10y", 2520))
-YEAR = F.sqrt(F.lit(float(TRADING_DAYS)))
+YEAR = TRADING_DAYS**0.5
 
 
 def whole_days(end: Column, start: Column) -> Column:

@@ -41,7 +41,11 @@ STAMPED = """st AS (SELECT event_id AS record_id, event_type AS record_type, use
   value, props, 's' || (event_id % 4)::VARCHAR AS source FROM events),
 env AS (SELECT *, timestamp AS event_time, coalesce(published_at, observed_at, retrieved_at) AS available_at,
   CASE WHEN published_at IS NOT NULL THEN 'published' WHEN observed_at IS NOT NULL THEN 'observed' ELSE 'retrieved' END AS basis FROM st)"""
-AS_OF, AS_OF_SQL = F.lit("2024-01-15 12:00:00").cast("timestamp"), "TIMESTAMP '2024-01-15 12:00:00'"
+AS_OF_SQL = "TIMESTAMP '2024-01-15 12:00:00'"
+
+
+def as_of():
+    return F.lit("2024-01-15 12:00:00").cast("timestamp")
 
 
 def priced_twice(spark, d):
@@ -244,12 +248,12 @@ for _name, _strict in (("tmp_03_visible_strict", True), ("tmp_03_visible_all", F
 
     @query(_name, f"WITH {STAMPED} SELECT record_id FROM env WHERE available_at <= {AS_OF_SQL}" + (" AND basis <> 'retrieved'" if _strict else ""))
     def _visible(spark, d, strict=_strict):
-        return temporal.point_in_time(temporal.with_envelope(stamped(spark, d)), AS_OF, strict=strict).select("record_id")
+        return temporal.point_in_time(temporal.with_envelope(stamped(spark, d)), as_of(), strict=strict).select("record_id")
 
 
 @query("tmp_04_point_in_time", f"WITH {STAMPED} SELECT record_id, record_type FROM env WHERE instrument_id = 7 AND available_at <= {AS_OF_SQL} AND basis <> 'retrieved'")
 def tmp_04(spark, d):
-    return temporal.point_in_time(temporal.with_envelope(stamped(spark, d)), AS_OF, instrument=7).select("record_id", "record_type")
+    return temporal.point_in_time(temporal.with_envelope(stamped(spark, d)), as_of(), instrument=7).select("record_id", "record_type")
 
 
 @query(
@@ -258,12 +262,12 @@ def tmp_04(spark, d):
       ORDER BY event_time NULLS LAST, available_at NULLS LAST, record_type, record_id) AS position FROM env WHERE available_at <= {AS_OF_SQL} AND basis <> 'retrieved'""",
 )
 def tmp_05(spark, d):
-    return temporal.what_was_known(temporal.with_envelope(stamped(spark, d)), AS_OF).select("instrument_id", "record_id", "record_type", "position")
+    return temporal.what_was_known(temporal.with_envelope(stamped(spark, d)), as_of()).select("instrument_id", "record_id", "record_type", "position")
 
 
 @query("tmp_06_events_between", f"WITH {STAMPED} SELECT record_id, record_type, event_time FROM env WHERE event_time BETWEEN TIMESTAMP '2024-01-10' AND {AS_OF_SQL} AND record_type IN ('error', 'purchase') AND available_at <= {AS_OF_SQL}")
 def tmp_06(spark, d):
-    found = temporal.events_between(temporal.with_envelope(stamped(spark, d)), F.lit("2024-01-10").cast("timestamp"), AS_OF, ("error", "purchase"), known_by_end=True)
+    found = temporal.events_between(temporal.with_envelope(stamped(spark, d)), F.lit("2024-01-10").cast("timestamp"), as_of(), ("error", "purchase"), known_by_end=True)
     return found.select("record_id", "record_type", "event_time")
 
 
@@ -273,7 +277,7 @@ _KIND = "CASE record_type WHEN 'view' THEN 'filing' WHEN 'click' THEN 'company_d
 @query("tmp_07_documents_available", f"WITH {STAMPED} SELECT record_id, {_KIND} AS record_type FROM env WHERE {_KIND} IN ('filing', 'company_document') AND available_at <= {AS_OF_SQL} AND basis <> 'retrieved'")
 def tmp_07(spark, d):
     kind = F.when(F.col("record_type") == "view", "filing").when(F.col("record_type") == "click", "company_document").otherwise(F.col("record_type"))
-    return temporal.documents_available(temporal.with_envelope(stamped(spark, d).withColumn("record_type", kind)), AS_OF).select("record_id", "record_type")
+    return temporal.documents_available(temporal.with_envelope(stamped(spark, d).withColumn("record_type", kind)), as_of()).select("record_id", "record_type")
 
 
 @query("tmp_08_by_instrument", "SELECT event_id AS record_id, user_id AS instrument_id FROM events UNION SELECT event_id, user_id % 10 FROM events UNION SELECT event_id, 3 FROM events WHERE event_id % 2 = 0")
@@ -311,7 +315,7 @@ def dq_02(spark, d):
 @query("dq_03_stale_sources", f"""WITH {STAMPED} SELECT 'stale' AS category, 'warning' AS severity, record_id::VARCHAR AS subject, source AS detail FROM st
     WHERE epoch_us({AS_OF_SQL}) // 1000000 - epoch_us(coalesce(observed_at, published_at, retrieved_at)) // 1000000 > 86400 * CASE source WHEN 's0' THEN 5 WHEN 's1' THEN 10 END + 1""")
 def dq_03(spark, d):
-    return quality.stale_sources(stamped(spark, d), AS_OF + F.expr("INTERVAL 0 SECONDS"), {"s0": 5, "s1": 10}, "record_id")
+    return quality.stale_sources(stamped(spark, d), as_of(), {"s0": 5, "s1": 10}, "record_id")
 
 
 @query("dq_04_reconciliation_findings", f"""WITH {PRICED}, {status_sql("entity_key, field, observed_at")} SELECT 'reconciliation' AS category,
