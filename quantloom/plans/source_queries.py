@@ -31,11 +31,11 @@ def prs_06(spark, d):
     return parsers.quotes(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), q.alias("payload")), "payload", "id")
 
 
-@query("prs_08_statement_payloads", f"""WITH {STATEMENTS_SQL} SELECT instrument_id, period_end, 'quarterly' AS period_type, 'consolidated' AS statement_type, 'summary' AS part, 'Revenue' AS name, round(revenue, 2) AS value FROM statements
-    UNION ALL SELECT instrument_id, period_end, 'quarterly', 'consolidated', 'full_statement', 'Total Assets', round(total_assets, 2) FROM statements""", "value")
+@query("prs_08_statement_payloads", f"""WITH {STATEMENTS_SQL} SELECT instrument_id, period_end, 'quarterly' AS period_type, 'consolidated' AS statement_type, 'summary' AS part, 'Revenue' AS name, round(revenue, 4) AS value FROM statements
+    UNION ALL SELECT instrument_id, period_end, 'quarterly', 'consolidated', 'full_statement', 'Total Assets', round(total_assets, 4) FROM statements""", "value")
 def prs_08(spark, d):
     s = statements(spark, d)
-    point = lambda c: F.format_string('[{"period":"%s","value":"%s"}]', F.date_format("period_end", "MMM yyyy"), F.round(c, 2).cast("decimal(20,2)").cast("string"))
+    point = lambda c: F.format_string('[{"period":"%s","value":"%s"}]', F.date_format("period_end", "MMM yyyy"), F.round(c, 4).cast("decimal(20,4)").cast("string"))
     text = F.format_string('{"data":{"type":"consolidated","time_period":"quarterly","income_statement":[{"category":"Revenue","history":%s}],"full_statement":[{"particular":"Total Assets","history":%s}]}}', point("revenue"), point("total_assets"))
     return parsers.statement_snapshots(s.select("instrument_id", text.alias("payload")), "payload", "instrument_id")
 
@@ -88,9 +88,9 @@ def over(n: int) -> str:
     return _RANGE.format(n=n - 1)
 
 
-@query("bkd_01_bollinger", f"{B}, x AS (SELECT *, avg(close) {over(20)} AS middle, stddev_pop(close) {over(20)} AS s, count(*) {over(20)} AS n FROM bars) SELECT instrument_id, ts, middle, middle + 2 * s AS upper, middle - 2 * s AS lower FROM x WHERE n = 20", "middle upper lower")
+@query("bkd_01_bollinger", f"{B}, x AS (SELECT *, avg(close) {over(20)} AS middle, stddev_pop(close) {over(20)} AS s, count(*) {over(20)} AS n FROM bars) SELECT instrument_id, ts, round(middle, 4) AS middle, round(middle + 2 * s, 4) AS upper, round(middle - 2 * s, 4) AS lower FROM x WHERE n = 20", "middle upper lower")
 def bkd_bollinger(spark, d):
-    return indicators.bollinger(bars(spark, d))
+    return indicators.bollinger(bars(spark, d)).select("instrument_id", "ts", *(F.round(c, 4).alias(c) for c in ("middle", "upper", "lower")))
 
 
 @query("bkd_01_on_balance_volume", f"{B}, x AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS m FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)) SELECT instrument_id, ts, sum(m) OVER (PARTITION BY instrument_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS obv FROM x", "obv")
