@@ -49,6 +49,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         foundation_queries,
         market_queries,
         source_queries,
+        stream_queries,
     )
 
     return QUERIES, ORACLES
