@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these holds no known sentence.
+#: Every known sentence holds one of these within a word, where no line break or comment mark can split it.
+WORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|domain|reserved|liab|notice|sublicens|gnu|mozilla|cc0"
+#: What the SQL looks for instead; it misses "public domain" and "all rights reserved" with other white space.
 KEYWORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|public domain|all rights reserved|liab|notice|sublicens|gnu|mozilla|cc0"
 
 #: Known licence sentences, normalised; "|" stands for a sentence end inside.
@@ -139,7 +141,7 @@ def sentence_ids(text: Column) -> Column:
     pairs = [(s.replace("|", "| |") + " ", name) for name, many in SENTENCES.items() for s in many]
     names = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
     plain = lambda s: F.replace(s, F.lit(LINE), F.lit(""))
-    return F.when(F.lower(text).rlike(KEYWORD), F.transform(found, lambda s: F.element_at(names, plain(s)))).otherwise(
+    return F.when(F.lower(text).rlike(WORD), F.transform(found, lambda s: F.element_at(names, plain(s)))).otherwise(
         F.array().cast("array<string>")
     )
 

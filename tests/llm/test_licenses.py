@@ -50,6 +50,16 @@ def test_every_rule_and_sentence_is_reachable(documents):
     assert {x for _, rule in licenses.RULES for x in rule} <= set(licenses.SENTENCES)
 
 
+def test_sentences_wrapped_after_every_word(documents):
+    known = [(name, s) for name, many in licenses.SENTENCES.items() for s in many]
+    for gap in ("\n# ", "   ", "\n"):
+        text = [s.replace(" |", ".").replace("identifier.", "identifier:").replace(" ", gap) + "." for _, s in known]
+        out = licenses.scan(documents(list(enumerate(text)))).collect()
+        assert [r["sentence_ids"] for r in sorted(out, key=lambda r: r["doc_id"])] == [name for name, _ in known], gap
+    texts = ["# This file is in the public\n# domain.", "All rights\nreserved.", "All  rights  reserved.", "This domain is reserved."]
+    assert scan(documents, texts) == [("Public-Domain", 1, 0), ("Proprietary", 1, 0), ("Proprietary", 1, 0), ("", 0, 0)]
+
+
 def test_driver_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = {
