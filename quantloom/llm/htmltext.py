@@ -2,10 +2,12 @@
 
 Each run of text belongs to the path of tags from the root to it. Over a page, a path's text length and punctuation
 per run are aggregated; the two ratios are fused into one score, which is smoothed over the runs in page order, and
-paths whose mean score reaches a threshold taken from the spread of the page's scores are content paths. The element
-that holds them (the article where there is one, else the deepest container) is the main text, with its short
-paragraphs and headings; what its tags or attributes declare to be something else (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) is left out before the ratios are taken.
+paths whose mean score reaches a threshold taken from the spread of the page's scores are content paths. Every block on
+a content path is main text. So are the short paragraphs and headings around them: where an article or main holds half of
+the content, all of each one that holds any; else all of the deepest container that holds every run of content. In
+there only list items that are links as a whole and on no content path go. What tags or attributes declare to be
+something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out
+before the ratios are taken.
 
 Defined results: null html or a page without content gives the empty text; broken and cut-off markup is read as far
 as it goes; pages are independent rows, so there is no shuffle and memory is bounded by one page.
@@ -14,6 +16,7 @@ as it goes; pages are independent rows, so there is no shuffle and memory is bou
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -139,25 +142,30 @@ def main_text(page: str) -> str:
         return ""
     told = [r for r in runs if r[3].strip()]
     chosen = content_paths(told)
-    weight: dict[tuple[int, ...], int] = {}
-    kinds: dict[tuple[int, ...], str] = {}
-    total = 0
-    for elements, path, _, text in told:
-        if not chosen[path]:
-            continue
-        total += len(text)
-        for k, label in enumerate(path, 1):
-            kind = label.split(".")[0]
-            if kind in CONTAINER:
-                weight[elements[:k]] = weight.get(elements[:k], 0) + len(text)
-                kinds[elements[:k]] = kind
-    articles = [e for e in weight if kinds[e] in ("article", "main") and 2 * weight[e] >= total]
-    root = min(articles, key=len) if articles else max((e for e in weight if weight[e] >= 0.95 * total), key=len, default=())
-    blocks: dict[int, list[str]] = {}
+    content = [(elements, [x.split(".")[0] for x in path], len(text)) for elements, path, _, text in told if chosen[path]]
+    articles: dict[int, int] = {}
+    for elements, kinds, length in content:
+        if outermost := next((e for e, x in zip(elements, kinds, strict=True) if x in ("article", "main")), None):
+            articles[outermost] = articles.get(outermost, 0) + length
+    around = 0
+    if 2 * max(articles.values(), default=0) < sum(x[2] for x in content):
+        articles = {}
+        elements, kinds, _ = content[0]
+        around = min(len(os.path.commonprefix([elements, x[0]])) for x in content)
+        while around and kinds[around - 1] not in CONTAINER:
+            around -= 1
+    root = content[0][0][:around]
+    blocks: dict[int, list[tuple[bool, bool, bool, str]]] = {}
     for elements, path, block, text in runs:
-        if elements[: len(root)] == root and not (not chosen.get(path, True) and path[-1].split(".")[0] == "a" and any(x.split(".")[0] == "li" for x in path)):
-            blocks.setdefault(block, []).append(text)
-    return " ".join(x for parts in blocks.values() if (x := " ".join("".join(parts).split())))
+        inside = not articles.keys().isdisjoint(elements) if articles else elements[:around] == root
+        kinds = [x.split(".")[0] for x in path]
+        blocks.setdefault(block, []).append((inside, chosen.get(path, False), not text.strip() or (kinds[-1:] == ["a"] and "li" in kinds), text))
+    kept = []
+    for parts in blocks.values():
+        inside, told_by_path, links = any(p[0] for p in parts), any(p[1] for p in parts), all(p[2] for p in parts)
+        if told_by_path or (inside and not links):
+            kept.append(" ".join("".join(p[3] for p in parts).split()))
+    return " ".join(x for x in kept if x)
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

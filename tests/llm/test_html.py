@@ -32,6 +32,38 @@ def test_long_page_is_read_whole():
     assert text.startswith("Paragraph number 0,") and text.endswith("Paragraph number 2999, which says something.")
 
 
+def paragraphs(n, word):
+    return [f"Paragraph {word} {k}, of some length" + ", with one more part" * (k % 5 + 1) + "." for k in range(n)]
+
+
+def marked(texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def test_page_without_article_keeps_title_and_lead():
+    body = paragraphs(60, "one")
+    page = f"<body><nav><a>Menu</a></nav><div class=story><h1>The title</h1><p class=lead>The lead, which tells all.</p><div class=body>{marked(body)}</div></div><footer>End.</footer></body>"
+    assert htmltext.main_text(page) == " ".join(["The title", "The lead, which tells all.", *body])
+
+
+def test_two_articles_are_both_kept_whole():
+    a, b = paragraphs(11, "one"), paragraphs(9, "two")
+    page = f"<body><nav><a>Menu</a></nav><article><h2>First</h2>{marked(a)}</article><article><h2>Second</h2>{marked(b)}<p>Short.</p></article><footer>End.</footer></body>"
+    assert htmltext.main_text(page) == " ".join(["First", *a, "Second", *b, "Short."])
+
+
+def test_content_beside_the_article_is_kept():
+    a, b = paragraphs(12, "one"), paragraphs(5, "two")
+    page = f"<body><nav><a>Menu</a></nav><article>{marked(a)}</article><div class=more>{marked(b)}</div><footer>End.</footer></body>"
+    assert htmltext.main_text(page) == " ".join([*a, *b])
+
+
+def test_link_within_a_list_item_is_kept():
+    a = paragraphs(12, "one")
+    page = f"<body><article>{marked(a)}<ul><li>See <a>that page</a> for more</li><li><a>Link only</a></li></ul></article></body>"
+    assert htmltext.main_text(page) == " ".join([*a, "See that page for more"])
+
+
 def test_driver_pages_have_text(spark, sf_dir):
     out = htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"]).collect()
     assert sum(bool(r["text"]) for r in out) >= 0.9 * len(out)
