@@ -62,6 +62,24 @@ def fnd_06(spark, d):
     return fundamentals.period_gaps(statements(spark, d).where(F.quarter("period_end") != 3), ("revenue",))
 
 
+def shifted(spark, d):
+    """All statements, three out of four instruments' later by one to three quarters for each year since 1992: gaps of
+    known size between the years."""
+    quarters = (F.year("period_end") - 1992) * (F.col("instrument_id") % 4)
+    return statements(spark, d).withColumn("period_end", F.last_day(F.add_months("period_end", (quarters * 3).cast("int"))))
+
+
+@query(
+    "fnd_06_period_gaps_all",
+    f"""{S}, m AS (SELECT * REPLACE (last_day(period_end + to_months((3 * (year(period_end) - 1992) * (instrument_id % 4))::INTEGER)) AS period_end) FROM statements),
+    g AS (SELECT *, year(period_end) * 4 + quarter(period_end) AS q, lag(year(period_end) * 4 + quarter(period_end)) OVER w AS q1
+      FROM (SELECT instrument_id, period_end, period_type, 'revenue' AS metric FROM m WHERE revenue IS NOT NULL) {W})
+    SELECT instrument_id, period_end, period_type, metric, 'period_gap' AS code FROM g WHERE q - q1 <> 1""",
+)
+def fnd_06_all(spark, d):
+    return fundamentals.period_gaps(shifted(spark, d), ("revenue",))
+
+
 @query(
     "fnd_11_ttm",
     f"""{LONG}, g AS (SELECT *, sum(value) OVER f AS ttm, count(*) OVER f AS n, min(q) OVER f AS q0 FROM l

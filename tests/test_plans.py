@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
-from quantloom.plans import context, enrich
+import __spark_entry__ as entry
+from quantloom.plans import company_queries, context, enrich, source_queries
+from quantloom.sources import driver_tables
 from tests.helpers import bars
 
 
@@ -54,3 +57,12 @@ def test_last_points(spark):
     points = bars(spark, range(10)).selectExpr("instrument_id", "'s' AS item_id", "ts", "close AS value")
     chosen = spark.createDataFrame([("i", "s", "series", 3)], "instrument_id string, item_id string, kind string, included_points long")
     assert sorted(r["value"] for r in context.last_points(points, chosen).collect()) == [7, 8, 9]
+
+
+def test_whole_queries_read_every_row(spark, sf_dir):
+    items = source_queries.all_items(spark, sf_dir)
+    assert items.groupBy("instrument_id", "item_id").count().where("count > 1").count() == 0
+    assert items.agg(F.sum("points")).first()[0] == 7 * spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert company_queries.shifted(spark, sf_dir).count() == driver_tables.statements(spark, sf_dir).count()
+    queries = entry.queries()
+    assert all(queries[name](spark, sf_dir).count() for name in ("ctx_01_select_all_items", "rpr_03_pack_all_text", "fnd_06_period_gaps_all"))
