@@ -37,9 +37,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of at most 2048 ids and their places in as few sequences as possible."""
+    """Token pieces of at most 2048 ids, with their ids, and their places in as few sequences as possible."""
     pieces = pack.tokenise(docs, tokenizer_path("word_bpe_49k.json"), max_len=2048)
-    return pack.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), max_len=2048)
+    return pack.pack(pieces, max_len=2048)
 
 
 STAGES = [

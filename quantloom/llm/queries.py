@@ -52,7 +52,8 @@ def op7_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.tokenise(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), max_len=2048)
-    return pack.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), max_len=2048)
+    packed = pack.pack(pieces, max_len=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import pack
+from quantloom.llm import pack, queries
 from quantloom.llm.common import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -79,3 +79,17 @@ def test_few_sequences(spark, kind):
 def test_empty_table(documents):
     pieces = pack.tokenise(documents([(1, "x")]).limit(0), PATH)
     assert pack.pack(pieces.drop("ids")).count() == 0
+
+
+def test_op8_places_the_ids_themselves(spark, sf_dir, monkeypatch):
+    seen = []
+    place = pack.pack
+    monkeypatch.setattr(pack, "pack", lambda pieces, **k: seen.append(pieces.columns) or place(pieces, **k))
+    out = queries.op8_best_fit_packing(spark, sf_dir)
+    assert seen == [["doc_id", "piece", "start", "length", "ids"]]
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {i: library_ids(t).tobytes() for i, t in texts.items()}
+    rows = out.collect()
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]) for r in rows)
+    check_places(rows, 2048)

@@ -67,3 +67,9 @@ def test_packing_stage_packs_every_document(stages):
 def test_columns_stay_the_same(stages):
     assert all(df.columns == stages[0].columns for df in stages[:5])
     assert tokenizer_path("x").endswith("x")
+
+
+def test_sequences_can_be_built_from_the_last_table(stages):
+    ids = {i: library_ids(t).tobytes() for i, t in texts(stages[4])}
+    for r in stages[5].collect():
+        assert bytes(r["ids"]) == ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
