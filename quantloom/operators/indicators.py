@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,14 +93,26 @@ def position_limit(volatility: DataFrame, correlation: DataFrame, base: float =
     return rows.select("instrument_id", share.alias("volatility_limit"), scale.alias("correlation_multiplier"), (share * scale).alias("limit"), change(share * scale, F.lit(base)).alias("against_base"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, blocks: int = 64) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, blocks: int = 64, most: int = 100_000) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` vectors most alike by cosine, for a stated set of queries.
 
     Queries meet all vectors in blocks: each block of vectors keeps its own best ``k`` of a query before the blocks'
-    winners meet, so no task sees all pairs of a query. The query side must be small; it is broadcast after a count."""
+    winners meet, so no task sees all pairs of a query. The query side is broadcast after a count; more than ``most``
+    queries go in parts of about half as many, whose results are checkpointed one after the other."""
     n = queries.count()
-    if n > 100_000:
-        raise ValueError(f"{n} queries are too many to send to every task: split them")
+    if n > most:
+        context = queries.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(queries.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        parts = 2 * n // most + 1
+        part = F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts))
+        found = [nearest_of(queries.where(part == i), vectors, k, blocks).checkpoint() for i in range(parts)]
+        return functools.reduce(DataFrame.unionByName, found)
+    return nearest_of(queries, vectors, k, blocks)
+
+
+def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, blocks: int) -> DataFrame:
+    """``nearest`` for queries that are few enough to be sent to every task."""
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = lambda df, name: df.select(F.col("vec_id").alias(name), F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("e", F.transform("e", lambda x: x / length(F.col("e"))))
     q, v = unit(queries, "query_id").withColumnRenamed("e", "q"), unit(vectors, "vec_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))

@@ -100,3 +100,9 @@ def test_empty_prices(spark):
     empty = bars(spark, [1]).limit(0)
     for operator in (market.returns, market.return_horizons, market.drawdown_summary, market.technical_indicators, regimes.persistence, indicators.performance):
         assert operator(empty).count() == 0
+
+
+def test_nearest_of_many_queries_is_whole(spark):
+    vectors = spark.createDataFrame([(k, [float(k % 7), float(k % 5 + 1), float(k % 3)]) for k in range(40)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, indicators.nearest(vectors, vectors).collect()))
+    assert len(want) == 120 and sorted(map(tuple, indicators.nearest(vectors, vectors, most=15).collect())) == want
