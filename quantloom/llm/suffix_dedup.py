@@ -21,7 +21,9 @@ few of the suffixes:
 
 Bytes are compared by hashes of 128 bits (seed, and context or window). Both sorts are pre-aggregated:
 among the rows of a batch only the smallest position of a context or window is sent on, the others are settled there,
-so a passage that a third of all documents share sends few rows. No group is gathered in Python.
+so a long passage that a third of all documents share sends few rows. A phrase of ``seed`` bytes or more among different
+words has a context of its own in each document: all its rows meet in one task, whose window spills. No group is gathered
+in Python.
 
 Defined results: null text is empty and null ids come first; texts below ``width`` bytes lose nothing; rows repeated
 with their id and text count as one document and get equal results; rows that share an id but not the text are
