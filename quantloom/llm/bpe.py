@@ -11,7 +11,8 @@ Decoding streams: token bytes go through an incremental UTF-8 state machine that
 
 Defined results: null text is empty and has no ids; ids are little-endian unsigned 32-bit integers in one binary
 value; invalid UTF-8 in decoded bytes (only possible for ids that no text has) becomes U+FFFD; an id outside the
-vocabulary is an error. Rows are independent: no shuffle, memory bounded by a batch, the memo and the states.
+vocabulary is an error; repeated rows get equal results, an empty table gives no rows, other columns of any name don't
+matter. Rows are independent: no shuffle, memory bounded by a batch, the memo and the states.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import small_batches
+from quantloom.llm.common import Memo, small_batches
 
 #: Fixed value: the pattern that splits text before the merges of rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,7 +39,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeTransducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {rank: token for token, rank in ranks.items()}
         self.begins = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
@@ -132,24 +133,18 @@ class MergeTransducer:
 class Encoder:
     """Text to packed ids, with a bounded memo of pieces."""
 
-    def __init__(self, path: str, max_memo: int = 500_000):
+    def __init__(self, path: str):
         import regex
 
         self.find = regex.compile(PATTERN).findall
-        self.transducer, self.memo, self.max_memo = MergeTransducer(load_ranks(path)), {}, max_memo
+        self.transducer, self.memo = MergeTransducer(load_ranks(path)), Memo(self.piece, size=100_000)
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        pieces, memo = self.find(text), self.memo
-        try:
-            return b"".join([memo[x] for x in pieces])
-        except KeyError:
-            encode = self.transducer.encode
-            if len(memo) > self.max_memo:
-                memo.clear()
-            for x in set(pieces).difference(memo):
-                ids = encode(x.encode())
-                memo[x] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join([memo[x] for x in pieces])
+        return b"".join(map(self.memo.__getitem__, self.find(text)))
 
 
 class Utf8Stream:
@@ -199,19 +194,25 @@ def decode_ids(ids: bytes, table: dict[int, bytes], block: int = 65_536) -> str:
     return "".join(out) + stream.end()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids): ids packed as little-endian unsigned 32-bit integers."""
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids): ids packed as little-endian unsigned 32-bit integers; with ``decoded`` also the text that
+    the ids decode to, from the same pass."""
     rows = small_batches(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path)
+        encode, table = encoder(ranks_path), token_bytes(ranks_path) if decoded else {}
         for batch in batches:
             ids = [encode(x) for x in batch.column("text").to_pylist()]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), n, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
-
-    return rows.mapInArrow(run, f"id {id_type}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+            columns, names = [batch.column("id"), n, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"]
+            if decoded:
+                columns.append(pa.array([decode_ids(x, table) for x in ids], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"id {id_type}, n_tokens long, ids binary" + ", decoded string" * decoded
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

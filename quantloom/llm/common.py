@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,14 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` where it is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` where it is set. A session within
+    one process may do without; on a cluster there is no folder to guess, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return context.getCheckpointDir().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def materialise(df: DataFrame, name: str, rows: int | None = None, rows_per_task: int = 100_000) -> DataFrame:
@@ -61,9 +65,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(df: DataFrame, rows: int = 400) -> DataFrame:
-    """Bounds the rows that an Arrow batch of the session holds, so that a batch of long texts fits in a worker,
-    and makes sure that workers have the package."""
-    ship_package(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+class Memo(dict):
+    """Results of ``compute`` by key, for repeated words. Two generations of ``size`` entries bound it: a full one becomes
+    the older one, from which what is asked for again moves on. Keys above ``longest`` characters are never kept."""
+
+    def __init__(self, compute: Callable[[str], bytes], size: int = 40_000, longest: int = 40):
+        super().__init__()
+        self.compute, self.size, self.longest, self.older = compute, size, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(key) > self.longest:
+            return self.compute(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def small_batches(df: DataFrame, rows: int = 400, size: str = "4m") -> DataFrame:
+    """Bounds the rows and bytes that an Arrow batch of the session holds, so that a batch of long texts fits in a
+    worker, and makes sure that workers have the package."""
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df

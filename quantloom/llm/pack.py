@@ -15,7 +15,9 @@ the ranks come from counts by (length, bucket), so that a length which a third o
 ``buckets`` keys.
 
 Defined results: null text is empty; an empty document is the closing id alone; documents above ``max_len`` ids are
-cut into pieces of ``max_len``; rows repeated with their id are packed each; an empty table gives no rows.
+cut into pieces of ``max_len``; rows repeated with their id are packed each; an empty table gives no rows. Names of
+special tokens in a text become those tokens, as in the library. ``tokenise`` takes the id and the text only, whatever
+else the table has; ``pack`` keeps all columns of the pieces.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialise, small_batches
+from quantloom.llm.common import Memo, materialise, small_batches, unused
 
 #: The word pattern of the vocabulary, and characters that its normaliser only lowers in case.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -44,35 +46,37 @@ BYTE_SIGNS = {byte: chr(0x100 + k) for k, byte in enumerate(sorted(set(range(0x1
 
 
 class WordTokenizer:
-    """A public word vocabulary; words met before come from a bounded memo, unusual texts go through it whole."""
+    """A public word vocabulary; words met before come from a bounded memo, unusual texts and those that may name a
+    special token go through the library, in parts of about ``part`` characters that are cut between words."""
 
-    def __init__(self, path: str, max_memo: int = 500_000):
+    def __init__(self, path: str, part: int = 20_000):
         import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.model, self.part = self.tokenizer.model, part
         self.find, self.unusual = regex.compile(WORDS).findall, regex.compile(PLAIN).search
-        self.memo, self.max_memo = {}, max_memo
+        self.memo = Memo(self.word, size=100_000)
+
+    def word(self, word: str) -> bytes:
+        ids = [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found, at = [], 0
+        while at < len(text):
+            end = at + self.part
+            end = len(text) if end >= len(text) else text.find(" ", end)
+            end = len(text) if end < 0 else end
+            found.append(np.array(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, "<u4").tobytes())
+            at = end
+        return b"".join(found)
 
     def __call__(self, text: str) -> bytes:
-        if self.unusual(text):
+        if self.unusual(text) or "<|" in text:
             return self.whole(text)
-        words, memo = self.find(text.lower()), self.memo
-        try:
-            return b"".join([memo[x] for x in words])
-        except KeyError:
-            if len(memo) > self.max_memo:
-                memo.clear()
-            for x in set(words).difference(memo):
-                ids = [token.id for token in self.model.tokenize(x.encode().decode("latin-1").translate(BYTE_SIGNS))]
-                memo[x] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join([memo[x] for x in words])
+        return b"".join(map(self.memo.__getitem__, self.find(text.lower())))
 
 
 @functools.lru_cache(maxsize=2)
@@ -248,28 +252,29 @@ def segments(bins: list[tuple[list[tuple[int, int]], int]], max_len: int) -> dic
 
 
 def pack(pieces: DataFrame, max_len: int = 2048, groups: int = 1024, buckets: int = 1024, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` (id_col, piece, length, and what else they have) with sequence_id and offset."""
+    """``pieces`` (id_col, piece, length, and what else they have) with sequence_id and offset, which replace columns of
+    these names. Pieces of one length are ranked by bucket, id and piece; between rows that repeat all three, any order."""
     spark = pieces.sparkSession
-    pieces = materialise(
-        pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int")), "pieces"
-    )
-    counts = materialise(pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    pieces = pieces.drop("sequence_id", "offset")
+    names = pieces.columns
+    bucket, rank, before, n = unused(pieces, "_bucket", "_rank", "_before", "_n")
+    pieces = materialise(pieces.withColumn(bucket, F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int")), "pieces")
+    counts = materialise(pieces.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n)), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum(n).alias("n")).collect()}
     where = spark.sparkContext.broadcast(segments(plan(histogram, max_len, groups), max_len))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece")
-    ranked = pieces.join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
-    names = [c for c in pieces.columns if c not in ("_bucket", "sequence_id", "offset")]
-    ranked = ranked.select(*names, "_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", bucket, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("length", bucket).orderBy(id_col, "piece")
+    ranked = pieces.join(starts, ["length", bucket]).withColumn(rank, F.col(before) + F.row_number().over(within) - 1)
+    ranked = ranked.select(*names, rank)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = where.value
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
-            at = np.searchsorted(table["key"], (length << 48) + rank, "right") - 1
-            within_run, many = rank - table["start"][at], table["many"][at]
+            length, place = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", rank))
+            at = np.searchsorted(table["key"], (length << 48) + place, "right") - 1
+            within_run, many = place - table["start"][at], table["many"][at]
             sequence = table["base"][at] + within_run // many
             offset = table["offset"][at] + within_run % many * length
             yield pa.RecordBatch.from_arrays(

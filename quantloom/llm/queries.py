@@ -58,9 +58,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks)
-    decoded = bpe.decode_documents(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), ranks)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, decoded=True)
+    decoded = F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
