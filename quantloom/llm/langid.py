@@ -6,11 +6,14 @@ and goes to the shorter context, where bytes already ruled out are excluded, dow
 statistics are frozen, every node's whole distribution is computed once, and a text's exact code length under each
 language is a sum of table entries, found for all bytes of a batch at once.
 
-Training is bounded: ``per_language`` documents of a language of up to ``max_bytes`` each, and ``max_nodes`` contexts
-of full length (the commonest; rarer ones fall to their shorter context). Texts are scored whole, in lower case.
+Training is bounded: ``per_language`` documents of a language, of each at most ``most_chars`` characters (of longer ones
+evenly spaced blocks), and ``max_nodes`` contexts of full length (the commonest; rarer ones fall to their shorter
+context). Texts are scored whole, in lower case. The model has a table of nodes and bytes for each language, so it grows
+with the number of languages that ``lang`` names, not with the rows.
 
 Defined results: null text or text without a letter is ``und`` with score 0, as is all if nothing can be learned; ties
-go to the first language in alphabetical order; repeated rows get equal results.
+go to the first language in alphabetical order; repeated rows get equal results; an empty table gives no rows; other
+columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -122,7 +125,7 @@ def fit(
     docs: DataFrame,
     learnable: Column | None = None,
     per_language: int = 400,
-    max_bytes: int = 32_768,
+    most_chars: int = 32_768,
     max_nodes: int = 30_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -130,9 +133,8 @@ def fit(
 ) -> ContextTrees | None:
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.where(learnable) if learnable is not None else usable
-    usable = usable.where(F.octet_length(text_col) <= max_bytes).select(id_col, lang_col)
-    chosen = per_class(usable, lang_col, id_col, per_language)
-    return train(texts_of(docs, chosen.distinct(), id_col, text_col, lang_col, max_bytes), max_nodes)
+    chosen = per_class(usable.select(id_col, lang_col), lang_col, id_col, per_language)
+    return train(texts_of(docs, chosen.distinct(), id_col, text_col, lang_col, most_chars), max_nodes)
 
 
 def identify(docs: DataFrame, model: ContextTrees | None, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -1,14 +1,14 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and the calibrated difference in size.
 
 A text is cut into blocks of ``block`` bytes, so that a long text can't become its own dictionary. Each block is
-compressed once with either dictionary; the difference of the summed sizes over the bytes of the text, together with
-the size of the whole text compressed without a dictionary (repetition makes both differences vanish), goes through a
-logistic curve. The curve is fitted
-crosswise: each half of the sample is measured by dictionaries of the other. Every text is scored
-whole; training is bounded by ``per_label`` documents of a label and ``max_bytes`` each.
+compressed once with either dictionary; the difference of the summed sizes over the bytes of the text is the one thing
+that decides, and a logistic curve turns it into a probability. The curve is fitted crosswise: each half of the sample is
+measured by dictionaries of the other. Every text is scored whole; training is bounded by ``per_label`` documents of a
+label, of each at most ``most_chars`` characters: of longer ones evenly spaced blocks.
 
 Defined results: null text is empty; an empty text has difference 0 and gets the score of that; without labels of both
-kinds every score is 0.5; repeated rows get equal scores; other columns do not matter.
+kinds every score is 0.5; ids labelled both good and bad teach nothing; repeated rows get equal scores; an empty table
+gives no rows; other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -36,35 +36,31 @@ class QualityModel:
     level: int = 3
 
     def compressors(self):
-        import zstandard
+        return _compressors(self.good, self.bad, self.level)
 
-        return _compressors(self.good, self.bad, self.level) if self.good else (None, None, zstandard.ZstdCompressor())
-
-    def features(self, text: str, tools=None) -> tuple[float, float]:
-        good, bad, plain = tools or self.compressors()
-        data = text.encode()
-        difference = 0
+    def difference(self, text: str, tools=None) -> float:
+        """Bytes that the dictionary of good text saves against that of bad text, for each byte of the text."""
+        good, bad = tools or self.compressors()
+        data, saved = text.encode(), 0
         for at in range(0, len(data), self.block):
             part = data[at : at + self.block]
-            difference += len(bad.compress(part)) - len(good.compress(part))
-        n = len(data)
-        return difference / max(n, 1), float(np.log((len(plain.compress(data)) + 20) / (n + 20)))
+            saved += len(bad.compress(part)) - len(good.compress(part))
+        return saved / max(len(data), 1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not self.good:
             return np.full(len(texts), 0.5)
-        tools = self.compressors()
-        x = np.array([(*self.features(t, tools), 1.0) for t in texts]).reshape(-1, 3)
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -40, 40)))
+        tools, (slope, constant) = self.compressors(), self.weights
+        x = np.array([self.difference(t, tools) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(x * slope + constant, -40, 40)))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _compressors(good: bytes, bad: bytes, level: int):
     import zstandard
 
     plain = {"level": level, "write_content_size": False, "write_checksum": False}
-    with_dictionary = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x), **plain) for x in (good, bad)]
-    return (*with_dictionary, zstandard.ZstdCompressor(**plain))
+    return tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x), **plain) for x in (good, bad))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, ...]:
@@ -103,7 +99,7 @@ def train(samples: list[tuple[int, str]], dictionary_bytes: int = 32 * 1024, blo
             return QualityModel(b"", b"", ())
         model = QualityModel(*pair, (), block)
         tools = model.compressors()
-        x += [model.features(text, tools) for _, text in judged]
+        x += [(model.difference(text, tools),) for _, text in judged]
         y += [float(label) for label, _ in judged]
     pair = dictionaries(drawn, dictionary_bytes, block)
     return QualityModel(*pair, tuple(map(float, logistic(np.array(x), np.array(y)))), block)
@@ -114,7 +110,7 @@ def fit(
     labels: DataFrame,
     learnable: Column | None = None,
     per_label: int = 3000,
-    max_bytes: int = 65_536,
+    most_chars: int = 65_536,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
@@ -122,8 +118,10 @@ def fit(
     """Learn from at most ``per_label`` documents of either label; ``learnable`` says which labels may be used."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     usable = usable.where(learnable) if learnable is not None else usable
-    chosen = per_class(usable.select(id_col, label_col).distinct(), label_col, id_col, per_label)
-    return train(texts_of(docs, chosen, id_col, text_col, label_col, max_bytes))
+    agreed = usable.groupBy(id_col).agg(F.min(label_col).alias(label_col), F.max(label_col).alias("_most"))
+    agreed = agreed.where(F.col(label_col) == F.col("_most")).select(id_col, label_col)
+    chosen = per_class(agreed, label_col, id_col, per_label)
+    return train(texts_of(docs, chosen, id_col, text_col, label_col, most_chars))
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
