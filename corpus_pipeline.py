@@ -1,7 +1,11 @@
 """The corpus pipeline: from raw documents to packed token sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; what a stage returns is written
-as Parquet and read again. All but the last return the columns of documents.
+as Parquet and read again. All but the last return the columns of documents, whatever further columns that table has.
+
+Defined results: a null text counts as empty everywhere; a null doc_id is a row like any other and comes first where rows
+are ordered; rows that repeat id and text become one row in the exact dedup; an empty table gives an empty table of the
+stage's columns; texts are never cut but by the passage stage, and documents above 2048 ids become several pieces.
 """
 
 from __future__ import annotations
@@ -10,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import exact_dedup, near_dedup, pack, quality, suffix_dedup
-from quantloom.llm.common import materialise, table, tokenizer_path
+from quantloom.llm.common import materialise, table, tokenizer_path, unused
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores below 0.7 go."""
+    """Documents that the compression classifier scores below 0.7 go; without labels of both kinds all scores are 0.5
+    and, as nothing is known to be bad, all documents stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.not_held_out())
-    scored = quality.score(docs, model, docs.columns, out_col="_quality")
-    return scored.where("_quality >= 0.7").select(docs.columns)
+    if not model.good:
+        return docs
+    (found,) = unused(docs, "_quality")
+    scored = quality.score(docs, model, docs.columns, out_col=found)
+    return scored.where(F.col(found) >= 0.7).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
