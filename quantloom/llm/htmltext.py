@@ -1,22 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-Each run of text belongs to the path of tags from the root to it. Over a page, a path's text length and punctuation
-per run are aggregated; the two ratios are fused into one score, which is smoothed over the runs in page order, and
-paths whose mean score reaches a threshold taken from the spread of the page's scores are content paths. Every block on
-a content path is main text. So are the short paragraphs and headings around them: where an article or main holds half of
-the content, all of each one that holds any; else all of the deepest container that holds every run of content. In
-there only list items that are links as a whole and on no content path go. What tags or attributes declare to be
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is left out
-before the ratios are taken.
-
-Defined results: null html or a page without content gives the empty text; broken and cut-off markup is read as far
-as it goes; pages are independent rows, so there is no shuffle and memory is bounded by one page.
+1. One pass over the page gives its elements and its blocks: the text between two boundaries of block elements. The leaf of
+   a block's tag path is the element of its longest run of text. What the tags say to be something else (navigation, page
+   headers, footers, asides, forms, scripts, styles) has no blocks, nor have elements whose class, id or role names a menu,
+   header, footer, sidebar, notice, advert, form or reader comments.
+2. For each path the mean text length and the mean number of punctuation marks of its blocks are fused into one ratio. Every
+   block gets the ratio of its path; these values are smoothed over the page in order. Paths whose mean smoothed value
+   reaches a threshold taken from the spread of the page's values are content.
+3. The blocks on content paths are selected; blocks that are links as a whole and loose inline elements between blocks
+   only if the ratio of their path is high without its neighbours too. With them go headings right before selected blocks,
+   and the other blocks of the region of the selected ones, but for such links and loose elements: the article and main
+   elements with selected text where those hold half of it, else the deepest container that has all of it.
+
+Defined results: null html, the empty page and pages without content give the empty text; broken and cut-off markup is read
+as far as it goes, where a tag that never ends is the end of the page; repeated rows get equal results; ties between run
+lengths go to the first run; an empty table gives no rows; other columns, whatever their names, do not matter. Pages are
+independent rows, so there is no shuffle; time is linear in the page and memory is bounded by one page, however long or
+deeply nested.
 """
 
 from __future__ import annotations
 
 import html
-import os
 import re
 from collections.abc import Iterator
 
@@ -32,140 +37,269 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
-    " strike strong sub sup time tt u var wbr".split()
+    " strike strong sub sup time tt u var wbr script style noscript template".split()
 )
 ASIDE = frozenset(
-    "head script style textarea title xmp noembed noframes iframe noscript template nav header footer aside form svg select"
+    "head script style textarea title xmp noembed noframes iframe noscript template nav footer aside form svg select"
     " option button object canvas dialog menu audio video map".split()
 )
-CONTAINER = frozenset("html body article main section div td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_ENDS_BEFORE = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section"
     " table ul".split()
 )
-SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body article main section div table ul ol dl td th aside nav header footer form blockquote".split())
-#: Words in class, id and role that say what a part of a page is for.
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|promo|promotion|sponsor|sponsored|sidebar|side|menu"
-    r"|nav|navbar|navigation|breadcrumbs?|header|footer|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter"
-    r"|subscribe|subscription|signup|login|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social|related"
-    r"|recommended|widget|toolbar|pagination|pager|search|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+#: The elements that a name can declare, the names, ARIA's roles.
+NAMED = frozenset("div section ul ol dl table span ins figure center header".split())
+COMMENTS = r"comments?|commentlist|disqus|replies|respond"
+NAMES = (
+    r"menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|sidebar|notice|notices|cookies?|consent|gdpr"
+    r"|ads?|adverts?|advertisement|advertising|adsense|banner|promo|sponsor|sponsored|form|login|signup|newsletter|subscribe"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|(display\s*:\s*none)", re.I)
+ROLES = frozenset("navigation menu menubar banner contentinfo complementary search form".split())
+
+PART = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
+SAYS_COMMENTS, SAYS_ASIDE = re.compile(PART % COMMENTS, re.I), re.compile(PART % NAMES, re.I)
+SAYS_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global)[_-])?header(?:$|\s)", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 
 
-def runs_of(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], int, str]]:
-    """(elements from the root, their tags, block, text) of each run of text that no element declares to be aside."""
-    runs, stack = [], []  # stack: (tag, label, element, aside)
-    element = block = at = 0
-
-    def text_to(end: int) -> None:
-        if end > at and not (stack and stack[-1][3]):
-            text = html.unescape(page[at:end])
-            if text:
-                runs.append((tuple(x[2] for x in stack), tuple(x[1] for x in stack), block, text))
-
-    def close(tags: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPE:
-                return
-
-    end_of_page = len(page)
-    while at < end_of_page:
-        found = TOKEN.search(page, at)
-        if not found:
-            text_to(end_of_page)
+class Page:
+    """The elements of a page in order (lists by element number; 0 stands for the page) and its runs of text."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.last, self.article, self.hint = [-1], [""], [0], [0], [0]
+        self.label, self.plain, self.linked, self.inline = [0], [0], [False], [False]
+        self.hints: list[tuple[int, bool, bool]] = [(-1, False, False)]  # (hint around it, undone, it is of comments)
+        self.runs: list[tuple[int, int, str]] = []  # (element, block, text)
+        self.read(page)
+
+    def declared(self, tag: str, attributes: str, in_article: bool) -> str | None:
+        """What the tag's attributes say it is: "aside", "comments", "header", "unseen" or nothing."""
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            value, name = a or b or c, name.lower()
+            if name == "hidden" or (name == "style" and UNSEEN.search(value)):
+                return "unseen"
+            if name in ("class", "id") and SAYS_COMMENTS.search(value) and tag not in HEADINGS and tag != "p":
+                return "comments"
+            if tag in NAMED and not in_article and name in ("class", "id") and SAYS_HEADER.search(value):
+                return "header"
+            if tag in NAMED and (value.lower() in ROLES if name == "role" else name in ("class", "id") and SAYS_ASIDE.search(value)):
+                return "aside"
+        return "header" if tag == "header" and not in_article else None
+
+    def read(self, page: str) -> None:
+        labels: dict[tuple[int, str], int] = {}
+        stack, scopes = [0], [(0, {})]  # open elements; (depth where a scope begins, depths of open tags in it)
+        open_tags: dict[str, int] = {}
+        dead: list[bool] = [False]  # by depth: text there is left out whatever comes
+        block = at = 0
+        tags, end_of_page = TAG, len(page)
+
+        def text_to(end: int) -> None:
+            if end > at and not dead[-1]:
+                self.runs.append((stack[-1], block, html.unescape(page[at:end])))
+
+        def cut(depth: int) -> None:
+            """Close all elements from this depth on."""
+            while len(stack) > depth:
+                gone = stack.pop()
+                dead.pop()
+                self.last[gone] = len(self.tag) - 1
+                tag = self.tag[gone]
+                open_tags[tag] -= 1
+                if scopes[-1][0] == len(stack):
+                    scopes.pop()
+                scopes[-1][1].get(tag, [0]).pop()
+
+        def end_same(names: tuple[str, ...]) -> None:
+            begin, there = scopes[-1]
+            depths = [there[n][-1] for n in names if there.get(n)]
+            if depths:
+                cut(min(depths) if "tr" in names else max(depths))
+            elif len(stack) > 1 and self.tag[stack[begin]] in names:
+                cut(begin)
+
+        while at < end_of_page:
+            start = page.find("<", at)
+            if start < 0:
+                break
+            following = page[start + 1 : start + 2]
+            if following in ("!", "?"):
+                close = "-->" if page.startswith("<!--", start) else ">"
+                end = page.find(close, start + 2)
+                text_to(start)
+                at = end + len(close) if end >= 0 else end_of_page
+                continue
+            if not (following == "/" or following.isalpha()):
+                text_to(start + 1)
+                at = start + 1
+                continue
+            found = tags.match(page, start)
+            if not found and tags is TAG and ">" in page[start:]:
+                tags = PLAIN_TAG  # a quote that never ends: from here on tags end at the first mark
+                found = tags.match(page, start)
+            if not found:
+                text_to(start)
+                if "/" == following and page.find(">", start) >= 0:
+                    at = page.find(">", start) + 1
+                    continue
+                at = end_of_page
+                break
+            text_to(start)
+            at = found.end()
+            tag = found[2].lower()
+            if tag == "br":
+                self.runs.append((stack[-1], block, "\n")) if not dead[-1] else None
+                continue
+            block += tag not in INLINE
+            if found[1]:
+                if open_tags.get(tag):
+                    depth = len(stack) - 1
+                    while self.tag[stack[depth]] != tag:
+                        depth -= 1
+                    cut(depth)
+                continue
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                closing = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+                at = closing.end() if closing else end_of_page
+                continue
+            if tag in P_ENDS_BEFORE:
+                end_same(("p",))
+            if tag in SAME_ENDS:
+                end_same(SAME_ENDS[tag])
+            if not found[3].endswith("/"):
+                self.open(tag, found[3], stack, scopes, open_tags, dead, labels)
+        text_to(end_of_page)
+        cut(1)
+        self.last[0] = len(self.tag) - 1
+
+    def open(self, tag: str, attributes: str, stack: list, scopes: list, open_tags: dict, dead: list, labels: dict) -> None:
+        number, up = len(self.tag), stack[-1]
+        says = self.declared(tag, attributes, bool(self.article[up])) if tag not in ("html", "body", "main") else None
+        hint = self.hint[up]
+        if says in ("aside", "comments", "header"):
+            self.hints.append((hint, False, says == "comments"))
+            hint = len(self.hints) - 1
+        elif hint and tag in ("article", "main") and not self.hints[hint][2]:
+            self.hints[hint] = (self.hints[hint][0], True, False)
+        name = next((v.split()[0] for n, *vs in ATTRIBUTE.findall(attributes) if n.lower() == "class" for v in vs if v.split()), "")
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.last.append(number)
+        self.article.append(self.article[up] or (number if tag in ("article", "main") else 0))
+        self.hint.append(hint)
+        self.label.append(labels.setdefault((self.label[up], f"{tag}.{name}" if name else tag), len(labels) + 1))
+        self.plain.append(labels.setdefault((self.plain[up], f"<{tag}>"), len(labels) + 1))
+        self.linked.append(self.linked[up] or tag == "a")
+        self.inline.append(tag in INLINE)
+        dead.append(dead[-1] or tag in ASIDE or says == "unseen")
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        scopes[-1][1].setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append((len(stack), {}))
+        stack.append(number)
+
+    def left_out(self) -> list[bool]:
+        """For each hint whether what is below it goes. A hint around an article says nothing, unless it is of comments."""
+        undone = [h[1] for h in self.hints]
+        for k in range(len(self.hints) - 1, 0, -1):
+            around = self.hints[k][0]
+            undone[around] |= undone[k] and not self.hints[around][2]
+        out = [False]
+        for k in range(1, len(self.hints)):
+            out.append(out[self.hints[k][0]] or not undone[k])
+        return out
+
+
+class Block:
+    """Text between two boundaries, with the element of its longest run."""
+
+    def __init__(self, page: Page, runs: list[tuple[int, str]]):
+        self.text = " ".join("".join(t for _, t in runs).split())
+        self.leaf = max(runs, key=lambda r: len(r[1].strip()))[0]
+        self.link = all(page.linked[e] or not t.strip() for e, t in runs)
+        self.wrapped = all(page.inline[e] or not t.strip() for e, t in runs)
+        around = self.leaf
+        while page.inline[around]:
+            around = page.parent[around]
+        self.around = around
+        self.heading, self.extra = page.tag[around] in HEADINGS, False
+
+
+def blocks_of(page: Page) -> list[Block]:
+    out, left_out = [], page.left_out()
+    for every in (False, True):  # a page of nothing but declared parts is read as if nothing were declared
+        groups: dict[int, list[tuple[int, str]]] = {}
+        for element, block, text in page.runs:
+            if every or not left_out[page.hint[element]]:
+                groups.setdefault(block, []).append((element, text))
+        out = [Block(page, g) for g in groups.values() if any(t.strip() for _, t in g)]
+        if out:
             break
-        text_to(found.start())
-        at = found.end()
-        if not found[2]:
-            continue
-        tag = found[2].lower()
-        if tag not in INLINE:
-            block += 1
-        if found[1]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
-            continue
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            closing = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = closing.end() if closing else end_of_page
-            continue
-        if tag in P_ENDS_BEFORE:
-            close({"p"})
-        if tag in SAME_ENDS:
-            close(SAME_ENDS[tag])
-        label, aside = tag, tag in ASIDE or bool(stack and stack[-1][3])
-        for name, a, b, c, hidden, unseen in ATTRIBUTE.findall(found[3]):
-            value = a or b or c
-            if name.lower() == "class" and value.split():
-                label = f"{tag}.{value.split()[0]}"
-            aside |= tag not in ("html", "body", "article", "main") and bool(hidden or unseen or HINT.search(value))
-        element += 1
-        if not found[3].endswith("/"):
-            stack.append((tag, label, element, aside))
-    return runs
-
-
-def content_paths(runs: list, spread: float = 0.5, width: int = 2) -> dict[tuple[str, ...], bool]:
-    """Whether each path's fused, smoothed ratio reaches ``spread`` standard deviations of the page's scores."""
-    length, marks, number = {}, {}, {}
-    for _, path, _, text in runs:
-        length[path] = length.get(path, 0) + len(text.strip())
-        marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
-        number[path] = number.get(path, 0) + 1
-    fused = {p: length[p] / number[p] * np.log1p(1 + marks[p] / number[p]) for p in number}
-    scores = np.array([fused[r[1]] for r in runs])
+    return out
+
+
+def content_paths(page: Page, blocks: list[Block], spread: float = 0.5, own: float = 0.5, width: int = 2) -> tuple[set[int], set[int]]:
+    """The paths whose fused ratio, smoothed over the page, reaches ``spread`` standard deviations of all smoothed values,
+    and those of them whose ratio itself is at least ``own`` of the mean over the blocks. The best path is in both."""
+    path, place = np.unique([page.label[b.leaf] for b in blocks], return_inverse=True)
+    number = np.bincount(place)
+    length = np.bincount(place, [len(b.text) for b in blocks]) / number
+    marks = np.bincount(place, [len(PUNCTUATION.findall(b.text)) for b in blocks]) / number
+    fused = length * np.log(2 + marks)
     kernel = np.exp(-0.5 * np.arange(-width, width + 1) ** 2)
-    weight = np.convolve(np.ones(len(scores)), kernel, "full")[width : len(scores) + width]
-    smooth = np.convolve(scores, kernel, "full")[width : len(scores) + width] / weight
-    least = min(spread * smooth.std(), smooth.max())
-    total = dict.fromkeys(number, 0.0)
-    for (_, path, _, _), s in zip(runs, smooth, strict=True):
-        total[path] += s
-    return {p: total[p] / number[p] >= least for p in number}
-
-
-def main_text(page: str) -> str:
-    runs = [r for r in runs_of(page) if r[3].strip() or r[0]]
-    if not any(r[3].strip() for r in runs):
+    inner = slice(width, len(blocks) + width)
+    smooth = np.convolve(fused[place], kernel)[inner] / np.convolve(np.ones(len(blocks)), kernel)[inner]
+    mean = np.bincount(place, smooth) / number
+    chosen = mean >= spread * smooth.std()
+    chosen[fused.argmax()] = True
+    return set(path[chosen].tolist()), set(path[chosen & (fused >= own * fused[place].mean())].tolist())
+
+
+def regions(page: Page, selected: list[Block]) -> list[tuple[int, int]]:
+    """First and last element of each region of the selected blocks, in order."""
+    held: dict[int, int] = {}
+    for b in selected:
+        held[page.article[b.leaf]] = held.get(page.article[b.leaf], 0) + len(b.text)
+    outside = held.pop(0, 0)
+    if held and sum(held.values()) >= outside:
+        return [(e, page.last[e]) for e in sorted(held)]
+    root, leaf = selected[0].around, selected[-1].around
+    top = max(selected, key=lambda b: b.around).around
+    while not root <= min(leaf, top) <= max(leaf, top) <= page.last[root] or page.tag[root] in HEADINGS or page.tag[root] == "p":
+        root = page.parent[root]
+    return [(root, page.last[root])]
+
+
+def main_text(html_text: str) -> str:
+    page = Page(html_text)
+    blocks = blocks_of(page)
+    if not blocks:
         return ""
-    told = [r for r in runs if r[3].strip()]
-    chosen = content_paths(told)
-    content = [(elements, [x.split(".")[0] for x in path], len(text)) for elements, path, _, text in told if chosen[path]]
-    articles: dict[int, int] = {}
-    for elements, kinds, length in content:
-        if outermost := next((e for e, x in zip(elements, kinds, strict=True) if x in ("article", "main")), None):
-            articles[outermost] = articles.get(outermost, 0) + length
-    around = 0
-    if 2 * max(articles.values(), default=0) < sum(x[2] for x in content):
-        articles = {}
-        elements, kinds, _ = content[0]
-        around = min(len(os.path.commonprefix([elements, x[0]])) for x in content)
-        while around and kinds[around - 1] not in CONTAINER:
-            around -= 1
-    root = content[0][0][:around]
-    blocks: dict[int, list[tuple[bool, bool, bool, str]]] = {}
-    for elements, path, block, text in runs:
-        inside = not articles.keys().isdisjoint(elements) if articles else elements[:around] == root
-        kinds = [x.split(".")[0] for x in path]
-        blocks.setdefault(block, []).append((inside, chosen.get(path, False), not text.strip() or (kinds[-1:] == ["a"] and "li" in kinds), text))
-    kept = []
-    for parts in blocks.values():
-        inside, told_by_path, links = any(p[0] for p in parts), any(p[1] for p in parts), all(p[2] for p in parts)
-        if told_by_path or (inside and not links):
-            kept.append(" ".join("".join(p[3] for p in parts).split()))
-    return " ".join(x for x in kept if x)
+    chosen, strong = content_paths(page, blocks)
+    filled = {b.around for b in blocks if not b.wrapped} | {page.parent[b.around] for b in blocks}
+    for b in blocks:
+        b.extra = b.link or (b.wrapped and b.around in filled)
+    told = [page.label[b.leaf] in (strong if b.extra else chosen) for b in blocks]
+    areas = regions(page, [b for b, x in zip(blocks, told, strict=True) if x])
+    kept, area, follows = [], len(areas) - 1, False
+    for b, by_path in zip(reversed(blocks), reversed(told), strict=True):
+        while area > 0 and b.around < areas[area][0]:
+            area -= 1
+        inside = areas[area][0] <= b.around <= areas[area][1]
+        keep = by_path or (b.heading and (follows or inside)) or (inside and not b.extra)
+        follows = keep
+        if keep:
+            kept.append(b.text)
+    return " ".join(reversed(kept))
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

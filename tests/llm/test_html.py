@@ -1,4 +1,12 @@
-"""Main text of small pages, and of the driver's."""
+"""Main text of small pages against a plain walk of the tree, of broken and hostile ones, and of the driver's."""
+
+import math
+import random
+import statistics
+import time
+import xml.etree.ElementTree as ET
+
+import pytest
 
 from quantloom.llm import htmltext
 
@@ -68,3 +76,143 @@ def test_driver_pages_have_text(spark, sf_dir):
     out = htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"]).collect()
     assert sum(bool(r["text"]) for r in out) >= 0.9 * len(out)
     assert not any("<" in r["text"] and "</" in r["text"] for r in out)
+
+
+def plain_walk(page):
+    """Blocks, ratios and selection by definition, for well-formed pages without declared parts but nav and footer."""
+    root = ET.fromstring(page)
+    up = {child: e for e in root.iter() for child in e}
+    line = lambda e: [*line(up[e]), e] if e in up else [e]
+    inline = lambda e: e.tag in ("b", "span", "a", "i")
+    runs = []
+
+    def walk(e):
+        if e.tag in ("nav", "footer"):
+            runs.append(None)
+            return
+        if not inline(e):
+            runs.append(None)
+        runs.append((e, e.text or ""))
+        for child in e:
+            walk(child)
+            runs.append((e, child.tail or ""))
+        if not inline(e):
+            runs.append(None)
+
+    walk(root)
+    blocks, text, now = [], [], []
+    for run in [*runs, None]:
+        if run:
+            now.append(run)
+        else:
+            if any(t.strip() for _, t in now):
+                blocks.append([(e, t) for e, t in now if t.strip()])
+                text.append(" ".join("".join(t for _, t in now).split()))
+            now = []
+    leaf = [max(b, key=lambda r: len(r[1].strip()))[0] for b in blocks]
+    path = ["/".join(e.tag + "." + e.get("class", "") for e in line(e)) for e in leaf]
+    mean = lambda values, p: statistics.mean(v for v, q in zip(values, path, strict=True) if q == p)
+    length, marks = [len(t) for t in text], [sum(c in ".,;:!?" for c in t) for t in text]
+    fused = [mean(length, p) * math.log(2 + mean(marks, p)) for p in path]
+    smooth = []
+    for i in range(len(fused)):
+        near = [(math.exp(-0.5 * (i - j) ** 2), fused[j]) for j in range(max(i - 2, 0), min(i + 3, len(fused)))]
+        smooth.append(sum(w * f for w, f in near) / sum(w for w, _ in near))
+    spread, middle = statistics.pstdev(smooth), statistics.mean(fused)
+    block_of = [next(e for e in reversed(line(e)) if not inline(e)) for e in leaf]
+    extra = []
+    for k, b in enumerate(blocks):
+        link = all(any(a.tag == "a" for a in line(e)) for e, _ in b)
+        wrapped = all(inline(e) for e, _ in b)
+        shares = any(up.get(e) is block_of[k] for e in block_of) or any(
+            e is block_of[k] and not all(inline(x) for x, _ in other) for e, other in zip(block_of, blocks, strict=True)
+        )
+        extra.append(link or (wrapped and shares))
+    best = path[fused.index(max(fused))]
+    told = [
+        (mean(smooth, p) >= 0.5 * spread or p == best) and (f >= 0.5 * middle or not x)
+        for p, f, x in zip(path, fused, extra, strict=True)
+    ]
+    articles = {}
+    for e, t, x in zip(leaf, text, told, strict=True):
+        if x:
+            outer = next((a for a in line(e) if a.tag in ("article", "main")), None)
+            articles[outer] = articles.get(outer, 0) + len(t)
+    outside = articles.pop(None, 0)
+    if articles and sum(articles.values()) >= outside:
+        tops = list(articles)
+    else:
+        lines = [line(b) for b, x in zip(block_of, told, strict=True) if x]
+        tops = [next(e for e in reversed(lines[0]) if all(e in x for x in lines) and e.tag not in ("p", "h1", "h2"))]
+    kept, follows = [], False
+    for k in range(len(blocks) - 1, -1, -1):
+        inside = any(top in line(block_of[k]) for top in tops)
+        follows = told[k] or (block_of[k].tag in ("h1", "h2") and (follows or inside)) or (inside and not extra[k])
+        if follows:
+            kept.append(text[k])
+    return " ".join(reversed(kept))
+
+
+def random_page(seed):
+    rng = random.Random(seed)
+    said = lambda n: " ".join(rng.choice(["sea", "hill", "over,", "time", "end.", "goes", "far;"]) for _ in range(rng.randint(1, n)))
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "div", "div", "span", "bare", "links", "nav", "article"])
+        if kind == "p":
+            return f"<p>{said(40)} <b>{said(4)}</b> {said(20)}</p>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{said(6)}</li><li><a>{said(3)}</a></li>" for _ in range(2)) + "</ul>"
+        if kind in ("div", "article") and depth < 3:
+            return f"<{kind} class='c{rng.randint(0, 2)}'>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 5))) + f"</{kind}>"
+        if kind == "links":
+            return "<div>" + " ".join(f"<a>{said(2)}</a>" for _ in range(3)) + "</div>"
+        return {"h2": f"<h2>{said(3)}</h2>", "span": f"<span>{said(3)}</span>", "nav": f"<nav><a>{said(2)}</a></nav>"}.get(kind, said(8))
+
+    return "<html><body>" + "".join(part(0) for _ in range(rng.randint(2, 7))) + f"<p>{said(30)}</p><footer>{said(5)}</footer></body></html>"
+
+
+@pytest.mark.parametrize("seed", range(120))
+def test_matches_a_plain_walk(seed):
+    page = random_page(seed)
+    assert htmltext.main_text(page) == plain_walk(page)
+
+
+GOOD = "<p>A good paragraph, with commas, and a full sentence of some length in it.</p><p>The second one, also long enough, which ends the text of the article here.</p>"
+GOOD_TEXT = "A good paragraph, with commas, and a full sentence of some length in it. The second one, also long enough, which ends the text of the article here."
+
+
+@pytest.mark.parametrize("around", ["div", "article", "main"])
+def test_loose_calls_and_link_farms_go(around):
+    page = f"<body><{around}>{GOOD}<span>Buy now</span><div><a>link one</a> <a>link two</a> <a>link three</a></div></{around}></body>"
+    assert htmltext.main_text(page) == GOOD_TEXT
+
+
+def test_names_delete_no_article_text():
+    more = '<p id="search">In search of time, one goes far.</p><p class="sidebar">So it is.</p><div class="entry-header">The end.</div>'
+    assert htmltext.main_text(f"<body><article>{GOOD}{more}</article></body>") == GOOD_TEXT + " In search of time, one goes far. So it is. The end."
+    around = f'<body><div class="promo-layout sponsor"><article>{GOOD}</article></div><div class="ad">A long advert, which says much, and more than that, of a thing.</div></body>'
+    assert htmltext.main_text(around) == GOOD_TEXT
+    comments = f'<body><article>{GOOD}</article><ol class="comment-list"><li><article class="comment"><p>A reader says much, and at length, of all that.</p></article></li></ol></body>'
+    assert htmltext.main_text(comments) == GOOD_TEXT
+
+
+HOSTILE = {
+    "cut-off tag": "<p>Text, and more.</p><a " + '""' * 20_000,
+    "many cut-off tags": "<p>Text, and more.</p>" + "<a " * 100_000,
+    "quote that never ends": "<p>Text, and more.</p>" + "<a b='>x</a>" * 20_001,
+    "deep": "<div>" * 10_000 + "<p>Text, and more.</p>" * 10_000,
+    "inline and rules": "<p><b>Text, and more.</b>" + "<div>" + "<b>" * 20_000 + "<hr>" * 20_000,
+    "ends without begin": "<b>" * 20_000 + "Text, and more." + "</i>" * 20_000,
+    "marks": "<p>Text, and more.</p>" + "<" * 100_000,
+    "comments": "<p>Text, and more.</p>" + "<!--" * 50_000,
+    "closers": "<p>Text, and more.</p>" + "</" * 50_000,
+    "hints": "<p>Text, and more.</p>" + "<div class=menu>" * 10_000 + "<article>x" * 2_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    began = time.process_time()
+    text = htmltext.main_text(HOSTILE[kind])
+    assert "Text, and more." in text and time.process_time() - began < 1
