@@ -1,31 +1,29 @@
 """Removal of later copies of passages by longest previous factors.
 
 A byte goes if a ``width``-byte string that covers it also starts earlier (smaller id, or earlier in the same
-document). With all suffixes of all documents in lexicographic order, the previous and the next suffix of a smaller
-position hold the longest previous factor of each; only whether that factor reaches ``width`` matters here, so suffixes
-are compared on their first ``width`` bytes: equal ones form a run, and in a run every member but the smallest
-position has a previous smaller neighbour that agrees on all of them. The distributed form keeps those runs and sorts
-few of the suffixes:
+document). With all suffixes of all documents in lexicographic order, the longest previous
+factor of a suffix is what it shares with the suffix of the previous or the next smaller position around it; the byte
+string at a position goes if that factor has ``width`` bytes or more. The distributed form sorts few of the suffixes:
 
 1. Anchors. Every window of ``width`` bytes names the smallest-hashed ``seed`` bytes in it. The name depends on the
    window's bytes alone, so equal windows name equal seeds at equal offsets; neighbouring windows share theirs, and one
-   row stands for some 35 windows.
-2. Suffix order of anchors. Rows are sorted by (seed, context, position), where the context is all bytes that the
-   row's windows cover. A row whose previous neighbour has its context has a smaller position with the same bytes: all
-   its windows are later copies. The first rows of contexts whose seed has a second context may still share some of
-   their windows, and go on.
-3. Suffix order of windows, for those rows: their single windows, sorted by (seed, window, position); every row with
-   a previous neighbour of equal bytes is a later copy. The windows of a row stay together, so that they compress; only
-   seeds with many rows are dealt out by window as well.
+   row stands for some 35 windows. Its context is all bytes that these windows cover.
+2. Sparse order. Of the suffixes that begin at an anchor's first window, those with equal contexts are neighbours; all but
+   the one of the smallest position have a previous smaller neighbour that agrees on the whole context, so all their
+   windows are later copies. Contexts are told apart by 128 bits from two independent hashes (seed and context). The first
+   rows of contexts whose seed has a second context may still share some of their windows, and go on with their bytes.
+3. Suffix order. Rows go on by seed, and a task sorts the suffixes of whole seeds by their bytes, takes the shared lengths
+   of neighbours, finds previous and next smaller positions and from both the longest previous factors. Seeds of more than
+   ``most_rows`` rows are not gathered: their windows are grouped by their bytes over all tasks, and those after the
+   smallest position are later copies.
 4. Each document's copied windows become byte spans, and the bytes left are joined.
 
-Bytes are compared by hashes of 128 bits (seed, and context or window). Both sorts are pre-aggregated:
-among the rows of a batch only the smallest position of a context or window is sent on, the others are settled there,
-so a long passage that a third of all documents share sends few rows. A phrase of ``seed`` bytes or more among different
-words has a context of its own in each document: all its rows meet in one task, whose window spills. No group is gathered
-in Python.
+Seeds that a sample of the documents shows in more than one of ``hot_share`` documents are dealt out by context in step 2;
+this changes the placement only. Among the rows of a batch only the smallest position of a context is sent on, the
+others are settled there, so a long passage that a third of all documents share sends few rows.
 
-Defined results: null text is empty and null ids come first; texts below ``width`` bytes lose nothing; rows repeated
+Defined results: null text is empty; null ids come first, as the smallest id there is (-2**63, which no row may have
+beside them); texts below ``width`` bytes lose nothing; rows repeated
 with their id and text count as one document and get equal results; rows that share an id but not the text are
 ordered by a hash of the text; an empty table gives no rows; other columns do not matter.
 """
@@ -53,28 +51,17 @@ def anchors(text: bytes, width: int, seed: int) -> tuple[np.ndarray, ...]:
     found = []
     for base in range(0, max(len(text) - width + 1, 0), CHUNK):
         data = np.frombuffer(text, np.uint8)[base : base + CHUNK + width - 1]
-        prefixes = Prefixes(data)
-        seeds = prefixes.windows(seed)
+        seeds = Prefixes(data).windows(seed)
         least = sliding_min((seeds & ~LOW) | np.arange(len(seeds), dtype=np.uint64), width - seed + 1)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         n = np.diff(np.append(first, len(least)))
         at = (least[first] & LOW).astype(np.int64)
         shape = (at - first).astype(np.uint64) << U(32) | n.astype(np.uint64)
-        context = mix(prefixes.of(first, first + n - 1 + width) ^ mix(shape))
+        context = mix(Prefixes(data, 1).of(first, first + n - 1 + width) ^ mix(shape))
         found.append((seeds[at], context, first + base, n))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else ()
 
 
-def window_hashes(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
-    data, found = np.frombuffer(text, np.uint8), np.zeros(len(starts), np.uint64)
-    for base in range(0, len(data), CHUNK):
-        here = (starts >= base) & (starts < base + CHUNK)
-        if here.any():
-            at = starts[here] - base
-            found[here] = Prefixes(data[base : base + CHUNK + width - 1]).of(at, at + width)
-    return found
-
-
 def settle(keys: list[np.ndarray], position: list[np.ndarray]) -> np.ndarray:
     """Rows that have a row of equal keys and smaller position among them."""
     order = np.lexsort([*position[::-1], *keys[::-1]])
@@ -98,50 +85,154 @@ def column(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
 
-def anchor_rows(texts: DataFrame, width: int, seed: int) -> DataFrame:
+def hot_seeds(texts: DataFrame, width: int, seed: int, one_in: int, hot_share: int, most: int = 50_000) -> np.ndarray:
+    """Hashes of the seeds that at least one of ``hot_share`` sampled documents has, the ``most`` commonest of them. A
+    document has a bounded number of anchors on average, so the list doesn't grow with the corpus."""
+    sample = texts.where(F.pmod(F.xxhash64("id", "version"), F.lit(one_in)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(x[0]) for t in batch.column("text").to_pylist() if (x := anchors(t.encode(), width, seed))]
+            yield pa.RecordBatch.from_arrays([column(np.concatenate([np.zeros(1, np.uint64), *found]))], ["seed"])
+
+    counted = sample.mapInArrow(run, "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    least = max(sample.count() // hot_share, 32)
+    rows = counted.where((F.col("n") >= least) & (F.col("seed") != 0)).orderBy(F.desc("n")).limit(most).collect()
+    return np.sort(np.array([r["seed"] for r in rows], np.int64).view(np.uint64))
+
+
+def anchor_rows(texts: DataFrame, width: int, seed: int, hot: np.ndarray, parts: int = 1024) -> DataFrame:
+    """The anchors of all texts. ``seed`` is what gathers them: of hot seeds also a part of the contexts, of rows that are
+    settled in their batch anything."""
+    known = texts.sparkSession.sparkContext.broadcast(hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [anchors((x or "").encode(), width, seed) for x in batch.column("text").to_pylist()]
-            sizes = [len(p[0]) if p else 0 for p in parts]
+            found = [anchors((x or "").encode(), width, seed) for x in batch.column("text").to_pylist()]
+            sizes = [len(p[0]) if p else 0 for p in found]
             if not sum(sizes):
                 continue
-            hashes, context, start, n = (np.concatenate([p[k] for p in parts if p]) for k in range(4))
-            at = np.repeat(np.arange(len(parts)), sizes)
+            hashes, context, start, n = (np.concatenate([p[k] for p in found if p]) for k in range(4))
+            at = np.repeat(np.arange(len(found)), sizes)
             ids, versions = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", "version"))
             copied = settle([hashes, context], [ids, versions, start])
+            dealt = np.isin(hashes, known.value)
+            hashes = np.where(dealt, mix(hashes + context % U(parts)), hashes)
             hashes = np.where(copied, mix(context ^ ids.astype(np.uint64) ^ start.astype(np.uint64)), hashes)
             yield pa.RecordBatch.from_arrays(
-                [column(hashes), column(context), column(ids), column(versions), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(copied)],
-                ["seed", "context", "id", "version", "start", "n", "copied"],
+                [column(hashes), column(context), column(ids), column(versions), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(copied), pa.array(dealt)],
+                ["seed", "context", "id", "version", "start", "n", "copied", "hot"],
             )
 
-    return texts.mapInArrow(run, "seed long, context long, id long, version int, start int, n short, copied boolean")
+    return texts.mapInArrow(run, "seed long, context long, id long, version int, start int, n short, copied boolean, hot boolean")
+
 
+def open_bytes(texts: DataFrame, width: int) -> DataFrame:
+    """(seed, id, version, start, bytes) of the rows of each text: the bytes of a row's windows, or, without a seed, of one window of it."""
 
-def window_rows(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            found = []
             columns = (batch.column(c).to_pylist() for c in ("id", "version", "packed", "rows"))
             for key, version, packed, rows in zip(*columns, strict=True):
-                start, n, seed, spread = (np.array([r[c] for r in rows], np.int64) for c in ("start", "n", "seed", "spread"))
-                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hashed = window_hashes(unpack(packed), at, width)
-                size = len(at)
-                found.append((np.repeat(seed.view(np.uint64), n), np.repeat(spread, n).astype(np.uint64), hashed, np.full(size, key), np.full(size, version, np.int32), at))
-            if not found:
-                continue
-            seed, spread, hashed, ids, versions, start = (np.concatenate(x) for x in zip(*found, strict=True))
-            copied = settle([seed, hashed], [ids, versions, start])
-            seed = np.where(copied, mix(seed ^ ids.astype(np.uint64)), seed)
-            part = np.where(copied, seed, mix(seed + hashed % spread))
-            yield pa.RecordBatch.from_arrays(
-                [column(part), column(seed), column(hashed), column(ids), pa.array(versions), pa.array(start.astype(np.int32)), pa.array(copied)],
-                ["part", "seed", "hash", "id", "version", "start", "copied"],
-            )
+                data, seeds, starts, parts = unpack(packed), [], [], []
+                for r in rows:
+                    first, n = r["start"], r["n"]
+                    if r["seed"] is None:
+                        starts += range(first, first + n)
+                        parts += [data[k : k + width] for k in range(first, first + n)]
+                        seeds += [None] * n
+                    else:
+                        starts.append(first)
+                        parts.append(data[first : first + n - 1 + width])
+                        seeds.append(r["seed"])
+                same = len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seeds, pa.int64()), pa.array([key] * same, pa.int64()), pa.array([version] * same, pa.int32()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())],
+                    ["seed", "id", "version", "start", "bytes"],
+                )
+
+    return texts.mapInArrow(run, "seed long, id long, version int, start int, bytes binary")
+
+
+def smaller_before(rank: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of an order the nearest earlier place of smaller rank, or -1, and the least of ``shared`` (with the place
+    before) on the way there."""
+    at, least = np.arange(len(rank)) - 1, shared.copy()
+    todo = np.flatnonzero((at >= 0) & (rank[at] >= rank))
+    while len(todo):
+        to = at[todo]
+        least[todo], at[todo] = np.minimum(least[todo], least[to]), at[to]
+        todo = todo[(at[todo] >= 0) & (rank[at[todo]] >= rank[todo])]
+    return at, np.where(at >= 0, least, 0)
+
+
+def previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, up to the width of ``windows`` (its first bytes, a row each): what it shares
+    with the previous or the next smaller position in suffix order. ``position`` ascends; equal ones are the same place."""
+    width = windows.shape[1]
+    order = np.argsort(windows.view(f"S{width}").ravel(), kind="stable")
+    placed, rank = windows[order], position[order]
+    differs = placed[1:] != placed[:-1]
+    shared = np.zeros(len(order) + 1, np.int64)
+    shared[1:-1] = np.where(differs.any(1), differs.argmax(1), width)
+    _, before = smaller_before(rank, shared[:-1])
+    _, after = smaller_before(rank[::-1], shared[1:][::-1])
+    factors = np.empty(len(order), np.int64)
+    factors[order] = np.maximum(before, after[::-1])
+    return factors
+
+
+def later_runs(rows: list[np.ndarray], texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, how many) of the runs of windows with a previous factor of ``width`` bytes. ``rows`` are ids,
+    versions and starts of ``texts``, all rows of some seeds."""
+    ids, versions, starts = rows
+    order = np.lexsort([starts, versions, ids])
+    n = np.array([len(texts[k]) for k in order]) - width + 1
+    data = np.frombuffer(b"".join([texts[k] for k in order]), np.uint8)
+    row = np.repeat(np.arange(len(order)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(n + width - 1) - (n + width - 1), n) + within
+    first = starts[order][row] + within
+    # windows of one document may be in rows that overlap, so positions are sorted as such
+    by_position = np.lexsort([first, versions[order][row], ids[order][row]])
+    keys = [x[by_position] for x in (ids[order][row], versions[order][row], first)]
+    moved = np.zeros(len(row), bool)
+    for key in keys:
+        moved[1:] |= key[1:] != key[:-1]
+    windows = np.lib.stride_tricks.sliding_window_view(data, width)[at[by_position]]
+    copied = np.zeros(len(row), bool)
+    copied[by_position] = previous_factors(windows, np.cumsum(moved)) >= width
+    edge = np.flatnonzero(np.concatenate([[True], (copied[1:] != copied[:-1]) | (row[1:] != row[:-1])]))
+    size = np.diff(np.append(edge, len(copied)))
+    edge, size = edge[copied[edge]], size[copied[edge]]
+    return order[row[edge]], first[edge], size
+
+
+def suffix_runs(rows: DataFrame, width: int, at_once: int = 1 << 20) -> DataFrame:
+    """(id, version, start, n) of the later copies among ``rows`` (seed, id, version, start, bytes), which come sorted by
+    seed: whole seeds of together about ``at_once`` bytes are sorted at once."""
+
+    def settled(held: list[tuple]) -> pa.RecordBatch:
+        _, ids, versions, starts, texts = zip(*held, strict=True)
+        keys = [np.array(x, np.int64) for x in (ids, versions, starts)]
+        row, first, n = later_runs(keys, list(texts), width)
+        columns = [pa.array(keys[0][row]), pa.array(keys[1][row].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "version", "start", "n"])
 
-    return texts.mapInArrow(run, "part long, seed long, hash long, id long, version int, start int, copied boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("seed", "id", "version", "start", "bytes")), strict=True):
+                if size >= at_once and row[0] != held[-1][0]:
+                    yield settled(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield settled(held)
+
+    return rows.mapInArrow(run, "id long, version int, start int, n int")
 
 
 def follows(keys: tuple[str, ...], order) -> Column:
@@ -152,39 +243,36 @@ def follows(keys: tuple[str, ...], order) -> Column:
     return F.coalesce(same, F.lit(False))
 
 
-def copied_windows(texts: DataFrame, placed: DataFrame, width: int, seed: int, rows_in_part: int = 64) -> DataFrame:
+def copied_windows(
+    texts: DataFrame, placed: DataFrame, width: int, seed: int, most_rows: int = 4096, one_in: int = 64, hot_share: int = 1000
+) -> DataFrame:
     """(id, version, start, n): runs of windows that start earlier too. ``placed`` has the packed texts by (id, version)."""
     in_seed = Window.partitionBy("seed").orderBy("context", "id", "version", "start")
     whole = in_seed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     position = ("id", "version", "start")
     ordered = (
-        anchor_rows(texts, width, seed)
+        anchor_rows(texts, width, seed, hot_seeds(texts, width, seed, one_in, hot_share))
         .withColumn("_same", follows(("context",), in_seed))
         .withColumn("_again", follows(("context", *position), in_seed))
-        .withColumn("_other", F.min("context").over(whole) != F.max("context").over(whole))
-        .withColumn("_size", F.count(F.lit(1)).over(whole))
+        .withColumn("_other", F.col("hot") | (F.min("context").over(whole) != F.max("context").over(whole)))
+        .withColumn("_many", F.col("hot") | (F.count(F.lit(1)).over(whole) > most_rows))
     )
     # a repeat of the very same position belongs to a repeated row; it is a copy only if the row it repeats is one,
     # and as such rows get equal results it says nothing of its own
     settled = ordered.where("NOT _again").withColumn("whole", F.col("copied") | F.col("_same")).where("whole OR _other")
-    on_open = lambda c: F.when(~F.col("whole"), c)
-    settled = settled.select(
-        *position, F.col("n").cast("int").alias("n"), "whole",
-        on_open(F.col("seed")).alias("seed"), on_open(F.ceil(F.col("_size") / rows_in_part).cast("int")).alias("spread"),
-    )
+    gathered = F.when(~F.col("whole") & ~F.col("_many"), F.col("seed"))
+    settled = settled.select(*position, F.col("n").cast("int").alias("n"), "whole", gathered.alias("seed"))
     settled = materialise(settled, "anchors")
-    row = F.struct("start", "n", "seed", "spread")
+    row = F.struct("start", "n", "seed")
     open_rows = settled.where("NOT whole").groupBy("id", "version").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    windows = window_rows(placed.join(open_rows.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "packed", "rows"), width)
-    in_window = Window.partitionBy("part", "seed", "hash").orderBy(*position)
-    single = (
-        windows.repartition("part")
-        .withColumn("_same", follows(("hash",), in_window))
-        .withColumn("_again", follows(position, in_window))
-        .where("copied OR (_same AND NOT _again)")
-        .select(*position, F.lit(1).alias("n"))
-    )
-    return settled.where("whole").select(*position, "n").unionByName(single)
+    joined = placed.join(open_rows.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "packed", "rows")
+    left = materialise(open_bytes(joined, width), "suffixes")
+    by_suffix = suffix_runs(small_batches(left.where("seed IS NOT NULL").repartition("seed").sortWithinPartitions("seed")), width)
+    single = left.where("seed IS NULL").select(*position, "bytes")
+    first = single.groupBy("bytes").agg(F.min(F.struct(*position)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = single.join(first.drop("n"), "bytes").where(F.struct(*position) > F.col("first"))
+    found = settled.where("whole").select(*position, "n").unionByName(by_suffix)
+    return found.unionByName(later.select(*position, F.lit(1).alias("n")))
 
 
 def spans_of(runs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
@@ -223,9 +311,10 @@ def remove_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
     results: tuple[str, ...] = RESULTS,
+    **placement: int,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs``, n_bytes, n_removed, n_spans and kept: the bytes left, joined. ``results`` gives
-    these four other names."""
+    these four other names; ``placement`` goes to ``copied_windows`` and changes no result."""
     names = [f"_c{k}" for k in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = small_batches(
@@ -237,7 +326,7 @@ def remove_copies(
         )
     )
     placed = packed_rows(rows, ["id", "version", *names]).repartition("id", "version")
-    copied = copied_windows(rows.select("id", "version", "text"), placed, width, seed)
+    copied = copied_windows(rows.select("id", "version", "text"), placed, width, seed, **placement)
     run_of = F.struct("start", "n")
     copied = copied.groupBy("id", "version").agg(F.collect_list(run_of).alias("runs"))
     joined = placed.join(copied.hint("shuffle_hash"), ["id", "version"], "left").select(*names, "packed", "runs")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quantloom.llm import suffix_dedup
@@ -24,8 +25,8 @@ def brute(rows, width):
     return out
 
 
-def found(docs, width, seed):
-    df = suffix_dedup.remove_copies(docs, ["doc_id"], width=width, seed=seed)
+def found(docs, width, seed, **placement):
+    df = suffix_dedup.remove_copies(docs, ["doc_id"], width=width, seed=seed, **placement)
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in df.collect()}
 
 
@@ -81,3 +82,29 @@ def test_deduplicated_keeps_columns_and_null_texts(documents):
     assert left.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in left.collect()}[1] is None
     assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("placement", [{"most_rows": 1}, {"most_rows": 3}, {"one_in": 1, "hot_share": 10}])
+def test_placement_of_hot_seeds_changes_nothing(documents, words, placement):
+    phrase = " ".join(words(30, 77))
+    rows = [(k, f"{' '.join(words(k % 7, k))} {phrase[k % 5 :]} {' '.join(words(k % 4, 500 + k))}") for k in range(120)]
+    assert found(documents(rows), 60, 20, **placement) == brute(rows, 60)
+
+
+def test_hot_seeds_are_found(documents, words):
+    phrase = " ".join(words(30, 77))
+    rows = [(k, f"{' '.join(words(9, k))} {phrase} {' '.join(words(9, 500 + k))}") for k in range(80)]
+    texts = documents(rows, clashing=False).selectExpr("doc_id AS id", "1 AS version", "text")
+    assert len(suffix_dedup.hot_seeds(texts, 60, 20, 1, 10)) and not len(suffix_dedup.hot_seeds(texts.limit(20), 60, 20, 1, 10))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_previous_factors_by_definition(seed):
+    rng = random.Random(seed)
+    text = bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(8, 90)))
+    width = rng.randint(2, 7)
+    at = sorted(rng.choices(range(len(text) - width + 1), k=rng.randint(1, 60)))
+    windows = np.stack([np.frombuffer(text[k : k + width], np.uint8) for k in at])
+    shares = lambda i, j: next((x for x in range(width) if text[i + x] != text[j + x]), width)
+    want = [max((shares(i, j) for j in at if j < i), default=0) for i in at]
+    assert suffix_dedup.previous_factors(windows, np.array(at)).tolist() == want
