@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import Memo, small_batches
+from quantloom.llm.common import Memo, small_batches, tidy
 
 #: Fixed value: the pattern that splits text before the merges of rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -176,12 +176,13 @@ class Utf8Stream:
         return left.decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
+    """Kept between tasks: its states are dear and bounded."""
     return Encoder(path)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def token_bytes(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(path).items()}
 
@@ -212,7 +213,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {id_type}, n_tokens long, ids binary" + ", decoded string" * decoded
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -227,4 +228,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids",
             texts = pa.array([decode_ids(x or b"", table) for x in batch.column(out_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], [*names, out_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.functions.ship import ship_package
@@ -86,6 +89,20 @@ class Memo(dict):
         return found
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` of mapInArrow, after which the worker gives free memory back: Spark goes on using its process in stages
+    that need it for something else."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def small_batches(df: DataFrame, rows: int = 400, size: str = "4m") -> DataFrame:
     """Bounds the rows and bytes that an Arrow batch of the session holds, so that a batch of long texts fits in a
     worker, and makes sure that workers have the package."""

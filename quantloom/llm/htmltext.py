@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import small_batches
+from quantloom.llm.common import small_batches, tidy
 
 #: HTML's elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -315,5 +315,5 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
             texts = pa.array([main_text(x) for x in batch.column("_h").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), texts], [*names, "_t"])
 
-    found = rows.mapInArrow(run, f"{schema}, _t string")
+    found = rows.mapInArrow(tidy(run), f"{schema}, _t string")
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("_t").alias("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import small_batches
+from quantloom.llm.common import small_batches, tidy
 from quantloom.llm.sampling import id_remainder, per_class, texts_of
 
 ORDER = 3
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: ContextTrees | None, keep: list[str], text_
             columns = [*(batch.column(n) for n in names), pa.array(language, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rate, pa.float64())], [*names, "_l", "_s", "_b"])
 
-    found = rows.mapInArrow(run, f"{schema}, _l string, _s double, _b double")
+    found = rows.mapInArrow(tidy(run), f"{schema}, _l string, _s double, _b double")
     renamed = (F.col(n).alias(c) for c, n in zip(keep, names, strict=True))
     return found.select(*renamed, F.col("_l").alias("lang_pred"), F.col("_s").alias("score"), F.col("_b").alias("bits_per_byte"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialise, small_batches, unused
+from quantloom.llm.common import materialise, small_batches, tidy, unused
 from quantloom.llm.graph import components
 from quantloom.llm.hashing import U, mix, shingles
 
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, darts: int) -
                 ["id", "version", "one", "two", "weight", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, version long, one long, two long, weight long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "id long, version long, one long, two long, weight long, bands array<long>")
 
 
 def multisets(texts: DataFrame, words: int) -> DataFrame:
@@ -128,7 +128,7 @@ def multisets(texts: DataFrame, words: int) -> DataFrame:
             columns = [batch.column("node"), pa.array(packed, pa.binary()), *map(pa.array, odd)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "runs", *PARITY_COLUMNS])
 
-    return texts.mapInArrow(run, "node long, runs binary, " + ", ".join(f"{c} long" for c in PARITY_COLUMNS))
+    return texts.mapInArrow(tidy(run), "node long, runs binary, " + ", ".join(f"{c} long" for c in PARITY_COLUMNS))
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -156,7 +156,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             if kept.num_rows:
                 yield kept
 
-    return joined.mapInArrow(run, "ra long, rb long")
+    return joined.mapInArrow(tidy(run), "ra long, rb long")
 
 
 def own_runs(sets: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def own_runs(sets: DataFrame) -> DataFrame:
             nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(nodes)], ["run", "node"])
 
-    once = sets.mapInArrow(run, "run long, node long").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    once = sets.mapInArrow(tidy(run), "run long, node long").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
     return once.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 

@@ -22,7 +22,6 @@ else the table has; ``pack`` keeps all columns of the pieces.
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 from collections import deque
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import Memo, materialise, small_batches, unused
+from quantloom.llm.common import Memo, materialise, small_batches, tidy, unused
 
 #: The word pattern of the vocabulary, and characters that its normaliser only lowers in case.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,11 +78,6 @@ class WordTokenizer:
         return b"".join(map(self.memo.__getitem__, self.find(text.lower())))
 
 
-@functools.lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def tokenise(
     docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -93,7 +87,7 @@ def tokenise(
     closing, step = np.array([end_id], "<u4").tobytes(), 4 * max_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer_path)
+        encode = WordTokenizer(tokenizer_path)
         for batch in batches:
             at, piece, parts = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
@@ -114,7 +108,7 @@ def tokenise(
             )
 
     schema = f"id {id_type}, piece int, start long, length long, ids binary"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 class Bins:
@@ -281,4 +275,4 @@ def pack(pieces: DataFrame, max_len: int = 2048, groups: int = 1024, buckets: in
                 [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]
             )
 
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id long, offset long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import small_batches
+from quantloom.llm.common import small_batches, tidy
 from quantloom.llm.sampling import id_remainder, per_class, texts_of
 
 
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str], text_col: str =
             scores = pa.array(model.value.score(batch.column("_t").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], [*names, "_s"])
 
-    scored = rows.mapInArrow(run, f"{schema}, _s double")
+    scored = rows.mapInArrow(tidy(run), f"{schema}, _s double")
     return scored.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), F.col("_s").alias(out_col))
 
 

@@ -33,16 +33,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialise, small_batches, unused
+from quantloom.llm.common import materialise, small_batches, tidy, unused
 from quantloom.llm.hashing import Prefixes, U, mix, sliding_min
 
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 LOW = U(CHUNK * 2 - 1)
 
 
@@ -95,7 +94,7 @@ def hot_seeds(texts: DataFrame, width: int, seed: int, one_in: int, hot_share: i
             found = [np.unique(x[0]) for t in batch.column("text").to_pylist() if (x := anchors(t.encode(), width, seed))]
             yield pa.RecordBatch.from_arrays([column(np.concatenate([np.zeros(1, np.uint64), *found]))], ["seed"])
 
-    counted = sample.mapInArrow(run, "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    counted = sample.mapInArrow(tidy(run), "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     least = max(sample.count() // hot_share, 32)
     rows = counted.where((F.col("n") >= least) & (F.col("seed") != 0)).orderBy(F.desc("n")).limit(most).collect()
     return np.sort(np.array([r["seed"] for r in rows], np.int64).view(np.uint64))
@@ -124,7 +123,7 @@ def anchor_rows(texts: DataFrame, width: int, seed: int, hot: np.ndarray, parts:
                 ["seed", "context", "id", "version", "start", "n", "copied", "hot"],
             )
 
-    return texts.mapInArrow(run, "seed long, context long, id long, version int, start int, n short, copied boolean, hot boolean")
+    return texts.mapInArrow(tidy(run), "seed long, context long, id long, version int, start int, n short, copied boolean, hot boolean")
 
 
 def open_bytes(texts: DataFrame, width: int) -> DataFrame:
@@ -152,7 +151,7 @@ def open_bytes(texts: DataFrame, width: int) -> DataFrame:
                     ["seed", "id", "version", "start", "bytes"],
                 )
 
-    return texts.mapInArrow(run, "seed long, id long, version int, start int, bytes binary")
+    return texts.mapInArrow(tidy(run), "seed long, id long, version int, start int, bytes binary")
 
 
 def smaller_before(rank: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +208,7 @@ def later_runs(rows: list[np.ndarray], texts: list[bytes], width: int) -> tuple[
     return order[row[edge]], first[edge], size
 
 
-def suffix_runs(rows: DataFrame, width: int, at_once: int = 1 << 20) -> DataFrame:
+def suffix_runs(rows: DataFrame, width: int, at_once: int = 1 << 19) -> DataFrame:
     """(id, version, start, n) of the later copies among ``rows`` (seed, id, version, start, bytes), which come sorted by
     seed: whole seeds of together about ``at_once`` bytes are sorted at once."""
 
@@ -232,7 +231,7 @@ def suffix_runs(rows: DataFrame, width: int, at_once: int = 1 << 20) -> DataFram
         if held:
             yield settled(held)
 
-    return rows.mapInArrow(run, "id long, version int, start int, n int")
+    return rows.mapInArrow(tidy(run), "id long, version int, start int, n int")
 
 
 def follows(keys: tuple[str, ...], order) -> Column:
@@ -297,7 +296,7 @@ def packed_rows(rows: DataFrame, names: list[str]) -> DataFrame:
             packed = pa.array([pack(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), packed], [*names, "packed"])
 
-    return rows.mapInArrow(run, f"{schema}, packed binary")
+    return rows.mapInArrow(tidy(run), f"{schema}, packed binary")
 
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -311,10 +310,11 @@ def remove_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
     results: tuple[str, ...] = RESULTS,
+    as_text: bool = False,
     **placement: int,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs``, n_bytes, n_removed, n_spans and kept: the bytes left, joined. ``results`` gives
-    these four other names; ``placement`` goes to ``copied_windows`` and changes no result."""
+    these four other names; ``as_text`` reads what is left as UTF-8, where a character that a cut divides goes whole; ``placement`` goes to ``copied_windows`` and changes no result."""
     names = [f"_c{k}" for k in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = small_batches(
@@ -343,16 +343,17 @@ def remove_copies(
                 for begin, end in spans:
                     parts.append(data[at:begin])
                     at = end
-                left.append(b"".join([*parts, data[at:]]))
+                rest = b"".join([*parts, data[at:]])
+                left.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 sizes.append(len(data))
-                removed.append(len(data) - len(left[-1]))
+                removed.append(len(data) - len(rest))
                 number.append(len(spans))
             counts = [pa.array(x, pa.int64()) for x in (sizes, removed, number)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), *counts, pa.array(left, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"]
+                [*(batch.column(n) for n in names), *counts, pa.array(left, pa.string() if as_text else pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    found = joined.mapInArrow(run, (f"{schema}, " if names else "") + "n_bytes long, n_removed long, n_spans long, kept binary")
+    found = joined.mapInArrow(tidy(run), (f"{schema}, " if names else "") + "n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
     renamed = (F.col(n).alias(c) for n, c in zip((*names, *RESULTS), (*keep, *results), strict=True))
     return found.select(*renamed)
 
@@ -363,11 +364,6 @@ def deduplicated(docs: DataFrame, width: int = 100, seed: int = 32, id_col: str
     was_null, *results = unused(docs, "_was_null", *RESULTS)
     others = [c for c in docs.columns if c != text_col]
     marked = docs.withColumn(was_null, F.col(text_col).isNull())
-    found = remove_copies(marked, [*others, was_null], width, seed, id_col, text_col, tuple(results))
-
-    @F.pandas_udf("string")
-    def readable(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    found = found.withColumn(text_col, F.when(~F.col(was_null), readable(results[3])))
+    found = remove_copies(marked, [*others, was_null], width, seed, id_col, text_col, tuple(results), as_text=True)
+    found = found.withColumn(text_col, F.when(~F.col(was_null), F.col(results[3])))
     return found.where((F.col(results[1]) == 0) | (F.length(text_col) > 0)).select(docs.columns)
