@@ -10,25 +10,27 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import ratio
 
-#: Names under which statements carry a concept; the first that fits wins.
+#: Fixed values, in their order: names under which statements carry a concept.
 CONCEPTS: dict[str, tuple[str, ...]] = {
-    "revenue": ("revenue", "total revenue", "revenue from operations", "net sales", "sales"),
+    "revenue": ("revenue", "total revenue", "revenue from operations", "net sales", "sales", "operating revenue"),
     "gross_profit": ("gross profit",),
-    "ebitda": ("ebitda", "operating profit before depreciation"),
-    "ebit": ("ebit", "operating profit", "operating income"),
-    "net_income": ("net income", "net profit", "profit after tax", "pat"),
-    "interest_expense": ("interest expense", "finance cost", "finance costs", "interest"),
-    "total_assets": ("total assets", "assets"),
-    "total_equity": ("total equity", "shareholders equity", "net worth", "equity"),
-    "total_debt": ("total debt", "borrowings", "debt"),
-    "cash": ("cash and cash equivalents", "cash"),
-    "current_assets": ("total current assets", "current assets"),
-    "inventory": ("inventories", "inventory"),
-    "current_liabilities": ("total current liabilities", "current liabilities"),
-    "operating_cash_flow": ("cash flow from operations", "operating cash flow", "net cash from operating activities"),
-    "capital_expenditure": ("capital expenditure", "capex", "purchase of fixed assets"),
+    "ebitda": ("ebitda", "earnings before interest tax depreciation and amortization"),
+    "ebit": ("ebit", "operating profit", "operating income", "profit from operations"),
+    "ebt": ("profit before tax", "pbt", "ebt", "profit before income tax"),
+    "net_income": ("profit after tax", "pat", "net profit", "net income", "profit attributable to owners", "profit attributable to shareholders"),
+    "eps": ("eps", "earning per share", "earnings per share", "diluted eps", "basic eps"),
+    "total_assets": ("total assets",),
+    "current_assets": ("current assets",),
+    "current_liabilities": ("current liabilities",),
+    "inventory": ("inventory", "inventories"),
+    "cash": ("cash and cash equivalents", "cash equivalents", "cash & cash equivalents", "cash"),
+    "total_equity": ("total equity", "shareholders equity", "shareholder equity", "total shareholders equity", "equity attributable to owners"),
+    "total_debt": ("total debt", "total borrowings", "borrowings", "interest bearing debt", "debt"),
+    "interest_expense": ("interest expense", "finance costs", "finance cost", "interest and finance charges"),
+    "operating_cash_flow": ("operating cash flow", "cash flow from operations", "net cash from operating activities", "cash generated from operations"),
+    "capital_expenditure": ("capital expenditure", "capex", "purchase of property plant and equipment", "purchase of fixed assets", "purchase of property plant equipment"),
     "free_cash_flow": ("free cash flow",),
-    "eps": ("earnings per share", "diluted eps", "basic eps", "eps"),
+    "tax_expense": ("tax expense", "income tax expense", "taxation"),
 }
 GROWTH = ("revenue", "gross_profit", "ebitda", "ebit", "net_income", "operating_cash_flow", "eps")
 FLOWS = ("revenue", "ebitda", "ebit", "net_income", "operating_cash_flow", "capital_expenditure")
@@ -39,17 +41,76 @@ def normal_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
 
 
-def resolved_metrics(long: DataFrame, also: tuple[str, ...] = PERIOD) -> DataFrame:
-    """(…, concept, value) from long statements (…, name, value): an exact alias first (by its place), else the
-    shortest name that ends with an alias, then the first in order. The alias list is fixed and small."""
-    spark = long.sparkSession
-    rows = [(concept, alias, k) for concept, names in CONCEPTS.items() for k, alias in enumerate(names)]
-    known = F.broadcast(spark.createDataFrame(rows, "concept string, alias string, place int"))
-    keyed = long.withColumn("key", normal_key(F.col("name"))).where("value IS NOT NULL")
-    exact = F.col("key") == F.col("alias")
-    hits = keyed.join(known, exact | F.col("key").endswith(F.concat(F.lit(" "), F.col("alias"))))
-    rank = F.struct((~exact).alias("loose"), F.when(exact, F.col("place")).otherwise(F.length("key")), "key", "value")
-    return hits.groupBy(*also, "concept").agg(F.min_by("value", rank).alias("value"))
+def resolved_metrics(long: DataFrame, also: tuple[str, ...] = PERIOD, order_col: str | None = None) -> DataFrame:
+    """(…, concept, value, name) from long statements (…, name, value): the first alias if a name is exactly that, else the
+    first name (by ``order_col``) that is one of the aliases; else, alias by alias, the shortest name that ends with it as
+    words, then the first in alphabetical order. A name's value is the last one given.
+
+    Every name meets the fixed alias table by its word endings, in an equi-join."""
+    rows = [(concept, " ".join("".join(x if x.isalnum() else " " for x in alias).split()), k) for concept, names in CONCEPTS.items() for k, alias in enumerate(names)]
+    known = F.broadcast(long.sparkSession.createDataFrame(rows, "concept string, alias string, place int"))
+    order = F.col(order_col) if order_col else F.lit(0)
+    keyed = long.withColumn("key", normal_key(F.col("name"))).where("value IS NOT NULL AND key <> ''")
+    keyed = keyed.groupBy(*also, "key").agg(F.max_by("value", F.struct(order, "value")).alias("value"), F.min(order).alias("_order"))
+    words = F.split("key", " ")
+    endings = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, k, F.size(words)), " "))
+    hits = keyed.select("*", F.posexplode(endings).alias("cut", "alias")).join(known, "alias")
+    exact = F.col("cut") == 0
+    rank = F.struct(
+        (~exact).alias("loose"),
+        F.when(exact, (F.col("place") > 0).cast("int")).otherwise(F.col("place")).alias("place"),
+        F.when(exact, F.col("_order").cast("long")).otherwise(F.length("key")).alias("then"),
+        "key",
+    )
+    return hits.groupBy(*also, "concept").agg(F.min_by(F.struct("value", "key"), rank).alias("m")).select(*also, "concept", "m.value", F.col("m.key").alias("name"))
+
+
+def flat_metrics(payloads: DataFrame, text: str, *keep: str, depth: int = 6) -> DataFrame:
+    """(…, name, value, place) of the numeric leaves of nested JSON: keys on the way are joined, ``value`` stands for what is
+    around it, lists add nothing to the name, numbers may be text. Each of the ``depth`` steps opens one level of all rows;
+    ``place`` orders the leaves as they came. Of leaves of one name the last counts."""
+    rows = payloads.select(*keep, F.lit("").alias("name"), F.trim(F.col(text)).alias("node"), F.array().cast("array<int>").alias("place"))
+    entry = "array<struct<name:string,node:string>>"
+    for _ in range(depth):
+        named = F.transform(F.map_entries(F.from_json("node", "map<string,string>")), lambda e: F.struct(normal_key(e["key"]).alias("key"), F.trim(e["value"]).alias("node")))
+        named = F.filter(named, lambda e: (e["key"] != "value") | ~F.coalesce(e["node"].rlike(r"^[\[{]"), F.lit(False)))
+        members = F.transform(named, lambda e: F.struct(F.when(e["key"] == "value", F.col("name")).otherwise(F.trim(F.concat_ws(" ", "name", e["key"]))).alias("name"), e["node"].alias("node")))
+        listed = F.transform(F.from_json("node", "array<string>"), lambda x: F.struct(F.col("name").alias("name"), F.trim(x).alias("node")))
+        leaf = F.array(F.struct(F.col("name").alias("name"), F.col("node").alias("node"))).cast(entry)
+        opened = F.when(F.col("node").startswith("{"), members.cast(entry)).when(F.col("node").startswith("["), listed.cast(entry)).otherwise(leaf)
+        rows = rows.select(*keep, "place", F.posexplode(opened).alias("k", "e")).select(*keep, F.col("e.name").alias("name"), F.col("e.node").alias("node"), F.array_append("place", F.col("k")).alias("place"))
+    value = F.col("node").try_cast("double")
+    found = rows.select(*keep, "name", value.alias("value"), "place").where("value IS NOT NULL AND name <> '' AND NOT isnan(value) AND abs(value) <> double('Infinity')")
+    return found.groupBy(*keep, "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
+
+
+def financial_points(records: DataFrame) -> DataFrame:
+    """(instrument_id, period_end, period_type, statement_name, statement_type, record_id, available_at, concept, value, name)
+    of statement records (record_id, instrument_id, payload as JSON, available_at). Records without a period end or a
+    metric give none."""
+    get = lambda *names: F.coalesce(*(F.get_json_object("payload", f"$.{n}") for n in names))
+    label = F.trim(get("period_end", "period", "period_label"))
+    whole = F.coalesce(F.try_to_date(label, "yyyy-MM-dd"), F.try_to_date(label, "dd-MM-yyyy"))
+    month = F.coalesce(F.try_to_date(label, "MMM yyyy"), F.try_to_date(label, "MMMM yyyy"))
+    period = records.select(
+        "record_id", "instrument_id", "available_at",
+        F.coalesce(whole, F.last_day(month)).alias("period_end"),
+        *(F.lower(get("period_type")).alias("period_type"), get("statement_name").alias("statement_name"), get("statement_type").alias("statement_type")),
+    ).where("period_end IS NOT NULL")
+    flat = flat_metrics(records.select("record_id", get("metrics").alias("metrics")), "metrics", "record_id")
+    place = F.aggregate("place", F.lit(0).cast("long"), lambda n, k: n * 1000 + k)
+    return period.join(resolved_metrics(flat.withColumn("_place", place), ("record_id",), "_place"), "record_id")
+
+
+def period_values(points: DataFrame) -> DataFrame:
+    """(instrument_id, period_end, period_type, statement_type, concept, value, record_id, available_at, period_available_at):
+    per period the first record (by statement, then record) that has the concept, when that record was available, and when
+    all records of the period were."""
+    key = ("instrument_id", "period_end", "period_type", "statement_type")
+    order = F.struct("statement_name", "record_id")
+    known = points.groupBy(*key, "concept").agg(F.min_by(F.struct("value", "record_id", "available_at"), order).alias("m"), F.max("available_at").alias("_last"))
+    latest = F.max("_last").over(Window.partitionBy(*key))
+    return known.withColumn("period_available_at", latest).select(*key, "concept", "m.*", "period_available_at")
 
 
 def merged_periods(long: DataFrame, concepts: tuple[str, ...] = tuple(CONCEPTS)) -> DataFrame:

@@ -3,7 +3,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from quantloom.sources import markup, parsers, store
+from quantloom.sources import markup, parsers, store, xbrl
 from tests.helpers import one
 
 
@@ -60,11 +60,11 @@ def test_xbrl(spark):
     <context id="c"><entity><segment><d:explicitMember dimension="f:Axis">f:One</d:explicitMember></segment></entity><period><startDate>2025-04-01</startDate><endDate>2026-03-31</endDate></period></context>
     <unit id="u"><measure>INR</measure></unit><f:Revenue contextRef="c" unitRef="u" decimals="0" scale="3">1,234</f:Revenue><f:Gone contextRef="c" xsi:nil="true"/><f:Name contextRef="c">Words</f:Name></xbrl>"""
     df = spark.createDataFrame([(1, xml), (2, "<broken"), (3, None)], "filing_id long, xml string")
-    out = {r["concept"]: r for r in markup.xbrl_facts(df).collect()}
+    out = {r["concept"]: r for r in xbrl.facts(df).collect()}
     r = out["Revenue"]
     assert (r["value"], r["unit"], r["period_end"], r["dimensions"]) == (1_234_000.0, "INR", dt.date(2026, 3, 31), {"Axis": "f:One"})
     assert out["Gone"]["value"] is None and out["Name"]["text"] == "Words"
-    assert sorted(r["filing_id"] for r in markup.unparsed(df).collect()) == [2, 3]
+    assert sorted(r["filing_id"] for r in xbrl.unparsed(df).collect()) == [2, 3]
 
 
 def test_documents_and_coercers(spark):
