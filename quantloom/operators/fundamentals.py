@@ -208,24 +208,42 @@ def cash_flow(statements: DataFrame) -> DataFrame:
     )
 
 
+#: What ``extended_ratios`` divides: name -> (upper, lower) of statement columns or of ratios found before.
+QUOTIENTS = {
+    "asset_turnover": ("revenue", "total_assets"), "inventory_turnover": ("cost_of_revenue", "inventory"), "receivables_turnover": ("revenue", "receivables"),
+    "working_capital_turnover": ("revenue", "working_capital"), "cash_ratio": ("cash", "current_liabilities"), "operating_cash_ratio": ("operating_cash_flow", "current_liabilities"),
+    "current_ratio": ("current_assets", "current_liabilities"), "debt_to_assets": ("total_debt", "total_assets"), "debt_to_equity": ("total_debt", "total_equity"),
+    "gross_margin": ("gross_profit", "revenue"), "operating_margin": ("ebit", "revenue"), "ebitda_margin": ("ebitda", "revenue"), "net_margin": ("net_income", "revenue"),
+    "return_on_equity": ("net_income", "total_equity"), "return_on_assets": ("net_income", "total_assets"), "return_on_capital": ("ebit", "capital_employed"),
+    "equity_per_share": ("total_equity", "shares"), "earnings_per_share": ("net_income", "shares"), "revenue_per_share": ("revenue", "shares"), "cash_flow_per_share": ("free_cash_flow", "shares"),
+    "cash_flow_yield": ("free_cash_flow", "market_cap"), "price_to_earnings": ("market_cap", "net_income"), "price_to_book": ("market_cap", "total_equity"), "price_to_sales": ("market_cap", "revenue"),
+    "value_to_ebitda": ("enterprise_value", "ebitda"), "value_to_revenue": ("enterprise_value", "revenue"), "interest_coverage": ("ebit", "interest_paid"), "debt_to_capital": ("total_debt", "capital"),
+    "payout_ratio": ("dividends", "net_income"),
+}
+CHANGES = ("revenue", "net_income", "total_equity", "free_cash_flow", "ebit", "ebitda", "earnings_per_share")
+
+
 def extended_ratios(statements: DataFrame) -> DataFrame:
-    """Turnovers, days, returns on capital and growth on the absolute base, for the latest period of each instrument."""
+    """Turnovers, days, margins, returns, coverage, per-share and market ratios, and changes on the absolute base, for the
+    latest period of each instrument and period type. Columns that the statements lack give null ratios."""
     w = Window.partitionBy("instrument_id", "period_type").orderBy("period_end")
-    s = missing(statements, "revenue", "ebit", "total_assets", "current_liabilities", "inventory", "net_income", "total_debt", "total_equity", "interest_expense")
-    before = lambda c: F.lag(c).over(w)
-    turned = ratio(F.col("revenue"), F.col("inventory"))
-    rows = s.select(
-        *PERIOD,
-        ratio(F.col("ebit"), F.col("total_assets") - F.col("current_liabilities")).alias("return_on_capital"),
-        ratio(F.col("revenue"), F.col("total_assets")).alias("asset_turnover"),
-        turned.alias("inventory_turnover"),
-        ratio(F.lit(365.0), turned).alias("inventory_days"),
-        ratio(F.col("total_debt"), F.col("total_debt") + F.col("total_equity")).alias("debt_to_capital"),
-        ratio(F.col("revenue") - before("revenue"), F.abs(before("revenue"))).alias("revenue_change"),
-        ratio(F.col("net_income") - before("net_income"), F.abs(before("net_income"))).alias("net_income_change"),
-        F.row_number().over(w.orderBy(F.col("period_end").desc())).alias("k"),
+    inputs = sorted({x for pair in QUOTIENTS.values() for x in pair} - {"working_capital", "capital_employed", "enterprise_value", "interest_paid", "capital"})
+    s = missing(statements, *inputs, "interest_expense").withColumns(
+        {
+            "free_cash_flow": F.coalesce("free_cash_flow", F.col("operating_cash_flow") - F.abs("capital_expenditure") if "capital_expenditure" in statements.columns else F.lit(None)),
+            "working_capital": F.col("current_assets") - F.col("current_liabilities"),
+            "capital_employed": F.col("total_assets") - F.col("current_liabilities"),
+            "enterprise_value": F.col("market_cap") + F.coalesce("total_debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0)),
+            "interest_paid": F.abs("interest_expense"),
+            "capital": F.col("total_debt") + F.col("total_equity"),
+        }
     )
-    return rows.where("k = 1").drop("k")
+    found = s.select(*PERIOD, *dict.fromkeys(c for c in CHANGES if c in s.columns), *(ratio(F.col(a), F.col(b)).alias(n) for n, (a, b) in QUOTIENTS.items() if n not in CHANGES), ratio(F.col("net_income"), F.col("shares")).alias("earnings_per_share"))
+    days = {n: ratio(F.lit(365.0), F.col(turned)) for n, turned in (("inventory_days", "inventory_turnover"), ("collection_days", "receivables_turnover"))}
+    found = found.withColumns(days).withColumn("cash_cycle_days", F.col("inventory_days") + F.col("collection_days"))
+    changes = {f"{c}_change": ratio(F.col(c) - F.lag(c).over(w), F.abs(F.lag(c).over(w))) for c in CHANGES}
+    rows = found.withColumns(changes).withColumn("k", F.row_number().over(w.orderBy(F.col("period_end").desc())))
+    return rows.where("k = 1").select(*PERIOD, *QUOTIENTS, *days, "cash_cycle_days", *changes)
 
 
 def scored(latest: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         comparative_queries,
         foundation_queries,
         market_queries,
+        record_queries,
         source_queries,
         stream_queries,
     )

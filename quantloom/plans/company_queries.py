@@ -14,19 +14,6 @@ LONG = f"{S}, l AS (SELECT *, year(period_end) * 4 + quarter(period_end) AS q FR
 W = "WINDOW w AS (PARTITION BY instrument_id, metric ORDER BY period_end)"
 
 
-@query(
-    "fnd_03_resolve_metric",
-    """SELECT l_suppkey AS instrument_id, concept, value FROM (
-      SELECT l_suppkey, 'revenue' AS concept, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1 UNION ALL
-      SELECT l_suppkey, 'cash', sum(l_quantity) FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'ebit', sum(l_tax) FROM lineitem GROUP BY 1)""",
-    "value",
-)
-def fnd_03(spark, d):
-    g = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("instrument_id")).agg(F.sum("l_extendedprice").alias("a"), F.sum("l_quantity").alias("b"), F.sum("l_tax").alias("c"), F.max("l_tax").alias("x"))
-    named = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("Total-Revenue", "a"), ("Net Sales", "x"), ("Closing cash", "b"), ("Cash,", "b"), ("Operating  Profit", "c"), ("unknown", "x"))))
-    return fundamentals.resolved_metrics(g.select("instrument_id", F.inline(named)), ("instrument_id",))
-
-
 @query(
     "fnd_05_merge_periods",
     f"""{S} SELECT instrument_id, period_end, period_type, revenue, ebit FROM statements""",
@@ -125,16 +112,33 @@ def fnd_14(spark, d):
     return fundamentals.cash_flow(statements(spark, d))
 
 
+_QUOTED = f"""{S}, s AS (SELECT *, revenue - gross_profit AS cost, total_assets * 0.1::DOUBLE AS receivables, 1000.0::DOUBLE + instrument_id AS shares, revenue * 5 AS market_cap, net_income * 0.3::DOUBLE AS dividends,
+  operating_cash_flow - abs(capital_expenditure) AS fcf FROM statements),
+x AS (SELECT instrument_id, period_end, period_type,
+  revenue / nullif(total_assets, 0) AS asset_turnover, cost / nullif(inventory, 0) AS inventory_turnover, revenue / nullif(receivables, 0) AS receivables_turnover,
+  revenue / nullif(current_assets - current_liabilities, 0) AS working_capital_turnover, cash / nullif(current_liabilities, 0) AS cash_ratio, operating_cash_flow / nullif(current_liabilities, 0) AS operating_cash_ratio,
+  current_assets / nullif(current_liabilities, 0) AS current_ratio, total_debt / nullif(total_assets, 0) AS debt_to_assets, total_debt / nullif(total_equity, 0) AS debt_to_equity,
+  gross_profit / nullif(revenue, 0) AS gross_margin, ebit / nullif(revenue, 0) AS operating_margin, ebitda / nullif(revenue, 0) AS ebitda_margin, net_income / nullif(revenue, 0) AS net_margin,
+  net_income / nullif(total_equity, 0) AS return_on_equity, net_income / nullif(total_assets, 0) AS return_on_assets, ebit / nullif(total_assets - current_liabilities, 0) AS return_on_capital,
+  total_equity / shares AS equity_per_share, net_income / shares AS earnings_per_share, revenue / shares AS revenue_per_share, fcf / shares AS cash_flow_per_share,
+  fcf / nullif(market_cap, 0) AS cash_flow_yield, market_cap / nullif(net_income, 0) AS price_to_earnings, market_cap / nullif(total_equity, 0) AS price_to_book, market_cap / nullif(revenue, 0) AS price_to_sales,
+  (market_cap + total_debt - cash) / nullif(ebitda, 0) AS value_to_ebitda, (market_cap + total_debt - cash) / nullif(revenue, 0) AS value_to_revenue,
+  ebit / nullif(abs(interest_expense), 0) AS interest_coverage, total_debt / nullif(total_debt + total_equity, 0) AS debt_to_capital, dividends / nullif(net_income, 0) AS payout_ratio,
+  365 / nullif(cost / nullif(inventory, 0), 0) AS inventory_days, 365 / nullif(revenue / nullif(receivables, 0), 0) AS collection_days,
+  {", ".join(f"({c} - lag({c}) OVER w) / nullif(abs(lag({c}) OVER w), 0) AS {n}_change" for n, c in (("revenue", "revenue"), ("net_income", "net_income"), ("total_equity", "total_equity"), ("free_cash_flow", "fcf"), ("ebit", "ebit"), ("ebitda", "ebitda")))},
+  (net_income / shares - lag(net_income / shares) OVER w) / nullif(abs(lag(net_income / shares) OVER w), 0) AS earnings_per_share_change
+  FROM s WINDOW w AS (PARTITION BY instrument_id ORDER BY period_end) QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY period_end DESC) = 1)"""
+
+
 @query(
     "exp_01_extended_ratios",
-    f"""{S} SELECT instrument_id, period_end, period_type, ebit / nullif(total_assets - current_liabilities, 0) AS return_on_capital, revenue / nullif(total_assets, 0) AS asset_turnover,
-    revenue / nullif(inventory, 0) AS inventory_turnover, 365 / nullif(revenue / nullif(inventory, 0), 0) AS inventory_days, total_debt / nullif(total_debt + total_equity, 0) AS debt_to_capital,
-    (revenue - lag(revenue) OVER w) / nullif(abs(lag(revenue) OVER w), 0) AS revenue_change, (net_income - lag(net_income) OVER w) / nullif(abs(lag(net_income) OVER w), 0) AS net_income_change
-    FROM statements WINDOW w AS (PARTITION BY instrument_id ORDER BY period_end) QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY period_end DESC) = 1""",
-    "return_on_capital asset_turnover inventory_turnover inventory_days debt_to_capital revenue_change net_income_change",
+    f"{_QUOTED} SELECT *, inventory_days + collection_days AS cash_cycle_days FROM x",
+    " ".join([*fundamentals.QUOTIENTS, "inventory_days", "collection_days", "cash_cycle_days", *(f"{c}_change" for c in fundamentals.CHANGES)]),
 )
 def exp_01(spark, d):
-    return fundamentals.extended_ratios(statements(spark, d))
+    c = F.col
+    more = {"cost_of_revenue": c("revenue") - c("gross_profit"), "receivables": c("total_assets") * 0.1, "shares": c("instrument_id") + 1000.0, "market_cap": c("revenue") * 5, "dividends": c("net_income") * 0.3}
+    return fundamentals.extended_ratios(statements(spark, d).withColumns(more))
 
 
 @query(

@@ -66,9 +66,14 @@ def shaped(df: DataFrame, drop: tuple[str, ...] = (), keep: tuple[str, ...] = ()
     return df.select(*(c for c in columns if told[c]["n"] and c not in constant)), constant
 
 
-def cell(name: str, markdown: bool, limit: int = 900):
+#: Fields whose cells are shortened, and to how many characters.
+LIMITED = {"text": 900}
+
+
+def cell(name: str, markdown: bool):
     text = F.coalesce(F.col(name).cast("string"), F.lit(""))
-    text = F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
+    if limit := LIMITED.get(name):
+        text = F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
     return F.replace(F.regexp_replace(text, r"[\r\n]+", " "), F.lit("|"), F.lit(r"\|")) if markdown else text
 
 

@@ -376,20 +376,20 @@ def dq_11(spark, d):
 # ---- canonical records ----
 
 
-@query("can_01_natural_key", "SELECT event_id, 'typed:company_events|event_id=' || event_id::VARCHAR AS natural_key FROM events")
+@query("can_01_natural_key", """SELECT event_id, 'typed:company_events|{"event_id":"' || event_id::VARCHAR || '"}' AS natural_key FROM events""")
 def can_01(spark, d):
     e = read(spark, d, "events")
     return e.select("event_id", canonical.natural_key(e, "company_events").alias("natural_key"))
 
 
-@query("can_02_record_id", "SELECT event_id, sha256('events|company_events|typed:company_events|event_id=' || event_id::VARCHAR) AS record_id FROM events")
+@query("can_02_record_id", """SELECT event_id, sha256('events|company_events|typed:company_events|{"event_id":"' || event_id::VARCHAR || '"}') AS record_id FROM events""")
 def can_02(spark, d):
     e = read(spark, d, "events")
     return e.select("event_id", canonical.record_id("events", "company_events", canonical.natural_key(e, "company_events")).alias("record_id"))
 
 
-@query("can_03_envelope", """SELECT sha256('reference|instruments|typed:instruments|instrument_id=' || s_suppkey::VARCHAR) AS record_id, 'reference' AS domain, 'instruments' AS record_type,
-    'typed:instruments|instrument_id=' || s_suppkey::VARCHAR AS natural_key, '{"instrument_id":' || s_suppkey::VARCHAR || ',"symbol":"' || s_name || '"}' AS payload FROM supplier""")
+@query("can_03_envelope", """SELECT sha256('reference|instruments|typed:instruments|{"instrument_id":"' || s_suppkey::VARCHAR || '"}') AS record_id, 'reference' AS domain, 'instruments' AS record_type,
+    'typed:instruments|{"instrument_id":"' || s_suppkey::VARCHAR || '"}' AS natural_key, '{"instrument_id":' || s_suppkey::VARCHAR || ',"symbol":"' || s_name || '"}' AS payload FROM supplier""")
 def can_03(spark, d):
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("instrument_id"), F.col("s_name").alias("symbol"))
     return canonical.canonical(s, "reference", "instruments")

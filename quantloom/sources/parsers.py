@@ -7,6 +7,7 @@ that can't be used come out of ``rejected`` rather than failing the job.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,16 @@ DATES = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "dd MMM yyyy",
 MONTHS = ("MMM yyyy", "MMM-yyyy", "MMMM yyyy", "MMM yy", "yyyy-MM", "MMM-yy")
 
 
-def read_landed(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
-    """Files of one kind: json (one object a line; .gz is read too), csv, text (whole files) or binary."""
+def read_landed(spark: SparkSession, path: str, kind: str, schema: str | None = None, **options) -> DataFrame:
+    """Files of one kind: json (one object a line, or with ``multiLine`` one array or object a file; .gz is read too), csv, text
+    (whole files) or binary. Where nothing has landed the result is an empty table of ``schema``; without one it is an error."""
+    if schema:
+        try:
+            return read_landed(spark, path, kind, **options) if kind != "json" else spark.read.schema(schema).options(**options).json(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
     if kind == "json":
         return spark.read.options(**options).option("mode", "PERMISSIVE").json(path)
     if kind == "csv":
@@ -122,8 +131,9 @@ def daily_universe(df: DataFrame) -> DataFrame:
 def statement_snapshots(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
     """Statement histories to one value a row: (…, period_end, period_type, statement_type, part, name, value).
 
-    Categories and particulars with a history become names under ``summary`` and ``full_statement``; rows stay long,
-    and ``merged_periods`` pivots what is needed."""
+    Categories and particulars with a history become names under ``summary`` and ``full_statement``; a ``history`` of whole
+    periods, as balance sheets have it, gives a name for each of its fields. Rows stay long, and ``merged_periods`` pivots
+    what is needed."""
     group = "array<struct<category:string,particular:string,history:array<struct<period:string,value:string>>>>"
     get = lambda path: F.get_json_object(text, path)
 
@@ -135,7 +145,10 @@ def statement_snapshots(payloads: DataFrame, text: str = "payload", *keep: str)
     parts = F.concat(*summaries, groups("full_statement", "$.data.full_statement"))
     rows = payloads.select(*keep, F.coalesce(get("$.data.time_period"), F.lit("yearly")).alias("period_type"), get("$.data.type").alias("statement_type"), F.explode(parts).alias("g"))
     rows = rows.select(*keep, "period_type", "statement_type", "g.part", "g.name", F.explode("g.history").alias("h")).where("h.period IS NOT NULL")
-    return rows.select(*keep, period_end(F.col("h.period")).alias("period_end"), "period_type", "statement_type", "part", "name", number(F.col("h.value")).alias("value"))
+    grouped = rows.select(*keep, period_end(F.col("h.period")).alias("period_end"), "period_type", "statement_type", "part", "name", number(F.col("h.value")).alias("value"))
+    whole = payloads.select(*keep, F.coalesce(get("$.data.time_period"), F.lit("yearly")).alias("period_type"), get("$.data.type").alias("statement_type"), F.explode(F.from_json(get("$.data.history"), "array<map<string,string>>")).alias("h"))
+    whole = whole.select(*keep, "period_type", "statement_type", F.col("h")["period"].alias("period"), F.explode(F.map_filter("h", lambda k, _: k != "period")).alias("name", "v")).where("period IS NOT NULL")
+    return grouped.unionByName(whole.select(*keep, period_end(F.col("period")).alias("period_end"), "period_type", "statement_type", F.lit("summary").alias("part"), "name", number(F.col("v")).alias("value")))
 
 
 def corporate_actions(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
