@@ -5,14 +5,18 @@
    letters, so they vanish.
 2. A known sentence starts and ends at a boundary of either kind and may run over line breaks; the longest known
    sentence wins. Every sentence found becomes its identifier, in text order.
-3. Rules are tried in order. A rule is a sequence of neighbouring identifiers; every place where it matches names its
-   licence and uses up its identifiers, so a general rule never fires on sentences of a more special one. Identifiers
-   that no rule uses stay open: a licence whose text is incomplete or unknown.
+3. Rules are tried in order. A rule is a sequence of neighbouring identifiers; every place where it matches, from the left,
+   names its licence and uses up its identifiers, so a general rule never fires on sentences of a more special one, and
+   what stood around them doesn't become neighbours. Identifiers that no rule uses stay open: a licence whose text is
+   incomplete or unknown.
 
 Everything is column expressions of one row, so there is no shuffle and nothing is gathered.
 
+The table holds the notices and lines of the common licences and the titles of their full bodies, not every sentence of
+the bodies; a sentence that names a person or firm in its midst can't be in it.
+
 Defined results: null and empty texts have no sentences; repeated rows each get their row; texts are scanned whole,
-whatever their length; licences are distinct and in rule order; an empty table gives no rows; other columns stay away.
+whatever their length, with a few copies of one text in memory at a time; licences are distinct and in rule order; an empty table gives no rows; other columns stay away.
 """
 
 from __future__ import annotations
@@ -21,10 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every known sentence holds one of these within a word, where no line break or comment mark can split it.
-WORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|domain|reserved|liab|notice|sublicens|gnu|mozilla|cc0"
-#: What the SQL looks for instead; it misses "public domain" and "all rights reserved" with other white space.
-KEYWORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|public domain|all rights reserved|liab|notice|sublicens|gnu|mozilla|cc0"
-
+WORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|domain|reserved|liab|notice|sublicens|gnu|mozilla|cc0|reproduction"
 #: Known licence sentences, normalised; "|" stands for a sentence end inside.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "mit_title": ("mit license", "the mit license", "the mit license mit"),
@@ -35,20 +36,33 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mit_liability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
     "isc_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "isc_as_is": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "isc_liability": ("in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",),
+    "0bsd_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
     "isc_line": ("licensed under the isc license", "released under the isc license", "spdx license identifier | isc"),
     "bsd_conditions": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "bsd_source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "1 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     "bsd_binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "2 | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    "bsd_endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "3 | neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "bsd_endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission", "3 | the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission", "3 | neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "bsd_as_is": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "bsd_liability": ("in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services | loss of use data or profits | or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",),
     "bsd2_line": ("released under the bsd 2 clause license", "licensed under the bsd 2 clause license", "spdx license identifier | bsd 2 clause"),
     "bsd3_line": ("released under the bsd 3 clause license", "licensed under the bsd 3 clause license", "spdx license identifier | bsd 3 clause"),
+    "apache_title": ("apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"),
+    "apache_terms": ("terms and conditions for use reproduction and distribution",),
     "apache_under": ("licensed under the apache license version 2 0 the license",),
     "apache_comply": ("you may not use this file except in compliance with the license",),
     "apache_obtain": ("you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
     "apache_unless": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
     "apache_see": ("see the license for the specific language governing permissions and limitations under the license",),
     "apache_line": ("licensed under the apache license version 2 0", "released under the apache license version 2 0", "this work is licensed under the apache license version 2 0", "spdx license identifier | apache 2 0"),
+    "gpl2_title": ("gnu general public license version 2 june 1991",),
+    "gpl3_title": ("gnu general public license version 3 29 june 2007",),
+    "lgpl21_title": ("gnu lesser general public license version 2 1 february 1999",),
+    "lgpl3_title": ("gnu lesser general public license version 3 29 june 2007",),
+    "agpl3_title": ("gnu affero general public license version 3 19 november 2007",),
+    "gnu_verbatim": ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",),
+    "gpl2_only": ("this program is free software | you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",),
+    "lgpl3_plus": ("this library is free software | you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation | either version 3 of the license or at your option any later version",),
     "gpl2_plus": ("this program is free software | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation | either version 2 of the license or at your option any later version",),
     "gpl3_plus": ("this program is free software | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this program is free software | you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation | either version 3 of the license or at your option any later version"),
     "lgpl21_plus": ("this library is free software | you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation | either version 2 1 of the license or at your option any later version",),
@@ -60,6 +74,14 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mpl2_subject": ("this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v | 2 0"),
     "mpl2_obtain": ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     "mpl2_line": ("licensed under the mozilla public license version 2 0", "spdx license identifier | mpl 2 0"),
+    "mpl2_title": ("mozilla public license version 2 0",),
+    "epl2_terms": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at http www eclipse org legal epl 2 0"),
+    "epl2_title": ("eclipse public license v 2 0",),
+    "zlib_as_is": ("this software is provided as is without any express or implied warranty",),
+    "zlib_liability": ("in no event will the authors be held liable for any damages arising from the use of this software",),
+    "zlib_grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "bsl_grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
+    "bsl_line": ("distributed under the boost software license version 1 0", "spdx license identifier | bsl 1 0"),
     "cc_by_line": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "spdx license identifier | cc by 4 0"),
     "cc_by_sa_line": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "spdx license identifier | cc by sa 4 0"),
     "cc_by_nc_line": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "spdx license identifier | cc by nc 4 0"),
@@ -74,12 +96,29 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit_title", "mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
+    ("ISC", ("isc_grant", "isc_as_is", "isc_liability")),
     ("ISC", ("isc_grant", "isc_as_is")),
+    ("0BSD", ("0bsd_grant", "isc_as_is", "isc_liability")),
+    ("0BSD", ("0bsd_grant", "isc_as_is")),
+    ("BSL-1.0", ("bsl_grant",)),
+    ("Zlib", ("zlib_as_is", "zlib_liability", "zlib_grant")),
+    ("BSD-3-Clause", ("bsd_conditions", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability")),
+    ("BSD-2-Clause", ("bsd_conditions", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability")),
     ("BSD-3-Clause", ("bsd_conditions", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is")),
     ("BSD-2-Clause", ("bsd_conditions", "bsd_source", "bsd_binary", "bsd_as_is")),
+    ("Apache-2.0", ("apache_title", "apache_terms")),
     ("Apache-2.0", ("apache_under", "apache_comply", "apache_obtain", "apache_unless", "apache_see")),
     ("Apache-2.0", ("apache_under", "apache_comply", "apache_obtain")),
     ("Apache-2.0", ("apache_under", "apache_comply")),
+    ("GPL-2.0-only", ("gpl2_title", "gnu_verbatim")),
+    ("GPL-3.0-only", ("gpl3_title", "gnu_verbatim")),
+    ("LGPL-2.1-only", ("lgpl21_title", "gnu_verbatim")),
+    ("LGPL-3.0-only", ("lgpl3_title", "gnu_verbatim")),
+    ("AGPL-3.0-only", ("agpl3_title", "gnu_verbatim")),
+    ("GPL-2.0-only", ("gpl2_only", "gnu_warranty", "gnu_see")),
+    ("GPL-2.0-only", ("gpl2_only",)),
+    ("LGPL-3.0-or-later", ("lgpl3_plus", "gnu_warranty", "gnu_see")),
+    ("LGPL-3.0-or-later", ("lgpl3_plus",)),
     ("GPL-2.0-or-later", ("gpl2_plus", "gnu_warranty", "gnu_see")),
     ("GPL-2.0-or-later", ("gpl2_plus",)),
     ("GPL-3.0-or-later", ("gpl3_plus", "gnu_warranty", "gnu_see")),
@@ -89,8 +128,13 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("AGPL-3.0-or-later", ("agpl3_plus", "gnu_warranty", "gnu_see")),
     ("AGPL-3.0-or-later", ("agpl3_plus",)),
     ("MPL-2.0", ("mpl2_subject", "mpl2_obtain")),
+    ("EPL-2.0", ("epl2_terms",)),
     ("MIT", ("mit_line",)),
     ("MIT", ("mit_title",)),
+    ("Apache-2.0", ("apache_title",)),
+    ("MPL-2.0", ("mpl2_title",)),
+    ("EPL-2.0", ("epl2_title",)),
+    ("BSL-1.0", ("bsl_line",)),
     ("ISC", ("isc_line",)),
     ("BSD-2-Clause", ("bsd2_line",)),
     ("BSD-3-Clause", ("bsd3_line",)),
@@ -146,6 +190,10 @@ def sentence_ids(text: Column) -> Column:
     )
 
 
+#: Stands where a rule used identifiers up, so that those around it are no neighbours.
+GONE = "|"
+
+
 def as_sequence(ids: tuple[str, ...]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
@@ -160,7 +208,7 @@ def matched(ids: Column) -> Column:
 
     def apply(state: Column, rule: Column) -> Column:
         hit = F.contains(state["left"], rule["sequence"])
-        left = F.when(hit, F.replace(state["left"], rule["sequence"], F.lit(""))).otherwise(state["left"])
+        left = F.when(hit, F.replace(state["left"], rule["sequence"], F.lit(GONE))).otherwise(state["left"])
         return F.struct(left.alias("left"), F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
 
     return F.aggregate(rules, start, apply)

@@ -18,11 +18,11 @@ def license_scan() -> str:
     for k, (name, rule) in enumerate(licenses.RULES):
         sequence = quoted(licenses.as_sequence(rule))
         found = f"CASE WHEN contains(seq, {sequence}) THEN list_append(found, {quoted(name)}) ELSE found END"
-        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(seq, {sequence}, '') AS seq, {found} AS found FROM {before})")
+        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(seq, {sequence}, '|') AS seq, {found} AS found FROM {before})")
         before = f"r{k}"
     return f"""
 WITH n AS (
-  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {quoted(licenses.KEYWORD)})
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {quoted(licenses.WORD)})
     THEN regexp_extract_all({text}, {quoted(licenses.sentence_pattern())}, 1) ELSE []::VARCHAR[] END AS found
   FROM documents
 ), i AS (

@@ -1,7 +1,10 @@
 """Licence rules on whole, wrapped, commented and incomplete licence texts, and on the driver's documents."""
 
+import random
 import textwrap
 
+from pyspark.sql import functions as F
+
 from quantloom.llm import licenses
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -76,3 +79,48 @@ def test_driver_documents(spark, sf_dir):
 
 def test_empty_table(documents):
     assert licenses.scan(documents([(1, "x")]).limit(0)).count() == 0
+
+
+def plain_match(ids):
+    """Open identifiers and licences by walking the list: a place is used by the first rule that fits there."""
+    used, found = [False] * len(ids), []
+    for name, rule in licenses.RULES:
+        at, hit = 0, False
+        while at + len(rule) <= len(ids):
+            if tuple(ids[at : at + len(rule)]) == rule and not any(used[at : at + len(rule)]):
+                used[at : at + len(rule)] = [True] * len(rule)
+                at, hit = at + len(rule), True
+            else:
+                at += 1
+        if hit and name not in found:
+            found.append(name)
+    return used.count(False), found
+
+
+def test_rules_match_a_plain_walk(spark):
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        ids = []
+        for _ in range(rng.randint(0, 5)):
+            rule = list(rng.choice(licenses.RULES)[1])
+            ids += rng.choice([rule, rule[: rng.randint(1, len(rule))], rule[rng.randint(0, len(rule) - 1) :]])
+            if rng.random() < 0.3:
+                ids.insert(rng.randint(0, len(ids)), rng.choice(list(licenses.SENTENCES)))
+        rows.append((k, ids))
+    m = spark.createDataFrame(rows, "k long, ids array<string>").select("k", "ids", licenses.matched(F.col("ids")).alias("m"))
+    for r in m.collect():
+        n_open, found = plain_match(r["ids"])
+        assert (r["m"]["left"].count("<"), list(dict.fromkeys(r["m"]["found"]))) == (n_open, found), r["ids"]
+
+
+def test_what_stood_around_a_match_is_no_neighbour(documents):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.\n"
+    text = 'Licensed under the Apache License, Version 2.0 (the "License");\n' + isc + "you may not use this file except in compliance with the License.\n"
+    assert scan(documents, [text]) == [("ISC", 4, 2)]
+
+
+def test_full_bodies_are_known_by_their_titles(documents):
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"
+    zlib = "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"
+    assert [x[0] for x in scan(documents, [gpl, apache, zlib])] == ["GPL-3.0-only", "Apache-2.0", "Zlib"]
