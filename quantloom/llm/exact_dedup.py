@@ -3,11 +3,11 @@
 Every row falls into one of ``runs`` runs by a hash of its id. A run is the sorted list of the digests of its
 rows, each with the best row so far and a count (Spark's sort aggregation, pre-aggregated before the shuffle).
 In binomial rounds ``fan_in`` neighbouring runs meet: the multiway merge keeps the best row of each digest, until
-one run is left. The winners then go back down the same tree, so that a digest which a third of all rows share is
-spread over ``runs`` keys both on the way up and on the way down, and no group is ever gathered.
+one run is left. The winners then go back down level by level: a run gets them from the run that it was merged into, so
+that a digest which a third of all rows share is spread over ``runs`` keys on the way down too, and no group is gathered.
 
-"Verified" means that a SHA-256 digest counts as equal only together with the length and a second, independent
-64-bit hash of the normalised text; all three are part of the merge key at every level.
+The smallest identifier of a digest is verified at every level by more than the digest: SHA-256, length and a second,
+independent 64-bit hash of the normalised text are the merge key. Texts themselves are not compared again.
 
 Defined results: null text is the empty text; empty texts are equal to each other; the row with the most code
 points in its original text stays, then the smallest id (null ids first), then - for rows repeated with their id -
@@ -16,7 +16,7 @@ any one of them. Empty input gives an empty result. Other columns of the input,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import WS, materialise, unused
@@ -59,9 +59,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``docs``: (id_col, row, keep_id, group_size, kept, n_norm, sha)."""
     rows = materialise(digest_rows(docs, id_col, text_col, runs), "digests")
     levels = merge_tree(rows, runs, fan_in)
-    root = levels[-1].select(*KEY, "best", "n")
-    leaves = levels[0].select(*KEY, "run").join(root, [*KEY])
-    return rows.join(leaves, [*KEY, "run"]).select(
+    winners = levels[-1].select(*KEY, "run", "best", "n")
+    for level in reversed(levels[:-1]):
+        into = F.floor(F.col("run") / fan_in).cast("int")
+        won = winners.withColumnRenamed("run", "into")
+        winners = level.select(*KEY, "run", into.alias("into")).join(won, [*KEY, "into"]).drop("into")
+    return rows.join(winners, [*KEY, "run"]).select(
         F.col("id").alias(id_col),
         "row",
         F.col("best.id").alias("keep_id"),
@@ -76,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns.
 
     Rows that repeat an id with an equal text are told apart by their position only; such rows, and no
-    others, go through a window that keeps the longest of them."""
+    others, are aggregated to the longest of them."""
     groups = exact_groups(docs, id_col, text_col, **tree)
     key_id, key_sha, copies, n, row_sha = unused(docs, "_id", "_sha", "_copies", "_n", "_row_sha")
     stay = groups.groupBy(F.col(id_col).alias(key_id), F.col("sha").alias(key_sha)).agg(
@@ -87,6 +90,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(row_sha, F.unhex(F.sha2(F.regexp_replace(text, WS, ""), 256)))
     on = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(row_sha) == F.col(key_sha))
     single = keyed.join(stay.where(F.col(copies) == 1), on, "left_semi")
-    order = Window.partitionBy(key_id, key_sha).orderBy(F.length(text).desc())
-    repeated = keyed.join(stay.where(F.col(copies) > 1), on).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
-    return single.unionByName(repeated.select(single.columns)).drop(row_sha)
+    repeated = keyed.join(stay.where(F.col(copies) > 1), on)
+    longest = repeated.groupBy(key_id, key_sha).agg(F.max_by(F.struct(*single.columns), F.length(text)).alias(n))
+    return single.unionByName(longest.select(f"{n}.*")).drop(row_sha)
