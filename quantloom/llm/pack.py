@@ -23,6 +23,7 @@ else the table has; ``pack`` keeps all columns of the pieces.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections import deque
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import Memo, materialise, small_batches, tidy, unused
 
-#: The word pattern of the vocabulary, and characters that its normaliser only lowers in case.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What is not in texts whose normalising is lower case alone; lower-case letters and numbers of such texts; and
+#: the vocabulary's word pattern over them (letters, one number, or signs; endings after an apostrophe).
 PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ɏ]"
+LETTERS, NUMBERS = "a-zªµºß-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
+WORDS = rf"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}{NUMBERS}]+"
 
 
 #: The sign of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100 on.
@@ -49,14 +52,13 @@ class WordTokenizer:
     special token go through the library, in parts of about ``part`` characters that are cut between words."""
 
     def __init__(self, path: str, part: int = 20_000):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.part = self.tokenizer.model, part
-        self.find, self.unusual = regex.compile(WORDS).findall, regex.compile(PLAIN).search
-        self.memo = Memo(self.word, size=100_000)
+        self.find, self.unusual = re.compile(WORDS).findall, re.compile(PLAIN).search
+        self.memo = Memo(self.word, size=250_000)
 
     def word(self, word: str) -> bytes:
         ids = [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]

@@ -6,19 +6,32 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quantloom.llm import pack, queries
 from quantloom.llm.common import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
+ENCODE, LIBRARY = pack.WordTokenizer(PATH), Tokenizer.from_file(PATH)
 
 
 def library_ids(text):
-    from tokenizers import Tokenizer
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
-    t = Tokenizer.from_file(PATH)
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60))
+def test_words_of_plain_texts_are_the_library_s(text):
+    assert ENCODE(text) == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_plain_character_between_letters():
+    for code in [*range(0x20, 0x7F), *range(0xA1, 0x250)]:
+        text = f"a{chr(code)}b {chr(code)}{chr(code)} 1{chr(code)}'{chr(code)}s"
+        assert ENCODE(text) == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(code)
 
 
 def check_places(rows, max_len):
