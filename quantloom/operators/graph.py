@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import content_id
+from quantloom.functions.folders import ensure_checkpoint_dir
+from quantloom.operators.temporal import numbered
 
 
 def relationship_id(subject: Column, predicate: Column, obj: Column, *validity: Column) -> Column:
@@ -52,14 +54,15 @@ def neighbours(edges: DataFrame, predicate: str | None = None) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, start: str, hops: int) -> DataFrame:
-    """(node, distance) of nodes at most ``hops`` edges from ``start``: a join with the frontier for each hop."""
-    around = neighbours(edges)
+    """(node, distance) of nodes at most ``hops`` edges from ``start``: a join with the frontier for each hop. Edges and every
+    frontier are checkpointed, so a hop recomputes none before it."""
     spark = edges.sparkSession
-    found = spark.createDataFrame([(start, 0)], "node string, distance int")
-    frontier = found
+    ensure_checkpoint_dir(spark)
+    around = neighbours(edges).checkpoint()
+    found = frontier = spark.createDataFrame([(start, 0)], "node string, distance int")
     for k in range(1, hops + 1):
         reached = around.join(frontier.select("node"), "node").select(F.col("neighbour").alias("node")).distinct()
-        frontier = reached.join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(k))
+        frontier = reached.join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(k)).checkpoint()
         found = found.unionByName(frontier)
     return found
 
@@ -68,6 +71,6 @@ def timeline(records: DataFrame, titles: tuple[str, ...] = ("title", "headline",
     """Records of each instrument in the order of event and availability, with the first title they have."""
     title = F.coalesce(*(F.nullif(F.trim(F.col(t)), F.lit("")) for t in titles if t in records.columns), F.col("record_type"))
     entry = F.coalesce(F.col("record_id").cast("string"), content_id(F.col("record_type"), F.col("event_time").cast("string"), title))
-    order = Window.partitionBy("instrument_id").orderBy(F.col("event_time").asc_nulls_last(), F.col("available_at").asc_nulls_last(), "record_type", "entry_id")
+    order = [F.col("event_time").asc_nulls_last(), F.col("available_at").asc_nulls_last(), F.col("record_type").asc(), F.col("entry_id").asc()]
     rows = records.select("instrument_id", "record_type", "event_time", "available_at", entry.alias("entry_id"), title.alias("title"))
-    return rows.withColumn("position", F.row_number().over(order).cast("long"))
+    return numbered(rows, order)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import TRADING_DAYS, change, days_between, full_window, history, last_rows, ratio
+from quantloom.functions.folders import ensure_checkpoint_dir
 from quantloom.operators.market import drawdown_series, prepared, valid_returns
 
 YEAR = TRADING_DAYS**0.5
@@ -101,9 +101,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, blocks: int = 64
     queries go in parts of about half as many, whose results are checkpointed one after the other."""
     n = queries.count()
     if n > most:
-        context = queries.sparkSession.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(queries.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        ensure_checkpoint_dir(queries.sparkSession)
         parts = 2 * n // most + 1
         part = F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts))
         found = [nearest_of(queries.where(part == i), vectors, k, blocks).checkpoint() for i in range(parts)]
@@ -113,8 +111,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, blocks: int = 64
 
 def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, blocks: int) -> DataFrame:
     """``nearest`` for queries that are few enough to be sent to every task."""
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda df, name: df.select(F.col("vec_id").alias(name), F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("e", F.transform("e", lambda x: x / length(F.col("e"))))
+    def unit(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col("vec_id").alias(name), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+        rows = rows.withColumn("length", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
+        return rows.select(name, F.transform("e", lambda x: x / F.col("length")).alias("e"))
+
     q, v = unit(queries, "query_id").withColumnRenamed("e", "q"), unit(vectors, "vec_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "block", F.round(dot, 9).alias("similarity"))

@@ -86,12 +86,18 @@ def return_horizons(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS) ->
 
 
 def rolling_volatility(prices: DataFrame, windows: tuple[int, ...] = (20, 60, 252)) -> DataFrame:
-    """Annualised sample deviation of the last w returns, for full windows; at the return's own instant."""
+    """Annualised sample deviation of the last w returns, for full windows; at the return's own instant.
+
+    Windows are differences of running sums of the returns, less their first one against cancellation, and of their squares:
+    each row is read once, however long the windows are."""
     w = history()
-    df = valid_returns(prices)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = valid_returns(prices).withColumn("x", F.col("r") - F.first("r").over(so_far))
+    df = df.select("instrument_id", "ts", F.row_number().over(w).alias("k"), F.sum("x").over(so_far).alias("s1"), F.sum(F.col("x") * F.col("x")).over(so_far).alias("s2"))
     for n in windows:
-        value = F.stddev_samp("r").over(last_rows(w, n)) * F.sqrt(F.lit(float(TRADING_DAYS)))
-        df = df.withColumn(f"v{n}", F.when(F.count("r").over(last_rows(w, n)) == n, value))
+        one, two = (F.col(c) - F.lag(c, n, 0.0).over(w) for c in ("s1", "s2"))
+        spread = F.greatest(two - one * one / n, F.lit(0.0)) / (n - 1)
+        df = df.withColumn(f"v{n}", F.when(F.col("k") >= n, F.sqrt(spread) * F.sqrt(F.lit(float(TRADING_DAYS)))))
     rows = F.array(*(F.struct(F.lit(n).alias("window"), F.col(f"v{n}").alias("value")) for n in windows))
     return df.select("instrument_id", "ts", F.inline(rows)).where("value IS NOT NULL")
 

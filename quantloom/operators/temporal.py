@@ -58,10 +58,24 @@ def known_order() -> list[Column]:
     return [F.col("event_time").asc_nulls_last(), F.col("available_at").asc_nulls_last(), F.col("record_type").asc(), F.col("record_id").asc()]
 
 
+def numbered(df: DataFrame, order: list[Column], at: str = "event_time", key: str = "instrument_id") -> DataFrame:
+    """``df`` with each row's position among those of its key, by ``order``, which begins with ``at`` (nulls last).
+
+    Rows are ordered within a day of a key only; what days before hold is added from counts by day, so a key that most
+    rows share is spread over its days."""
+    day = F.coalesce(F.col(at).cast("date"), F.lit("9999-12-31").cast("date"))
+    rows = df.withColumn("_day", day)
+    earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(key).alias("_key"), F.col("_day").alias("_on"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = rows.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_on")))
+    within = F.row_number().over(Window.partitionBy(key, "_day").orderBy(*order))
+    return placed.select(*df.columns, (F.col("_before") + within).cast("long").alias("position"))
+
+
 def what_was_known(df: DataFrame, as_of: Column) -> DataFrame:
     """Visible records with their position in each instrument's story."""
-    order = Window.partitionBy("instrument_id").orderBy(*known_order())
-    return point_in_time(df, as_of).withColumn("position", F.row_number().over(order).cast("long"))
+    return numbered(point_in_time(df, as_of), known_order())
 
 
 def events_between(df: DataFrame, start: Column, end: Column, types: tuple[str, ...] = (), known_by_end: bool = False) -> DataFrame:
@@ -80,15 +94,18 @@ def by_instrument(df: DataFrame, one: str = "instrument_id", many: str = "instru
     return df.withColumn(one, F.explode(ids)).drop(many)
 
 
-def known_counts(df: DataFrame, start: Column, end: Column, step: str = "INTERVAL 7 DAYS") -> DataFrame:
-    """How many records of each instrument were known at each of a series of instants.
+def known_counts(df: DataFrame, start: Column, end: Column, days: int = 7) -> DataFrame:
+    """How many records of each instrument were known at each of a series of instants, ``days`` days apart.
 
-    Each record is counted once at the first instant at which it is visible, and running sums do the rest: one
-    shuffle by instrument, instead of a join of all instants with all records."""
-    grid = F.sequence(start, end, F.expr(step))
-    first = F.array_min(F.filter(grid, lambda t: t >= F.col("available_at")))
-    new = df.where((F.col("basis") != "retrieved") & F.col("available_at").isNotNull()).withColumn("as_of", first).where("as_of IS NOT NULL")
+    Each record is counted once at the first instant at which it is visible, which is arithmetic on its time, and running
+    sums do the rest: one shuffle by instrument, instead of a join of all instants with all records."""
+    step = days * 86_400_000_000
+    since = F.unix_micros("available_at") - F.unix_micros(start)
+    number = F.greatest(F.ceil(since / F.lit(step)), F.lit(0))
+    first = F.timestamp_micros(F.unix_micros(start) + number * F.lit(step))
+    new = df.where((F.col("basis") != "retrieved") & F.col("available_at").isNotNull()).withColumn("as_of", first).where(F.col("as_of") <= end)
     new = new.groupBy("instrument_id", "as_of").agg(F.count(F.lit(1)).alias("new"))
+    grid = F.sequence(start, end, F.make_dt_interval(F.lit(days)))
     all_times = new.select("instrument_id").distinct().withColumn("as_of", F.explode(grid))
     w = Window.partitionBy("instrument_id").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
     return all_times.join(new, ["instrument_id", "as_of"], "left").select(

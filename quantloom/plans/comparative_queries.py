@@ -59,7 +59,24 @@ def cmp_03(spark, d):
     "target_return peer_mean peer_median peer_min peer_max target_percentile excess_vs_peer_median peer_zscore",
 )
 def cmp_04(spark, d):
-    return comparative.peer_returns(bars(spark, d), peers(spark, d))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("instrument_id"), F.col("s_nationkey").alias("group"))
+    return comparative.group_returns(bars(spark, d), s)
+
+
+@query("cmp_05_given_peers", """WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT a.k AS instrument_id, b.k AS peer_id FROM s a JOIN s b ON b.k IN (a.k + 1, a.k + 2)""")
+def cmp_05(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("instrument_id"))
+    given = s.select(F.struct("instrument_id", F.array(*(F.col("instrument_id") + k for k in (1, 2, 1))).alias("peers")).alias("g"))
+    return comparative.peer_table(given.select("g.*")).join(s.withColumnRenamed("instrument_id", "peer_id"), "peer_id", "left_semi").select("instrument_id", "peer_id")
+
+
+@query("cmp_04_given_peers", f"""{B}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) - 1 AS back FROM bars WHERE close > 0),
+    own AS (SELECT a.instrument_id, a.close / c.close - 1 AS value FROM k a LEFT JOIN k c ON c.instrument_id = a.instrument_id AND c.back = 21 WHERE a.back = 0)
+    SELECT o.instrument_id, 21 AS horizon, max(o.value) AS target_return, count(p.value) AS peer_observations, avg(p.value) AS peer_mean FROM own o JOIN own p ON p.instrument_id IN (o.instrument_id + 1, o.instrument_id + 2) GROUP BY 1""", "target_return peer_mean")
+def cmp_04_given(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("instrument_id"))
+    pairs = comparative.peer_table(s.withColumn("peers", F.array(F.col("instrument_id") + 1, F.col("instrument_id") + 2)))
+    return comparative.peer_returns(bars(spark, d), pairs, (21,)).select("instrument_id", "horizon", "target_return", "peer_observations", "peer_mean")
 
 
 @query(
