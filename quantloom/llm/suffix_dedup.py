@@ -14,8 +14,8 @@ string at a position goes if that factor has ``width`` bytes or more. The distri
    rows of contexts whose seed has a second context may still share some of their windows, and go on with their bytes.
 3. Suffix order. Rows go on by seed, and a task sorts the suffixes of whole seeds by their bytes, takes the shared lengths
    of neighbours, finds previous and next smaller positions and from both the longest previous factors. Seeds of more than
-   ``most_rows`` rows are not gathered: their windows are grouped by their bytes over all tasks, and those after the
-   smallest position are later copies.
+   ``most_rows`` rows are not gathered: the single suffixes of their windows are put in order over all tasks, by ranges of
+   bytes and position, so that even equal ones are dealt out; all but the smallest position of equal ones are later copies.
 4. Each document's copied windows become byte spans, and the bytes left are joined.
 
 Seeds that a sample of the documents shows in more than one of ``hot_share`` documents are dealt out by context in step 2;
@@ -234,6 +234,44 @@ def suffix_runs(rows: DataFrame, width: int, at_once: int = 1 << 19) -> DataFram
     return rows.mapInArrow(tidy(run), "id long, version int, start int, n int")
 
 
+ORDER = ("bytes", "id", "version", "start")
+
+
+def later_suffixes(rows: DataFrame) -> DataFrame:
+    """(id, version, start) of the ``rows`` (id, version, start, bytes) with equal bytes at a smaller position.
+
+    The rows lie in order over all tasks. A row's place says what it is, but for the rows of a task that may go on with the
+    bytes of the task before: these few wait for the ends of all tasks."""
+    ordered = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = run_of = run_from = None
+        for batch in batches:
+            found = []
+            for data, *position in zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True):
+                if data != run_of:
+                    run_of, run_from = data, position
+                    begin = begin or (data, position)
+                if position != run_from:
+                    found.append((*position, "later", None))
+                elif (data, position) == begin:
+                    found.append((*position, "first", data))
+            yield rows_of(found)
+        if begin:
+            yield rows_of([(*run_from, "end", run_of)])
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+        columns = zip(*found, strict=True) if found else ((),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "version", "start", "place", "bytes"])
+
+    position = ("id", "version", "start")
+    told = materialise(small_batches(ordered).mapInArrow(tidy(run), "id long, version int, start int, place string, bytes binary"), "ordered")
+    ends = told.where("place = 'end'").groupBy("bytes").agg(F.min(F.struct(*position)).alias("least"))
+    waiting = told.where("place = 'first'").join(ends, "bytes").where(F.struct(*position) > F.col("least"))
+    return told.where("place = 'later'").select(*position).unionByName(waiting.select(*position))
+
+
 def follows(keys: tuple[str, ...], order) -> Column:
     """Whether the row before this one in its partition has equal keys."""
     same = F.lit(True)
@@ -267,9 +305,7 @@ def copied_windows(
     joined = placed.join(open_rows.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "packed", "rows")
     left = materialise(open_bytes(joined, width), "suffixes")
     by_suffix = suffix_runs(small_batches(left.where("seed IS NOT NULL").repartition("seed").sortWithinPartitions("seed")), width)
-    single = left.where("seed IS NULL").select(*position, "bytes")
-    first = single.groupBy("bytes").agg(F.min(F.struct(*position)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = single.join(first.drop("n"), "bytes").where(F.struct(*position) > F.col("first"))
+    later = later_suffixes(left.where("seed IS NULL").select(*position, "bytes"))
     found = settled.where("whole").select(*position, "n").unionByName(by_suffix)
     return found.unionByName(later.select(*position, F.lit(1).alias("n")))
 

@@ -91,6 +91,23 @@ def test_placement_of_hot_seeds_changes_nothing(documents, words, placement):
     assert found(documents(rows), 60, 20, **placement) == brute(rows, 60)
 
 
+def test_equal_suffixes_over_several_tasks(spark):
+    rng = random.Random(2)
+    rows = [(k % 40, 1, k, bytes(rng.choice([b"aaa", b"aaa", b"aaa", b"aab", b"b" + bytes([k % 7])]))) for k in range(600)]
+    rows += rows[:50]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "id long, version int, start int, bytes binary")
+        assert df.repartitionByRange(*suffix_dedup.ORDER).rdd.getNumPartitions() == 4
+        got = {tuple(r) for r in suffix_dedup.later_suffixes(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    least = {}
+    for *position, data in rows:
+        least[data] = min(least.get(data, tuple(position)), tuple(position))
+    assert got == {tuple(p) for *p, data in rows if tuple(p) > least[data]}
+
+
 def test_hot_seeds_are_found(documents, words):
     phrase = " ".join(words(30, 77))
     rows = [(k, f"{' '.join(words(9, k))} {phrase} {' '.join(words(9, 500 + k))}") for k in range(80)]
