@@ -12,6 +12,9 @@ Line rules, each on a line that has a word:
 Everything stays inside one row, so there is no shuffle and no skew; repeated five-word windows are found by
 64-bit hashes first and decided on the words themselves.
 
+Texts are read whole, whatever their length; a text with a repeated window is in memory as its words and as its sorted
+windows, some seven times its size.
+
 Defined results: null text has no words; texts without words fail the base rules and keep nothing; repeated rows
 give repeated results; an empty table gives an empty result; other columns do not matter.
 """
@@ -29,12 +32,13 @@ BOILERPLATE = (
     "accept cookies|cookie policy|enable javascript|terms of use|terms of service|privacy policy|all rights reserved"
     "|sign in|log in|sign up|click here|read more|lorem ipsum|share this|subscribe to"
 )
+SEPARATORS = "[|»›·•>]"
 SEPARATOR = r"(?:\S[\x20\x09]*[|»›·•>][\x20\x09]*){3}"
 ENDS_LIKE_SENTENCE = r"[.!?…:;\"”»)\]]" + WS + "*$"
 
 
 def symbols_in(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.length(F.regexp_replace(text, F.lit(f"[^{SYMBOLS}]+"), F.lit("")))
 
 
 def at_least_words(n: int) -> str:
@@ -42,12 +46,13 @@ def at_least_words(n: int) -> str:
 
 
 def line_ok(line: Column, max_symbol_percent: int = 5, min_words: int = 5) -> Column:
-    shouted = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & line.rlike(at_least_words(min_words))
-    fragment = ~line.rlike(ENDS_LIKE_SENTENCE) & ~line.rlike(at_least_words(min_words))
-    stock = F.lower(line).rlike(BOILERPLATE) & ~line.rlike(at_least_words(31))
-    return ~(
-        (symbols_in(line) * 100 > F.length(line) * max_symbol_percent) | shouted | fragment | line.rlike(SEPARATOR) | stock
-    )
+    """The tests that most lines settle within their first words come first; the others then see few lines."""
+    few = ~line.rlike(at_least_words(min_words))
+    shouted = ~line.rlike(r"\p{Ll}") & ~few & line.rlike(r"\p{Lu}")
+    fragment = few & ~line.rlike(ENDS_LIKE_SENTENCE)
+    stock = ~line.rlike(at_least_words(31)) & F.lower(line).rlike(BOILERPLATE)
+    separated = line.rlike(SEPARATORS) & line.rlike(SEPARATOR)
+    return ~(fragment | shouted | stock | (symbols_in(line) * 100 > F.length(line) * max_symbol_percent) | separated)
 
 
 def repeat_words(df: DataFrame, words: str, out: str, window: int = 5) -> DataFrame:
@@ -55,7 +60,19 @@ def repeat_words(df: DataFrame, words: str, out: str, window: int = 5) -> DataFr
     n_windows = F.size(words) - (window - 1)
     at = F.when(n_windows > 0, F.sequence(F.lit(1), n_windows)).otherwise(F.array().cast("array<int>"))
     word = lambda i, k: F.element_at(F.col(words), i + k)
-    df = df.withColumn("_hashes", F.transform(at, lambda i: F.xxhash64(*[word(i, k) for k in range(window)])))
+    # hashes of windows from those of their two parts; zip_with pads the shorter side, so only the first ones count
+    after = lambda c, n: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
+    joined = lambda x, y, n: F.zip_with(x, after(y, n), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("_of1", F.transform(words, lambda w: F.xxhash64(w)))
+    size, out_col = 1, "_of1"
+    while size < window:
+        step = min(size, window - size)
+        last = out_col if step == size else "_of1"
+        if last == "_of1" and step > 1:
+            step = 1
+        df = df.withColumn(f"_of{size + step}", joined(F.col(out_col), F.col(last), size))
+        size, out_col = size + step, f"_of{size + step}"
+    df = df.withColumn("_hashes", F.slice(out_col, 1, F.greatest(n_windows, F.lit(0)))).drop(*(f"_of{k}" for k in range(1, window + 1)))
     df = df.withColumn("_suspect", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
     gram = lambda i: F.struct(F.concat_ws(" ", *[word(i, k) for k in range(window)]).alias("gram"), i.alias("at"))
     df = df.withColumn("_grams", F.when(F.col("_suspect"), F.sort_array(F.transform(at, gram))))
@@ -95,7 +112,7 @@ def clean_lines(
     df = df.select(
         F.col("_id").alias(id_col),
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_text", WS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         symbols_in(F.col("_text")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
