@@ -103,7 +103,7 @@ def group_returns(prices: DataFrame, groups: DataFrame, horizons: tuple[int, ...
     told = ranked.withColumn("x", F.col("value") - center).join(size, list(key)).groupBy(*key).agg(
         F.max("n").alias("n"), F.sum("value").alias("total"), F.sum("x").alias("x1"), F.sum(F.col("x") * F.col("x")).alias("x2"), F.avg("value").alias("center"),
         at(1, "low1"), at(2, "low2"), at(F.col("n"), "high1"), at(F.col("n") - 1, "high2"),
-        *(at(middle + d, f"m{d + 1}") for d in (-1, 0, 1)),
+        *(at(middle + d, f"m{d}") for d in (0, 1, 2)),
     )
     members = own.groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
     rows = own.join(members, list(key)).where("members > 1").join(told, list(key), "left")
@@ -112,7 +112,7 @@ def group_returns(prices: DataFrame, groups: DataFrame, horizons: tuple[int, ...
     peers, there_too = n - 1, v.isNotNull() & (n > 1)
     half = F.floor(n / 2)
     # the i-th of the others is the i-th of all before the row's own place and the next one from there on
-    other = lambda i: F.element_at(F.array("m0", "m1", "m2"), (i + F.when(i >= k, 1).otherwise(0) - half + 2).cast("int"))
+    other = lambda i: F.get(F.array("m0", "m1", "m2"), (i + F.when(i >= k, 1).otherwise(0) - half).cast("int"))
     median = F.when(peers % 2 == 1, other(F.floor((peers + 1) / 2))).otherwise((other(F.floor(peers / 2)) + other(F.floor(peers / 2) + 1)) / 2)
     x1 = F.col("x1") - x
     variance = F.greatest(F.col("x2") - x * x - x1 * x1 / peers, F.lit(0.0)) / (peers - 1)
