@@ -64,15 +64,12 @@ def repeat_words(df: DataFrame, words: str, out: str, window: int = 5) -> DataFr
     after = lambda c, n: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
     joined = lambda x, y, n: F.zip_with(x, after(y, n), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("_of1", F.transform(words, lambda w: F.xxhash64(w)))
-    size, out_col = 1, "_of1"
+    size = 1
     while size < window:
-        step = min(size, window - size)
-        last = out_col if step == size else "_of1"
-        if last == "_of1" and step > 1:
-            step = 1
-        df = df.withColumn(f"_of{size + step}", joined(F.col(out_col), F.col(last), size))
-        size, out_col = size + step, f"_of{size + step}"
-    df = df.withColumn("_hashes", F.slice(out_col, 1, F.greatest(n_windows, F.lit(0)))).drop(*(f"_of{k}" for k in range(1, window + 1)))
+        step = 1 << (min(size, window - size).bit_length() - 1)
+        df = df.withColumn(f"_of{size + step}", joined(F.col(f"_of{size}"), F.col(f"_of{step}"), size))
+        size += step
+    df = df.withColumn("_hashes", F.slice(f"_of{window}", 1, F.greatest(n_windows, F.lit(0)))).drop(*(f"_of{k}" for k in range(1, window + 1)))
     df = df.withColumn("_suspect", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
     gram = lambda i: F.struct(F.concat_ws(" ", *[word(i, k) for k in range(window)]).alias("gram"), i.alias("at"))
     df = df.withColumn("_grams", F.when(F.col("_suspect"), F.sort_array(F.transform(at, gram))))

@@ -73,3 +73,48 @@ def test_sequences_can_be_built_from_the_last_table(stages):
     ids = {i: library_ids(t).tobytes() for i, t in texts(stages[4])}
     for r in stages[5].collect():
         assert bytes(r["ids"]) == ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
+
+
+AWKWARD = [(None, None), (None, "a document without an id, of a few words."), (900, None), (900, None), (901, ""), (902, " \n\t"), (903, "word"), (904, "é" * 3000), (905, "日本語 text " * 4000), (906, "<|endoftext|> as a text")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, tmp_path_factory):
+    """Nulls, empty and long texts, repeated rows, ids without a label and with two, columns named like inner ones."""
+    root = tmp_path_factory.mktemp("awkward")
+    good = [(k, f"a calm sentence about the sea and the hills, number {k}, which comes to its end with word {k * k}. " * 8) for k in range(80)]
+    bad = [(200 + k, f"BUY!!! $$$ {k} *** click {k * k} *** " * 20) for k in range(80)]
+    rows = [(i, t, "en", "s", len(t or ""), "x", 1, "y", 2) for i, t in [*good, *bad, good[3], (300, good[5][1] + "More."), *AWKWARD]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _quality string, node int, sequence_id string, offset int"
+    spark.createDataFrame(rows, schema).write.parquet(str(root / "documents.parquet"))
+    labels = [(k, 1, 0) for k in range(80)] + [(200 + k, 0, 0) for k in range(80)] + [(900, 1, 0), (3, 0, 0), (None, 1, 0), (7, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(root / "labels.parquet"))
+    return str(root)
+
+
+def test_every_stage_takes_awkward_documents(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    kept, columns = docs, docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, kept = kept, materialise(stage(spark, kept, awkward), f"awkward{k}")
+        if k < 4:
+            assert kept.columns == columns, name
+            assert 0 < kept.count() <= before.count(), name
+    scored = {r["doc_id"] for r in corpus_pipeline.drop_low_quality(spark, docs, awkward).collect()}
+    assert set(range(80)) <= scored and not scored & set(range(200, 280))
+    pieces = kept.collect()
+    check_places(pieces, 2048)
+    last = {(r["doc_id"], r["text"]) for r in before.collect()}
+    assert sum(r["length"] for r in pieces) == sum(len(library_ids(t)) for _, t in last)
+
+
+def test_every_stage_takes_an_empty_table(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), awkward).count() == 0, name
+
+
+def test_without_labels_of_both_kinds_all_stay(spark, awkward, tmp_path):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path)).count() == docs.count()
