@@ -23,6 +23,61 @@ class Section:
     prefixes: tuple[str, ...] = ()
     kinds: tuple[str, ...] = KINDS
     max_points: int | None = None
+    records: tuple[str, ...] = ()
+    max_records: int | None = None
+    newest: bool = True
+
+
+def _facts(name: str, most: int, *types: str) -> Section:
+    return Section(name, kinds=(), records=types, max_records=most)
+
+
+#: The sections of the compact profile.
+COMPACT = (
+    _facts("identity_facts", 2, "Instrument", "SectorClassification"),
+    _facts("recent_market_facts", 30, "PriceBar"),
+    _facts("fundamental_facts", 8, "FundamentalSnapshot"),
+    _facts("ownership_facts", 8, "ShareholdingSnapshot"),
+    _facts("event_facts", 20, "CorporateAction", "CompanyEvent", "Filing", "NewsItem"),
+    Section("summaries", ("historical_state_", "historical_percentiles", "volatility_state", "trend_state", "historical_extremes", "persistence", "return_", "volatility_"), ("summary", "observation")),
+    Section("recent_market", ("close", "return_", "realized_volatility_", "drawdown", "sma_"), ("observation", "series"), 30),
+    Section("weekly_context", ("week_return",), ("observation", "series"), 52),
+    Section("monthly_context", ("month_return",), ("observation", "series"), 60),
+)
+
+
+def compact(items: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The compact profile: (selected items, selected records) of every instrument."""
+    most_items, most_points = LIMITS["compact"]
+    return select_items(items, [s for s in COMPACT if s.kinds], most_items, most_points), select_records(records, list(COMPACT))
+
+
+def select_records(records: DataFrame, sections: list[Section]) -> DataFrame:
+    """(instrument_id, section, record_id, position) of the records (instrument_id, record_id, record_type, at) that sections
+    ask for: the newest (or first) ``max_records`` of their types, in the order of time; a record that two sections take
+    is in the first one. Records take nothing from the budgets of items."""
+    wanted = [(k, s) for k, s in enumerate(sections) if s.records]
+    each = F.array(*(F.when(F.col("record_type").isin(*s.records), F.struct(F.lit(k).alias("place"), F.lit(s.name).alias("section"), F.lit(s.max_records).cast("long").alias("most"), F.lit(s.newest).alias("newest"))) for k, s in wanted))
+    rows = records.select("instrument_id", "record_id", "at", F.inline(F.array_compact(each)))
+    group = ("instrument_id", "place")
+    up, down = (Window.partitionBy(*group).orderBy(*order) for order in (("at", "record_id"), (F.desc("at"), F.desc("record_id"))))
+    rows = rows.withColumn("k", F.when(F.col("newest"), F.row_number().over(down)).otherwise(F.row_number().over(up))).where("most IS NULL OR k <= most")
+    once = rows.groupBy("instrument_id", "record_id").agg(F.min(F.struct("place", "section", "at")).alias("m")).select("instrument_id", "record_id", "m.*")
+    order = Window.partitionBy("instrument_id").orderBy("place", "at", "record_id")
+    return once.select("instrument_id", "section", "record_id", F.row_number().over(order).cast("long").alias("position"))
+
+
+def pack_ids(selected: DataFrame) -> DataFrame:
+    """(instrument_id, pack_id): a hash of what an instrument's selection holds, in order. A selection is bounded."""
+    entry = F.concat_ws(":", "section", "kind", "item_id", F.coalesce(F.col("included_points").cast("string"), F.lit("")))
+    gathered = F.transform(F.sort_array(F.collect_list(F.struct("position", entry.alias("e")))), lambda x: x["e"])
+    return selected.groupBy("instrument_id").agg(gathered.alias("held")).select("instrument_id", F.sha2(F.concat_ws("|", F.col("instrument_id").cast("string"), F.array_join("held", "|")), 256).alias("pack_id"))
+
+
+def json_lines(df: DataFrame) -> tuple[dict[str, str], DataFrame]:
+    """(header: the columns that are the same in all rows, rows with one column ``line``: the other columns as JSON without nulls)."""
+    rows, header = shaped(df, keep=tuple(c for c in df.columns if c.endswith(("_id", "_ids"))))
+    return header, rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
 
 
 def select_items(items: DataFrame, sections: list[Section], max_items: int, max_points: int) -> DataFrame:

@@ -310,3 +310,38 @@ def prm_02(spark, d):
 def rpr_01(spark, d):
     s = read(spark, d, "supplier").select("s_suppkey", "s_name", F.lit(None).cast("string").alias("nothing"), F.lit("x").alias("same"))
     return context.shaped(s)[0]
+
+
+@query("rpr_04_json_lines", """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"' || CASE WHEN s_nationkey > 10 THEN ',"n":' || s_nationkey ELSE '' END || '}' AS line FROM supplier""")
+def rpr_04(spark, d):
+    s = read(spark, d, "supplier")
+    return context.json_lines(s.select("s_suppkey", "s_name", F.lit("INR").alias("unit"), F.when(F.col("s_nationkey") > 10, F.col("s_nationkey")).alias("n")))[1]
+
+
+_RECORDS = [context.Section("first", kinds=(), records=("error", "signup"), max_records=3), context.Section("second", kinds=(), records=("signup", "view"), max_records=4, newest=False)]
+
+
+@query("ctx_01_records", """WITH r AS (SELECT user_id, event_id, ts, 1 AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type IN ('error', 'signup')
+    UNION ALL SELECT user_id, event_id, ts, 2, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) FROM events WHERE event_type IN ('signup', 'view')),
+    o AS (SELECT user_id, event_id, min(ts) AS ts, min(place) AS place FROM r WHERE k <= CASE place WHEN 1 THEN 3 ELSE 4 END GROUP BY 1, 2)
+    SELECT user_id AS instrument_id, CASE place WHEN 1 THEN 'first' ELSE 'second' END AS section, event_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY place, ts, event_id) AS position FROM o""")
+def ctx_01_records(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("instrument_id"), F.col("event_id").alias("record_id"), F.col("event_type").alias("record_type"), F.col("ts").alias("at"))
+    return context.select_records(e, _RECORDS)
+
+
+@query("ctx_02_compact", """WITH i AS (SELECT user_id, event_id % 60 AS m, count(*) AS n FROM events GROUP BY 1, 2),
+    c AS (SELECT user_id, 'i' || m AS item_id, CASE m % 3 WHEN 0 THEN 'summary' ELSE 'series' END AS kind, CASE WHEN m % 3 = 0 THEN 1 WHEN m % 3 = 1 THEN 2 ELSE 3 END AS place, n * 20 AS points FROM i WHERE m < 30),
+    w AS (SELECT *, CASE kind WHEN 'series' THEN least(points, CASE place WHEN 2 THEN 30 ELSE 52 END) ELSE 0 END AS wanted FROM c),
+    u AS (SELECT *, coalesce(sum(wanted) OVER (PARTITION BY user_id ORDER BY place, kind <> 'summary', item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM w),
+    s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place, kind <> 'summary', item_id) AS position FROM u WHERE kind <> 'series' OR used < 500)
+    SELECT user_id AS instrument_id, item_id, CASE place WHEN 1 THEN 'summaries' WHEN 2 THEN 'recent_market' ELSE 'weekly_context' END AS section, position,
+    CASE WHEN kind = 'series' THEN least(wanted, 500 - used)::BIGINT END AS included_points FROM s WHERE position <= 24""")
+def ctx_02(spark, d):
+    m = F.col("event_id") % 60
+    kind = F.when(m % 3 == 0, "summary").otherwise("series")
+    metric = F.when(m >= 30, "unknown").when(m % 3 == 0, "persistence").when(m % 3 == 1, "sma_20").otherwise("week_return")
+    e = read(spark, d, "events")
+    items = e.groupBy(F.col("user_id").alias("instrument_id"), F.concat(F.lit("i"), m.cast("string")).alias("item_id"), kind.alias("kind"), metric.alias("metric")).agg((F.count(F.lit(1)) * 20).alias("points"))
+    none = e.limit(0).select(F.col("user_id").alias("instrument_id"), F.col("event_id").alias("record_id"), F.col("event_type").alias("record_type"), F.col("ts").alias("at"))
+    return context.compact(items, none)[0].select("instrument_id", "item_id", "section", "position", "included_points")

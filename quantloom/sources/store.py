@@ -41,3 +41,25 @@ def write_raw(artifacts: DataFrame, root: str, content: str = "content") -> None
 def corrupted(spark: SparkSession, root: str) -> DataFrame:
     """Raw rows whose bytes no longer have the hash that names them."""
     return spark.read.parquet(f"{root}/raw").where(F.sha2("content", 256) != F.col("content_hash")).select("content_hash")
+
+
+def write_dated(payloads: DataFrame, root: str, source: str = "source", content: str = "content", at: str = "retrieved_at") -> None:
+    """Landed payloads as JSON rows under source, year, month and day, each with the hash of its content; a day's payload that is
+    there already is left out."""
+    on = F.col(at).cast("date")
+    rows = payloads.select(F.col(source).alias("source"), F.year(on).alias("year"), F.month(on).alias("month"), F.dayofmonth(on).alias("day"), F.sha2(F.col(content).cast("string"), 256).alias("content_hash"), F.col(content).cast("string").alias("content"))
+    keys = ["source", "year", "month", "day", "content_hash"]
+    fresh = rows.dropDuplicates(keys)
+    try:
+        fresh = fresh.join(payloads.sparkSession.read.schema(rows.schema).json(f"{root}/landed").select(*keys), keys, "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.write.partitionBy("source", "year", "month", "day").mode("append").json(f"{root}/landed")
+
+
+def read_raw(spark: SparkSession, root: str) -> DataFrame:
+    """The raw rows; one whose bytes no longer have the hash that names them fails the job that reads it."""
+    rows = spark.read.parquet(f"{root}/raw")
+    intact = F.sha2("content", 256) == F.col("content_hash")
+    return rows.withColumn("content", F.when(intact, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("corrupted raw artifact "), F.col("content_hash"))).cast("binary")))

@@ -44,6 +44,15 @@ def test_selection_matches_a_greedy_loop(spark):
         assert [(r["item_id"], r["section"], r["included_points"]) for r in out] == greedy(items, sections, max_items, max_points)
 
 
+def test_packs_and_json(spark):
+    items = spark.createDataFrame([("i", "a", "summary", "m", 0), ("i", "b", "series", "m", 9), ("j", "a", "summary", "m", 0)], "instrument_id string, item_id string, kind string, metric string, points long")
+    selected = context.select_items(items, [context.Section("s")], 5, 50)
+    ids = {r["instrument_id"]: r["pack_id"] for r in context.pack_ids(selected).collect()}
+    assert len(set(ids.values())) == 2 and ids == {r["instrument_id"]: r["pack_id"] for r in context.pack_ids(selected.repartition(3)).collect()}
+    header, lines = context.json_lines(spark.createDataFrame([("r1", "x", None), ("r2", "x", 2)], "record_id string, unit string, n int"))
+    assert header == {"unit": "x"} and sorted(r["line"] for r in lines.collect()) == ['{"record_id":"r1"}', '{"record_id":"r2","n":2}']
+
+
 def test_shape_and_lines(spark):
     df = spark.createDataFrame([("r1", "x|y\nz", "same", None), ("r2", "b", "same", None)], "record_id string, title string, unit string, gone string")
     rows, constant = context.shaped(df)

@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from quantloom.sources import markup, parsers, store, xbrl
@@ -94,3 +95,23 @@ def test_landed_files(spark, tmp_path):
         f.write('{"isin":"IN1","trading_symbol":"abc","exchange":"NSE"}\n\n{"isin":"","trading_symbol":"def","exchange":"NSE"}\n')
     out = parsers.instruments(parsers.read_landed(spark, str(tmp_path / "a.json.gz"), "json"))
     assert sorted(r["instrument_id"] for r in out.collect()) == ["IN1", "NSE:DEF"]
+
+
+def test_dated_and_checked_raw(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([("nse", '{"a":1}', dt.datetime(2026, 1, 5)), ("nse", '{"a":1}', dt.datetime(2026, 1, 5, 7)), ("nse", '{"a":1}', dt.datetime(2026, 1, 6))], "source string, content string, retrieved_at timestamp")
+    store.write_dated(rows, root)
+    store.write_dated(rows, root)
+    assert spark.read.json(f"{root}/landed").count() == 2 and spark.read.json(f"{root}/landed/source=nse/year=2026/month=1/day=5").count() == 1
+    raw = spark.createDataFrame([("s", bytearray(b"x"))], "source string, content binary")
+    store.write_raw(raw, root)
+    assert one(store.read_raw(spark, root))["content"] == bytearray(b"x")
+    spark.createDataFrame([("0" * 64, bytearray(b"y"), "00")], "content_hash string, content binary, shard string").write.partitionBy("shard").mode("append").parquet(f"{root}/raw")
+    with pytest.raises(Exception, match="corrupted raw artifact"):
+        store.read_raw(spark, root).collect()
+
+
+def test_nothing_landed_is_an_empty_table(spark, tmp_path):
+    assert parsers.read_landed(spark, str(tmp_path / "none"), "json", schema="a string").count() == 0
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert parsers.read_landed(spark, str(tmp_path / "a.json"), "json", multiLine=True).count() == 2
