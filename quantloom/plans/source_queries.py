@@ -159,18 +159,17 @@ def exp_06(spark, d):
 # ---- selection ----
 
 _SECTIONS = [context.Section("activity", ("act",), ("summary", "observation")), context.Section("prices", (), ("series",), max_points=30), context.Section("rest")]
-_ITEMS = """it AS (SELECT user_id AS instrument_id, 'i' || event_id % 40 AS item_id, min(CASE event_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'observation' ELSE 'series' END) AS kind,
-  CASE WHEN event_id % 40 % 2 = 0 THEN 'activity.n' ELSE 'other' END AS metric, count(*) * 7 AS points FROM events WHERE event_id % 3 = event_id % 40 % 3 GROUP BY 1, 2, 4)"""
+_ITEMS = """it AS (SELECT user_id AS instrument_id, 'i' || event_id % 40 AS item_id, CASE event_id % 40 % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'observation' ELSE 'series' END AS kind,
+  CASE WHEN event_id % 40 % 2 = 0 THEN 'activity.n' ELSE 'other' END AS metric, count(*) * 7 AS points FROM events GROUP BY 1, 2, 3, 4)"""
 
 
-def items(spark, d):
-    e, k = read(spark, d, "events"), F.col("event_id")
-    kind = F.min(F.when(k % 3 == 0, "summary").when(k % 3 == 1, "observation").otherwise("series"))
-    return (
-        e.where(k % 3 == k % 40 % 3)
-        .groupBy(F.col("user_id").alias("instrument_id"), F.concat(F.lit("i"), (k % 40).cast("string")).alias("item_id"), F.when(k % 40 % 2 == 0, "activity.n").otherwise("other").alias("metric"))
-        .agg(kind.alias("kind"), (F.count(F.lit(1)) * 7).alias("points"))
-    )
+def all_items(spark, d):
+    """Items over all events: the kind comes from the item's number, so that each item has one."""
+    e, k = read(spark, d, "events"), F.col("event_id") % 40
+    kind = F.when(k % 3 == 0, "summary").when(k % 3 == 1, "observation").otherwise("series")
+    return e.groupBy(
+        F.col("user_id").alias("instrument_id"), F.concat(F.lit("i"), k.cast("string")).alias("item_id"), F.when(k % 2 == 0, "activity.n").otherwise("other").alias("metric"), kind.alias("kind")
+    ).agg((F.count(F.lit(1)) * 7).alias("points"))
 
 
 _SELECTED = f"""WITH {_ITEMS}, p AS (SELECT *, CASE WHEN kind <> 'series' AND metric LIKE 'act%' THEN 0 WHEN kind = 'series' THEN 1 ELSE 2 END AS place,
@@ -182,38 +181,22 @@ _SELECTED = f"""WITH {_ITEMS}, p AS (SELECT *, CASE WHEN kind <> 'series' AND me
 @query("ctx_01_select_items", f"""{_SELECTED} SELECT instrument_id, item_id, kind, metric, CASE place WHEN 0 THEN 'activity' WHEN 1 THEN 'prices' ELSE 'rest' END AS section, position,
     CASE WHEN kind = 'series' THEN least(wanted, 60 - used)::BIGINT END AS included_points, CASE WHEN kind = 'series' THEN (wanted - least(wanted, 60 - used))::BIGINT END AS omitted_points FROM s WHERE position <= 12""")
 def ctx_01(spark, d):
-    return context.select_items(items(spark, d), _SECTIONS, max_items=12, max_points=60)
+    return context.select_items(all_items(spark, d), _SECTIONS, max_items=12, max_points=60)
 
 
 @query("rpr_03_pack_text", f"""{_SELECTED} SELECT instrument_id, string_agg('- ' || CASE place WHEN 0 THEN 'activity' WHEN 1 THEN 'prices' ELSE 'rest' END || ' / ' || metric
     || coalesce(CASE WHEN kind = 'series' THEN ' (' || least(wanted, 60 - used)::BIGINT || ' points)' END, ''), chr(10) ORDER BY position) AS text FROM s WHERE position <= 12 GROUP BY 1""")
 def rpr_03(spark, d):
-    return context.pack_text(context.select_items(items(spark, d), _SECTIONS, max_items=12, max_points=60))
-
-
-_ALL_ITEMS = """it AS (SELECT user_id AS instrument_id, 'i' || event_id % 40 AS item_id, CASE event_id % 40 % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'observation' ELSE 'series' END AS kind,
-  CASE WHEN event_id % 40 % 2 = 0 THEN 'activity.n' ELSE 'other' END AS metric, count(*) * 7 AS points FROM events GROUP BY 1, 2, 3, 4)"""
-
-
-def all_items(spark, d):
-    """Items over all events: the kind comes from the item's number, so that each item has one."""
-    e, k = read(spark, d, "events"), F.col("event_id") % 40
-    kind = F.when(k % 3 == 0, "summary").when(k % 3 == 1, "observation").otherwise("series")
-    return e.groupBy(
-        F.col("user_id").alias("instrument_id"), F.concat(F.lit("i"), k.cast("string")).alias("item_id"), F.when(k % 2 == 0, "activity.n").otherwise("other").alias("metric"), kind.alias("kind")
-    ).agg((F.count(F.lit(1)) * 7).alias("points"))
-
-
-_ALL_SELECTED = _SELECTED.replace(_ITEMS, _ALL_ITEMS)
+    return context.pack_text(context.select_items(all_items(spark, d), _SECTIONS, max_items=12, max_points=60))
 
 
-@query("ctx_01_select_all_items", f"""{_ALL_SELECTED} SELECT instrument_id, item_id, kind, metric, CASE place WHEN 0 THEN 'activity' WHEN 1 THEN 'prices' ELSE 'rest' END AS section, position,
+@query("ctx_01_select_all_items", f"""{_SELECTED} SELECT instrument_id, item_id, kind, metric, CASE place WHEN 0 THEN 'activity' WHEN 1 THEN 'prices' ELSE 'rest' END AS section, position,
     CASE WHEN kind = 'series' THEN least(wanted, 60 - used)::BIGINT END AS included_points, CASE WHEN kind = 'series' THEN (wanted - least(wanted, 60 - used))::BIGINT END AS omitted_points FROM s WHERE position <= 12""")
 def ctx_01_all(spark, d):
     return context.select_items(all_items(spark, d), _SECTIONS, max_items=12, max_points=60)
 
 
-@query("rpr_03_pack_all_text", f"""{_ALL_SELECTED} SELECT instrument_id, string_agg('- ' || CASE place WHEN 0 THEN 'activity' WHEN 1 THEN 'prices' ELSE 'rest' END || ' / ' || metric
+@query("rpr_03_pack_all_text", f"""{_SELECTED} SELECT instrument_id, string_agg('- ' || CASE place WHEN 0 THEN 'activity' WHEN 1 THEN 'prices' ELSE 'rest' END || ' / ' || metric
     || coalesce(CASE WHEN kind = 'series' THEN ' (' || least(wanted, 60 - used)::BIGINT || ' points)' END, ''), chr(10) ORDER BY position) AS text FROM s WHERE position <= 12 GROUP BY 1""")
 def rpr_03_all(spark, d):
     return context.pack_text(context.select_items(all_items(spark, d), _SECTIONS, max_items=12, max_points=60))
