@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import TRADING_DAYS, change, days_between, full_window, history, last_rows, ratio
 from quantloom.functions.folders import ensure_checkpoint_dir
-from quantloom.operators.market import drawdown_series, prepared, valid_returns
+from quantloom.functions.ship import ship_package
+from quantloom.operators.market import drawdown_series, prepared, smoothed, valid_returns
 
 YEAR = TRADING_DAYS**0.5
 
@@ -46,6 +48,49 @@ def true_range(prices: DataFrame, window: int = 14) -> DataFrame:
     return rows.withColumn("atr", full_window(F.avg("tr"), w, window, F.col("tr"))).where("atr IS NOT NULL")
 
 
+def _directional(bars: pd.DataFrame) -> pd.DataFrame:
+    n, bars = 14, bars.sort_values("ts").reset_index(drop=True)
+    before = bars.shift(1)
+    span = pd.concat([bars["high"] - bars["low"], (bars["high"] - before["close"]).abs(), (bars["low"] - before["close"]).abs()], axis=1).max(axis=1).iloc[1:]
+    up, down = (bars["high"] - before["high"]).iloc[1:], (before["low"] - bars["low"]).iloc[1:]
+    true_range = smoothed(span, n, 1 / n)
+    plus = 100 * smoothed(up.where((up > down) & (up > 0), 0.0), n, 1 / n) / true_range
+    minus = 100 * smoothed(down.where((down > up) & (down > 0), 0.0), n, 1 / n) / true_range
+    index = (100 * (plus - minus).abs() / (plus + minus)).where(plus + minus != 0, 0.0)[plus.notna()]
+    out = bars[["instrument_id", "ts"]].copy()
+    out["atr"], out["plus_di"], out["minus_di"] = true_range, plus, minus
+    out["adx"] = smoothed(index, n, 1 / n) if len(index) else float("nan")
+    return out[out["atr"].notna()]
+
+
+def directional_movement(prices: DataFrame) -> DataFrame:
+    """Average true range, directional indicators and ADX over 14 rows, all by Wilder's recursive smoothing seeded by the mean;
+    ADX is null until it is defined. As the recursion runs on one instrument at a time, a history must fit in a task."""
+    ship_package(prices.sparkSession)
+    rows = prepared(prices).select("instrument_id", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
+    key = rows.schema["instrument_id"].dataType.simpleString()
+    names = ("atr", "plus_di", "minus_di", "adx")
+    out = rows.groupBy("instrument_id").applyInPandas(_directional, f"instrument_id {key}, ts timestamp, " + ", ".join(f"{c} double" for c in names))
+    return out.select("instrument_id", "ts", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in names))
+
+
+def moving_averages(prices: DataFrame, windows: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """(instrument_id, ts, window, value): simple means of the close over full windows."""
+    w = history()
+    means = F.array(*(F.struct(F.lit(n).alias("window"), full_window(F.avg("close"), w, n, F.col("close")).alias("value")) for n in windows))
+    rows = prepared(prices).select("instrument_id", "ts", means.alias("m"))
+    return rows.select("instrument_id", "ts", F.inline("m")).where("value IS NOT NULL")
+
+
+def text_parts(texts: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(id, part, text): a text in parts of ``size`` characters, each beginning ``overlap`` before the end of the last; empty
+    and null texts have none."""
+    text, step = F.col(text_col), size - overlap
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(step)))
+    rows = texts.select(F.col(id_col), text.alias("_text"), F.posexplode(starts).alias("part", "at"))
+    return rows.select(id_col, "part", F.substring("_text", F.col("at") + 1, F.lit(size)).alias(text_col))
+
+
 def performance(prices: DataFrame) -> DataFrame:
     """Growth a year, Sharpe, Sortino, Calmar, moments, value at risk and shortfall at 5 %, ulcer index; no risk-free rate."""
     r = valid_returns(prices)

@@ -111,6 +111,32 @@ def bkd_true_range(spark, d):
     return indicators.true_range(bars(spark, d))
 
 
+@query("bkd_01_directional_movement", f"""WITH RECURSIVE {B.replace("WITH ", "", 1)}, c AS (SELECT instrument_id, ts, high, low, row_number() OVER w - 1 AS i, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr,
+      high - lag(high) OVER w AS up, lag(low) OVER w - low AS down FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
+    m AS (SELECT instrument_id, ts, i, tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS n FROM c WHERE i > 0),
+    s AS (SELECT instrument_id, 14::BIGINT AS i, avg(tr) AS tr, avg(p) AS p, avg(n) AS n FROM m WHERE i <= 14 GROUP BY 1 HAVING count(*) = 14
+      UNION ALL SELECT s.instrument_id, m.i, (s.tr * 13 + m.tr) / 14, (s.p * 13 + m.p) / 14, (s.n * 13 + m.n) / 14 FROM s JOIN m ON m.instrument_id = s.instrument_id AND m.i = s.i + 1),
+    d AS (SELECT instrument_id, i, i - 13 AS k, CASE WHEN p + n = 0 THEN 0 ELSE 100 * abs(p - n) / (p + n) END AS x FROM s),
+    a AS (SELECT instrument_id, 14::BIGINT AS k, avg(x) AS y FROM d WHERE k <= 14 GROUP BY 1 HAVING count(*) = 14
+      UNION ALL SELECT a.instrument_id, d.k, (a.y * 13 + d.x) / 14 FROM a JOIN d ON d.instrument_id = a.instrument_id AND d.k = a.k + 1)
+    SELECT m.instrument_id, m.ts, s.tr AS atr, 100 * s.p / s.tr AS plus_di, 100 * s.n / s.tr AS minus_di, a.y AS adx FROM s JOIN m ON m.instrument_id = s.instrument_id AND m.i = s.i
+    LEFT JOIN a ON a.instrument_id = s.instrument_id AND a.k = s.i - 13""", "atr plus_di minus_di adx")
+def bkd_directional(spark, d):
+    return indicators.directional_movement(bars(spark, d))
+
+
+@query("bkd_01_moving_averages", f"""{B}, x AS (SELECT instrument_id, ts, avg(close) {over(20)} AS a, count(*) {over(20)} AS na, avg(close) {over(50)} AS b, count(*) {over(50)} AS nb FROM bars)
+    SELECT instrument_id, ts, 20 AS "window", a AS value FROM x WHERE na = 20 UNION ALL SELECT instrument_id, ts, 50, b FROM x WHERE nb = 50""", "value")
+def bkd_moving(spark, d):
+    return indicators.moving_averages(bars(spark, d))
+
+
+@query("exp_06_text_parts", """WITH l AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0)
+    SELECT doc_id, k::INT AS part, substr(text, k * 800 + 1, 1000) AS text FROM l, unnest(generate_series(0, greatest(n - 201, 0) // 800)) AS t(k)""")
+def exp_06_parts(spark, d):
+    return indicators.text_parts(read(spark, d, "documents"), "doc_id", "text")
+
+
 @query("bkd_02_performance", f"""{RETURNS}, d AS (SELECT instrument_id, ts, close, close / max(close) OVER (PARTITION BY instrument_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars),
     a AS (SELECT instrument_id, CASE WHEN max(ts) > min(ts) THEN pow(arg_max(close, ts) / arg_min(close, ts), 365.2425 / date_diff('day', min(ts), max(ts))) - 1 END AS cagr, min(dd) AS max_drawdown, sqrt(avg(dd * dd)) AS ulcer_index FROM d GROUP BY 1),
     g AS (SELECT instrument_id, count(*) AS n, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) AS down, sum(r) AS sr FROM r GROUP BY 1),
