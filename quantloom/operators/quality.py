@@ -62,20 +62,33 @@ def timestamp_anomalies(df: DataFrame, id_col: str) -> DataFrame:
     return finding(df.select(F.col(id_col).alias("_id"), F.explode(broken).alias("_rule")), "timestamp", "error", F.col("_id"), F.col("_rule"))
 
 
-def json_signature(text: Column) -> Column:
-    """Sorted ``path:type`` of the first-level fields of JSON objects; nested values are told by their own kind."""
-    keys = F.json_object_keys(text)
-    value = lambda k: F.call_function("get_json_object", text, F.concat(F.lit("$['"), k, F.lit("']")))
-
-    def told(k: Column) -> Column:
-        v = value(k)
-        return F.concat(
-            k,
-            F.lit(":"),
-            F.when(v.isNull(), "null").when(v.rlike(r"^\{"), "object").when(v.rlike(r"^\["), "array").when(v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number").when(v.isin("true", "false"), "bool").otherwise("string"),
-        )
-
-    return F.array_join(F.sort_array(F.transform(F.coalesce(keys, F.array().cast("array<string>")), told)), ",")
+def json_signature(text: Column, depth: int = 6) -> Column:
+    """Sorted distinct ``path:kind`` of JSON: members of objects by name, of lists the first element under ``path[]``; an empty
+    object and what lies below ``depth`` levels are told by their kind. Text that isn't JSON has the empty signature."""
+    entry = "array<struct<path:string,kind:string,v:variant>>"
+    kind = lambda v: F.upper(F.schema_of_variant(v))
+    of = lambda path, kind, v: F.struct(path.alias("path"), kind.alias("kind"), v.alias("v"))
+    open_kind, nothing = F.lit(None).cast("string"), F.lit(None).cast("variant")
+
+    def opened(e: Column) -> Column:
+        members = F.map_entries(e["v"].cast("map<string,variant>"))
+        named = F.transform(members, lambda m: of(F.when(e["path"] == "", m["key"]).otherwise(F.concat(e["path"], F.lit("."), m["key"])), open_kind, m["value"]))
+        listed = F.concat(F.array(of(e["path"], F.lit("array"), nothing)), F.transform(F.slice(e["v"].cast("array<variant>"), 1, 1), lambda x: of(F.concat(e["path"], F.lit("[]")), open_kind, x)))
+        as_it_is = F.array(of(e["path"], e["kind"], e["v"])).cast(entry)
+        is_object = e["kind"].isNull() & kind(e["v"]).startswith("OBJECT") & (F.size(members) > 0)
+        return F.when(is_object, named.cast(entry)).when(e["kind"].isNull() & kind(e["v"]).startswith("ARRAY"), listed.cast(entry)).otherwise(as_it_is)
+
+    parsed = F.try_parse_json(text)
+    entries = F.when(parsed.isNotNull(), F.array(of(F.lit(""), open_kind, parsed)).cast(entry))
+    for _ in range(depth):
+        entries = F.flatten(F.transform(entries, opened))
+
+    def told(e: Column) -> Column:
+        k = kind(e["v"])
+        plain = F.when(k.startswith("OBJECT"), "object").when(k.startswith("ARRAY"), "array").when(k == "STRING", "string").when(k == "BOOLEAN", "bool").when(k == "VOID", "null").otherwise("number")
+        return F.concat(e["path"], F.lit(":"), F.coalesce(e["kind"], plain))
+
+    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(entries, told))), ","), F.lit(""))
 
 
 def schema_drift(df: DataFrame, group: tuple[str, ...], signature: str, seq: str, id_col: str) -> DataFrame:

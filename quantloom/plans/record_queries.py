@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import canonical, fundamentals, prices, records
+from quantloom.operators import canonical, fundamentals, prices, quality, records
 from quantloom.plans import context
 from quantloom.plans.catalog import query
 from quantloom.sources import exchange, markup, parsers, xbrl
@@ -345,3 +345,18 @@ def ctx_02(spark, d):
     items = e.groupBy(F.col("user_id").alias("instrument_id"), F.concat(F.lit("i"), m.cast("string")).alias("item_id"), kind.alias("kind"), metric.alias("metric")).agg((F.count(F.lit(1)) * 20).alias("points"))
     none = e.limit(0).select(F.col("user_id").alias("instrument_id"), F.col("event_id").alias("record_id"), F.col("event_type").alias("record_type"), F.col("ts").alias("at"))
     return context.compact(items, none)[0].select("instrument_id", "item_id", "section", "position", "included_points")
+
+
+@query("prs_18_news_items", """SELECT page_id, 'yfinance:' || substr(sha256(CASE WHEN page_id % 2 = 0 THEN 'n' || page_id ELSE 'http://h/' || page_id END), 1, 32) AS news_id, 'Page ' || page_id AS title,
+    TIMESTAMP '2026-01-05 04:30:00' AS published_at, 'http://h/' || page_id AS url, CASE WHEN page_id % 2 = 0 THEN 'text' END AS summary, CASE WHEN page_id % 2 = 0 THEN 'Wire' ELSE 'Yahoo Finance' END AS source_name FROM pages""")
+def prs_18(spark, d):
+    inner = F.format_string('[{"id":"n%d","content":{"title":"Page %d","summary":"text","pubDate":"2026-01-05T04:30:00Z","canonicalUrl":{"url":"http://h/%d"},"provider":{"displayName":"Wire"}}},"x"]', "page_id", "page_id", "page_id")
+    flat = F.format_string('[{"title":"Page %d","link":"http://h/%d","providerPublishTime":1767587400}]', "page_id", "page_id")
+    text = F.when(F.col("page_id") % 2 == 0, inner).otherwise(flat)
+    return parsers.news_items(read(spark, d, "pages").select("page_id", text.alias("t")), "t", "page_id")
+
+
+@query("dq_07_nested_signature", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a.b.c:number,a.d:array,a.d[].e:string,f:null' WHEN 1 THEN 'a:object,x:array,x[]:array,x[][]:bool' ELSE '' END AS signature FROM orders""")
+def dq_07_nested(spark, d):
+    shape = F.element_at(F.array(*map(F.lit, ('{"a":{"b":{"c":1.5},"d":[{"e":"1"},{"z":2}]},"f":null}', '{"x":[[true,1]],"a":{}}', "not json"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", quality.json_signature(shape).alias("signature"))

@@ -239,3 +239,20 @@ def from_feed(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFra
     entries = F.transform(atom, lambda x: one(x["title"], x["link"]["_href"], F.coalesce(x["summary"], x["content"]), F.coalesce(x["published"], x["updated"]), x["id"]))
     rows = payloads.select(*keep, F.explode(F.when(F.size(F.coalesce(items, F.array())) > 0, items).otherwise(entries)).alias("n")).select(*keep, "n.*")
     return rows.withColumn("news_id", short_id("news:", F.coalesce("url", F.lit("")), F.coalesce("title", F.lit("")), length=32))
+
+
+def news_items(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
+    """A list of news objects, the news in ``content`` or in the object itself, to news rows; ids come from the first of id,
+    address, and title with time. Times are texts or seconds."""
+    rows = payloads.select(*keep, F.explode(F.from_json(text, "array<string>")).alias("_item")).where(F.trim("_item").startswith("{"))
+    get = lambda *paths: F.coalesce(*(F.nullif(F.trim(F.get_json_object("_item", f"$.{p}")), F.lit("")) for p in paths))
+    both = lambda *names: [f"{where}{n}" for n in names for where in ("content.", "")]
+    when = get("content.pubDate", "pubDate", "content.displayTime", "displayTime", "providerPublishTime")
+    at = F.coalesce(F.timestamp_seconds(when.try_cast("long")), F.try_to_timestamp(when))
+    title = F.coalesce(get(*both("title")), F.lit(""))
+    url = get("content.canonicalUrl.url", "canonicalUrl.url", "content.clickThroughUrl.url", "clickThroughUrl.url", "link")
+    name = F.coalesce(get("id", "content.id"), url, F.concat_ws("|", title, F.coalesce(at.cast("string"), F.lit("None"))))
+    return rows.select(
+        *keep, F.concat(F.lit("yfinance:"), F.substring(F.sha2(name, 256), 1, 32)).alias("news_id"), title.alias("title"), at.alias("published_at"), url.alias("url"),
+        get(*both("summary", "description")).alias("summary"), F.coalesce(get(*both("provider.displayName")), F.lit("Yahoo Finance")).alias("source_name"),
+    )
