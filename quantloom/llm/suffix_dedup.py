@@ -13,9 +13,11 @@ string at a position goes if that factor has ``width`` bytes or more. The distri
    windows are later copies. Contexts are told apart by 128 bits from two independent hashes (seed and context). The first
    rows of contexts whose seed has a second context may still share some of their windows, and go on with their bytes.
 3. Suffix order. Rows go on by seed, and a task sorts the suffixes of whole seeds by their bytes, takes the shared lengths
-   of neighbours, finds previous and next smaller positions and from both the longest previous factors. Seeds of more than
-   ``most_rows`` rows are not gathered: the single suffixes of their windows are put in order over all tasks, by ranges of
-   bytes and position, so that even equal ones are dealt out; all but the smallest position of equal ones are later copies.
+   of neighbours, finds previous and next smaller positions and from both the longest previous factors. Rows of
+   seeds with more than ``most_rows`` rows go on in slices of ``SLICE`` neighbouring windows, by the bytes that all windows
+   of a slice share, which tells most of them apart. Where even these are the same in more rows, single suffixes are put in
+   order over all tasks, by ranges of bytes and position, so that equal ones are dealt out too; all but the smallest
+   position of equal ones are later copies.
 4. Each document's copied windows become byte spans, and the bytes left are joined.
 
 Seeds that a sample of the documents shows in more than one of ``hot_share`` documents are dealt out by context in step 2;
@@ -30,6 +32,7 @@ ordered by a hash of the text; an empty table gives no rows; other columns do no
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +46,12 @@ from quantloom.llm.hashing import Prefixes, U, mix, sliding_min
 
 CHUNK = 1 << 17
 LOW = U(CHUNK * 2 - 1)
+SLICE = 8
 
 
 def anchors(text: bytes, width: int, seed: int) -> tuple[np.ndarray, ...]:
-    """(seed hash, context hash, first window, number of windows) of each anchor; long texts in chunks of windows."""
+    """(seed hash, context hash, first window, number of windows, place of the seed after the first window) of each anchor;
+    long texts in chunks of windows."""
     found = []
     for base in range(0, max(len(text) - width + 1, 0), CHUNK):
         data = np.frombuffer(text, np.uint8)[base : base + CHUNK + width - 1]
@@ -55,9 +60,10 @@ def anchors(text: bytes, width: int, seed: int) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         n = np.diff(np.append(first, len(least)))
         at = (least[first] & LOW).astype(np.int64)
-        shape = (at - first).astype(np.uint64) << U(32) | n.astype(np.uint64)
+        shift = at - first
+        shape = shift.astype(np.uint64) << U(32) | n.astype(np.uint64)
         context = mix(Prefixes(data, 1).of(first, first + n - 1 + width) ^ mix(shape))
-        found.append((seeds[at], context, first + base, n))
+        found.append((seeds[at], context, first + base, n, shift))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else ()
 
 
@@ -111,7 +117,7 @@ def anchor_rows(texts: DataFrame, width: int, seed: int, hot: np.ndarray, parts:
             sizes = [len(p[0]) if p else 0 for p in found]
             if not sum(sizes):
                 continue
-            hashes, context, start, n = (np.concatenate([p[k] for p in found if p]) for k in range(4))
+            hashes, context, start, n, shift = (np.concatenate([p[k] for p in found if p]) for k in range(5))
             at = np.repeat(np.arange(len(found)), sizes)
             ids, versions = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", "version"))
             copied = settle([hashes, context], [ids, versions, start])
@@ -119,39 +125,47 @@ def anchor_rows(texts: DataFrame, width: int, seed: int, hot: np.ndarray, parts:
             hashes = np.where(dealt, mix(hashes + context % U(parts)), hashes)
             hashes = np.where(copied, mix(context ^ ids.astype(np.uint64) ^ start.astype(np.uint64)), hashes)
             yield pa.RecordBatch.from_arrays(
-                [column(hashes), column(context), column(ids), column(versions), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(copied), pa.array(dealt)],
-                ["seed", "context", "id", "version", "start", "n", "copied", "hot"],
+                [column(hashes), column(context), column(ids), column(versions), pa.array(start.astype(np.int32)), pa.array((shift << 16 | n).astype(np.int32)), pa.array(copied), pa.array(dealt)],
+                ["seed", "context", "id", "version", "start", "shape", "copied", "hot"],
             )
 
-    return texts.mapInArrow(tidy(run), "seed long, context long, id long, version int, start int, n short, copied boolean, hot boolean")
+    return texts.mapInArrow(tidy(run), "seed long, context long, id long, version int, start int, shape int, copied boolean, hot boolean")
+
+
+def slices(data: bytes, first: int, n: int, shift: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(key, first window, bytes) of the slices of an anchor's windows. Slices count from the seed, so equal windows are in
+    slices of equal number; the key is a hash of what all windows of a slice share."""
+    seed = first + shift
+    for k in range((shift - n + 1) // SLICE, shift // SLICE + 1):
+        nearest, farthest = max(SLICE * k, shift - n + 1), min(SLICE * k + SLICE - 1, shift)
+        shared = data[seed - SLICE * k : seed - SLICE * k - SLICE + 1 + width]
+        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True)
+        yield key, seed - farthest, data[seed - farthest : seed - nearest + width]
 
 
 def open_bytes(texts: DataFrame, width: int) -> DataFrame:
-    """(seed, id, version, start, bytes) of the rows of each text: the bytes of a row's windows, or, without a seed, of one window of it."""
+    """(seed, id, version, start, bytes, sliced) of the rows of each text: the bytes of a row's windows, or, of rows without a
+    seed, those of their slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("id", "version", "packed", "rows"))
             for key, version, packed, rows in zip(*columns, strict=True):
-                data, seeds, starts, parts = unpack(packed), [], [], []
+                data, found = unpack(packed), []
                 for r in rows:
                     first, n = r["start"], r["n"]
                     if r["seed"] is None:
-                        starts += range(first, first + n)
-                        parts += [data[k : k + width] for k in range(first, first + n)]
-                        seeds += [None] * n
+                        found += [(*x, True) for x in slices(data, first, n, r["shift"], width)]
                     else:
-                        starts.append(first)
-                        parts.append(data[first : first + n - 1 + width])
-                        seeds.append(r["seed"])
-                same = len(starts)
+                        found.append((r["seed"], first, data[first : first + n - 1 + width], False))
+                seeds, starts, parts, sliced = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds, pa.int64()), pa.array([key] * same, pa.int64()), pa.array([version] * same, pa.int32()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())],
-                    ["seed", "id", "version", "start", "bytes"],
+                    [pa.array(seeds, pa.int64()), pa.array([key] * len(seeds), pa.int64()), pa.array([version] * len(seeds), pa.int32()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary()), pa.array(sliced)],
+                    ["seed", "id", "version", "start", "bytes", "sliced"],
                 )
 
-    return texts.mapInArrow(tidy(run), "seed long, id long, version int, start int, bytes binary")
+    return texts.mapInArrow(tidy(run), "seed long, id long, version int, start int, bytes binary, sliced boolean")
 
 
 def smaller_before(rank: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,14 +312,19 @@ def copied_windows(
     # and as such rows get equal results it says nothing of its own
     settled = ordered.where("NOT _again").withColumn("whole", F.col("copied") | F.col("_same")).where("whole OR _other")
     gathered = F.when(~F.col("whole") & ~F.col("_many"), F.col("seed"))
-    settled = settled.select(*position, F.col("n").cast("int").alias("n"), "whole", gathered.alias("seed"))
+    settled = settled.select(*position, F.expr("shape & 65535").alias("n"), F.expr("shape >> 16").alias("shift"), "whole", gathered.alias("seed"))
     settled = materialise(settled, "anchors")
-    row = F.struct("start", "n", "seed")
+    row = F.struct("start", "n", "shift", "seed")
     open_rows = settled.where("NOT whole").groupBy("id", "version").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     joined = placed.join(open_rows.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "packed", "rows")
     left = materialise(open_bytes(joined, width), "suffixes")
-    by_suffix = suffix_runs(small_batches(left.where("seed IS NOT NULL").repartition("seed").sortWithinPartitions("seed")), width)
-    later = later_suffixes(left.where("seed IS NULL").select(*position, "bytes"))
+    sliced = left.where("sliced")
+    common = sliced.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).select("seed")
+    few = left.where("NOT sliced").unionByName(sliced.join(common, "seed", "left_anti"))
+    by_suffix = suffix_runs(small_batches(few.repartition("seed").sortWithinPartitions("seed")), width)
+    each = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - width)).alias("k")
+    single = sliced.join(common, "seed", "left_semi").select("id", "version", "start", "bytes", each)
+    later = later_suffixes(single.select("id", "version", (F.col("start") + F.col("k")).alias("start"), F.substring("bytes", F.col("k") + 1, F.lit(width)).alias("bytes")))
     found = settled.where("whole").select(*position, "n").unionByName(by_suffix)
     return found.unionByName(later.select(*position, F.lit(1).alias("n")))
 

@@ -63,7 +63,7 @@ def test_long_text_over_several_chunks(documents, monkeypatch, words):
     text = " ".join(words(3000, 1))
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 10)
     rows = [(1, text), (2, text[5000:9000] + "!" + text[100:300])]
-    hashes, context, start, n = suffix_dedup.anchors(text.encode(), 100, 32)
+    hashes, context, start, n, shift = suffix_dedup.anchors(text.encode(), 100, 32)
     assert n.sum() == len(text.encode()) - 99 and (start[1:] == (start + n)[:-1]).all()
     assert found(documents(rows), 100, 32) == brute(rows, 100)
 
@@ -84,7 +84,7 @@ def test_deduplicated_keeps_columns_and_null_texts(documents):
     assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("placement", [{"most_rows": 1}, {"most_rows": 3}, {"one_in": 1, "hot_share": 10}])
+@pytest.mark.parametrize("placement", [{"most_rows": 1}, {"most_rows": 3}, {"most_rows": 40}, {"one_in": 1, "hot_share": 10}, {"one_in": 1, "hot_share": 10, "most_rows": 60}])
 def test_placement_of_hot_seeds_changes_nothing(documents, words, placement):
     phrase = " ".join(words(30, 77))
     rows = [(k, f"{' '.join(words(k % 7, k))} {phrase[k % 5 :]} {' '.join(words(k % 4, 500 + k))}") for k in range(120)]
@@ -108,6 +108,22 @@ def test_equal_suffixes_over_several_tasks(spark):
     assert got == {tuple(p) for *p, data in rows if tuple(p) > least[data]}
 
 
+def test_slices_cover_windows_and_agree(words):
+    text = " ".join(words(200, 3)).encode()
+    hashes, _, start, n, shift = suffix_dedup.anchors(text, 60, 20)
+    moved = b"xyz" + text[37:]
+    windows, keys = [], {}
+    for data in (text, moved):
+        for _, _, first, many, to in zip(*suffix_dedup.anchors(data, 60, 20), strict=True):
+            for key, at, part in suffix_dedup.slices(data, int(first), int(many), int(to), 60):
+                assert data[at : at + len(part)] == part and 60 <= len(part) < 60 + suffix_dedup.SLICE
+                for k in range(len(part) - 59):
+                    keys.setdefault(part[k : k + 60], set()).add(key)
+                    windows.append((data is text, at + k))
+    assert sorted(w for own, w in windows if own) == list(range(len(text) - 59))
+    assert all(len(x) == 1 for x in keys.values())  # equal windows have equal keys
+
+
 def test_hot_seeds_are_found(documents, words):
     phrase = " ".join(words(30, 77))
     rows = [(k, f"{' '.join(words(9, k))} {phrase} {' '.join(words(9, 500 + k))}") for k in range(80)]
