@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Budgets of the profiles, items and points.
 LIMITS = {"compact": (24, 500), "medium": (40, 1600), "full": (100, 8000), "wide": (180, 4000)}
@@ -113,12 +114,42 @@ def last_points(points: DataFrame, selected: DataFrame) -> DataFrame:
     return rows.withColumn("back", F.row_number().over(order)).where("back <= included_points").drop("back", "included_points")
 
 
+#: Fields that carry plumbing and no content.
+PLUMBING = (
+    "algorithm", "algorithm_version", "calculated_at", "calculation_basis", "canonical_record_id", "content_hash", "decision_id", "derived_id", "enricher", "enricher_version",
+    "finding_id", "instrument_ids", "lineage", "local_path", "metadata", "observation_id", "pack_id", "parameters", "provenance", "quality_ids", "raw_artifact_ids", "raw_ref",
+    "record_id", "relationship_id", "sha256", "source_observation_ids", "source_record_ids", "text_ref",
+)
+
+
+def expanded(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``df`` with the members of flat structs among ``fields`` as columns ``field.member``; others stay as they are."""
+    out = []
+    for f in df.schema:
+        flat = isinstance(f.dataType, T.StructType) and not any(isinstance(x.dataType, (T.StructType, T.ArrayType, T.MapType)) for x in f.dataType)
+        if f.name in fields and flat:
+            out += [F.col(f"`{f.name}`.`{x.name}`").alias(f"{f.name}.{x.name}") for x in f.dataType]
+        else:
+            out.append(F.col(f"`{f.name}`"))
+    return df.select(*out)
+
+
+def prepared(df: DataFrame, expand: tuple[str, ...] = (), drop: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """Records for reading: flat structs opened, plumbing and ``drop`` left out, then ``shaped``. The source of records comes from
+    their provenance."""
+    if "provenance" in df.columns and "source" not in df.columns and isinstance(df.schema["provenance"].dataType, T.StructType) and "source" in df.schema["provenance"].dataType.names:
+        df = df.withColumn("source", F.col("provenance.source"))
+    return shaped(expanded(df, expand), (*PLUMBING, *drop), keep)
+
+
 def shaped(df: DataFrame, drop: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
     """(rows without plumbing, empty and constant columns, {constant column: its value}), after one aggregation."""
     columns = [c for c in df.columns if c in keep or (c not in drop and not c.endswith(("_id", "_ids")))]
-    told = df.agg(F.count(F.lit(1)).alias("rows"), *(F.struct(F.count(c).alias("n"), F.min(F.col(c).cast("string")).alias("a"), F.max(F.col(c).cast("string")).alias("z")).alias(c) for c in columns)).first()
-    constant = {c: told[c]["a"] for c in columns if told["rows"] > 1 and told[c]["n"] == told["rows"] and told[c]["a"] == told[c]["z"] and c not in keep}
-    return df.select(*(c for c in columns if told[c]["n"] and c not in constant)), constant
+    of = lambda c: F.col(f"`{c}`")
+    told = df.agg(F.count(F.lit(1)).alias("rows"), *(F.struct(F.count(of(c)).alias("n"), F.min(of(c).cast("string")).alias("a"), F.max(of(c).cast("string")).alias("z")).alias(f"c{k}") for k, c in enumerate(columns))).first()
+    by_name = {c: told[f"c{k}"] for k, c in enumerate(columns)}
+    constant = {c: t["a"] for c, t in by_name.items() if told["rows"] > 1 and t["n"] == told["rows"] and t["a"] == t["z"] and c not in keep}
+    return df.select(*(of(c) for c in columns if by_name[c]["n"] and c not in constant)), constant
 
 
 #: Fields whose cells are shortened, and to how many characters.

@@ -306,10 +306,12 @@ def prm_02(spark, d):
 # ---- representation ----
 
 
-@query("rpr_01_prepared", "SELECT s_suppkey, s_name FROM supplier")
+@query("rpr_01_prepared", """SELECT s_suppkey, s_name, s_acctbal AS "holders.promoter", CASE WHEN s_nationkey > 10 THEN s_nationkey END AS "holders.public" FROM supplier""", '"holders.promoter"')
 def rpr_01(spark, d):
-    s = read(spark, d, "supplier").select("s_suppkey", "s_name", F.lit(None).cast("string").alias("nothing"), F.lit("x").alias("same"))
-    return context.shaped(s)[0]
+    s = read(spark, d, "supplier")
+    holders = F.struct(F.col("s_acctbal").alias("promoter"), F.when(F.col("s_nationkey") > 10, F.col("s_nationkey")).alias("public"), F.lit(None).cast("double").alias("none"))
+    rows = s.select("s_suppkey", "s_name", holders.alias("holders"), F.lit(None).cast("string").alias("nothing"), F.lit("x").alias("same"), F.lit("h").alias("content_hash"), F.col("s_suppkey").alias("record_id"), F.struct(F.lit("nse").alias("source")).alias("provenance"))
+    return context.prepared(rows, expand=("holders",))[0]
 
 
 @query("rpr_04_json_lines", """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"' || CASE WHEN s_nationkey > 10 THEN ',"n":' || s_nationkey ELSE '' END || '}' AS line FROM supplier""")
