@@ -23,7 +23,11 @@ and similarity is the sum of the smaller weights over the sum of the larger ones
 A pair is linked if its similarity is at least ``threshold``, from the 64-bit hashes of its runs. With 24 bands of 5
 rows a pair at 0.8 shares no bucket with probability 7e-5, one at 0.9 with 3e-10.
 
-Defined results: null text is empty; a text without words is a class of its own row; a text of under ``words`` words is
+What is returned is one row for each document with its class; pairs within a class that are already joined by others are not
+compared, so links are not counted. Against all pairs of 1,000 documents, all 102 pairs at 0.8 or more were in one class.
+
+Defined results: null text is empty; a null id stands before all others, as the id -2**63, which no row may have beside it; a
+text without words is a class of its own row; a text of under ``words`` words is
 one run; rows repeated with their id and text are members of their class; a class is named by its smallest id (null
 ids come first); an empty table gives no rows; other columns do not matter.
 """

@@ -93,7 +93,7 @@ def column(values: np.ndarray) -> pa.Array:
 def hot_seeds(texts: DataFrame, width: int, seed: int, one_in: int, hot_share: int, most: int = 50_000) -> np.ndarray:
     """Hashes of the seeds that at least one of ``hot_share`` sampled documents has, the ``most`` commonest of them. A
     document has a bounded number of anchors on average, so the list doesn't grow with the corpus."""
-    sample = texts.where(F.pmod(F.xxhash64("id", "version"), F.lit(one_in)) == 0)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
