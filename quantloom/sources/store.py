@@ -4,6 +4,8 @@ Writes are idempotent: a record whose id a table already has is left out before
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,18 +20,70 @@ def load(spark: SparkSession, root: str, table: str, domain: str | None = None)
     return df if domain is None else df.where(F.col("domain") == domain)
 
 
-def append(df: DataFrame, root: str, table: str, key: str = "record_id", by: str = "domain") -> None:
-    """Add the rows whose key the table lacks, partitioned by domain."""
+def append(df: DataFrame, root: str, table: str, key: str | tuple[str, ...] = "record_id", by: str | None = "domain") -> None:
+    """Add the rows whose key the table lacks, partitioned by a column if one is named."""
+    keys = [key] if isinstance(key, str) else list(key)
     known = load(df.sparkSession, root, table)
-    fresh = df.dropDuplicates([key]) if known is None else df.dropDuplicates([key]).join(known.select(key), key, "left_anti")
-    fresh.write.partitionBy(by).mode("append").parquet(f"{root}/{table}")
+    fresh = df.dropDuplicates(keys) if known is None else df.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+    writer = fresh.write.partitionBy(by) if by else fresh.write
+    writer.mode("append").parquet(f"{root}/{table}")
+
+
+#: The tables of a store: (key, partitioned by).
+LAYOUT = {
+    "canonical": ("record_id", "domain"),
+    "observations": ("observation_id", "field"),
+    "record_observations": (("record_id", "observation_id"), None),
+    "observation_raw": (("observation_id", "raw_ref"), None),
+}
+VERSION = 1
+
+
+def persist(records: DataFrame, observed: DataFrame, root: str) -> None:
+    """Canonical records, their observations (with canonical_record_id and raw_ref), the two link indexes and a manifest with
+    the rows of each table. What is there already is left out, so that a repeated run changes nothing."""
+    links = observed.select(F.col("canonical_record_id").alias("record_id"), "observation_id").where("record_id IS NOT NULL")
+    raw = observed.select("observation_id", "raw_ref").where("raw_ref IS NOT NULL")
+    for (table, (key, by)), rows in zip(LAYOUT.items(), (records, observed, links, raw), strict=True):
+        append(rows, root, table, key, by)
+    counted(records.sparkSession, root).write.mode("overwrite").json(f"{root}/manifest")
+
+
+def counted(spark: SparkSession, root: str) -> DataFrame:
+    """(table, rows, version) of the tables that are there."""
+    tables = [(name, load(spark, root, name)) for name in LAYOUT]
+    counts = [t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.lit(VERSION).alias("version")) for name, t in tables if t is not None]
+    return functools.reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "table string, rows long, version int")
+
+
+def layout_problems(spark: SparkSession, root: str) -> DataFrame:
+    """(table, problem): tables that are missing or have other rows than the manifest says, and a manifest of another version."""
+    wanted = spark.createDataFrame([(name,) for name in LAYOUT], "table string")
+    try:
+        said = spark.read.schema("table string, rows long, version int").json(f"{root}/manifest")
+    except AnalysisException:
+        said = spark.createDataFrame([], "table string, rows long, version int")
+    there = counted(spark, root).select("table", F.col("rows").alias("found"))
+    rows = wanted.join(said, "table", "left").join(there, "table", "left")
+    problem = F.when(F.col("found").isNull(), "missing_table").when(F.col("rows").isNull(), "not_in_manifest").when(F.col("version") != VERSION, "other_version").when(F.col("rows") != F.col("found"), "other_rows")
+    return rows.select("table", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+#: Endings of raw artifacts by media type.
+ENDINGS = {
+    "application/json": "json", "application/pdf": "pdf", "text/html": "html", "text/csv": "csv", "text/plain": "txt", "application/xml": "xml", "text/xml": "xml",
+    "application/zip": "zip", "application/gzip": "gz", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+}
 
 
-def raw_manifest(artifacts: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
-    """(content_hash, size, path, source): one row for each distinct content, with a path that follows from its hash."""
+def raw_manifest(artifacts: DataFrame, source: str = "source", content: str = "content", media: str = "media_type") -> DataFrame:
+    """(content_hash, size, path, source): one row for each distinct content, with a path that follows from its hash; the
+    ending is that of the media type, where the artifacts have one, else ``bin``."""
     rows = artifacts.withColumn("content_hash", F.sha2(F.col(content), 256)).withColumn("size", F.octet_length(content).cast("long"))
-    first = rows.groupBy("content_hash", "size").agg(F.min(source).alias("source"))
-    return first.withColumn("path", F.concat_ws("/", F.lit("raw"), "source", F.substring("content_hash", 1, 2), "content_hash"))
+    kind = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))[F.lower(F.trim(F.substring_index(media, ";", 1)))] if media in artifacts.columns else F.lit(None).cast("string")
+    first = rows.withColumn("_ending", F.coalesce(kind, F.lit("bin"))).groupBy("content_hash", "size").agg(F.min(F.struct(source, "_ending")).alias("m"))
+    path = F.concat(F.concat_ws("/", F.lit("raw"), f"m.{source}", F.substring("content_hash", 1, 2), "content_hash"), F.lit("."), F.col("m._ending"))
+    return first.select("content_hash", "size", F.col(f"m.{source}").alias("source"), path.alias("path"))
 
 
 def write_raw(artifacts: DataFrame, root: str, content: str = "content") -> None:

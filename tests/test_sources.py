@@ -115,3 +115,18 @@ def test_nothing_landed_is_an_empty_table(spark, tmp_path):
     assert parsers.read_landed(spark, str(tmp_path / "none"), "json", schema="a string").count() == 0
     (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
     assert parsers.read_landed(spark, str(tmp_path / "a.json"), "json", multiLine=True).count() == 2
+
+
+def test_store_layout(spark, tmp_path):
+    root = str(tmp_path / "store")
+    records = spark.createDataFrame([("r1", "market"), ("r2", "news")], "record_id string, domain string")
+    observed = spark.createDataFrame([("o1", "r1", "close", "a1"), ("o2", "r1", "open", None)], "observation_id string, canonical_record_id string, field string, raw_ref string")
+    assert {r["problem"] for r in store.layout_problems(spark, root).collect()} == {"missing_table"}
+    store.persist(records, observed, root)
+    store.persist(records, observed, root)
+    assert store.layout_problems(spark, root).count() == 0
+    assert {r["table"]: r["rows"] for r in store.counted(spark, root).collect()} == {"canonical": 2, "observations": 2, "record_observations": 2, "observation_raw": 1}
+    store.append(spark.createDataFrame([("r3", "news")], records.schema), root, "canonical")
+    assert [tuple(r) for r in store.layout_problems(spark, root).collect()] == [("canonical", "other_rows")]
+    raw = spark.createDataFrame([("s", bytearray(b"x"), "text/html; charset=utf-8"), ("s", bytearray(b"y"), None)], "source string, content binary, media_type string")
+    assert sorted(r["path"].rsplit(".", 1)[1] for r in store.raw_manifest(raw).collect()) == ["bin", "html"]
