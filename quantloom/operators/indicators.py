@@ -131,6 +131,7 @@ def recent_volatility(prices: DataFrame, days: int = 60, window: int = 30) -> Da
 
 def position_limit(volatility: DataFrame, correlation: DataFrame, base: float = 0.20) -> DataFrame:
     """The share of a portfolio that an instrument may take: less for volatile ones, scaled by mean correlation."""
+    # fixed values: steps of volatility and correlation, and what they allow
     v, c = F.col("annualised_volatility"), F.col("mean_correlation")
     share = F.when(v < 0.15, base * 1.25).when(v < 0.30, base * (1 - (v - 0.15) * 0.5)).when(v < 0.50, base * (0.75 - (v - 0.30) * 0.5)).otherwise(base * 0.5)
     scale = F.when(c >= 0.8, 0.70).when(c >= 0.6, 0.85).when(c >= 0.4, 1.0).when(c >= 0.2, 1.05).when(c < 0.2, 1.10).otherwise(1.0)

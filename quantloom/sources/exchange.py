@@ -1,5 +1,7 @@
 """Exchange and regulator payloads: row lists wherever they are, last prices, shareholding, actions, events, filings,
 index snapshots and sectors, regulatory items. A row is a map of text, so that a payload's spelling of a field doesn't matter.
+
+Fixed values: the field names that the functions below ask for are those of the payloads, the preferred one first.
 """
 
 from __future__ import annotations

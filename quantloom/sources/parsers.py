@@ -204,6 +204,7 @@ def deal_rows(df: DataFrame, kind: str) -> DataFrame:
 
 def document_type(url: Column, mime: Column) -> Column:
     """By words in the media type and the address; the first rule that fits wins."""
+    # fixed values: the words and their order
     v = F.lower(F.concat_ws(" ", F.coalesce(mime, F.lit("")), F.coalesce(url, F.lit(""))))
     has = lambda *words: v.rlike("|".join(words))
     return (
