@@ -39,7 +39,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeTransducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {rank: token for token, rank in ranks.items()}
         self.begins = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
@@ -137,7 +137,7 @@ class Encoder:
         import regex
 
         self.find = regex.compile(PATTERN).findall
-        self.transducer, self.memo = MergeTransducer(load_ranks(path)), Memo(self.piece, size=100_000)
+        self.transducer, self.memo = MergeTransducer(load_ranks(path)), Memo(self.piece, size=400_000)
 
     def piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
