@@ -62,7 +62,7 @@ def test_quality_findings(spark):
         quality.duplicates(df, ("source",), "id"), quality.schema_drift(df.withColumn("g", quality.json_signature(F.col("j"))), ("source",), "g", "id", "id"),
     ]
     assert [f.count() for f in found] == [1, 1, 2, 1, 1]
-    assert found[-1].collect()[0]["detail"] == "+b:array -"
+    assert found[-1].collect()[0]["detail"] == "+b:array,b[]:number -"
     assert not quality.report(*found).first()["passed"] and quality.report(found[2]).first()["passed"]
 
 
