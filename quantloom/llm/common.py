@@ -44,6 +44,14 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, rows_per_task
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files that ``df``, a table that ``materialise`` wrote and nothing reads any more, was read from."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case."""
     there, out = {c.lower() for c in df.columns}, []

@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, exact_dedup, htmltext, langid, licenses, line_clean, near_dedup, pack, quality, sql, suffix_dedup
+from quantloom.llm import (
+    bpe,
+    exact_dedup,
+    hard_negatives,
+    htmltext,
+    kmeans,
+    langid,
+    licenses,
+    line_clean,
+    near_dedup,
+    pack,
+    quality,
+    sql,
+    suffix_dedup,
+    vector_dedup,
+)
 from quantloom.llm.common import table, tokenizer_path
 
 
@@ -69,6 +84,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), n_clusters=40, rounds=5, dim=64)
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -81,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_int8_tiles": op11_int8_tiles,
+        "op12_hamerly": op12_hamerly,
+        "op13_dual_tree": op13_dual_tree,
     }
 
 
@@ -89,4 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_rules": sql.license_scan(),
         "op5_line_clean": sql.LINE_CLEAN,
         "op10_exact_dedup": sql.EXACT_DEDUP,
+        "op11_int8_tiles": sql.NEAR_VECTORS,
+        "op12_hamerly": sql.clusters(),
+        "op13_dual_tree": sql.HARD_NEGATIVES,
     }

@@ -98,3 +98,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_lines_removed
 FROM s
 """
+
+
+#: All pairs of a label by cosine, then what is reachable.
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) AS n ON n.a = vec_id
+LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS r ON r.a = vec_id
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.b AS negative_id, p.score AS positive_score,
+  n.score AS negative_score
+FROM p JOIN s AS n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def clusters(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds one after the other, with all distances."""
+    nearest = """
+      SELECT v.vec_id, v.e, c.cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+      FROM v CROSS JOIN {c} AS c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY distance, c.cluster) = 1"""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INTEGER AS cluster, e FROM v
+      QUALIFY cluster < {k})""",
+    ]
+    for n in range(rounds):
+        steps += [
+            f"a{n} AS MATERIALIZED ({nearest.format(c=f'c{n}')})",
+            f"""m{n} AS (SELECT cluster, i, sum(e[i]) AS s, count(*) AS w FROM a{n}, range(1, 65) AS r(i) GROUP BY cluster, i)""",
+            f"""c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{n} AS c LEFT JOIN (
+      SELECT cluster, list(((s - ((s % w) + w) % w) // w)::BIGINT ORDER BY i) AS e FROM m{n} GROUP BY cluster) AS m ON m.cluster = c.cluster)""",
+        ]
+    steps.append(f"a AS MATERIALIZED ({nearest.format(c=f'c{rounds}')})")
+    return f"""WITH {', '.join(steps)}
+    SELECT vec_id, a.cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+      (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a JOIN c{rounds} AS c ON c.cluster = a.cluster"""
