@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import ratio
+from quantloom.operators import nested
 
 #: Fixed values, in their order: names under which statements carry a concept.
 CONCEPTS: dict[str, tuple[str, ...]] = {
@@ -48,7 +49,7 @@ def resolved_metrics(long: DataFrame, also: tuple[str, ...] = PERIOD, order_col:
 
     Every name meets the fixed alias table by its word endings, in an equi-join."""
     rows = [(concept, " ".join("".join(x if x.isalnum() else " " for x in alias).split()), k) for concept, names in CONCEPTS.items() for k, alias in enumerate(names)]
-    known = F.broadcast(long.sparkSession.createDataFrame(rows, "concept string, alias string, place int"))
+    known = F.broadcast(long.sparkSession.createDataFrame(rows, "concept string, alias string, alias_place int"))
     order = F.col(order_col) if order_col else F.lit(0)
     keyed = long.withColumn("key", normal_key(F.col("name"))).where("value IS NOT NULL AND key <> ''")
     keyed = keyed.groupBy(*also, "key").agg(F.max_by("value", F.struct(order, "value")).alias("value"), F.min(order).alias("_order"))
@@ -58,30 +59,27 @@ def resolved_metrics(long: DataFrame, also: tuple[str, ...] = PERIOD, order_col:
     exact = F.col("cut") == 0
     rank = F.struct(
         (~exact).alias("loose"),
-        F.when(exact, (F.col("place") > 0).cast("int")).otherwise(F.col("place")).alias("place"),
-        F.when(exact, F.col("_order").cast("long")).otherwise(F.length("key")).alias("then"),
+        F.when(exact, (F.col("alias_place") > 0).cast("int")).otherwise(F.col("alias_place")).alias("alias_place"),
+        F.when(exact, F.col("_order")).alias("given"),
+        F.when(~exact, F.length("key")).alias("length"),
         "key",
     )
     return hits.groupBy(*also, "concept").agg(F.min_by(F.struct("value", "key"), rank).alias("m")).select(*also, "concept", "m.value", F.col("m.key").alias("name"))
 
 
-def flat_metrics(payloads: DataFrame, text: str, *keep: str, depth: int = 6) -> DataFrame:
-    """(…, name, value, place) of the numeric leaves of nested JSON: keys on the way are joined, ``value`` stands for what is
-    around it, lists add nothing to the name, numbers may be text. Each of the ``depth`` steps opens one level of all rows;
-    ``place`` orders the leaves as they came. Of leaves of one name the last counts."""
-    rows = payloads.select(*keep, F.lit("").alias("name"), F.trim(F.col(text)).alias("node"), F.array().cast("array<int>").alias("place"))
-    entry = "array<struct<name:string,node:string>>"
-    for _ in range(depth):
-        named = F.transform(F.map_entries(F.from_json("node", "map<string,string>")), lambda e: F.struct(normal_key(e["key"]).alias("key"), F.trim(e["value"]).alias("node")))
-        named = F.filter(named, lambda e: (e["key"] != "value") | ~F.coalesce(e["node"].rlike(r"^[\[{]"), F.lit(False)))
-        members = F.transform(named, lambda e: F.struct(F.when(e["key"] == "value", F.col("name")).otherwise(F.trim(F.concat_ws(" ", "name", e["key"]))).alias("name"), e["node"].alias("node")))
-        listed = F.transform(F.from_json("node", "array<string>"), lambda x: F.struct(F.col("name").alias("name"), F.trim(x).alias("node")))
-        leaf = F.array(F.struct(F.col("name").alias("name"), F.col("node").alias("node"))).cast(entry)
-        opened = F.when(F.col("node").startswith("{"), members.cast(entry)).when(F.col("node").startswith("["), listed.cast(entry)).otherwise(leaf)
-        rows = rows.select(*keep, "place", F.posexplode(opened).alias("k", "e")).select(*keep, F.col("e.name").alias("name"), F.col("e.node").alias("node"), F.array_append("place", F.col("k")).alias("place"))
-    value = F.col("node").try_cast("double")
-    found = rows.select(*keep, "name", value.alias("value"), "place").where("value IS NOT NULL AND name <> '' AND NOT isnan(value) AND abs(value) <> double('Infinity')")
-    return found.groupBy(*keep, "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
+def flat_metrics(payloads: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(…, name, value, place) of the numeric leaves of nested JSON, to any depth: keys on the way are joined, ``value`` stands
+    for what is around it, lists add nothing to the name, numbers may be text. ``place`` orders the leaves as they came. Of
+    leaves of one name the last counts. What else is named like ``value``, and all below it, is left out."""
+    leaves = nested.json_leaves(payloads, text, *keep)
+    number = F.col("node").try_cast("double")
+    names = F.transform("path", normal_key)
+    own = F.when(F.try_element_at("path", F.lit(-1)) == "value", F.slice(names, 1, F.size(names) - 1)).otherwise(names)
+    rows = leaves.select(*keep, own.alias("names"), number.alias("value"), "place").where("value IS NOT NULL AND NOT isnan(value) AND abs(value) <> double('Infinity')")
+    rows = rows.where(~F.array_contains("names", "value"))
+    name = F.array_join(F.filter("names", lambda x: x != ""), " ")
+    rows = rows.select(*keep, name.alias("name"), "value", "place").where("name <> ''")
+    return rows.groupBy(*keep, "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
 
 
 def financial_points(records: DataFrame) -> DataFrame:
@@ -98,8 +96,7 @@ def financial_points(records: DataFrame) -> DataFrame:
         *(F.lower(get("period_type")).alias("period_type"), get("statement_name").alias("statement_name"), get("statement_type").alias("statement_type")),
     ).where("period_end IS NOT NULL")
     flat = flat_metrics(records.select("record_id", get("metrics").alias("metrics")), "metrics", "record_id")
-    place = F.aggregate("place", F.lit(0).cast("long"), lambda n, k: n * 1000 + k)
-    return period.join(resolved_metrics(flat.withColumn("_place", place), ("record_id",), "_place"), "record_id")
+    return period.join(resolved_metrics(flat, ("record_id",), "place"), "record_id")
 
 
 def period_values(points: DataFrame) -> DataFrame:

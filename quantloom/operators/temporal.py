@@ -111,3 +111,69 @@ def known_counts(df: DataFrame, start: Column, end: Column, days: int = 7) -> Da
     return all_times.join(new, ["instrument_id", "as_of"], "left").select(
         "instrument_id", "as_of", F.coalesce(F.sum("new").over(w), F.lit(0)).alias("known")
     )
+
+
+# ---- what was known at many instants ----
+
+#: Days from the first day that the cover of intervals knows, and its levels: 2**20 days.
+FIRST_DAY, LEVELS = 2**19, 20
+
+
+def versions(df: DataFrame, key: tuple[str, ...], strict: bool = True) -> DataFrame:
+    """``df`` (with ``with_envelope``'s columns and record_id) with known_from and known_to, the time over which a record was the
+    last known of its key: from its availability to that of the next one, or for good (null). Of records available at the
+    same instant only the last (by record_id) is ever seen. What is never visible has no row.
+
+    The next record is sought within the day first, then among the first ones of later days, so that a key that most rows
+    share is spread over its days."""
+    known = df.where(F.col("available_at").isNotNull() & ((F.col("basis") != "retrieved") if strict else F.lit(True)))
+    rows = known.withColumn("_day", F.col("available_at").cast("date"))
+    within = Window.partitionBy(*key, "_day").orderBy("available_at", "record_id")
+    first = rows.groupBy(*key, "_day").agg(F.min("available_at").alias("_first"))
+    later = F.lead("_first").over(Window.partitionBy(*key).orderBy("_day"))
+    days = first.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(key)), F.col("_day").alias("_on"), later.alias("_later"))
+    same = F.col("_day") == F.col("_on")
+    for n, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    following = F.coalesce(F.lead("available_at").over(within), F.col("_later"))
+    found = rows.join(days, same).withColumn("known_to", following)
+    return found.select(*df.columns, F.col("available_at").alias("known_from"), "known_to").where("known_to IS NULL OR known_to > known_from")
+
+
+def _day_number(at: Column) -> Column:
+    return (F.unix_date(at.cast("date")) + FIRST_DAY).cast("int")
+
+
+def cover(first: Column, last: Column) -> Column:
+    """The blocks (level, number) of 2**level days, aligned, of which the days ``first`` to ``last`` consist: two a level at
+    most."""
+    block = "array<struct<level:int,number:int>>"
+    start = F.struct(first.cast("int").alias("lo"), (last + 1).cast("int").alias("hi"), F.array().cast(block).alias("blocks"))
+
+    def add(s: Column, level: Column) -> Column:
+        low, high = (s["lo"] < s["hi"]) & (s["lo"] % 2 == 1), (s["lo"] < s["hi"]) & (s["hi"] % 2 == 1)
+        one = lambda number: F.struct(level.cast("int").alias("level"), number.cast("int").alias("number"))
+        none = F.array().cast(block)
+        both = F.concat(s["blocks"], F.when(low, F.array(one(s["lo"]))).otherwise(none), F.when(high, F.array(one(s["hi"] - 1))).otherwise(none))
+        lo, hi = s["lo"] + low.cast("int"), s["hi"] - high.cast("int")
+        return F.struct(F.shiftright(lo, 1).alias("lo"), F.shiftright(hi, 1).alias("hi"), both.alias("blocks"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, add, lambda s: s["blocks"])
+
+
+def known_at(found: DataFrame, questions: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """For each question (as_of, and columns of ``key`` if it asks of some only) the version of each key that was the last known
+    at that instant: the rows of ``versions`` with the columns of the question.
+
+    An interval join without comparing ranges: the days of a version are cut into aligned blocks of 1, 2, 4, ... days, two of
+    a size at most, a question looks for the one block of each size that holds its day, and both meet in an equi-join;
+    exact times are compared within the first and last day only. A version costs the logarithm of its length, so one
+    valid for good is no heavier than a short one."""
+    asked = [c for c in key if c in questions.columns]
+    until = F.coalesce(_day_number(F.col("known_to")), F.lit(2**LEVELS - 2))
+    blocks = found.withColumn("_b", F.explode(cover(_day_number(F.col("known_from")), until)))
+    blocks = blocks.withColumn("_level", F.col("_b.level")).withColumn("_number", F.col("_b.number")).drop("_b")
+    of = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.cast("int").alias("_level"), F.floor(_day_number(F.col("as_of")) / F.pow(F.lit(2.0), k)).cast("int").alias("_number")))
+    probes = questions.withColumn("_p", F.explode(of)).select(*questions.columns, "_p.*")
+    met = blocks.join(probes, [*asked, "_level", "_number"])
+    return met.where("as_of >= known_from AND (known_to IS NULL OR as_of < known_to)").drop("_level", "_number")

@@ -47,6 +47,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         company_queries,
         comparative_queries,
         foundation_queries,
+        graph_queries,
         market_queries,
         record_queries,
         source_queries,

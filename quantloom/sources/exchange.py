@@ -15,6 +15,7 @@ from quantloom.sources.parsers import column_named, day, document_type, number,
 ROW = "map<string,string>"
 #: Keys under which payloads keep their rows; endings of documents; words for yes and no.
 ROW_KEYS = ("data", "rows", "result", "results", "records", "items")
+FILING_KEYS = ("data", "results", "records", "Table", "table", "rows", "filings")
 DOCUMENT_FIELDS = "xbrl|attach|detail|file|document"
 DOCUMENT_ENDINGS = r"(?i)\.(?:pdf|xml|xlsx|zip)"
 YES, NO = ("audited", "yes", "true", "y", "1"), ("unaudited", "no", "false", "n", "0")

@@ -1,6 +1,7 @@
 """XBRL filings as tables: contexts, units and facts are extracted by Spark's XML functions and joined on filing and reference.
 
-Facts are the direct children of the document with a context; facts inside tuples are not read. Numbers are decimals.
+Facts are the elements with a context, at any depth: tuples are opened until no element has elements below it. Numbers are
+decimals. An element with a context that has elements but no text of its own is no fact.
 Filings that are not XML, and null, have no rows; ``unparsed`` names them. Repeated filings give repeated rows; texts that
 look like numbers come in their plain form.
 """
@@ -10,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.folders import ensure_checkpoint_dir
+
 OPTIONS = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_bad"}
 MEMBER = "array<struct<_dimension:string,_VALUE:string>>"
 HOLDER = f"struct<explicitMember:{MEMBER},typedMember:{MEMBER}>"
 CONTEXT = f"array<struct<_id:string,entity:struct<segment:{HOLDER}>,scenario:{HOLDER},period:struct<startDate:string,endDate:string,instant:string>>>"
 NUMBER = "decimal(38,8)"
+#: Elements that hold no facts.
+CONTAINERS = ("context", "unit", "schemaRef", "footnoteLink", "labelLink", "referenceLink", "roleRef", "arcroleRef")
 
 
 def _read(filings: DataFrame, xml_col: str, id_col: str) -> DataFrame:
@@ -51,16 +56,36 @@ def units(filings: DataFrame, xml_col: str = "xml", id_col: str = "filing_id") -
     return rows.select("filing_id", F.col("_id").alias("unit_ref"), measure.alias("unit")).dropDuplicates(["filing_id", "unit_ref"])
 
 
+def _has_elements() -> Column:
+    inside = F.map_keys(F.try_variant_get("fact", "$", "map<string,variant>"))
+    return F.coalesce(F.exists(inside, lambda k: ~k.startswith("_")), F.lit(False))
+
+
+def elements(filings: DataFrame, xml_col: str = "xml", id_col: str = "filing_id") -> DataFrame:
+    """(filing_id, concept, fact, depth): the elements of each filing but contexts and units, as VARIANT, the root's own at
+    depth 1. Each round opens one level of all filings; only elements that have elements below them are written."""
+    ensure_checkpoint_dir(filings.sparkSession)
+    open_ = _known(filings, xml_col, id_col).select("filing_id", F.from_xml("xml", "variant", {"ignoreNamespace": "true"}).alias("fact"))
+    found, depth = None, 0
+    while True:
+        depth += 1
+        named = open_.lateralJoin(open_.sparkSession.tvf.variant_explode(F.col("fact").outer())).select("filing_id", F.col("key").alias("concept"), "value")
+        each = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+        rows = named.where(~F.col("concept").startswith("_") & ~F.col("concept").isin(*CONTAINERS)).select("filing_id", "concept", F.explode(each).alias("fact"), F.lit(depth).alias("depth"))
+        found = rows if found is None else found.unionByName(rows)
+        below = rows.where(_has_elements()).select("filing_id", F.to_json("fact").alias("text")).checkpoint()
+        if below.isEmpty():
+            return found
+        open_ = below.select("filing_id", F.parse_json("text").alias("fact"))
+
+
 def raw_facts(filings: DataFrame, xml_col: str = "xml", id_col: str = "filing_id") -> DataFrame:
     """(filing_id, concept, context_ref, unit_ref, decimals, text, value): numbers may have thousands separators and a scale;
     what is marked as nil has neither text nor value."""
-    trees = _known(filings, xml_col, id_col).select("filing_id", F.from_xml("xml", "variant", {"ignoreNamespace": "true"}).alias("tree"))
-    named = trees.lateralJoin(trees.sparkSession.tvf.variant_explode(F.col("tree").outer())).select("filing_id", F.col("key").alias("concept"), "value")
-    each = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+    facts = elements(filings, xml_col, id_col)
     get = lambda name: F.try_variant_get("fact", f"$.{name}", "string")
-    facts = named.where("NOT startswith(concept, '_')").select("filing_id", "concept", F.explode(each).alias("fact"))
-    facts = facts.select("filing_id", "concept", get("_contextRef").alias("context_ref"), get("_unitRef").alias("unit_ref"), get("_decimals").alias("decimals"), get("_scale").try_cast("int").alias("scale"), get("_nil").alias("nil"), get("_VALUE").alias("text"))
-    facts = facts.where("context_ref IS NOT NULL").withColumn("text", F.when(~F.coalesce(F.col("nil") == "true", F.lit(False)), F.trim("text")))
+    facts = facts.select("filing_id", "concept", get("_contextRef").alias("context_ref"), get("_unitRef").alias("unit_ref"), get("_decimals").alias("decimals"), get("_scale").try_cast("int").alias("scale"), get("_nil").alias("nil"), get("_VALUE").alias("text"), _has_elements().alias("below"))
+    facts = facts.where("context_ref IS NOT NULL AND (NOT below OR trim(text) <> '')").withColumn("text", F.when(~F.coalesce(F.col("nil") == "true", F.lit(False)), F.trim("text")))
     number = F.regexp_replace("text", ",", "").try_cast(NUMBER)
     power = F.pow(F.lit(10.0), F.abs(F.coalesce("scale", F.lit(0)))).cast("decimal(18,0)")
     scaled = F.when(F.coalesce("scale", F.lit(0)) >= 0, number * power).otherwise(number / power).cast(NUMBER)
