@@ -106,14 +106,19 @@ def prs_24(spark, d):
     return found.select("filing_id", "concept", F.col("value").cast("double").alias("value"), "unit", "period_start", "period_end", "instant", F.col("dimensions")["Axis"].alias("axis"))
 
 
-@query("prs_14_filings", """SELECT o_orderkey AS k, 'NSE:S' || o_custkey AS instrument_id, 'Results' AS filing_type, (o_orderdate - INTERVAL 90 DAY)::DATE AS period_start, o_orderdate::DATE AS period_end, o_orderkey % 2 = 0 AS audited,
-    p AS position, CASE p WHEN 0 THEN 'https://x/' || o_orderkey || '.xml' ELSE 'http://y/z.pdf' END AS url, CASE p WHEN 0 THEN 'xbrl_xml' ELSE 'pdf' END AS document_type FROM orders CROSS JOIN (VALUES (0), (1)) v(p)""")
+@query("prs_14_filings", """SELECT o_orderkey AS k, 'NSE:S' || o_custkey AS instrument_id, 'Example Ltd' AS company_name, 'Results' AS filing_type, 'Results' AS subcategory, 'Quarterly results' AS title, (o_orderdate - INTERVAL 90 DAY)::DATE AS period_start, o_orderdate::DATE AS period_end,
+    'Consolidated' AS statement_type, o_orderkey % 2 = 0 AS audited, o_orderdate::TIMESTAMP + INTERVAL 970 MINUTE AS published_at, o_orderdate::TIMESTAMP + INTERVAL 971 MINUTE AS received_at, 'https://d/' || o_orderkey AS details_url,
+    p AS position, CASE p WHEN 0 THEN 'https://x/' || o_orderkey || '.xml' WHEN 1 THEN 'https://d/' || o_orderkey ELSE 'http://y/z.pdf' END AS url, CASE p WHEN 0 THEN 'xbrl_xml' WHEN 1 THEN 'unknown' ELSE 'pdf' END AS document_type FROM orders CROSS JOIN (VALUES (0), (1), (2)) v(p)""")
 def prs_14(spark, d):
+    """Rows under a key some levels down, with the names that exchanges give the fields."""
     o = read(spark, d, "orders")
-    text = F.format_string('{"note":[1],"data":[{"symbol":"s%d","xbrlFile":"https://x/%d.xml","text":"see http://y/z.pdf, and http://y/page","fromDate":"%s","toDate":"%s","type":"Results","audited":"%s"},7]}',
-        "o_custkey", "o_orderkey", F.date_format(F.date_sub("o_orderdate", 90), "dd-MMM-yyyy"), F.date_format("o_orderdate", "dd-MMM-yyyy"), F.when(F.col("o_orderkey") % 2 == 0, "Audited").otherwise("Unaudited"))
+    on = F.date_format("o_orderdate", "dd-MMM-yyyy")
+    text = F.format_string('{"note":[1],"inner":{"filings":[{"symbol":"s%d","sm_name":"Example Ltd","xbrlFile":"https://x/%d.xml","details":"https://d/%d","text":"see http://y/z.pdf, and http://y/page","fromDate":"%s","toDate":"%s","type":"Results","title":"Quarterly results","auditedUnaudited":"%s","consolidatedStandalone":"Consolidated","broadcast_date_time":"%s 16:10:00","exchangeReceivedTime":"%s 16:11"},7]}}',
+        "o_custkey", "o_orderkey", "o_orderkey", F.date_format(F.date_sub("o_orderdate", 90), "dd-MMM-yyyy"), on, F.when(F.col("o_orderkey") % 2 == 0, "Audited").otherwise("Unaudited"), on, on)
     f = exchange.filings(o.select(F.col("o_orderkey").alias("k"), text.alias("t")), "results", "t", "k")
-    return f.join(exchange.filing_assets(f), "filing_id").select("k", "instrument_id", "filing_type", "period_start", "period_end", "audited", "position", "url", "document_type")
+    return f.join(exchange.filing_assets(f), "filing_id").select(
+        "k", "instrument_id", "company_name", "filing_type", "subcategory", "title", "period_start", "period_end", "statement_type", "audited", "published_at", "received_at", "details_url", "position", "url", "document_type"
+    )
 
 
 @query("prs_20_regulatory", """SELECT 'sebi:' || substr(sha256('sebi|orders|Order ' || page_id || '|2026-01-05|' || url), 1, 32) AS regulatory_id, 'sebi:' || substr(sha256(url || '/d.pdf'), 1, 32) AS document_id, 'Order ' || page_id AS title, url || '/d.pdf' AS url, 2 AS n_links FROM pages""")
@@ -136,10 +141,17 @@ def prs_05(spark, d):
     return exchange.last_prices(s.select(text.alias("t")), "t", known).select("instrument_id", "instrument_key", "last_price", "volume")
 
 
-@query("prs_08_balance_sheets", """SELECT o_orderkey, last_day(o_orderdate)::DATE AS period_end, 'yearly' AS period_type, 'summary' AS part, name, value FROM (
-    SELECT o_orderkey, o_orderdate, 'Total Assets' AS name, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, o_orderdate, 'Cash', o_custkey::DOUBLE FROM orders)""", "value")
+@query("prs_08_balance_sheets", """SELECT o_orderkey, last_day(o_orderdate)::DATE AS period_end, 'yearly' AS period_type, 'crores' AS units_in, part, name, value, change FROM (
+    SELECT o_orderkey, o_orderdate, 'summary' AS part, 'Total Assets' AS name, o_totalprice AS value, NULL::DOUBLE AS change FROM orders UNION ALL SELECT o_orderkey, o_orderdate, 'summary', 'Cash', o_custkey::DOUBLE, NULL FROM orders
+    UNION ALL SELECT o_orderkey, o_orderdate, 'summary', 'Net profit', o_custkey + 0.5::DOUBLE, 1.5::DOUBLE FROM orders UNION ALL SELECT o_orderkey, o_orderdate, 'full_statement', 'Part', o_orderkey::DOUBLE, NULL FROM orders)""", "value change")
 def prs_08(spark, d):
-    text = F.format_string('{"data":{"history":[{"period":"%s","Total Assets":"%s","Cash":%d},{"Cash":1}]}}', F.date_format("o_orderdate", "MMM yyyy"), F.format_number(F.col("o_totalprice").cast("decimal(20,4)"), 4), "o_custkey")
+    """A history of whole periods, a summary by category with changes, and a full statement whose groups have both names."""
+    period = F.date_format("o_orderdate", "MMM yyyy")
+    text = F.format_string(
+        '{"data":{"units_in":"crores","history":[{"period":"%s","Total Assets":"%s","Cash":%d},{"Cash":1}],"cash_flow":[{"category":"Net profit","particular":"x","history":[{"period":"%s","value":"%d.5","change":"1.5%%"},{"value":1}]}],'
+        '"full_statement":[{"category":"Cat","particular":"Part","history":[{"period":"%s","value":%d}]},{"history":[{"period":"%s","value":1}]}]}}',
+        period, F.format_number(F.col("o_totalprice").cast("decimal(20,4)"), 4), "o_custkey", period, "o_custkey", period, "o_orderkey", period,
+    )
     return parsers.statement_snapshots(read(spark, d, "orders").select("o_orderkey", text.alias("payload")), "payload", "o_orderkey").drop("statement_type")
 
 
@@ -192,17 +204,32 @@ def prs_02(spark, d):
     return parsers.daily_universe(rows).select("instrument_id", "ts", "close", "volume")
 
 
-@query("prs_07_corporate_actions", "SELECT o_orderkey, 'cash_dividend' AS action_type, o_orderdate::DATE AS ex_date, o_custkey + 0.5::DOUBLE AS amount FROM orders", "amount")
+@query("prs_07_corporate_actions", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'dividend' WHEN 1 THEN 'bonus_issue' ELSE 'unknown' END AS action_type, CASE WHEN o_orderkey % 3 < 2 THEN (o_orderdate - INTERVAL 30 DAY)::DATE END AS announcement_date,
+    o_orderdate::DATE AS ex_date, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END AS record_date, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 0.5::DOUBLE END AS amount, CASE WHEN o_orderkey % 3 = 1 THEN '1:' || o_custkey END AS ratio FROM orders""", "amount")
 def prs_07(spark, d):
-    text = F.format_string('{"data":[{"type":"Cash Dividend","details":[{"name":"Ex Date","value":"%s"},{"name":"Amount","value":"%d.5"},{"value":"x"}]}]}', F.date_format("o_orderdate", "dd-MM-yyyy"), "o_custkey")
-    return parsers.corporate_actions(read(spark, d, "orders").select("o_orderkey", text.alias("t")), "t", "o_orderkey").select("o_orderkey", "action_type", "ex_date", "amount")
-
-
-@query("prs_10_macro", "SELECT 'cpi' AS series_id, date_trunc('month', o_orderdate)::DATE AS observation_date, o_totalprice AS value FROM orders WHERE o_orderkey % 5 <> 0", "value")
+    """Dividends, bonus issues under the other names of details, and entries with an expiry date alone."""
+    day = lambda c: F.date_format(c, "dd MMM yyyy")
+    before = day(F.date_sub("o_orderdate", 30))
+    one = F.format_string('{"name":"Dividend","expiry_date":"1 Jan 2020","amount":%d.5,"ratio":null,"event_details":[{"name":"Announcement date","value":"%s"},7,{"name":"Ex dividend date","value":"%s"},{"name":"Record date","value":"%s"},{"value":"x"}]}', "o_custkey", before, day("o_orderdate"), day("o_orderdate"))
+    two = F.format_string('{"name":"Bonus Issue","amount":"n/a","ratio":"1:%d","event_details":[{"name":"Announcement date","value":"%s"},{"name":"Ex Date","value":"%s"}]}', "o_custkey", before, day("o_orderdate"))
+    three = F.format_string('{"expiry_date":"%s","event_details":null}', day("o_orderdate"))
+    which = F.col("o_orderkey") % 3
+    entry = F.when(which == 0, one).when(which == 1, two).otherwise(three)
+    rows = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit('{"status":"success","data":["x",'), entry, F.lit("]}")).alias("t"))
+    return parsers.corporate_actions(rows, "t", "o_orderkey")
+
+
+@query("prs_10_macro", """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'cpi' WHEN 1 THEN 'wpi' ELSE 'mospi' END AS series_id,
+    CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate)::DATE ELSE date_trunc('year', o_orderdate)::DATE END AS observation_date,
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS value, CASE WHEN o_orderkey % 7 = 0 THEN 'provisional' ELSE o_totalprice::DECIMAL(20,4)::VARCHAR END AS value_text, '%' AS unit FROM orders WHERE o_orderkey % 5 <> 0""", "value")
 def prs_10(spark, d):
+    """Months and years, series of a row's own and of the dataset, values that are no numbers, and none."""
     o = read(spark, d, "orders")
-    value = F.when(F.col("o_orderkey") % 5 != 0, F.format_number(F.col("o_totalprice").cast("decimal(20,4)"), 4)).otherwise("N/A")
-    return parsers.macro_observations(o.select(F.date_format("o_orderdate", "MMM yyyy").alias("Month"), value.alias("Index")), F.lit("cpi"))
+    plain = F.col("o_totalprice").cast("decimal(20,4)").cast("string")
+    value = F.when(F.col("o_orderkey") % 5 == 0, "-").when(F.col("o_orderkey") % 7 == 0, "provisional").otherwise(plain)
+    series = F.when(F.col("o_orderkey") % 3 == 0, "cpi").when(F.col("o_orderkey") % 3 == 1, "wpi")
+    on = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MMM yyyy")).otherwise(F.date_format("o_orderdate", "yyyy"))
+    return parsers.macro_observations(o.select(on.alias("Period"), value.alias("Inflation"), series.alias("Series Code"), F.lit("%").alias("Unit")), "mospi")
 
 
 @query("prs_16_feed_items", """SELECT page_id, 'Page ' || page_id || ' & more' AS title, 'http://h/' || page_id AS url, 'text' AS summary, TIMESTAMP '2026-01-05 04:30:00' AS published_at, 'news:' || substr(sha256('http://h/' || page_id || '|Page ' || page_id || ' & more'), 1, 32) AS news_id FROM pages""")
@@ -219,10 +246,48 @@ def prs_19(spark, d):
     return found.select(F.substring_index("url", "/", -1).cast("long").alias("page_id"), "title", "detail_url", "date_text", F.size("links").alias("n_links"))
 
 
-@query("prs_25_constituents", "SELECT n_nationkey, 1 AS rank, upper(n_name) AS symbol, n_regionkey + 0.5::DOUBLE AS last_price FROM nation UNION ALL SELECT n_nationkey, 2, 'B', NULL FROM nation", "last_price")
+@query("prs_25_constituents", """SELECT n_nationkey, 'NIFTY ' || n_nationkey AS index_symbol, 'NIFTY ' || n_nationkey AS index_name, 1 AS rank, 'I' || n_nationkey AS instrument_id, upper(n_name) AS symbol, 'Reliance' AS company_name, 9.12::DOUBLE AS weight_percent,
+    n_regionkey + 0.5::DOUBLE AS price, 5.1::DOUBLE AS change, 0.34::DOUBLE AS change_percent, 1500100000.0::DOUBLE AS traded_value, 1000000::BIGINT AS volume FROM nation
+    UNION ALL SELECT n_nationkey, 'NIFTY ' || n_nationkey, 'NIFTY ' || n_nationkey, 3, NULL, 'TCS', 'Tata', 6.21::DOUBLE, NULL, -10.1::DOUBLE, -0.31::DOUBLE, NULL, 500000::BIGINT FROM nation""", "weight_percent price change change_percent traded_value")
 def prs_25(spark, d):
-    text = F.format_string('{"data":[{"symbol":"%s","lastPrice":"%d.5"},{"symbol":"b","lastPrice":"-"}]}', F.lower("n_name"), "n_regionkey")
-    return parsers.index_constituents(read(spark, d, "nation").select("n_nationkey", text.alias("t")), "t", "n_nationkey")
+    text = F.format_string(
+        '{"metadata":{"indexName":"NIFTY %d","indexSymbol":"NIFTY %d"},"data":[{"symbol":"%s","identifier":"Reliance","lastPrice":"%d.50","change":"5.10","pChange":"0.34","weight":"9.12","totalTradedVolume":"1,000,000","totalTradedValue":"1500100000"},'
+        '{"lastPrice":1},{"symbol":"tcs","identifier":"Tata","lastPrice":"-","change":"-10.10","pChange":"-0.31","weightage":"6.21","totalTradedVolume":"500000"}]}', "n_nationkey", "n_nationkey", F.lower("n_name"), "n_regionkey",
+    )
+    n = read(spark, d, "nation")
+    known = n.select(F.col("n_name").alias("symbol"), F.format_string("I%d", "n_nationkey").alias("instrument_id"))
+    found = exchange.index_constituents(n.select("n_nationkey", text.alias("t")), "t", "n_nationkey", known=known)
+    return found.select("n_nationkey", "index_symbol", "index_name", "rank", "instrument_id", "symbol", "company_name", "weight_percent", "price", "change", "change_percent", "traded_value", "volume")
+
+
+@query("prs_12_insiders", """SELECT o_orderkey, 'NSE:S' || o_custkey AS instrument_id, 'Reliance Industries Limited' AS company_name, 'Regulation 7 (2)' AS regulation, 'Person ' || o_custkey AS person_name, 'Promoter' AS person_category,
+    o_custkey::DOUBLE AS securities_prior, 50.0::DOUBLE AS holding_percent_prior, 1100.0::DOUBLE AS securities_acquired, o_totalprice AS transaction_value, 'Market Purchase' AS transaction_type, 55.0::DOUBLE AS holding_percent_post,
+    o_orderdate::DATE AS acquisition_from, o_orderdate::DATE AS acquisition_to, o_orderdate::TIMESTAMP + INTERVAL 970 MINUTE AS intimation_date, 'Market Purchase' AS mode, 'https://example/x.xml' AS xbrl_url FROM orders""",
+    "securities_prior holding_percent_prior securities_acquired transaction_value holding_percent_post")
+def prs_12_insiders(spark, d):
+    """The short names of the fields and the long ones of the same table."""
+    day, at = F.date_format("o_orderdate", "dd-MMM-yyyy"), F.lit("16:10:00")
+    args = ("o_custkey", "o_custkey", "o_custkey", F.format_number(F.col("o_totalprice").cast("decimal(20,4)"), 4), day, day, day, at)
+    short = '{"symbol":"s%d","company":"Reliance Industries Limited","anex":"Regulation 7 (2)","acqName":"Person %d","personCategory":"Promoter","befAcqSharesNo":"%d","befAcqSharesPer":"50.0","secAcq":"1,100","secVal":"%s","tdpTransactionType":"Market Purchase","afterAcqSharesPer":"55.0","acqfromDt":"%s","acqtoDt":"%s","intimDt":"%s %s","acqMode":"Market Purchase","xbrl":"https://example/x.xml"}'
+    long = '{"SYMBOL":"s%d","COMPANY":"Reliance Industries Limited","REGULATION":"Regulation 7 (2)","NAME OF THE ACQUIRER/DISPOSER":"Person %d","CATEGORY OF PERSON":"Promoter","NO. OF SECURITY (PRIOR)":"%d","% SHAREHOLDING (PRIOR)":"50.0","NO. OF SECURITIES (ACQUIRED/DISPCLOSED)":"1,100","VALUE OF SECURITY (ACQUIRED/DISPCLOSED)":"%s","ACQUISITION/DISPOSAL TRANSACTION TYPE":"Market Purchase","% POST":"55.0","DATE OF ALLOTMENT/ACQUISITION FROM":"%s","DATE OF ALLOTMENT/ACQUISITION TO":"%s","DATE OF INITMATION TO COMPANY":"%s %s","MODE OF ACQUISITION":"Market Purchase","XBRL":"https://example/x.xml"}'
+    long = long.replace("% S", "%% S").replace("% P", "%% P")
+    row = F.when(F.col("o_orderkey") % 2 == 0, F.format_string(short, *args)).otherwise(F.format_string(long, *args))
+    found = exchange.insider_transactions(read(spark, d, "orders").select("o_orderkey", F.concat(F.lit('{"data":['), row, F.lit("]}")).alias("t")), "t", "o_orderkey")
+    return found.select(
+        "o_orderkey", "instrument_id", "company_name", "regulation", "person_name", "person_category", "securities_prior", "holding_percent_prior", "securities_acquired", "transaction_value", "transaction_type",
+        "holding_percent_post", "acquisition_from", "acquisition_to", "intimation_date", "mode", "xbrl_url",
+    )
+
+
+@query("prs_12_large_deals", """SELECT l_orderkey, l_linenumber, 'SYM' || l_suppkey AS symbol, 'Reliance' AS company_name, 'bulk_deals' AS deal_type, l_shipdate::DATE AS trade_date, 'Example Fund' AS client_name, CASE WHEN l_linenumber % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
+    l_quantity AS quantity, l_extendedprice AS weighted_average_price FROM lineitem""", "quantity weighted_average_price")
+def prs_12_deals(spark, d):
+    side = F.when(F.col("l_linenumber") % 2 == 0, "BUY").otherwise("SELL")
+    plain = lambda c: F.col(c).cast("decimal(20,4)").cast("string")
+    text = F.format_string('{"as_on_date":"02-10-2026","BLOCK_DEALS_DATA":[{"symbol":"no"}],"BULK_DEALS_DATA":[{"date":"%s","symbol":"sym%d","name":"Reliance","clientName":"Example Fund","buySell":"%s","qty":%s,"watp":"%s"}]}',
+        F.date_format("l_shipdate", "dd-MMM-yyyy"), "l_suppkey", side, plain("l_quantity"), plain("l_extendedprice"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t"))
+    return exchange.large_deals(rows, "bulk_deals", "t", "l_orderkey", "l_linenumber").drop("event_id", "remarks")
 
 
 @query("prs_01_columns", "SELECT s_suppkey, s_name AS name, s_acctbal AS value FROM supplier", "value")

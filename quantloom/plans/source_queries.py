@@ -9,7 +9,7 @@ from quantloom.plans import context
 from quantloom.plans.catalog import query
 from quantloom.plans.comparative_queries import ALIGNED
 from quantloom.plans.market_queries import RETURNS, B
-from quantloom.sources import markup, parsers
+from quantloom.sources import dates, markup, parsers
 from quantloom.sources.driver_tables import STATEMENTS_SQL, bars, benchmark, read, statements
 
 # ---- parsers: payloads are made of the driver's tables, then parsed ----
@@ -23,12 +23,26 @@ def prs_04(spark, d):
     return parsers.candles(b.select("instrument_id", row.alias("payload")), "payload", "instrument_id")
 
 
-@query("prs_06_full_quotes", """SELECT s_suppkey AS id, 'K' || s_suppkey AS instrument_key, s_acctbal AS last_price, s_nationkey::BIGINT AS volume, 1.0::DOUBLE AS open, 2.0::DOUBLE AS high, 0.5::DOUBLE AS low,
-    s_acctbal AS close, s_nationkey::BIGINT + 5 AS order_count FROM supplier""", "last_price open high low close")
+@query("prs_06_full_quotes", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'IN' || s_suppkey ELSE 'K' || s_suppkey END AS instrument_id, 'K' || s_suppkey AS instrument_key,
+    CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2026-01-01 00:00:01.5' ELSE TIMESTAMP '2026-01-02 05:00:00' END AS timestamp, s_acctbal AS last_price, 104.0::DOUBLE AS previous_close,
+    150.0::DOUBLE AS year_high, 80.0::DOUBLE AS year_low, 103.0::DOUBLE AS day_open, 106.0::DOUBLE AS day_high, 102.0::DOUBLE AS day_low, s_nationkey::BIGINT AS volume, 10::BIGINT AS last_trade_quantity,
+    7::BIGINT AS open_interest, TIMESTAMP '2026-01-01' AS ohlc_timestamp, TIMESTAMP '2026-01-01 00:00:01' AS last_trade_time, true AS cas_eligible, s_nationkey::BIGINT + 5 AS order_count FROM supplier""",
+    "last_price previous_close year_high year_low day_open day_high day_low")
 def prs_06(spark, d):
-    q = F.format_string('{"data":{"K%d":{"last_price":%s,"volume":%d,"ohlc":{"open":1,"high":2,"low":0.5,"close":%s},"depth":{"buy":[{"price":1,"quantity":2,"orders":%d}],"sell":[{"price":1,"quantity":2,"orders":5}]}}}}',
-        "s_suppkey", F.col("s_acctbal").cast("string"), "s_nationkey", F.col("s_acctbal").cast("string"), "s_nationkey")
-    return parsers.quotes(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), q.alias("payload")), "payload", "id")
+    """Both spellings of a quote's fields, times in seconds of text and in milliseconds, and an entry that is no object."""
+    s = read(spark, d, "supplier")
+    ohlc = '{"open":103,"high":106,"low":102,"close":105.25,"volume":%d,"ts":1767225600000}'
+    common = '"prev_close_price":104.0,"year_high":150,"year_low":80,"oi":7,"last_trade_time":"1767225601000","cas_eligible":true,"depth":{"buy":[{"price":1,"quantity":2,"orders":%d}],"sell":[{"price":1,"quantity":2,"orders":5},3]}'
+    one = '{"status":"success","data":{"bad":3,"K%d":{"ltp":%s,"ltq":10,"timestamp":1767225601500,"live_ohlc":' + ohlc + "," + common + "}}}"
+    two = '{"status":"success","data":{"K%d":{"last_price":%s,"last_trade_quantity":10,"timestamp":"2026-01-02T10:30:00+05:30","ohlc":' + ohlc + "," + common + "}}}"
+    args = ("s_suppkey", F.col("s_acctbal").cast("string"), "s_nationkey", "s_nationkey")
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.format_string(one, *args)).otherwise(F.format_string(two, *args))
+    known = s.where("s_suppkey % 2 = 0").select(F.format_string("K%d", "s_suppkey").alias("instrument_key"), F.format_string("IN%d", "s_suppkey").alias("instrument_id"))
+    found = parsers.quotes(s.select(F.col("s_suppkey").alias("id"), text.alias("payload")), "payload", "id", known=known)
+    return found.select(
+        "id", "instrument_id", "instrument_key", "timestamp", "last_price", "previous_close", "year_high", "year_low", "day_open", "day_high", "day_low", "volume", "last_trade_quantity", "open_interest",
+        "ohlc_timestamp", "last_trade_time", "cas_eligible", "order_count",
+    )
 
 
 @query("prs_08_statement_payloads", f"""WITH {STATEMENTS_SQL} SELECT instrument_id, period_end, 'quarterly' AS period_type, 'consolidated' AS statement_type, 'summary' AS part, 'Revenue' AS name, round(revenue, 4) AS value FROM statements
@@ -37,7 +51,27 @@ def prs_08(spark, d):
     s = statements(spark, d)
     point = lambda c: F.format_string('[{"period":"%s","value":"%s"}]', F.date_format("period_end", "MMM yyyy"), F.round(c, 4).cast("decimal(20,4)").cast("string"))
     text = F.format_string('{"data":{"type":"consolidated","time_period":"quarterly","income_statement":[{"category":"Revenue","history":%s}],"full_statement":[{"particular":"Total Assets","history":%s}]}}', point("revenue"), point("total_assets"))
-    return parsers.statement_snapshots(s.select("instrument_id", text.alias("payload")), "payload", "instrument_id")
+    return parsers.statement_snapshots(s.select("instrument_id", text.alias("payload")), "payload", "instrument_id").drop("units_in", "change")
+
+
+_REFERENCES = (("caf&eacute;", "café"), ("&#8217;s", "’s"), ("&mdash;", "—"), ("&#x1F600;", "😀"), ("&amp;lt;", "&lt;"), ("&notit;", "¬it;"), ("&#128;", "€"), ("&unknown; & &;", "&unknown; & &;"), ("&copy 1", "© 1"))
+
+
+@query("prs_17_references", "SELECT o_orderkey, CASE o_orderkey % 9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(_REFERENCES)) + " END || ' ' || o_custkey AS text FROM orders")
+def prs_17_references(spark, d):
+    said = F.element_at(F.array(*(F.lit(r) for r, _ in _REFERENCES)), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", parsers.without_markup(F.concat(F.lit("<p>"), said, F.lit("</p>\n <b>"), F.col("o_custkey").cast("string"), F.lit("</b>"))).alias("text"))
+
+
+#: Forms of one date as Spark writes them; the first days of months are apart.
+_FORMS = ("yyyy-MM-dd", "dd-MM-yyyy", "d/M/yyyy", "dd-MMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d yyyy", "yyyy MMM dd", "dd.MM.yy", "yyyyMMdd", "ddMMMyyyy", "'as on' d MMM, yyyy", "EEE, dd MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd-MMM-yyyy hh:mm a")
+
+
+@query("prs_09_loose_dates", f"""SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate::TIMESTAMP + CASE WHEN o_orderkey % {len(_FORMS)} >= {len(_FORMS) - 3} THEN INTERVAL 1 HOUR * (o_orderkey % 24) + INTERVAL 30 MINUTE ELSE INTERVAL 0 HOUR END AS at FROM orders""")
+def prs_09_loose(spark, d):
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"), F.lit(30))
+    text = F.element_at(F.array(*(F.date_format(at, f) for f in _FORMS)), (F.col("o_orderkey") % len(_FORMS) + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", dates.day(text).alias("day"), dates.instant(text).alias("at"))
 
 
 @query("prs_09_period_end", "SELECT o_orderkey, last_day(o_orderdate)::DATE AS period_end FROM orders")
@@ -46,8 +80,9 @@ def prs_09(spark, d):
     return read(spark, d, "orders").select("o_orderkey", parsers.period_end(forms).alias("period_end"))
 
 
-@query("prs_17_without_markup", r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
-    '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS text FROM pages""")
+@query("prs_17_without_markup", r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html_decoded, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS text FROM (
+    SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'),
+    '&apos;', chr(39)), '&nbsp;', chr(160)), '&mdash;', '—'), '&hellip;', '…'), '&amp;', '&') AS html_decoded FROM pages)""")
 def prs_17(spark, d):
     return read(spark, d, "pages").select("page_id", parsers.without_markup(F.col("html")).alias("text"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import content_id
+from quantloom.operators import nested
+from quantloom.sources import dates
 from quantloom.sources.parsers import column_named, day, document_type, number, period_end, short_id, text_or_null
 
 ROW = "map<string,string>"
@@ -38,6 +40,17 @@ def of(*names: str, row: str = "row") -> Column:
     return F.coalesce(*(text_or_null(F.col(row)[n]) for n in names))
 
 
+def plain_entries(row: str = "row") -> Column:
+    """The fields of a row with names in plain letters and digits, so that spelling, case and signs don't matter."""
+    return F.transform(F.map_entries(row), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("key"), e["value"].alias("value")))
+
+
+def named(*names: str, entries: str = "_entries") -> Column:
+    """The first of the fields that has a value, by plain names."""
+    plain = ["".join(x for x in n.lower() if x.isalnum() and x.isascii()) for n in names]
+    return F.coalesce(*(text_or_null(F.get(F.filter(entries, lambda e: e["key"] == n), 0)["value"]) for n in plain))  # noqa: B023
+
+
 def yes_or_no(c: Column) -> Column:
     word = F.lower(F.trim(c))
     return F.when(word.isin(*YES), True).when(word.isin(*NO), False)
@@ -114,19 +127,31 @@ def asset_links(row: Column) -> Column:
 
 
 def filings(payloads: DataFrame, category: str, text: str, *keep: str) -> DataFrame:
-    """Filing rows with ids from their content, periods, times, and their documents in ``assets``."""
-    symbol = F.upper(of("symbol", "sm_symbol", "nse_symbol"))
-    rows = payload_rows(payloads, text, *keep).withColumn("assets", asset_links(F.col("row")))
+    """Filing rows, wherever the payload keeps them, with ids from their content, periods, times, and their documents in ``assets``."""
+    rows = nested.nested_rows(payloads, text, *keep, keys=FILING_KEYS).withColumn("assets", asset_links(F.col("row"))).withColumn("_entries", plain_entries())
+    symbol = F.upper(named("symbol", "sm_symbol", "nse_symbol"))
     sorted_row = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row"))))
-    period, published = of("toDate", "to_date", "quarterEndDate", "quarter_end_date", "fromYear", "from_year"), of("filingDate", "filing_date", "broadcastDateTime", "broadcast_date_time", "sort_date")
+    # fixed values: the fields that an id is made of
+    period, published = named("toDate", "to_date", "quarterEndDate", "quarter_end_date", "fromYear", "from_year"), named("filingDate", "filing_date", "broadcastDateTime", "broadcast_date_time", "sort_date")
     parts = [F.lit("nse"), F.lit(category), F.coalesce(symbol, F.lit("")), F.coalesce(period, F.lit("")), F.coalesce(published, F.lit("")), F.array_join("assets", "|"), sorted_row]
+    # fixed values: the fields of filings
+    filing_type = F.coalesce(named("filingType", "filing_type", "type", "desc", "subject", "purpose", "reportType"), F.lit(category))
+    details = named("details", "detailsUrl", "details_url", "detailUrl", "link")
     return rows.select(
         *keep, short_id(f"nse:{category}:", *parts, length=32).alias("filing_id"), F.concat(F.lit("NSE:"), symbol).alias("instrument_id"), symbol.alias("symbol"),
-        F.coalesce(of("filingType", "filing_type", "type", "desc", "subject", "purpose", "reportType"), F.lit(category)).alias("filing_type"),
-        day(of("fromDate", "from_date", "periodStartDate", "period_start")).alias("period_start"),
-        day(of("toDate", "to_date", "quarterEndDate", "quarter_end_date", "periodEndDate", "period_end")).alias("period_end"),
-        day(of("an_dt", "announcementDateTime", "broadcastDateTime", "broadcast_date_time", "filingDate", "filing_date", "sort_date", "submissionDate")).alias("published_on"),
-        yes_or_no(of("audited", "isAudited")).alias("audited"), yes_or_no(of("consolidated", "isConsolidated")).alias("consolidated"), "assets",
+        named("companyName", "company_name", "sm_name", "issuer").alias("company_name"), filing_type.alias("filing_type"), F.lit(category).alias("category"),
+        named("desc", "subject", "reportType", "type").alias("subcategory"),
+        F.coalesce(named("title", "subject", "attchmntText", "desc", "reportType", "type"), filing_type).alias("title"),
+        day(named("fromDate", "from_date", "periodStartDate", "period_start")).alias("period_start"),
+        day(named("toDate", "to_date", "quarterEndDate", "quarter_end_date", "periodEndDate", "period_end")).alias("period_end"),
+        named("financialYear", "financial_year", "fromYear", "from_year").alias("financial_year"),
+        named("consolidated", "consolidatedStandalone", "statementType", "statement_type").alias("statement_type"),
+        named("typeOfSubmission", "type_of_submission", "submissionType", "submission_type").alias("submission_type"),
+        yes_or_no(named("audited", "auditedUnaudited", "auditStatus")).alias("audited"),
+        dates.instant(named("an_dt", "announcementDateTime", "announcement_datetime", "broadcastDateTime", "broadcast_date_time", "filingDate", "filing_date", "sort_date", "submissionDate", "submission_date")).alias("published_at"),
+        dates.instant(named("exchangeReceivedTime", "exchange_received_time", "receivedTime", "received_time")).alias("received_at"),
+        dates.instant(named("revisedDateTime", "revised_date_time", "revisedDate", "revised_date")).alias("revised_at"),
+        named("revisionRemarks", "revision_remarks").alias("revision_remarks"), F.when(details.rlike("^https?://"), details).alias("details_url"), "assets",
     )
 
 
@@ -169,3 +194,71 @@ def regulatory_documents(items: DataFrame) -> DataFrame:
     rows = items.select("regulatory_id", "title", F.explode("document_urls").alias("url"))
     return rows.select(short_id("sebi:", F.col("url"), length=32).alias("document_id"), "regulatory_id", "title", "url")
 
+
+#: The fields of insiders' transactions and large deals.
+INSIDER_TEXTS = {
+    "company_name": ("company",), "regulation": ("anex", "regulation"), "person_name": ("acqName", "name of the acquirer/disposer"), "person_category": ("personCategory", "category of person"),
+    "security_type_prior": ("secType", "type of security (prior)"), "security_type_acquired": ("tkdAcqm", "type of security (acquired/dispclosed)"),
+    "transaction_type": ("tdpTransactionType", "acquisition/disposal transaction type"), "security_type_post": ("securitiesTypePost", "type of security (post)"),
+    "mode": ("acqMode", "mode of acquisition"), "derivative_type": ("derivativeType", "derivative type security"),
+    "derivative_contract_type": ("tdpDerivativeContractType", "derivative contract specification"), "exchange": ("exchange",), "remarks": ("remarks", "remark"), "xbrl_url": ("xbrl",),
+}
+INSIDER_NUMBERS = {
+    "securities_prior": ("befAcqSharesNo", "no. of security (prior)"), "holding_percent_prior": ("befAcqSharesPer", "% shareholding (prior)"),
+    "securities_acquired": ("secAcq", "no. of securities (acquired/dispclosed)"), "transaction_value": ("secVal", "value of security (acquired/dispclosed)"),
+    "securities_post": ("afterAcqSharesNo", "no. of security (post)"), "holding_percent_post": ("afterAcqSharesPer", "% post"), "buy_value": ("buyValue", "notional value(buy)"),
+    "buy_quantity": ("buyQuantity", "number of units/contract lot size (buy)"), "sell_value": ("sellValue", "notional value(sell)"),
+    "sell_quantity": ("sellquantity", "number of units/contract lot size (sell)"),
+}
+DEAL_KEYS = {"bulk_deals": "BULK_DEALS_DATA", "block_deals": "BLOCK_DEALS_DATA", "short_deals": "SHORT_DEALS_DATA"}
+#: The fields of an index's members.
+MEMBER_NUMBERS = {
+    "weight_percent": ("weight", "weightage", "indexWeight"), "price": ("lastPrice", "ltp", "price"), "change": ("change", "variation"), "change_percent": ("pChange", "percentChange", "changePercent"),
+    "market_cap": ("marketCap", "marketCapitalisation"), "free_float_market_cap": ("ffmc", "freeFloatMarketCap", "freeFloatMcap"), "traded_value": ("totalTradedValue", "tradedValue"),
+}
+
+
+def row_id(prefix: str, row: str = "row") -> Column:
+    """An id from all fields of a row, whatever their order."""
+    return F.concat(F.lit(prefix), F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(row)))), 256))
+
+
+def insider_transactions(payloads: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Insiders' transactions as regulators publish them, one row each, under the short or the long names of the fields."""
+    rows = payload_rows(payloads, text, *keep).withColumn("_entries", plain_entries())
+    symbol = F.upper(named("symbol"))
+    return rows.select(
+        *keep, row_id("nse:insider:").alias("event_id"), F.concat(F.lit("NSE:"), symbol).alias("instrument_id"), symbol.alias("symbol"),
+        *(named(*names).alias(n) for n, names in INSIDER_TEXTS.items()), *(number(named(*names)).alias(n) for n, names in INSIDER_NUMBERS.items()),
+        day(named("acqfromDt", "date of allotment/acquisition from")).alias("acquisition_from"), day(named("acqtoDt", "date of allotment/acquisition to")).alias("acquisition_to"),
+        dates.instant(named("intimDt", "date of initmation to company")).alias("intimation_date"), dates.instant(named("date", "broadcast date and time")).alias("broadcast_at"),
+    )
+
+
+def large_deals(payloads: DataFrame, mode: str, text: str, *keep: str) -> DataFrame:
+    """Bulk, block or short deals of a day's snapshot."""
+    listed = payloads.select(*keep, F.get_json_object(text, f"$.{DEAL_KEYS[mode]}").alias("_deals"))
+    rows = payload_rows(listed, "_deals", *keep).withColumn("_entries", plain_entries())
+    return rows.select(
+        *keep, row_id(f"nse:{mode}:").alias("event_id"), F.upper(named("symbol")).alias("symbol"), named("name", "company").alias("company_name"), F.lit(mode).alias("deal_type"),
+        day(named("date", "trade_date")).alias("trade_date"), named("clientName", "client_name").alias("client_name"), named("buySell", "buy_sell", "side").alias("side"),
+        number(named("qty", "quantity")).alias("quantity"), number(named("watp", "weighted_average_price")).alias("weighted_average_price"), named("remarks", "remark").alias("remarks"),
+    )
+
+
+def index_constituents(payloads: DataFrame, text: str, *keep: str, known: DataFrame | None = None) -> DataFrame:
+    """The members of an index; ranks count the rows of the payload, of which those without a symbol are left out. ``known``
+    (symbol, instrument_id) names instruments."""
+    about = lambda n: text_or_null(F.get_json_object(text, f"$.metadata.{n}"))
+    top = payloads.select(*keep, text, F.coalesce(about("indexName"), about("name"), about("index")).alias("_name"), about("indexSymbol").alias("_symbol"))
+    rows = payload_rows(top, text, *keep, "_name", "_symbol").withColumn("_entries", plain_entries())
+    rows = rows.withColumn("symbol", F.upper(named("symbol", "symbolName", "ticker"))).where("symbol IS NOT NULL")
+    if known is not None:
+        rows = rows.join(known.select(F.upper("symbol").alias("symbol"), "instrument_id"), "symbol", "left")
+    else:
+        rows = rows.withColumn("instrument_id", F.lit(None).cast("string"))
+    index = F.coalesce(named("indexSymbol", "index", "indexName"), "_symbol", "_name")
+    return rows.select(
+        *keep, index.alias("index_symbol"), F.coalesce("_name", index).alias("index_name"), "instrument_id", "symbol", named("identifier", "companyName", "company").alias("company_name"), "rank",
+        *(number(named(*names)).alias(n) for n, names in MEMBER_NUMBERS.items()), number(named("totalTradedVolume", "volume")).cast("long").alias("volume"),
+    )

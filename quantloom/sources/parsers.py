@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import content_id
 from quantloom.operators.identity import canonical_instrument_id
+from quantloom.sources import dates, references
 
 #: Texts that stand for no value.
 BLANK = ("", "-", "None", "nan", "NaN", "NAN", "null", "N/A")
-DATES = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
-MONTHS = ("MMM yyyy", "MMM-yyyy", "MMMM yyyy", "MMM yy", "yyyy-MM", "MMM-yy")
 
 
 def read_landed(spark: SparkSession, path: str, kind: str, schema: str | None = None, **options) -> DataFrame:
@@ -50,9 +49,8 @@ def number(c: Column) -> Column:
 
 
 def day(c: Column) -> Column:
-    """Dates in any of the usual forms; a month stands for its first day."""
-    c = text_or_null(c)
-    return F.coalesce(*(F.try_to_date(c, f) for f in DATES), *(F.try_to_date(c, f) for f in MONTHS), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
+    """Dates in any form that ``dates`` knows; a month stands for its first day."""
+    return dates.day(c)
 
 
 def period_end(label: Column) -> Column:
@@ -99,15 +97,58 @@ def short_candles(payloads: DataFrame, text: str = "payload", *keep: str) -> Dat
     return rows.where(F.size("c") < 6).select(*keep, F.lit("short_candle").alias("code"))
 
 
-def quotes(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
-    """``{"data": {key: {last_price, volume, ohlc, depth: {buy, sell}}}}`` to a row for each key, with the number of
-    orders on both sides of the book."""
-    level = "array<struct<price:double,quantity:long,orders:long>>"
-    quote = f"struct<last_price:double,volume:long,ohlc:struct<open:double,high:double,low:double,close:double>,depth:struct<buy:{level},sell:{level}>>"
-    rows = payloads.select(*keep, F.explode(F.from_json(F.get_json_object(text, "$.data"), f"map<string,{quote}>")).alias("instrument_key", "q"))
-    book = F.concat(F.coalesce("q.depth.buy", F.array().cast(level)), F.coalesce("q.depth.sell", F.array().cast(level)))
-    orders = F.aggregate(book, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["orders"], F.lit(0)))
-    return rows.select(*keep, "instrument_key", "q.last_price", "q.volume", "q.ohlc.*", orders.alias("order_count"))
+#: Fields of a quote and the names that payloads have for them, the preferred one first.
+QUOTE_NUMBERS = {
+    "last_price": ("last_price", "ltp"), "previous_close": ("prev_close_price",), "net_change": ("net_change",), "year_high": ("year_high",), "year_low": ("year_low",),
+    "average_price": ("average_price",), "circuit_upper": ("upper_circuit_limit",), "circuit_lower": ("lower_circuit_limit",),
+    "indicative_equilibrium_price": ("indicative_equilibrium_price",), "reference_price": ("reference_price",),
+}
+QUOTE_COUNTS = {
+    "last_trade_quantity": ("last_trade_quantity", "ltq"), "total_buy_quantity": ("total_buy_quantity",), "total_sell_quantity": ("total_sell_quantity",), "open_interest": ("oi",),
+    "previous_oi": ("previous_oi",), "oi_day_high": ("oi_day_high",), "oi_day_low": ("oi_day_low",), "indicative_equilibrium_quantity": ("indicative_equilibrium_quantity",),
+    "indicative_imbalance_quantity_total": ("indicative_imbalance_quantity_total",), "indicative_imbalance_quantity_market": ("indicative_imbalance_quantity_market",),
+}
+
+
+def quote_entries(payloads: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(…, instrument_key, quote): the entries of ``{"data": {key: ...}}``, each as its own JSON text."""
+    return payloads.select(*keep, F.explode(F.from_json(F.get_json_object(text, "$.data"), "map<string,string>")).alias("instrument_key", "quote"))
+
+
+def quotes(payloads: DataFrame, text: str = "payload", *keep: str, known: DataFrame | None = None, retrieved_at: Column | None = None) -> DataFrame:
+    """``{"data": {key: {last_price, ohlc, depth, ...}}}`` to a row for each key. Every entry is read by itself, so one that is
+    no object loses only itself (``not_quotes`` names it). ``known`` (instrument_key, instrument_id) names keys, others
+    keep theirs as id. Day prices come from ``ohlc``, else from ``live_ohlc``; a quote without a time that can be read has that
+    of its retrieval. Depth stays as lists of levels."""
+    rows = quote_entries(payloads, text, *keep).where(F.trim("quote").startswith("{"))
+    get = lambda *paths: F.coalesce(*(text_or_null(F.get_json_object("quote", f"$.{p}")) for p in paths))
+    is_object = lambda p: F.coalesce(F.trim(F.get_json_object("quote", f"$.{p}")).startswith("{"), F.lit(False))
+    ohlc = lambda name: F.when(is_object("ohlc"), get(f"ohlc.{name}")).otherwise(get(f"live_ohlc.{name}"))
+    level = "struct<price:double,quantity:long,orders:long>"
+    listed = lambda name: F.filter(F.from_json(F.get_json_object("quote", f"$.depth.{name}"), "array<string>"), lambda x: F.trim(x).startswith("{"))
+    side = lambda name: F.coalesce(F.transform(listed(name), lambda x: F.from_json(x, level)), F.array().cast(f"array<{level}>"))
+    whole = lambda c: number(c).cast("long")
+    when = get("timestamp")
+    at = F.when(when.rlike(r"^[0-9.]+$"), dates.from_millis(when)).otherwise(F.try_to_timestamp(when))
+    orders = F.aggregate(F.concat("bid_depth", "ask_depth"), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["orders"], F.lit(0)))
+    if known is not None:
+        rows = rows.join(known.select("instrument_key", F.col("instrument_id").alias("_known")), "instrument_key", "left")
+    else:
+        rows = rows.withColumn("_known", F.lit(None).cast("string"))
+    return rows.select(
+        *keep, F.coalesce("_known", "instrument_key").alias("instrument_id"), "instrument_key",
+        F.coalesce(at, *([] if retrieved_at is None else [retrieved_at])).alias("timestamp"),
+        *(number(get(*names)).alias(n) for n, names in QUOTE_NUMBERS.items()), *(number(ohlc(n)).alias(f"day_{n}") for n in ("open", "high", "low")), number(ohlc("close")).alias("close"),
+        F.coalesce(whole(get("volume")), whole(ohlc("volume"))).alias("volume"), *(whole(get(*names)).alias(n) for n, names in QUOTE_COUNTS.items()),
+        dates.from_millis(get("last_trade_time")).alias("last_trade_time"), dates.from_millis(ohlc("ts")).alias("ohlc_timestamp"),
+        side("buy").alias("bid_depth"), side("sell").alias("ask_depth"), get("cas_eligible").try_cast("boolean").alias("cas_eligible"),
+    ).withColumn("order_count", orders)
+
+
+def not_quotes(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
+    """Issue rows for entries that are no objects."""
+    bad = quote_entries(payloads, text, *keep).where(~F.coalesce(F.trim("quote").startswith("{"), F.lit(False)))
+    return bad.select(*keep, "instrument_key", F.lit("not_a_quote").alias("code"), F.col("quote").alias("detail"))
 
 
 def daily_universe(df: DataFrame) -> DataFrame:
@@ -129,46 +170,67 @@ def daily_universe(df: DataFrame) -> DataFrame:
 
 
 def statement_snapshots(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
-    """Statement histories to one value a row: (…, period_end, period_type, statement_type, part, name, value).
+    """Statement histories to one value a row: (…, period_end, period_type, statement_type, units_in, part, name, value, change).
 
-    Categories and particulars with a history become names under ``summary`` and ``full_statement``; a ``history`` of whole
-    periods, as balance sheets have it, gives a name for each of its fields. Rows stay long, and ``merged_periods`` pivots
-    what is needed."""
-    group = "array<struct<category:string,particular:string,history:array<struct<period:string,value:string>>>>"
+    Categories with a history become names under ``summary`` (a particular, or ``value``, stands in for a missing category),
+    particulars under ``full_statement`` (there a category stands in, and groups with neither are left out); a ``history`` of
+    whole periods, as balance sheets have it, gives a name for each of its fields. Rows stay long, and ``merged_periods``
+    pivots what is needed."""
+    group = "array<struct<category:string,particular:string,history:array<struct<period:string,value:string,change:string>>>>"
     get = lambda path: F.get_json_object(text, path)
+    about = [F.coalesce(get("$.data.time_period"), F.lit("yearly")).alias("period_type"), get("$.data.type").alias("statement_type"), get("$.data.units_in").alias("units_in")]
 
-    def groups(part: str, path: str) -> Column:
-        named = lambda g: F.struct(F.lit(part).alias("part"), F.coalesce(g["category"], g["particular"], F.lit("value")).alias("name"), g["history"].alias("history"))
-        return F.transform(F.coalesce(F.from_json(get(path), group), F.array().cast(group)), named)
+    def groups(part: str, path: str, *names: str) -> Column:
+        listed = F.coalesce(F.from_json(get(path), group), F.array().cast(group))
+        named = lambda g: F.struct(F.lit(part).alias("part"), F.coalesce(*(F.nullif(g[n], F.lit("")) for n in names), *([F.lit("value")] if part == "summary" else [])).alias("name"), g["history"].alias("history"))
+        return F.filter(F.transform(listed, named), lambda g: g["name"].isNotNull())
 
-    summaries = [groups("summary", f"$.data.{x}") for x in ("income_statement", "balance_sheet", "cash_flow")]
-    parts = F.concat(*summaries, groups("full_statement", "$.data.full_statement"))
-    rows = payloads.select(*keep, F.coalesce(get("$.data.time_period"), F.lit("yearly")).alias("period_type"), get("$.data.type").alias("statement_type"), F.explode(parts).alias("g"))
-    rows = rows.select(*keep, "period_type", "statement_type", "g.part", "g.name", F.explode("g.history").alias("h")).where("h.period IS NOT NULL")
-    grouped = rows.select(*keep, period_end(F.col("h.period")).alias("period_end"), "period_type", "statement_type", "part", "name", number(F.col("h.value")).alias("value"))
-    whole = payloads.select(*keep, F.coalesce(get("$.data.time_period"), F.lit("yearly")).alias("period_type"), get("$.data.type").alias("statement_type"), F.explode(F.from_json(get("$.data.history"), "array<map<string,string>>")).alias("h"))
-    whole = whole.select(*keep, "period_type", "statement_type", F.col("h")["period"].alias("period"), F.explode(F.map_filter("h", lambda k, _: k != "period")).alias("name", "v")).where("period IS NOT NULL")
-    return grouped.unionByName(whole.select(*keep, period_end(F.col("period")).alias("period_end"), "period_type", "statement_type", F.lit("summary").alias("part"), "name", number(F.col("v")).alias("value")))
+    summaries = [groups("summary", f"$.data.{x}", "category", "particular") for x in ("income_statement", "balance_sheet", "cash_flow")]
+    parts = F.concat(*summaries, groups("full_statement", "$.data.full_statement", "particular", "category"))
+    cols = ("period_type", "statement_type", "units_in")
+    rows = payloads.select(*keep, *about, F.explode(parts).alias("g")).select(*keep, *cols, "g.part", "g.name", F.explode("g.history").alias("h")).where("h.period IS NOT NULL")
+    grouped = rows.select(*keep, period_end(F.col("h.period")).alias("period_end"), *cols, "part", "name", number(F.col("h.value")).alias("value"), number(F.col("h.change")).alias("change"))
+    whole = payloads.select(*keep, *about, F.explode(F.from_json(get("$.data.history"), "array<map<string,string>>")).alias("h"))
+    whole = whole.select(*keep, *cols, F.col("h")["period"].alias("period"), F.explode(F.map_filter("h", lambda k, _: k != "period")).alias("name", "v")).where("period IS NOT NULL")
+    return grouped.unionByName(
+        whole.select(*keep, period_end(F.col("period")).alias("period_end"), *cols, F.lit("summary").alias("part"), "name", number(F.col("v")).alias("value"), F.lit(None).cast("double").alias("change"))
+    )
 
 
 def corporate_actions(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
-    """``{"data": [{"type", "details": [{"name", "value"}]}]}`` to typed rows."""
-    rows = payloads.select(*keep, F.explode(F.from_json(F.get_json_object(text, "$.data"), "array<struct<type:string,details:array<struct<name:string,value:string>>>>")).alias("a"))
-    named = F.map_from_entries(F.transform(F.filter("a.details", lambda x: x["name"].isNotNull()), lambda x: F.struct(slug(x["name"]), x["value"])))
-    rows = rows.select(*keep, slug(F.col("a.type")).alias("action_type"), named.alias("m"))
-    of = lambda *names: F.coalesce(*(F.col("m")[n] for n in names))
-    return rows.select(*keep, "action_type", day(of("ex_date")).alias("ex_date"), day(of("record_date")).alias("record_date"), of("ratio").alias("ratio"), number(of("amount", "dividend")).alias("amount"))
+    """``{"data": [{"name", "expiry_date", "amount", "ratio", "event_details": [{"name", "value"}]}]}`` to typed rows; entries that
+    are no objects are left out."""
+    rows = payloads.select(*keep, F.explode(F.from_json(F.get_json_object(text, "$.data"), "array<string>")).alias("a")).where(F.trim("a").startswith("{"))
+    entries = F.transform(F.from_json(F.get_json_object("a", "$.event_details"), "array<string>"), lambda x: F.struct(F.get_json_object(x, "$.name").alias("name"), F.get_json_object(x, "$.value").alias("value")))
+    # fixed values: the names of the details
+    said = lambda *names: F.coalesce(*(text_or_null(F.get(F.filter(entries, lambda e: e["name"] == n), 0)["value"]) for n in names))  # noqa: B023, E731
+    get = lambda n: text_or_null(F.get_json_object("a", f"$.{n}"))
+    return rows.select(
+        *keep, F.replace(F.lower(F.coalesce(get("name"), F.lit("unknown"))), F.lit(" "), F.lit("_")).alias("action_type"),
+        day(said("Announcement date")).alias("announcement_date"),
+        day(F.coalesce(said("Ex dividend date", "Ex-Date", "Ex date", "Ex Date"), get("expiry_date"))).alias("ex_date"),
+        day(said("Record date", "Record Date")).alias("record_date"), get("amount").try_cast("double").alias("amount"), get("ratio").alias("ratio"),
+    )
 
 
-def macro_observations(df: DataFrame, series: Column, dates: tuple[str, ...] = ("date", "period", "month"), values: tuple[str, ...] = ("value", "index", "rate")) -> DataFrame:
-    rows = df.select(series.alias("series_id"), day(column_named(df, *dates)).alias("observation_date"), number(column_named(df, *values)).alias("value"))
-    return rows.where("observation_date IS NOT NULL AND value IS NOT NULL")
+#: Fields of macro tables.
+MACRO_DATES = ("date", "observation_date", "period", "month", "year")
+MACRO_VALUES = ("value", "index", "inflation", "rate", "value_numeric")
+MACRO_SERIES = ("series", "series_id", "series_code", "item", "group")
 
 
-def index_constituents(payloads: DataFrame, text: str = "payload", *keep: str) -> DataFrame:
-    """``{"data": [{symbol, lastPrice}, ...]}`` to rows with their rank, the position in the payload."""
-    rows = payloads.select(*keep, F.posexplode(F.from_json(F.get_json_object(text, "$.data"), "array<struct<symbol:string,lastPrice:string>>")).alias("k", "c"))
-    return rows.select(*keep, (F.col("k") + 1).alias("rank"), F.upper("c.symbol").alias("symbol"), number(F.col("c.lastPrice")).alias("last_price"))
+def macro_observations(
+    df: DataFrame, dataset: str, series: Column | None = None, date_fields: tuple[str, ...] = MACRO_DATES, value_fields: tuple[str, ...] = MACRO_VALUES, unit: Column | None = None
+) -> DataFrame:
+    """(series_id, observation_date, value, value_text, unit) of the rows that have a date and something as value; what is no
+    number stays as text. A series is the given one, else what the row says, else the dataset."""
+    get = lambda *names: text_or_null(column_named(df, *names))
+    own_series, own_unit = get(*MACRO_SERIES), get("unit", "units")
+    rows = df.select(
+        F.coalesce(*([] if series is None else [series]), own_series, F.lit(dataset)).alias("series_id"), day(column_named(df, *date_fields)).alias("observation_date"),
+        number(column_named(df, *value_fields)).alias("value"), get(*value_fields).alias("value_text"), (own_unit if unit is None else F.coalesce(unit, own_unit)).alias("unit"),
+    )
+    return rows.where("observation_date IS NOT NULL AND value_text IS NOT NULL")
 
 
 def instruments(df: DataFrame) -> DataFrame:
@@ -181,24 +243,6 @@ def instruments(df: DataFrame) -> DataFrame:
     return rows.withColumn("instrument_id", canonical_instrument_id()).where("instrument_id IS NOT NULL")
 
 
-def insider_rows(df: DataFrame) -> DataFrame:
-    get = lambda *names: column_named(df, *names)
-    rows = df.select(
-        F.upper(text_or_null(get("symbol"))).alias("symbol"), text_or_null(get("acqName", "person_name", "name")).alias("person_name"), day(get("intimDt", "intimation_date", "date")).alias("intimation_date"),
-        *(number(get(*names)).alias(n) for n, names in {"buy_quantity": ("buyQuantity",), "sell_quantity": ("sellquantity",), "buy_value": ("buyValue",), "sell_value": ("sellValue",)}.items()),
-    )
-    return rows.withColumn("event_id", content_id(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)))
-
-
-def deal_rows(df: DataFrame, kind: str) -> DataFrame:
-    get = lambda *names: column_named(df, *names)
-    rows = df.select(
-        F.upper(text_or_null(get("symbol"))).alias("symbol"), day(get("date", "trade_date")).alias("trade_date"), text_or_null(get("clientName", "client_name")).alias("client"),
-        F.lower(text_or_null(get("buySell", "side"))).alias("side"), number(get("qty", "quantity")).alias("quantity"), number(get("watp", "price", "weighted_average_price")).alias("price"), F.lit(kind).alias("deal_type"),
-    )
-    return rows.withColumn("event_id", content_id(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)))
-
-
 # ---- documents ----
 
 
@@ -214,10 +258,8 @@ def document_type(url: Column, mime: Column) -> Column:
 
 
 def without_markup(text: Column) -> Column:
-    """Common entities decoded, tags dropped, white space collapsed; null if nothing is left."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
+    """Character references decoded, tags dropped, white space collapsed; null if nothing is left."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(references.unescaped(text), "<[^>]+>", " "), r"\s+", " "))
     return F.nullif(text, F.lit(""))
 
 

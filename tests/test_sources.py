@@ -22,7 +22,7 @@ def test_candles(spark):
 def test_quotes_and_actions(spark):
     q = one(parsers.quotes(payload(spark, '{"data":{"K":{"last_price":5,"volume":7,"depth":{"buy":[{"orders":2}],"sell":[{"orders":3},{"price":1}]}}}}'), "payload"))
     assert (q["instrument_key"], q["last_price"], q["order_count"]) == ("K", 5, 5)
-    a = one(parsers.corporate_actions(payload(spark, '{"data":[{"type":"Cash Dividend","details":[{"name":"Ex Date","value":"05-02-2026"},{"name":"Amount","value":"1,200.5"}]}]}'), "payload"))
+    a = one(parsers.corporate_actions(payload(spark, '{"data":[{"name":"Cash Dividend","amount":1200.5,"event_details":[{"name":"Ex Date","value":"05-02-2026"}]}]}'), "payload"))
     assert (a["action_type"], a["ex_date"], a["amount"]) == ("cash_dividend", dt.date(2026, 2, 5), 1200.5)
 
 
