@@ -51,6 +51,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         market_queries,
         record_queries,
         source_queries,
+        store_queries,
         stream_queries,
     )
 

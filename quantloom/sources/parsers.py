@@ -81,6 +81,18 @@ def rejected(df: DataFrame, wanted: Column, id_col: str, reason: str) -> DataFra
     return df.where(wanted.isNull()).select(F.col(id_col).cast("string").alias("record"), F.lit(reason).alias("code"))
 
 
+def issues(*found: tuple[str, str, DataFrame]) -> DataFrame:
+    """(source, operation, …, code, detail): the issues of several (source, operation, rows) as one table."""
+    tables = []
+    for source, operation, rows in found:
+        rows = rows if "detail" in rows.columns else rows.withColumn("detail", F.lit(None).cast("string"))
+        tables.append(rows.select(F.lit(source).alias("source"), F.lit(operation).alias("operation"), *(c for c in rows.columns if c not in ("code", "detail")), "code", "detail"))
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 # ---- prices ----
 
 

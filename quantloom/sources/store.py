@@ -1,32 +1,108 @@
 """Tables of canonical records, and raw bytes named by their content.
 
-Writes are idempotent: a record whose id a table already has is left out before the append."""
+A table is a folder of batches, each spread over buckets by a digest of its key, and a log with a row for each batch that
+was written as a whole. Readers take the batches that the log names, so a write that fails between data and log leaves
+nothing that is seen. Writes are idempotent: an append compares its rows with those of the buckets it touches, and
+leaves out the keys that are there; files carry Bloom filters of their keys for lookups."""
 
 from __future__ import annotations
 
 import functools
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from quantloom.functions.ship import ship_package
+from quantloom.sources.raw_files import FORMAT, RawFiles
+
+BUCKETS = 32
+LOG = "batch string, rows long, replaces array<string>"
+
+
+def bucket_of(*key: str) -> Column:
+    digest = F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)
+    return (F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % BUCKETS).cast("int")
+
+
+def log(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(LOG).json(f"{root}/_log/{table}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def batches(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The rows of all committed batches that no later one replaces, with batch and _bucket; the log is a small table, so the
+    join with it prunes folders."""
+    said = log(spark, root, table)
+    if said is None:
+        return None
+    live = said.select("batch").join(said.select(F.explode("replaces").alias("batch")), "batch", "left_anti")
+    return spark.read.parquet(f"{root}/{table}").join(live, "batch", "left_semi")
+
 
 def load(spark: SparkSession, root: str, table: str, domain: str | None = None) -> DataFrame | None:
     """A table of the store, one domain of it if asked (pruned by directory); None where there is none."""
-    try:
-        df = spark.read.parquet(f"{root}/{table}")
-    except AnalysisException:
+    df = batches(spark, root, table)
+    if df is None:
         return None
-    return df if domain is None else df.where(F.col("domain") == domain)
+    return df.drop("batch", "_bucket") if domain is None else df.where(F.col("domain") == domain).drop("batch", "_bucket")
+
+
+def lookup(spark: SparkSession, root: str, table: str, key: str, values: list) -> DataFrame | None:
+    """The rows with one of a few key values: only their buckets are read, and of these the files that may have them."""
+    df = batches(spark, root, table)
+    if df is None:
+        return None
+    wanted = spark.createDataFrame([(v,) for v in values], f"`{key}` {dict(df.dtypes)[key]}")
+    buckets = sorted({r[0] for r in wanted.select(bucket_of(key)).collect()})
+    return df.where(F.col("_bucket").isin(buckets) & F.col(key).isin(values)).drop("batch", "_bucket")
 
 
 def append(df: DataFrame, root: str, table: str, key: str | tuple[str, ...] = "record_id", by: str | None = "domain") -> None:
-    """Add the rows whose key the table lacks, partitioned by a column if one is named."""
+    """Add the rows whose key the table lacks, partitioned by a column if one is named: data first, then the log."""
     keys = [key] if isinstance(key, str) else list(key)
-    known = load(df.sparkSession, root, table)
-    fresh = df.dropDuplicates(keys) if known is None else df.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
-    writer = fresh.write.partitionBy(by) if by else fresh.write
-    writer.mode("append").parquet(f"{root}/{table}")
+    spark = df.sparkSession
+    fresh = df.dropDuplicates(keys).withColumn("_bucket", bucket_of(*keys))
+    known = batches(spark, root, table)
+    if known is not None:
+        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most BUCKETS
+        there = known.where(F.col("_bucket").isin(touched)).select("_bucket", *keys)
+        same = F.lit(True)
+        for c in ["_bucket", *keys]:
+            same = same & fresh[c].eqNullSafe(there[c])
+        fresh = fresh.join(there, same, "left_anti")
+    batch = "b" + uuid.uuid4().hex
+    parts = ["_bucket", *([by] if by else [])]
+    writer = fresh.repartition(*parts).write.partitionBy(*parts).option("parquet.bloom.filter.enabled#" + keys[0], "true")
+    writer.parquet(f"{root}/{table}/batch={batch}")
+    commit(spark, root, table, batch)
+
+
+def commit(spark: SparkSession, root: str, table: str, batch: str, replaces: tuple[str, ...] = ()) -> None:
+    """From now on readers see the batch instead of those that it replaces."""
+    try:
+        n = spark.read.parquet(f"{root}/{table}/batch={batch}").count()
+    except AnalysisException:  # no rows, no files
+        n = 0
+    if n:
+        spark.createDataFrame([(n, list(replaces))], LOG.split(", ", 1)[1]).coalesce(1).write.json(f"{root}/_log/{table}/batch={batch}")
+
+
+def compact(spark: SparkSession, root: str, table: str, by: str | None = "domain") -> None:
+    """Write all batches as one. The log's last row replaces the others; their files stay until somebody deletes them."""
+    df = batches(spark, root, table)
+    if df is None:
+        return
+    old = tuple(r[0] for r in df.select("batch").distinct().collect())  # batches, not rows
+    batch = "b" + uuid.uuid4().hex
+    parts = ["_bucket", *([by] if by else [])]
+    df.drop("batch").repartition(*parts).write.partitionBy(*parts).parquet(f"{root}/{table}/batch={batch}")
+    commit(spark, root, table, batch, old)
 
 
 #: The tables of a store: (key, partitioned by).
@@ -71,30 +147,65 @@ def layout_problems(spark: SparkSession, root: str) -> DataFrame:
 
 #: Endings of raw artifacts by media type.
 ENDINGS = {
-    "application/json": "json", "application/pdf": "pdf", "text/html": "html", "text/csv": "csv", "text/plain": "txt", "application/xml": "xml", "text/xml": "xml",
-    "application/zip": "zip", "application/gzip": "gz", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
-}
+    "application/json": "json",
+    "application/xml": "xml",
+    "text/xml": "xml",
+    "text/plain": "txt",
+    "text/csv": "csv",
+    "text/html": "html",
+    "application/pdf": "pdf",
+    "application/zip": "zip",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.ms-excel": "xls",
+}
+
+
+def raw_path(source: Column, content_hash: Column, media: Column) -> Column:
+    """``raw/<source>/<hh>/<hash>.<ext>``; what isn't a letter, digit, dot, dash or underscore of a source becomes one."""
+    kinds = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))
+    ending = F.coalesce(F.element_at(kinds, F.lower(F.trim(F.substring_index(media, ";", 1)))), F.lit("bin"))
+    segment = F.regexp_replace(F.trim(F.coalesce(source, F.lit(""))), r"[^\p{L}\p{N}._-]", "_")
+    segment = F.when(segment == "", "unknown").otherwise(segment)
+    return F.concat(F.concat_ws("/", F.lit("raw"), segment, F.substring(content_hash, 1, 2), content_hash), F.lit("."), ending)
 
 
 def raw_manifest(artifacts: DataFrame, source: str = "source", content: str = "content", media: str = "media_type") -> DataFrame:
-    """(content_hash, size, path, source): one row for each distinct content, with a path that follows from its hash; the
-    ending is that of the media type, where the artifacts have one, else ``bin``."""
-    rows = artifacts.withColumn("content_hash", F.sha2(F.col(content), 256)).withColumn("size", F.octet_length(content).cast("long"))
-    kind = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))[F.lower(F.trim(F.substring_index(media, ";", 1)))] if media in artifacts.columns else F.lit(None).cast("string")
-    first = rows.withColumn("_ending", F.coalesce(kind, F.lit("bin"))).groupBy("content_hash", "size").agg(F.min(F.struct(source, "_ending")).alias("m"))
-    path = F.concat(F.concat_ws("/", F.lit("raw"), f"m.{source}", F.substring("content_hash", 1, 2), "content_hash"), F.lit("."), F.col("m._ending"))
-    return first.select("content_hash", "size", F.col(f"m.{source}").alias("source"), path.alias("path"))
+    """(content_hash, size, source, path): one row for each distinct content of a source, with a path that follows from its
+    hash; the ending is that of the media type, where the artifacts have one, else ``bin``."""
+    kind = F.col(media).cast("string") if media in artifacts.columns else F.lit(None).cast("string")
+    digest = F.sha2(F.col(content), 256)
+    rows = artifacts.select(digest.alias("content_hash"), F.octet_length(content).cast("long").alias("size"), F.col(source).alias("source"), raw_path(F.col(source), digest, kind).alias("path"))
+    return rows.groupBy("content_hash", "size", "source").agg(F.min("path").alias("path"))
 
 
-def write_raw(artifacts: DataFrame, root: str, content: str = "content") -> None:
-    """Distinct contents as rows keyed by hash; contents that the store has are left out."""
-    rows = artifacts.select(F.sha2(F.col(content), 256).alias("content_hash"), F.col(content).alias("content"), F.substring(F.sha2(F.col(content), 256), 1, 2).alias("shard"))
-    append(rows, root, "raw", key="content_hash", by="shard")
+def write_raw(artifacts: DataFrame, root: str, source: str = "source", content: str = "content", media: str = "media_type") -> None:
+    """Distinct contents of each source as files named by their hash; files that are there stay as they are."""
+    spark = artifacts.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(RawFiles)
+    kind = F.col(media).cast("string") if media in artifacts.columns else F.lit(None).cast("string")
+    rows = artifacts.where(F.col(content).isNotNull()).select(raw_path(F.col(source), F.sha2(F.col(content), 256), kind).alias("path"), F.col(content).cast("binary").alias("content"))
+    once = rows.groupBy(F.xxhash64("path").alias("_h"), "path").agg(F.any_value("content").alias("content")).drop("_h")
+    once.write.format(FORMAT).mode("append").save(root)
+
+
+def raw_files(spark: SparkSession, root: str, hashes: list[str] | None = None) -> DataFrame:
+    """(content_hash, path, content) of the raw files, or of those with a few hashes, whose folders alone are listed."""
+    paths = [f"{root}/raw/*/*/*.*"] if hashes is None else [f"{root}/raw/*/{h[:2]}/{h}.*" for h in hashes]
+    rows = spark.read.format("binaryFile").load(paths)
+    return rows.select(F.regexp_extract("path", r"([0-9a-f]{64})\.[^/]*$", 1).alias("content_hash"), F.regexp_extract("path", r"(raw/[^/]+/[^/]+/[^/]+)$", 1).alias("path"), "content")
 
 
 def corrupted(spark: SparkSession, root: str) -> DataFrame:
-    """Raw rows whose bytes no longer have the hash that names them."""
-    return spark.read.parquet(f"{root}/raw").where(F.sha2("content", 256) != F.col("content_hash")).select("content_hash")
+    """Raw files whose bytes no longer have the hash that names them."""
+    return raw_files(spark, root).where(F.sha2("content", 256) != F.col("content_hash")).select("content_hash", "path")
+
+
+def read_raw(spark: SparkSession, root: str, hashes: list[str] | None = None) -> DataFrame:
+    """The raw files; one whose bytes no longer have the hash that names them fails the job that reads it."""
+    intact = F.sha2("content", 256) == F.col("content_hash")
+    wrong = F.raise_error(F.concat(F.lit("corrupted raw artifact "), F.col("content_hash"))).cast("binary")
+    return raw_files(spark, root, hashes).withColumn("content", F.when(intact, F.col("content")).otherwise(wrong))
 
 
 def write_dated(payloads: DataFrame, root: str, source: str = "source", content: str = "content", at: str = "retrieved_at") -> None:
@@ -110,10 +221,3 @@ def write_dated(payloads: DataFrame, root: str, source: str = "source", content:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     fresh.write.partitionBy("source", "year", "month", "day").mode("append").json(f"{root}/landed")
-
-
-def read_raw(spark: SparkSession, root: str) -> DataFrame:
-    """The raw rows; one whose bytes no longer have the hash that names them fails the job that reads it."""
-    rows = spark.read.parquet(f"{root}/raw")
-    intact = F.sha2("content", 256) == F.col("content_hash")
-    return rows.withColumn("content", F.when(intact, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("corrupted raw artifact "), F.col("content_hash"))).cast("binary")))

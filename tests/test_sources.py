@@ -1,10 +1,14 @@
 import datetime as dt
+import glob
 import gzip
+import hashlib
+import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.sources import markup, parsers, store, xbrl
+from quantloom.sources import markup, parsers, sniffed, store, xbrl
 from tests.helpers import one
 
 
@@ -86,7 +90,7 @@ def test_store_appends_once(spark, tmp_path):
     raw = spark.createDataFrame([("s", bytearray(b"x")), ("s", bytearray(b"x")), ("t", bytearray(b"y"))], "source string, content binary")
     store.write_raw(raw, root)
     store.write_raw(raw, root)
-    assert spark.read.parquet(f"{root}/raw").count() == 2 and store.corrupted(spark, root).count() == 0
+    assert store.raw_files(spark, root).count() == 2 and store.corrupted(spark, root).count() == 0
     assert store.raw_manifest(raw).count() == 2
 
 
@@ -106,11 +110,87 @@ def test_dated_and_checked_raw(spark, tmp_path):
     raw = spark.createDataFrame([("s", bytearray(b"x"))], "source string, content binary")
     store.write_raw(raw, root)
     assert one(store.read_raw(spark, root))["content"] == bytearray(b"x")
-    spark.createDataFrame([("0" * 64, bytearray(b"y"), "00")], "content_hash string, content binary, shard string").write.partitionBy("shard").mode("append").parquet(f"{root}/raw")
+    (path,) = glob.glob(f"{root}/raw/s/*/*.bin")
+    pathlib.Path(path).write_bytes(b"y")
+    assert store.corrupted(spark, root).count() == 1
     with pytest.raises(Exception, match="corrupted raw artifact"):
         store.read_raw(spark, root).collect()
 
 
+def test_a_failed_write_is_never_seen(spark, tmp_path, monkeypatch):
+    root, schema = str(tmp_path / "store"), "record_id string, domain string"
+    store.append(spark.createDataFrame([("r1", "a")], schema), root, "canonical")
+    more = spark.createDataFrame([(f"r{k}", "b") for k in range(1, 40)] + [(None, "a"), (None, "b")], schema)
+    with monkeypatch.context() as m:
+        m.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(OSError("killed between data and log")))
+        with pytest.raises(OSError):
+            store.append(more, root, "canonical")
+    assert store.load(spark, root, "canonical").count() == 1
+    for _ in range(2):
+        store.append(more, root, "canonical")
+    assert store.load(spark, root, "canonical").count() == 40
+    assert {tuple(r) for r in store.load(spark, root, "canonical").where("record_id IN ('r1', 'r2')").collect()} == {("r1", "a"), ("r2", "b")}
+    assert store.log(spark, root, "canonical").count() == 2  # the repeated append had nothing to add
+    store.compact(spark, root, "canonical")
+    assert store.load(spark, root, "canonical").count() == 40 and store.load(spark, root, "canonical", "b").count() >= 38
+    assert store.batches(spark, root, "canonical").select("batch").distinct().count() == 1
+    assert store.append(more, root, "canonical") is None and store.load(spark, root, "canonical").count() == 40
+
+
+def test_appends_and_lookups_read_their_buckets(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.append(spark.range(500).selectExpr("concat('r', id) AS record_id", "'a' AS domain"), root, "canonical")
+    found = store.lookup(spark, root, "canonical", "record_id", ["r7", "r8", "none"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {r["record_id"] for r in found.collect()} == {"r7", "r8"} and "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert len(glob.glob(f"{root}/canonical/batch=*/_bucket=*")) == store.BUCKETS
+    assert store.load(spark, root, "none") is None and store.lookup(spark, root, "none", "record_id", ["x"]) is None
+
+
+def test_raw_files_are_written_once_and_whole(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [("a b/c", bytearray(b"x"), "text/html; charset=utf-8"), ("a b/c", bytearray(b"x"), "text/html"), (None, bytearray(b""), None), ("s", None, None), ("s", bytearray(b"x"), "application/vnd.ms-excel")]
+    df = spark.createDataFrame(rows, "source string, content binary, media_type string")
+    store.write_raw(df, root)
+    files = {p: pathlib.Path(p).stat().st_mtime_ns for p in glob.glob(f"{root}/raw/**/*.*", recursive=True)}
+    x, empty = (hashlib.sha256(b).hexdigest() for b in (b"x", b""))
+    assert {p.removeprefix(f"{root}/") for p in files} == {f"raw/a_b_c/{x[:2]}/{x}.html", f"raw/unknown/{empty[:2]}/{empty}.bin", f"raw/s/{x[:2]}/{x}.xls"}
+    store.write_raw(df, root)
+    assert files == {p: pathlib.Path(p).stat().st_mtime_ns for p in glob.glob(f"{root}/raw/**/*.*", recursive=True)}
+    assert not glob.glob(f"{root}/_writing/*") and {bytes(r["content"]) for r in store.read_raw(spark, root, [x]).collect()} == {b"x"}
+    assert {r["path"] for r in store.raw_manifest(df.where("content IS NOT NULL")).collect()} == {p.removeprefix(f"{root}/") for p in files}
+
+
+def test_failed_raw_write_leaves_whole_files_only(spark, tmp_path):
+    root = str(tmp_path / "store")
+    bad = spark.range(40).selectExpr("'s' AS source", "CASE WHEN id = 37 THEN CAST(raise_error('lost') AS BINARY) ELSE CAST(CAST(id AS STRING) AS BINARY) END AS content")
+    with pytest.raises(Exception, match="lost"):
+        store.write_raw(bad, root)
+    assert not glob.glob(f"{root}/_writing/*")
+    if glob.glob(f"{root}/raw/*/*/*"):
+        assert store.corrupted(spark, root).count() == 0
+    store.write_raw(spark.range(40).selectExpr("'s' AS source", "CAST(CAST(id AS STRING) AS BINARY) AS content"), root)
+    assert store.read_raw(spark, root).count() == 40
+
+
+def test_files_are_told_by_their_first_bytes(spark, tmp_path):
+    rows = [{"a": 1}, {"a": "é"}]
+    lines = "\n\n".join(json.dumps(r, ensure_ascii=False) for r in rows) + "\n"
+    files = {
+        "array.txt": json.dumps([rows[0], 7, rows[1]]).encode(), "object.bin": json.dumps(rows[0], indent=1).encode(), "data.gz": json.dumps({"data": [*rows, 3], "x": 1}).encode(), "lines": lines.encode(),
+        "packed": gzip.compress(lines.encode()), "packed.json": gzip.compress(json.dumps(rows).encode()), "members.gz": gzip.compress(b'{"a": 1}\n') + gzip.compress(b'{"a": "\xc3\xa9"}'), "bom": b"\xef\xbb\xbf" + lines.encode(),
+        "empty": b"", "blank": b" \n \n", "number": b"5", "bad": b'{"a": 1}\n{"a":\n[1]\n', "cut.gz": gzip.compress(json.dumps(rows).encode())[:-12], "one.json": b'{"data": 5}', "pretty": json.dumps(rows, indent=2).encode(), "latin": b'[{"a": "\xe9"}]',
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found: dict = {}
+    for r in sniffed.read_sniffed(spark, str(tmp_path)).orderBy("path", "rank").collect():
+        found.setdefault(r["path"].rsplit("/", 1)[1], []).append(json.loads(r["row"]) if r["row"] else r["code"])
+    same = dict.fromkeys(("array.txt", "data.gz", "lines", "packed", "packed.json", "members.gz", "bom", "pretty"), rows)
+    assert found.pop("cut.gz")
+    assert found == same | {"object.bin": rows[:1], "number": ["unknown_shape"], "bad": [rows[0], "bad_line", "bad_line"], "one.json": [{"data": 5}], "latin": ["bad_line"]}
+
+
 def test_nothing_landed_is_an_empty_table(spark, tmp_path):
     assert parsers.read_landed(spark, str(tmp_path / "none"), "json", schema="a string").count() == 0
     (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
