@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import TRADING_DAYS, change, days_between, full_window, history, last_rows, ratio
 from quantloom.functions.folders import ensure_checkpoint_dir
-from quantloom.functions.ship import ship_package
-from quantloom.operators.market import drawdown_series, prepared, smoothed, valid_returns
+from quantloom.operators import scan
+from quantloom.operators.market import drawdown_series, prepared, valid_returns
 
 YEAR = TRADING_DAYS**0.5
 
@@ -48,30 +47,21 @@ def true_range(prices: DataFrame, window: int = 14) -> DataFrame:
     return rows.withColumn("atr", full_window(F.avg("tr"), w, window, F.col("tr"))).where("atr IS NOT NULL")
 
 
-def _directional(bars: pd.DataFrame) -> pd.DataFrame:
-    n, bars = 14, bars.sort_values("ts").reset_index(drop=True)
-    before = bars.shift(1)
-    span = pd.concat([bars["high"] - bars["low"], (bars["high"] - before["close"]).abs(), (bars["low"] - before["close"]).abs()], axis=1).max(axis=1).iloc[1:]
-    up, down = (bars["high"] - before["high"]).iloc[1:], (before["low"] - bars["low"]).iloc[1:]
-    true_range = smoothed(span, n, 1 / n)
-    plus = 100 * smoothed(up.where((up > down) & (up > 0), 0.0), n, 1 / n) / true_range
-    minus = 100 * smoothed(down.where((down > up) & (down > 0), 0.0), n, 1 / n) / true_range
-    index = (100 * (plus - minus).abs() / (plus + minus)).where(plus + minus != 0, 0.0)[plus.notna()]
-    out = bars[["instrument_id", "ts"]].copy()
-    out["atr"], out["plus_di"], out["minus_di"] = true_range, plus, minus
-    out["adx"] = smoothed(index, n, 1 / n) if len(index) else float("nan")
-    return out[out["atr"].notna()]
-
-
-def directional_movement(prices: DataFrame) -> DataFrame:
-    """Average true range, directional indicators and ADX over 14 rows, all by Wilder's recursive smoothing seeded by the mean;
-    ADX is null until it is defined. As the recursion runs on one instrument at a time, a history must fit in a task."""
-    ship_package(prices.sparkSession)
-    rows = prepared(prices).select("instrument_id", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
-    key = rows.schema["instrument_id"].dataType.simpleString()
-    names = ("atr", "plus_di", "minus_di", "adx")
-    out = rows.groupBy("instrument_id").applyInPandas(_directional, f"instrument_id {key}, ts timestamp, " + ", ".join(f"{c} double" for c in names))
-    return out.select("instrument_id", "ts", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in names))
+def directional_movement(prices: DataFrame, n: int = 14) -> DataFrame:
+    """Average true range, directional indicators and ADX over ``n`` rows, all by Wilder's recursive smoothing seeded by the mean;
+    ADX is null until it is defined."""
+    rows = scan.blocked(prepared(prices).select("instrument_id", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close"))))
+    rows = rows.withColumns({f"_was_{c}": F.lag(c).over(history()) for c in ("high", "low", "close")})
+    was = lambda c: F.col(f"_was_{c}")
+    span = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - was("close")), F.abs(F.col("low") - was("close")))
+    up, down = F.col("high") - was("high"), was("low") - F.col("low")
+    moves = {"atr": span, "plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)}
+    rows = scan.smoothed(rows, [scan.Smoothing(name, value, n, scan.wilder(n), skip=1) for name, value in moves.items()])
+    rows = rows.withColumn("plus_di", F.try_divide(100 * F.col("plus"), "atr")).withColumn("minus_di", F.try_divide(100 * F.col("minus"), "atr"))
+    both = F.col("plus_di") + F.col("minus_di")
+    rows = rows.withColumn("_dx", F.when(both == 0, 0.0).otherwise(100 * F.abs(F.col("plus_di") - F.col("minus_di")) / both))
+    rows = scan.smoothed(rows, [scan.Smoothing("adx", F.col("_dx"), n, scan.wilder(n), skip=n)])
+    return rows.where("atr IS NOT NULL").select("instrument_id", "ts", "atr", "plus_di", "minus_di", "adx")
 
 
 def moving_averages(prices: DataFrame, windows: tuple[int, ...] = (20, 50)) -> DataFrame:

@@ -6,12 +6,11 @@ bars once by instrument; only the recursive indicators run in Python, one instru
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import TRADING_DAYS, change, compounded, days_between, history, last_rows
-from quantloom.functions.ship import ship_package
+from quantloom.operators import scan
 
 HORIZONS = (1, 5, 21, 63, 126, 252)
 
@@ -186,50 +185,30 @@ def multi_resolution(prices: DataFrame) -> DataFrame:
     )
 
 
-def smoothed(values: pd.Series, n: int, alpha: float) -> pd.Series:
-    """Recursive smoothing seeded by the mean of the first ``n``; null before."""
-    if len(values) < n:
-        return pd.Series(float("nan"), index=values.index)
-    seeded = values.iloc[n - 1 :].copy()
-    seeded.iloc[0] = values.iloc[:n].mean()
-    return seeded.ewm(alpha=alpha, adjust=False).mean().reindex(values.index)
-
-
-def ema(values: pd.Series, n: int) -> pd.Series:
-    return smoothed(values, n, 2 / (n + 1))
-
-
-def wilder_rsi(closes: pd.Series, n: int = 14) -> pd.Series:
-    moves = closes.diff().iloc[1:]
-    gain, loss = smoothed(moves.clip(lower=0), n, 1 / n), smoothed(-moves.clip(upper=0), n, 1 / n)
-    rsi = 100 - 100 / (1 + gain / loss.where(loss != 0))
-    return rsi.where(loss != 0, 100.0).where(loss.notna()).reindex(closes.index)
-
-
-def _indicators(bars: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("ts", kind="stable")
-    closes = bars["close"].reset_index(drop=True)
-    out = bars[["instrument_id", "ts"]].reset_index(drop=True)
-    out["rsi"] = wilder_rsi(closes)
-    out["macd"] = ema(closes, 12) - ema(closes, 26)
-    ready = out["macd"].dropna()
-    out["signal"] = ema(ready, 9).reindex(out.index) if len(ready) else float("nan")
-    out["histogram"] = out["macd"] - out["signal"]
-    return out if len(out) >= 26 else out.iloc[:0]
-
-
 def technical_indicators(prices: DataFrame) -> DataFrame:
-    """RSI(14) by Wilder and MACD(12, 26, 9), for instruments with at least 26 rows; null until they are defined.
-
-    The recursion runs in pandas' compiled code on one instrument's closes at a time, so a history must fit in a task."""
-    ship_package(prices.sparkSession)
-    rows = prepared(prices).select("instrument_id", "ts", F.col("close").cast("double").alias("close"))
-    key = rows.schema["instrument_id"].dataType.simpleString()
-    out = rows.groupBy("instrument_id").applyInPandas(
-        _indicators, f"instrument_id {key}, ts timestamp, rsi double, macd double, signal double, histogram double"
-    )
-    no_nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("instrument_id", "ts", *map(no_nan, ("rsi", "macd", "signal", "histogram")))
+    """RSI(14) by Wilder and MACD(12, 26, 9), for instruments with at least 26 rows; null until they are defined."""
+    rows = scan.blocked(prepared(prices).select("instrument_id", "ts", F.col("close").cast("double").alias("close")))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("instrument_id"))).where("n >= 26").drop("n")
+    rows = rows.withColumn("move", F.col("close") - F.lag("close").over(history()))
+    move = F.col("move")
+    means = [
+        scan.Smoothing("gain", F.greatest(move, F.lit(0.0)), 14, scan.wilder(14), skip=1),
+        scan.Smoothing("loss", F.greatest(-move, F.lit(0.0)), 14, scan.wilder(14), skip=1),
+        scan.Smoothing("fast", F.col("close"), 12, scan.ema(12)),
+        scan.Smoothing("slow", F.col("close"), 26, scan.ema(26)),
+    ]
+    rows = scan.smoothed(rows, means).withColumn("macd", F.col("fast") - F.col("slow"))
+    rows = scan.smoothed(rows, [scan.Smoothing("signal", F.col("macd"), 9, scan.ema(9), skip=25)])
+    rsi = F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("gain", "loss")))
+    return rows.select("instrument_id", "ts", rsi.alias("rsi"), "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"))
+
+
+def exponential_averages(prices: DataFrame, windows: tuple[int, ...] = (12, 26, 50, 200)) -> DataFrame:
+    """(instrument_id, ts, window, value): exponential means of the close, seeded by the plain mean of their first rows."""
+    rows = scan.blocked(prepared(prices).select("instrument_id", "ts", F.col("close").cast("double").alias("close")))
+    rows = scan.smoothed(rows, [scan.Smoothing(f"ema{n}", F.col("close"), n, scan.ema(n)) for n in windows])
+    each = F.array(*(F.struct(F.lit(n).alias("window"), F.col(f"ema{n}").alias("value")) for n in windows))
+    return rows.select("instrument_id", "ts", F.inline(each)).where("value IS NOT NULL")
 
 
 def relative_performance(prices: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.operators import market
+from quantloom.operators import candles, market
 from quantloom.plans.catalog import query
 from quantloom.sources.driver_tables import BARS_SQL, BENCHMARK_SQL, bars, benchmark
 
@@ -195,6 +195,47 @@ def mkt_11(spark, d):
     return market.technical_indicators(bars(spark, d))
 
 
+_WINDOWS = (12, 26, 50, 200)
+
+
+@query(
+    "bkd_01_exponential_averages",
+    f"""WITH RECURSIVE {BARS_SQL}, c AS (SELECT instrument_id, ts, close AS x, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) AS i FROM bars),
+    {", ".join(_ema("c", f"e{n}", n) for n in _WINDOWS)} """
+    + " UNION ALL ".join(f'SELECT c.instrument_id, c.ts, {n} AS "window", e.y AS value FROM e{n} AS e JOIN c ON c.instrument_id = e.instrument_id AND c.i = e.i' for n in _WINDOWS),
+    "value",
+)
+def bkd_01_exponential(spark, d):
+    return market.exponential_averages(bars(spark, d), _WINDOWS)
+
+
+_CANDLE_CONDITIONS = {
+    "doji": "body <= 0.1", "hammer": "body <= 0.35 AND up <= 0.1 AND down >= 0.55", "shooting_star": "body <= 0.35 AND up >= 0.55 AND down <= 0.1", "marubozu": "body >= 0.6 AND up <= 0.1 AND down <= 0.1",
+    "bullish_engulfing": "s1 = -1 AND s = 1 AND engulfs", "bearish_engulfing": "s1 = 1 AND s = -1 AND engulfs", "bullish_harami": "s1 = -1 AND body1 >= 0.6 AND s = 1 AND inside AND NOT engulfs",
+    "bearish_harami": "s1 = 1 AND body1 >= 0.6 AND s = -1 AND inside AND NOT engulfs",
+    "morning_star": "s2 = -1 AND body2 >= 0.6 AND body1 <= 0.35 AND below1 AND NOT engulfs1 AND NOT inside1 AND s = 1 AND body > 0.35 AND close > (top2 + bottom2) / 2",
+    "evening_star": "s2 = 1 AND body2 >= 0.6 AND body1 <= 0.35 AND above1 AND NOT engulfs1 AND NOT inside1 AND s = -1 AND body > 0.35 AND close < (top2 + bottom2) / 2",
+    "three_white_soldiers": "s2 = 1 AND body2 > 0.35 AND s1 = 1 AND body1 > 0.35 AND plain1 AND rises1 AND s = 1 AND body > 0.35 AND plain AND rises",
+    "three_black_crows": "s2 = -1 AND body2 > 0.35 AND s1 = -1 AND body1 > 0.35 AND plain1 AND falls1 AND s = -1 AND body > 0.35 AND plain AND falls",
+}
+
+
+@query(
+    "bkd_01_candles",
+    f"""WITH {BARS_SQL}, b AS (SELECT instrument_id, ts, open, close, greatest(open, close) AS top, least(open, close) AS bottom, sign(close - open) AS s, high - low AS span, high, low FROM bars),
+    c AS (SELECT *, CASE WHEN span > 0 THEN (top - bottom) / span ELSE 0 END AS body, CASE WHEN span > 0 THEN (high - top) / span ELSE 0 END AS up, CASE WHEN span > 0 THEN (bottom - low) / span ELSE 0 END AS down FROM b),
+    d AS (SELECT *, lag(top) OVER w AS top1, lag(bottom) OVER w AS bottom1, lag(close) OVER w AS close1, lag(top, 2) OVER w AS top2, lag(bottom, 2) OVER w AS bottom2, lag(s) OVER w AS s1, lag(s, 2) OVER w AS s2, lag(body) OVER w AS body1, lag(body, 2) OVER w AS body2
+      FROM c WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)),
+    e AS (SELECT *, coalesce(top >= top1 AND bottom <= bottom1 AND top - bottom > top1 - bottom1, false) AS engulfs, coalesce(top < top1 AND bottom > bottom1, false) AS inside, coalesce(bottom > top1, false) AS above, coalesce(top < bottom1, false) AS below,
+      coalesce(open BETWEEN bottom1 AND top1 AND close > close1, false) AS rises, coalesce(open BETWEEN bottom1 AND top1 AND close < close1, false) AS falls FROM d),
+    f AS (SELECT *, NOT (engulfs OR inside OR above OR below) AS plain FROM e),
+    g AS (SELECT *, lag(engulfs) OVER w AS engulfs1, lag(inside) OVER w AS inside1, lag(above) OVER w AS above1, lag(below) OVER w AS below1, lag(rises) OVER w AS rises1, lag(falls) OVER w AS falls1, lag(plain) OVER w AS plain1 FROM f WINDOW w AS (PARTITION BY instrument_id ORDER BY ts)) """
+    + " UNION ALL ".join(f"SELECT instrument_id, ts, '{name}' AS pattern FROM g WHERE {condition}" for name, condition in _CANDLE_CONDITIONS.items()),
+)
+def bkd_01_candles(spark, d):
+    return candles.candle_patterns(bars(spark, d))
+
+
 EXCESS = f"""{PAIRS}, {BENCHMARK_SQL}, e AS (
   SELECT p.instrument_id, p.ts, p.close / p.prev - 1 - (b.benchmark_close / q.benchmark_close - 1) AS excess_return_1p
   FROM p JOIN bench b ON b.ts = p.ts JOIN bench q ON q.ts = p.prev_ts WHERE p.prev > 0 AND q.benchmark_close > 0
