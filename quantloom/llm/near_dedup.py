@@ -163,6 +163,18 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(tidy(run), "ra long, rb long")
 
 
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, similarity) of the multisets of the pairs (a, b): one comparison for each text, however large its class is."""
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [similarity(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(alike, pa.float64())], ["a", "similarity"])
+
+    return joined.select("a", "x", "y").mapInArrow(tidy(run), "a long, similarity double")
+
+
 def own_runs(sets: DataFrame) -> DataFrame:
     """(node, own): how many distinct runs of each node no other node has; nodes without any are left out."""
 
@@ -253,8 +265,11 @@ def near_classes(
     darts: int = 960,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_similarity: bool = False,
 ) -> DataFrame:
-    """One row for each row of ``docs``: (id_col, version, class_id, class_version, class_size, kept).
+    """One row for each row of ``docs``: (id_col, version, class_id, class_version, class_size, kept), and if asked for the
+    similarity of its text to that of the row of the class that stays, which may be below the threshold where only
+    others link them.
 
     ``version`` is a hash of the text; (class_id, class_version) name the row of the class that stays."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -277,21 +292,29 @@ def near_classes(
     bounds = sets.drop("runs").join(own_runs(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     bounds = bounds.join(nodes.select("node", "bands"), "node")
     bounded = members.select("bucket", "band", "node", "weight").join(bounds, "node")
-    rooted = nodes.select(*equal, F.col("node").alias("root"))
+    rooted = nodes.select(*equal, F.col("node").alias("set_node"), F.col("node").alias("root"))
     for mapping in merges(bounded, sets.select("node", "runs"), threshold):
         rooted = moved(rooted, mapping)
-    placed = materialise(with_words.join(rooted, list(equal)).select("id", "version", "node", "root"), "placed")
-    alone = signed.where("weight = 0").select("id", "version", "node", F.col("node").alias("root"))
+    placed = materialise(with_words.join(rooted, list(equal)).select("id", "version", "node", "set_node", "root"), "placed")
+    alone = signed.where("weight = 0").select("id", "version", "node", F.col("node").alias("set_node"), F.col("node").alias("root"))
     placed = placed.unionByName(alone)
-    best = placed.groupBy("root").agg(F.min(F.struct("id", "version", "node")).alias("best"), F.count(F.lit(1)).alias("class_size"))
+    best = placed.groupBy("root").agg(F.min(F.struct("id", "version", "node", "set_node")).alias("best"), F.count(F.lit(1)).alias("class_size"))
     named = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return placed.join(best, "root").select(
+    found = placed.join(best, "root")
+    alike = F.lit(None).cast("double")
+    if with_similarity:
+        apart = F.col("set_node") != F.col("best.set_node")
+        pairs = found.where(apart).select(F.col("set_node").alias("a"), F.col("best.set_node").alias("b")).distinct()
+        found = found.join(similarities(pairs, sets).withColumnRenamed("a", "set_node"), "set_node", "left")
+        alike = F.when(apart, F.col("similarity")).otherwise(F.lit(1.0))
+    return found.select(
         named("id").alias(id_col),
         "version",
         named("best.id").alias("class_id"),
         F.col("best.version").alias("class_version"),
         "class_size",
         (F.col("node") == F.col("best.node")).alias("kept"),
+        *([alike.alias("similarity")] if with_similarity else []),
     )
 
 

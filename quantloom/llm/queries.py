@@ -44,7 +44,8 @@ def op3_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    classes = near_dedup.near_classes(table(spark, sf_dir, "documents"), with_similarity=True)
+    return classes.select("doc_id", "class_id", "class_size", "kept", "similarity")
 
 
 def op5_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

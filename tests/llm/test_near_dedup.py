@@ -96,3 +96,16 @@ def test_components_of_long_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(1000, k) for k in range(1001, 1060)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 1000 for k in range(1000, 1060)}}
+
+
+def test_every_row_has_its_similarity_to_the_one_that_stays(documents, words):
+    rows = corpus(words, 3) + [(900, None), (901, ""), (903, "one two"), (904, "one two")]
+    texts = dict(rows)
+    found = near_dedup.near_classes(documents(rows), with_similarity=True).collect()
+    assert len(found) == len(rows) and len({r["similarity"] for r in found}) > 5
+    for r in found:
+        a, b = multiset(texts[r["doc_id"]]), multiset(texts[r["class_id"]])
+        expected = sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+        assert abs(r["similarity"] - expected) < 1e-12
+    assert all(r["similarity"] == 1.0 for r in found if r["kept"])
+    assert near_dedup.near_classes(documents(rows).limit(0), with_similarity=True).count() == 0
