@@ -12,6 +12,10 @@
 
 Everything is column expressions of one row, so there is no shuffle and nothing is gathered.
 
+Besides the sentences of the table, a sentence may say in the usual words that something is under a licence ("The project is
+licensed under the terms of the GPL version 3."), be the full name of a licence alone, or an SPDX expression, of which every
+part joined by OR or AND becomes the identifier of its licence.
+
 The table holds the notices and lines of the common licences and the titles of their full bodies, not every sentence of
 the bodies; a sentence that names a person or firm in its midst can't be in it.
 
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every known sentence holds one of these within a word, where no line break or comment mark can split it.
-WORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|domain|reserved|liab|notice|sublicens|gnu|mozilla|cc0|reproduction"
+WORD = r"licen[sc]|copyright|copying|permission|redistribut|warrant|domain|reserved|liab|notice|sublicens|gnu|mozilla|cc0|reproduction|gpl|mpl|epl|apache|expat|creative"
 #: Known licence sentences, normalised; "|" stands for a sentence end inside.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "mit_title": ("mit license", "the mit license", "the mit license mit"),
@@ -92,6 +96,64 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "reserved": ("all rights reserved",),
 }
 
+#: What may stand before "licensed under", and words for it.
+LEAD = (
+    "(?:(?:the|this|our|all) (?:project|software|library|program|package|code|source code|source|file|files|module|repository|tool|document|documentation|work|data|dataset|content|material|plugin|app|application)"
+    " (?:is|are) |it is |it s )?(?:also |now |hereby |dual )?"
+)
+VERB = "(?:licensed|released|distributed|available|made available|published|provided|offered|covered|shared) (?:under|by|with) (?:the )?(?:terms of )?(?:the )?"
+#: Names of licences, the families of GNU's with their versions.
+PLAIN_NAMES = {
+    "mit_line": ("mit license", "mit", "mit x11 license", "expat license"),
+    "apache_line": ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license v2", "apache 2 0 license", "apache 2 0", "apache software license version 2 0", "apache license 2"),
+    "bsd2_line": ("bsd 2 clause license", "bsd 2 clause", "2 clause bsd license", "simplified bsd license", "bsd 2 clause simplified license"),
+    "bsd3_line": ("bsd 3 clause license", "bsd 3 clause", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause new or revised license"),
+    "isc_line": ("isc license", "isc"),
+    "mpl2_line": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0", "mpl v2 0", "mpl version 2 0"),
+    "bsl_line": ("boost software license version 1 0", "boost software license 1 0", "boost license"),
+    "zlib_line": ("zlib license",),
+    "unlicense_line": ("unlicense",),
+    "epl2_line": ("eclipse public license 2 0", "eclipse public license version 2 0", "eclipse public license v2 0", "epl 2 0"),
+    "cc0_line": ("cc0 1 0", "cc0", "cc0 1 0 universal", "creative commons zero v1 0 universal"),
+    "cc_by_line": ("cc by 4 0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    "cc_by_sa_line": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"),
+    "cc_by_nc_line": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"),
+    "cc_by_nd_line": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"),
+}
+GNU_FAMILIES = {
+    "gpl2": (("gnu general public license", "general public license", "gnu gpl", "gpl"), "2"), "gpl3": (("gnu general public license", "general public license", "gnu gpl", "gpl"), "3"),
+    "lgpl21": (("gnu lesser general public license", "gnu lgpl", "lgpl"), "2 1"), "lgpl3": (("gnu lesser general public license", "gnu lgpl", "lgpl"), "3"),
+    "agpl3": (("gnu affero general public license", "gnu agpl", "agpl"), "3"),
+}
+LATER = ("or later", "or any later version", "or at your option any later version", "or newer")
+#: SPDX identifiers, normalised, "plus" for "or later".
+SPDX = {
+    "mit": "mit_line", "apache 2 0": "apache_line", "bsd 2 clause": "bsd2_line", "bsd 3 clause": "bsd3_line", "isc": "isc_line", "mpl 2 0": "mpl2_line", "bsl 1 0": "bsl_line", "zlib": "zlib_line", "unlicense": "unlicense_line",
+    "epl 2 0": "epl2_line", "cc0 1 0": "cc0_line", "cc by 4 0": "cc_by_line", "cc by sa 4 0": "cc_by_sa_line", "cc by nc 4 0": "cc_by_nc_line", "cc by nd 4 0": "cc_by_nd_line", "0bsd": "0bsd_line",
+    "gpl 2 0": "gpl2_line", "gpl 2 0 only": "gpl2_line", "gpl 2 0 plus": "gpl2_later_line", "gpl 3 0": "gpl3_line", "gpl 3 0 only": "gpl3_line", "gpl 3 0 plus": "gpl3_later_line",
+    "lgpl 2 1": "lgpl21_line", "lgpl 2 1 only": "lgpl21_line", "lgpl 2 1 plus": "lgpl21_later_line", "lgpl 3 0": "lgpl3_line", "lgpl 3 0 only": "lgpl3_line", "lgpl 3 0 plus": "lgpl3_later_line",
+    "agpl 3 0": "agpl3_line", "agpl 3 0 only": "agpl3_line", "agpl 3 0 plus": "agpl3_later_line",
+}
+
+
+def licence_names() -> dict[str, str]:
+    """{name: identifier}; GNU's names are made of family, spelling of the version and what is said of later ones."""
+    names = {n: x for x, many in PLAIN_NAMES.items() for n in many}
+    for short, (families, version) in GNU_FAMILIES.items():
+        full = version if " " in version else f"{version} 0"
+        for family in families:
+            spelled = [f"{family} {v}" for v in (f"version {version}", f"v{version}", version, f"version {full}", f"v{full}", full)]
+            spelled += [f"{family}v{version}", f"{family}{version}"] if " " not in family else []
+            for name in dict.fromkeys(spelled):
+                names[name] = f"{short}_line"
+                names |= {f"{name} {later}": f"{short}_later_line" for later in LATER}
+    return names
+
+
+NAMES = licence_names()
+#: Names that are a sentence by themselves.
+TITLES = tuple(n for n in NAMES if "license" in n and len(n.split()) >= 4)
+
 #: Licences and the identifier sequences that show them; the first that fits comes first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit_title", "mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
@@ -142,12 +204,24 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-2.0-only", ("gpl2_line",)),
     ("GPL-3.0-only", ("gpl3_line",)),
     ("MPL-2.0", ("mpl2_line",)),
+    ("GPL-2.0-or-later", ("gpl2_later_line",)),
+    ("GPL-3.0-or-later", ("gpl3_later_line",)),
+    ("LGPL-2.1-only", ("lgpl21_line",)),
+    ("LGPL-2.1-or-later", ("lgpl21_later_line",)),
+    ("LGPL-3.0-only", ("lgpl3_line",)),
+    ("LGPL-3.0-or-later", ("lgpl3_later_line",)),
+    ("AGPL-3.0-only", ("agpl3_line",)),
+    ("AGPL-3.0-or-later", ("agpl3_later_line",)),
+    ("Zlib", ("zlib_line",)),
+    ("EPL-2.0", ("epl2_line",)),
+    ("0BSD", ("0bsd_line",)),
     ("CC-BY-4.0", ("cc_by_line",)),
     ("CC-BY-SA-4.0", ("cc_by_sa_line",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_line",)),
     ("CC-BY-ND-4.0", ("cc_by_nd_line",)),
     ("CC0-1.0", ("cc0_line",)),
     ("Unlicense", ("unlicense",)),
+    ("Unlicense", ("unlicense_line",)),
     ("Public-Domain", ("public_domain",)),
     ("Proprietary", ("reserved",)),
 )
@@ -163,11 +237,41 @@ STEPS = (
 )
 
 
+MARK = rf"(?:{LINE})?"
+SPDX_BEGIN = "spdx license identifier | | "
+
+
+def _words(sentence: str) -> str:
+    return MARK.join(w + " " if w != "|" else r"\| \| " for w in sentence.split())
+
+
+def _alternatives(sentences) -> str:
+    return "|".join(_words(x) for x in sorted(sentences, key=lambda x: (-len(x), x)))
+
+
+def _said(words: str) -> str:
+    """A pattern of words with line breaks allowed after each."""
+    return words.replace(" ", f" {MARK}")
+
+
 def sentence_pattern() -> str:
-    """One alternation of all known sentences, the longest first, between boundaries."""
-    known = sorted({s for many in SENTENCES.values() for s in many}, key=lambda s: (-len(s), s))
-    words = [rf"(?:{LINE})?".join(w + " " if w != "|" else r"\| \| " for w in s.split()) for s in known]
-    return r"[|/] ((?:" + "|".join(words) + r"))[|/]"
+    """Known sentences, the longest first, what is said to be under a licence, names of licences and SPDX expressions, between
+    boundaries."""
+    known = _alternatives({x for many in SENTENCES.values() for x in many})
+    parts = _alternatives(x.replace(" plus", " or later") for x in SPDX)
+    expression = _words("spdx license identifier |") + MARK + f"(?:{parts})(?:{MARK}(?:or|and) {MARK}(?:{parts}))*"
+    return rf"[|/] ((?:{known}|{_said(LEAD)}{_said(VERB)}(?:{_alternatives(NAMES)})|{_alternatives(TITLES)}|{expression}))[|/]"
+
+
+#: Steps from a sentence found to the names of its identifiers, after line breaks are gone: (pattern, replacement).
+REST = ((rf"^{LEAD}{VERB}", ""), (r"^spdx license identifier \| \| (.* (?:or|and) )", "\\1"), (r" or later ", " plus "))
+
+
+def identifiers() -> dict[str, str]:
+    """{what is left of a sentence: identifier}; whole sentences of the table are looked up as they are."""
+    table = {x.replace("|", "| |") + " ": name for name, many in SENTENCES.items() for x in many}
+    spdx = {SPDX_BEGIN + k + " ": v for k, v in SPDX.items()} | {k + " ": v for k, v in SPDX.items()}
+    return {n + " ": x for n, x in NAMES.items()} | spdx | {n.replace(" or later", " plus") + " ": x for n, x in NAMES.items()} | table
 
 
 def normalised(text: Column) -> Column:
@@ -182,12 +286,20 @@ def normalised(text: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     found = F.regexp_extract_all(normalised(text), F.lit(sentence_pattern()), F.lit(1))
-    pairs = [(s.replace("|", "| |") + " ", name) for name, many in SENTENCES.items() for s in many]
-    names = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
-    plain = lambda s: F.replace(s, F.lit(LINE), F.lit(""))
-    return F.when(F.lower(text).rlike(WORD), F.transform(found, lambda s: F.element_at(names, plain(s)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    pairs = [x for pair in identifiers().items() for x in pair]
+    names = F.create_map(*(F.lit(x) for x in pairs))
+
+    def of_sentence(sentence: Column) -> Column:
+        plain = F.replace(sentence, F.lit(LINE), F.lit(""))
+        rest = plain
+        for pattern, to in REST:
+            rest = F.regexp_replace(rest, F.lit(pattern), F.lit(to.replace("\\1", "$1")))
+        parts = F.transform(F.split(F.rtrim(rest), " (?:or|and) "), lambda p: F.element_at(names, F.concat(p, F.lit(" "))))
+        known = F.coalesce(F.element_at(names, plain), F.element_at(names, rest))
+        return F.when(known.isNotNull(), F.array(known)).otherwise(parts)
+
+    none = F.array().cast("array<string>")
+    return F.when(F.lower(text).rlike(WORD), F.flatten(F.transform(found, of_sentence))).otherwise(none)
 
 
 #: Stands where a rule used identifiers up, so that those around it are no neighbours.

@@ -11,9 +11,10 @@ def license_scan() -> str:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to)}, 'g')"
     text = f"regexp_replace({text}, '\x02[\x02 ]*', {quoted(licenses.LINE)}, 'g')"
     text = f"regexp_replace({text}, ' *\x01 *', {quoted(' ' + licenses.END)}, 'g')"
-    pairs = ", ".join(
-        f"{quoted(s.replace('|', '| |') + ' ')}: {quoted(name)}" for name, many in licenses.SENTENCES.items() for s in many
-    )
+    pairs = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licenses.identifiers().items())
+    rest = "x"
+    for pattern, to in licenses.REST:
+        rest = f"regexp_replace({rest}, {quoted(pattern)}, {quoted(to)}, 'g')"
     steps, before = [], "r"
     for k, (name, rule) in enumerate(licenses.RULES):
         sequence = quoted(licenses.as_sequence(rule))
@@ -26,7 +27,9 @@ WITH n AS (
     THEN regexp_extract_all({text}, {quoted(licenses.sentence_pattern())}, 1) ELSE []::VARCHAR[] END AS found
   FROM documents
 ), i AS (
-  SELECT doc_id, list_transform(found, lambda x: (MAP {{{pairs}}})[replace(x, {quoted(licenses.LINE)}, '')]) AS ids FROM n
+  SELECT doc_id, flatten(list_transform(list_transform(found, lambda x: replace(x, {quoted(licenses.LINE)}, '')), lambda x:
+    CASE WHEN coalesce((MAP {{{pairs}}})[x], (MAP {{{pairs}}})[{rest}]) IS NOT NULL THEN [coalesce((MAP {{{pairs}}})[x], (MAP {{{pairs}}})[{rest}])]
+    ELSE list_transform(string_split_regex(rtrim({rest}), ' (?:or|and) '), lambda y: (MAP {{{pairs}}})[y || ' ']) END)) AS ids FROM n
 ), r AS (
   SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS seq, []::VARCHAR[] AS found FROM i
 ), {", ".join(steps)}

@@ -50,7 +50,8 @@ def test_every_rule_and_sentence_is_reachable(documents):
     text = [s.replace(" |", ".").replace("identifier.", "identifier:") + "." for s in known]
     out = licenses.scan(documents(list(enumerate(text)))).collect()
     assert [r["sentence_ids"] for r in sorted(out, key=lambda r: r["doc_id"])] == ids
-    assert {x for _, rule in licenses.RULES for x in rule} <= set(licenses.SENTENCES)
+    assert {x for _, rule in licenses.RULES for x in rule} <= set(licenses.SENTENCES) | set(licenses.NAMES.values()) | set(licenses.SPDX.values())
+    assert set(licenses.NAMES.values()) | set(licenses.SPDX.values()) <= {x for _, rule in licenses.RULES for x in rule}
 
 
 def test_sentences_wrapped_after_every_word(documents):
@@ -124,3 +125,36 @@ def test_full_bodies_are_known_by_their_titles(documents):
     apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"
     zlib = "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"
     assert [x[0] for x in scan(documents, [gpl, apache, zlib])] == ["GPL-3.0-only", "Apache-2.0", "Zlib"]
+
+
+def test_what_is_said_to_be_under_a_licence(documents):
+    said = {
+        "The project is licensed under the MIT License.": "MIT", "This software is also released under the terms of the GPL version 3.": "GPL-3.0-only", "released under the GPL version 3": "GPL-3.0-only",
+        "# It is distributed under the GNU\n# LGPL v2.1 or later.": "LGPL-2.1-or-later", "All files are available under GPLv2.": "GPL-2.0-only", "Code\n\nThis library is licensed under the 3-Clause BSD License.\n": "BSD-3-Clause",
+        "GNU General Public License v3.0": "GPL-3.0-only", "GNU Affero General Public License v3.0 or later\n": "AGPL-3.0-or-later", "Licensed under Apache-2.0.": "Apache-2.0", "He is licensed under no law.": "", "The MIT has a license plate.": "",
+        "He said it is released under the MIT license as far as he knows": "", "GPL version 3": "",
+    }
+    assert [x[0] for x in scan(documents, list(said))] == list(said.values())
+
+
+def test_spdx_expressions(documents):
+    said = {
+        "SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0", "// SPDX-License-Identifier: (GPL-2.0 AND MIT)\nint x;": "MIT,GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later", "/* SPDX-License-Identifier: LGPL-2.1-or-later OR BSD-3-Clause OR Zlib */": "BSD-3-Clause,LGPL-2.1-or-later,Zlib", "SPDX-License-Identifier: Unknown-1.0": "",
+        "SPDX-License-Identifier: MIT OR Unknown-1.0": "",
+    }
+    assert [x[0] for x in scan(documents, list(said))] == list(said.values())
+
+
+def test_sql_finds_the_same_in_all_these(documents, spark):
+    import duckdb
+
+    from quantloom.llm import sql
+
+    names = [f"This tool is\n licensed under the {n}." for n in licenses.NAMES] + [f"SPDX-License-Identifier: {a.replace(' plus', '-or-later')} OR {b.replace(' plus', '-or-later')}" for a in licenses.SPDX for b in ("mit", "gpl 2 0 plus")]
+    rows = list(enumerate(names))
+    found = {r["doc_id"]: tuple(r) for r in licenses.scan(documents(rows)).collect()}
+    con = duckdb.connect()
+    con.register("documents", documents(rows, clashing=False).select("doc_id", "text").toArrow())
+    assert {r[0]: tuple(r) for r in con.sql(sql.license_scan()).fetchall()} == found
+    assert all(r[4] for r in found.values())
