@@ -47,10 +47,49 @@ COMPACT = (
 )
 
 
+def _all_facts(prices: int, statements: int, owners: int, events: int, market: str = "recent_market_facts") -> tuple[Section, ...]:
+    return (
+        _facts("identity_facts", 2, "Instrument", "SectorClassification"), _facts(market, prices, "PriceBar"), _facts("fundamental_facts", statements, "FundamentalSnapshot"),
+        _facts("ownership_facts", owners, "ShareholdingSnapshot"), _facts("event_facts", events, "CorporateAction", "CompanyEvent", "Filing", "NewsItem"),
+    )
+
+
+#: The sections of the other profiles. Summaries come with observations.
+SUMMED = ("summary", "observation")
+MEDIUM = (
+    *_all_facts(90, 20, 12, 40),
+    Section("summaries", ("historical_state_", "historical_percentiles", "volatility_state", "trend_state", "historical_extremes", "persistence", "return_", "volatility_"), SUMMED),
+    Section("recent_market", ("close", "return_", "realized_volatility_", "drawdown", "sma_", "liquidity_"), ("observation", "series"), 90),
+    Section("weekly_context", ("week_return",), ("observation", "series"), 156),
+    Section("monthly_context", ("month_return",), ("observation", "series"), 120),
+)
+FULL = (
+    *_all_facts(252, 40, 20, 100, "market_facts"),
+    Section("summaries", (), SUMMED),
+    Section("market_series", ("return_", "realized_volatility_", "drawdown", "sma_", "liquidity_"), ("observation", "series"), 252),
+)
+WIDE = (
+    _facts("identity", 4, "Instrument", "SectorClassification"),
+    _facts("market_and_indices", 252, "PriceBar", "IndexSnapshot", "IndexPriceBar"),
+    _facts("fundamentals", 48, "FundamentalSnapshot", "Filing"),
+    _facts("ownership_and_events", 60, "ShareholdingSnapshot", "InsiderTransaction", "LargeDeal", "CorporateAction", "CompanyEvent"),
+    _facts("news_and_social", 80, "NewsItem", "SocialPost"),
+    _facts("macro", 60, "MacroObservation", "MacroRelease"),
+    Section("derived_research", (), SUMMED),
+    Section("derived_market_series", ("return_", "realized_volatility_", "drawdown", "sma_", "rsi_", "macd", "liquidity_"), ("observation", "series"), 252),
+)
+PROFILES = {"compact": COMPACT, "medium": MEDIUM, "full": FULL, "wide": WIDE}
+
+
+def profile(name: str, items: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A profile's (selected items, selected records) of every instrument."""
+    most_items, most_points = LIMITS[name]
+    sections = PROFILES[name]
+    return select_items(items, [s for s in sections if s.kinds], most_items, most_points), select_records(records, list(sections))
+
+
 def compact(items: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The compact profile: (selected items, selected records) of every instrument."""
-    most_items, most_points = LIMITS["compact"]
-    return select_items(items, [s for s in COMPACT if s.kinds], most_items, most_points), select_records(records, list(COMPACT))
+    return profile("compact", items, records)
 
 
 def select_records(records: DataFrame, sections: list[Section]) -> DataFrame:

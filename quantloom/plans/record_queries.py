@@ -414,6 +414,64 @@ def ctx_02(spark, d):
     return context.compact(items, none)[0].select("instrument_id", "item_id", "section", "position", "included_points")
 
 
+#: Of each profile: metrics of its series sections with their caps (place, metric, points), items, points.
+_PROFILE_ITEMS = {"compact": (((2, "sma_20", 30), (3, "week_return", 52)), 24, 500), "medium": (((2, "sma_20", 90), (3, "week_return", 156)), 40, 1600), "full": (((2, "sma_20", 252),), 100, 8000), "wide": (((2, "sma_20", 252),), 180, 4000)}
+_PROFILE_NAMES = {"compact": ("summaries", "recent_market", "weekly_context"), "medium": ("summaries", "recent_market", "weekly_context"), "full": ("summaries", "market_series"), "wide": ("derived_research", "derived_market_series")}
+
+
+def _profile_sql(name: str) -> str:
+    caps, items, points = _PROFILE_ITEMS[name]
+    place = "CASE metric WHEN 'persistence' THEN 1 " + " ".join(f"WHEN '{m}' THEN {p}" for p, m, _ in caps) + (" WHEN 'unknown' THEN CASE kind WHEN 'summary' THEN 1 END" if name in ("full", "wide") else "") + " END"
+    cap = "CASE place " + " ".join(f"WHEN {p} THEN {c}" for p, _, c in caps) + " END"
+    section = "CASE place " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_PROFILE_NAMES[name], 1)) + " END"
+    order = "PARTITION BY user_id ORDER BY place, kind <> 'summary', item_id"
+    return f"""SELECT '{name}' AS profile, user_id AS instrument_id, item_id, {section} AS section, position, CASE WHEN kind = 'series' THEN least(wanted, {points} - used)::BIGINT END AS included_points FROM (
+      SELECT *, row_number() OVER ({order}) AS position FROM (
+        SELECT *, coalesce(sum(wanted) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (
+          SELECT *, CASE kind WHEN 'series' THEN least(points, {cap}) ELSE 0 END AS wanted FROM (SELECT *, {place} AS place FROM c) WHERE place IS NOT NULL)) WHERE kind <> 'series' OR used < {points}) WHERE position <= {items}"""
+
+
+@query("ctx_02_profiles", """WITH i AS (SELECT user_id, event_id % 60 AS m, count(*) AS n FROM events GROUP BY 1, 2),
+    c AS (SELECT user_id, 'i' || m AS item_id, CASE m % 3 WHEN 0 THEN 'summary' ELSE 'series' END AS kind, CASE WHEN m >= 30 THEN 'unknown' WHEN m % 3 = 0 THEN 'persistence' WHEN m % 3 = 1 THEN 'sma_20' ELSE 'week_return' END AS metric, n * 20 AS points FROM i) """
+    + " UNION ALL ".join(f"SELECT * FROM ({_profile_sql(name)})" for name in _PROFILE_ITEMS))
+def ctx_02_profiles(spark, d):
+    """The items that each of the four profiles selects."""
+    m = F.col("event_id") % 60
+    kind = F.when(m % 3 == 0, "summary").otherwise("series")
+    metric = F.when(m >= 30, "unknown").when(m % 3 == 0, "persistence").when(m % 3 == 1, "sma_20").otherwise("week_return")
+    e = read(spark, d, "events")
+    items = e.groupBy(F.col("user_id").alias("instrument_id"), F.concat(F.lit("i"), m.cast("string")).alias("item_id"), kind.alias("kind"), metric.alias("metric")).agg((F.count(F.lit(1)) * 20).alias("points"))
+    none = spark.createDataFrame([], "instrument_id long, record_id long, record_type string, at timestamp")
+    parts = [context.profile(name, items, none)[0].select(F.lit(name).alias("profile"), "instrument_id", "item_id", "section", "position", "included_points") for name in context.PROFILES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_RECORD_SECTIONS = {
+    "compact": (("identity_facts", 2, (0, 1)), ("recent_market_facts", 30, (2,)), ("event_facts", 20, (3, 4))), "medium": (("identity_facts", 2, (0, 1)), ("recent_market_facts", 90, (2,)), ("event_facts", 40, (3, 4))),
+    "full": (("identity_facts", 2, (0, 1)), ("market_facts", 252, (2,)), ("event_facts", 100, (3, 4))),
+    "wide": (("identity", 4, (0, 1)), ("market_and_indices", 252, (2, 5)), ("fundamentals", 48, (4,)), ("news_and_social", 80, (3, 6))),
+}
+_RECORD_TYPES = ("Instrument", "SectorClassification", "PriceBar", "NewsItem", "Filing", "IndexPriceBar", "SocialPost", "Unheard")
+
+
+@query("ctx_02_profile_records", " UNION ALL ".join(
+    f"""SELECT '{name}' AS profile, o_custkey % 9 AS instrument_id, '{section}' AS section, o_orderkey AS record_id FROM orders WHERE o_orderkey % 8 IN ({', '.join(map(str, kinds))})
+    QUALIFY row_number() OVER (PARTITION BY o_custkey % 9 ORDER BY o_orderdate DESC, o_orderkey DESC) <= {most}""" for name, sections in _RECORD_SECTIONS.items() for section, most, kinds in sections))
+def ctx_02_profile_records(spark, d):
+    """The records that each of the four profiles selects."""
+    kind = F.element_at(F.array(*map(F.lit, _RECORD_TYPES)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    records = read(spark, d, "orders").select((F.col("o_custkey") % 9).alias("instrument_id"), F.col("o_orderkey").alias("record_id"), kind.alias("record_type"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    none = spark.createDataFrame([], "instrument_id long, item_id string, kind string, metric string, points long")
+    parts = [context.profile(name, none, records)[1].select(F.lit(name).alias("profile"), "instrument_id", "section", "record_id") for name in context.PROFILES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("prs_18_news_items", """SELECT page_id, 'yfinance:' || substr(sha256(CASE WHEN page_id % 2 = 0 THEN 'n' || page_id ELSE 'http://h/' || page_id END), 1, 32) AS news_id, 'Page ' || page_id AS title,
     TIMESTAMP '2026-01-05 04:30:00' AS published_at, 'http://h/' || page_id AS url, CASE WHEN page_id % 2 = 0 THEN 'text' END AS summary, CASE WHEN page_id % 2 = 0 THEN 'Wire' ELSE 'Yahoo Finance' END AS source_name FROM pages""")
 def prs_18(spark, d):
