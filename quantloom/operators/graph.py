@@ -73,4 +73,4 @@ def timeline(records: DataFrame, titles: tuple[str, ...] = ("title", "headline",
     entry = F.coalesce(F.col("record_id").cast("string"), content_id(F.col("record_type"), F.col("event_time").cast("string"), title))
     order = [F.col("event_time").asc_nulls_last(), F.col("available_at").asc_nulls_last(), F.col("record_type").asc(), F.col("entry_id").asc()]
     rows = records.select("instrument_id", "record_type", "event_time", "available_at", entry.alias("entry_id"), title.alias("title"))
-    return numbered(rows, order)
+    return numbered(rows, order, then="available_at")

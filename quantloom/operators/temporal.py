@@ -58,12 +58,14 @@ def known_order() -> list[Column]:
     return [F.col("event_time").asc_nulls_last(), F.col("available_at").asc_nulls_last(), F.col("record_type").asc(), F.col("record_id").asc()]
 
 
-def numbered(df: DataFrame, order: list[Column], at: str = "event_time", key: str = "instrument_id") -> DataFrame:
-    """``df`` with each row's position among those of its key, by ``order``, which begins with ``at`` (nulls last).
+def numbered(df: DataFrame, order: list[Column], at: str = "event_time", key: str = "instrument_id", then: str | None = None) -> DataFrame:
+    """``df`` with each row's position among those of its key, by ``order``, which begins with ``at`` and, if named, ``then``
+    (nulls last).
 
     Rows are ordered within a day of a key only; what days before hold is added from counts by day, so a key that most
-    rows share is spread over its days."""
-    day = F.coalesce(F.col(at).cast("date"), F.lit("9999-12-31").cast("date"))
+    rows share is spread over its days. Rows without ``at`` come after all others, by the days of ``then``."""
+    last = F.lit("9999-12-31").cast("date")
+    day = F.struct(F.col(at).isNull().alias("undated"), F.coalesce(F.col(at).cast("date"), *([F.col(then).cast("date")] if then else []), last).alias("day"))
     rows = df.withColumn("_day", day)
     earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
@@ -75,7 +77,7 @@ def numbered(df: DataFrame, order: list[Column], at: str = "event_time", key: st
 
 def what_was_known(df: DataFrame, as_of: Column) -> DataFrame:
     """Visible records with their position in each instrument's story."""
-    return numbered(point_in_time(df, as_of), known_order())
+    return numbered(point_in_time(df, as_of), known_order(), then="available_at")
 
 
 def events_between(df: DataFrame, start: Column, end: Column, types: tuple[str, ...] = (), known_by_end: bool = False) -> DataFrame:

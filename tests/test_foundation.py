@@ -82,3 +82,12 @@ def test_edges_merge_evidence(spark):
     assert {(r["subject"], r["n_evidence"], r["source"]) for r in edges.collect()} == {("a", 2, "multiple"), ("b", 1, "s1")}
     assert {(r["node"], r["distance"]) for r in graph.within_hops(edges, "a", 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert graph.outgoing(edges, "a").count() == 1 and graph.incoming(edges, "c", "part_of").count() == 1
+
+
+def test_undated_records_are_placed_by_their_availability(spark):
+    at = lambda d: None if d is None else dt.datetime(2024, 1, d)
+    rows = [(1, at(3), at(4)), (2, None, at(9)), (3, None, at(2)), (4, None, None), (5, at(1), None), (6, None, at(2)), (7, at(3), at(3))]
+    df = spark.createDataFrame([("i", "t", r, e, a, "observed") for r, e, a in rows], "instrument_id string, record_type string, record_id int, event_time timestamp, available_at timestamp, basis string")
+    placed = temporal.numbered(df, temporal.known_order(), then="available_at")
+    assert [r["record_id"] for r in placed.orderBy("position").collect()] == [5, 7, 1, 3, 6, 2, 4]
+    assert [r["position"] for r in placed.orderBy("position").collect()] == [1, 2, 3, 4, 5, 6, 7]
