@@ -215,7 +215,7 @@ QUOTIENTS = {
     "equity_per_share": ("total_equity", "shares"), "earnings_per_share": ("net_income", "shares"), "revenue_per_share": ("revenue", "shares"), "cash_flow_per_share": ("free_cash_flow", "shares"),
     "cash_flow_yield": ("free_cash_flow", "market_cap"), "price_to_earnings": ("market_cap", "net_income"), "price_to_book": ("market_cap", "total_equity"), "price_to_sales": ("market_cap", "revenue"),
     "value_to_ebitda": ("enterprise_value", "ebitda"), "value_to_revenue": ("enterprise_value", "revenue"), "interest_coverage": ("ebit", "interest_paid"), "debt_to_capital": ("total_debt", "capital"),
-    "payout_ratio": ("dividends", "net_income"),
+    "payout_ratio": ("dividends", "net_income"), "quick_ratio": ("quick_assets", "current_liabilities"),
 }
 CHANGES = ("revenue", "net_income", "total_equity", "free_cash_flow", "ebit", "ebitda", "earnings_per_share")
 
@@ -224,11 +224,12 @@ def extended_ratios(statements: DataFrame) -> DataFrame:
     """Turnovers, days, margins, returns, coverage, per-share and market ratios, and changes on the absolute base, for the
     latest period of each instrument and period type. Columns that the statements lack give null ratios."""
     w = Window.partitionBy("instrument_id", "period_type").orderBy("period_end")
-    inputs = sorted({x for pair in QUOTIENTS.values() for x in pair} - {"working_capital", "capital_employed", "enterprise_value", "interest_paid", "capital"})
+    inputs = sorted({x for pair in QUOTIENTS.values() for x in pair} - {"working_capital", "quick_assets", "capital_employed", "enterprise_value", "interest_paid", "capital"})
     s = missing(statements, *inputs, "interest_expense").withColumns(
         {
             "free_cash_flow": F.coalesce("free_cash_flow", F.col("operating_cash_flow") - F.abs("capital_expenditure") if "capital_expenditure" in statements.columns else F.lit(None)),
             "working_capital": F.col("current_assets") - F.col("current_liabilities"),
+            "quick_assets": F.col("current_assets") - F.col("inventory"),
             "capital_employed": F.col("total_assets") - F.col("current_liabilities"),
             "enterprise_value": F.col("market_cap") + F.coalesce("total_debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0)),
             "interest_paid": F.abs("interest_expense"),
@@ -239,17 +240,47 @@ def extended_ratios(statements: DataFrame) -> DataFrame:
     days = {n: ratio(F.lit(365.0), F.col(turned)) for n, turned in (("inventory_days", "inventory_turnover"), ("collection_days", "receivables_turnover"))}
     found = found.withColumns(days).withColumn("cash_cycle_days", F.col("inventory_days") + F.col("collection_days"))
     changes = {f"{c}_change": ratio(F.col(c) - F.lag(c).over(w), F.abs(F.lag(c).over(w))) for c in CHANGES}
-    rows = found.withColumns(changes).withColumn("k", F.row_number().over(w.orderBy(F.col("period_end").desc())))
-    return rows.where("k = 1").select(*PERIOD, *QUOTIENTS, *days, "cash_cycle_days", *changes)
+    changes["equity_per_share_change"] = ratio(F.col("equity_per_share") - F.lag("equity_per_share").over(w), F.abs(F.lag("equity_per_share").over(w)))
+    rows = found.withColumns(changes).withColumn("peg_ratio", ratio(F.col("price_to_earnings"), 100 * F.col("earnings_per_share_change"))).withColumn("k", F.row_number().over(w.orderBy(F.col("period_end").desc())))
+    return rows.where("k = 1").select(*PERIOD, *QUOTIENTS, *days, "cash_cycle_days", *changes, "peg_ratio")
+
+
+#: Names that a snapshot's consumers know the ratios by.
+SNAPSHOT_NAMES = {
+    "asset_efficiency": "asset_turnover", "book_equity_growth": "equity_per_share_change", "equity_value_per_share": "equity_per_share", "cash_coverage": "cash_ratio", "liquidity_ratio": "current_ratio",
+    "collection_days": "collection_days", "asset_leverage": "debt_to_assets", "leverage_ratio": "debt_to_equity", "profit_growth": "net_income_change", "profit_per_share": "earnings_per_share",
+    "profit_per_share_growth": "earnings_per_share_change", "operating_ebitda_growth": "ebitda_change", "business_value_to_ebitda": "value_to_ebitda", "business_value_to_revenue": "value_to_revenue",
+    "free_cash_growth": "free_cash_flow_change", "cash_flow_per_share": "cash_flow_per_share", "cash_flow_yield": "cash_flow_yield", "gross_profit_margin": "gross_margin", "interest_service_coverage": "interest_coverage",
+    "inventory_efficiency": "inventory_turnover", "net_profit_margin": "net_margin", "operating_cash_liquidity": "operating_cash_ratio", "cash_conversion_cycle": "cash_cycle_days", "operating_profit_growth": "ebit_change",
+    "operating_profit_margin": "operating_margin", "dividend_payout": "payout_ratio", "growth_adjusted_pe": "peg_ratio", "book_multiple": "price_to_book", "earnings_multiple": "price_to_earnings", "sales_multiple": "price_to_sales",
+    "acid_test_ratio": "quick_ratio", "collection_efficiency": "receivables_turnover", "asset_return": "return_on_assets", "equity_return": "return_on_equity", "invested_capital_return": "return_on_capital",
+    "sales_growth": "revenue_change", "working_capital_efficiency": "working_capital_turnover",
+}
+
+
+def snapshot(ratios: DataFrame) -> DataFrame:
+    """The rows of ``extended_ratios`` under the names of a snapshot."""
+    return ratios.select(*PERIOD, *(F.col(own).alias(name) for name, own in SNAPSHOT_NAMES.items()))
+
+
+#: Fixed values: (ratio, whether larger is better, threshold, points, what is said if it passes, if not, if it is unknown); $1 stands
+#: for the ratio, %1 for the ratio in per cent.
+TESTS = (
+    ("roe", True, 0.15, 2, "Strong ROE of %1", "Weak ROE of %1", "ROE data not available"),
+    ("debt_to_equity", False, 0.5, 2, "Conservative debt levels", "High debt to equity ratio of $1", "Debt to equity data not available"),
+    ("operating_margin", True, 0.15, 2, "Strong operating margins", "Weak operating margin of %1", "Operating margin data not available"),
+    ("current_ratio", True, 1.5, 1, "Good liquidity position", "Weak liquidity with current ratio of $1", "Current ratio data not available"),
+)
 
 
 def scored(latest: DataFrame) -> DataFrame:
-    """Points for four tests of the latest statement, and the reasons, joined."""
-    tests = (
-        (F.col("roe") > 0.15, 2, "strong return on equity"),
-        (F.col("debt_to_equity") < 0.5, 2, "conservative debt"),
-        (F.col("operating_margin") > 0.15, 2, "strong operating margin"),
-        (F.col("current_ratio") > 1.5, 1, "good liquidity"),
-    )
-    points = sum((F.when(c, n).otherwise(0) for c, n, _ in tests), F.lit(0))
-    return latest.select("instrument_id", points.cast("long").alias("score"), F.concat_ws("; ", *(F.when(c, F.lit(t)) for c, _, t in tests)).alias("reasons"))
+    """Points for four tests of the latest statement, and a reason for each, joined; a ratio that is zero or null is unknown."""
+    points, reasons = F.lit(0), []
+    one_digit = lambda c: F.round(c + 1e-9, 1).cast("decimal(20,1)").cast("string")
+    for name, larger, limit, n, good, bad, unknown in TESTS:
+        value = F.col(name)
+        passed = F.coalesce((value > limit) if larger else (value < limit), F.lit(False)) & (value != 0)
+        said = lambda text: F.replace(F.replace(F.lit(text), F.lit("$1"), one_digit(value)), F.lit("%1"), F.concat(one_digit(value * 100), F.lit("%")))  # noqa: B023, E731
+        points = points + F.when(passed, n).otherwise(0)
+        reasons.append(F.when(value.isNull() | (value == 0), F.lit(unknown)).when(passed, said(good)).otherwise(said(bad)))
+    return latest.select("instrument_id", points.cast("long").alias("score"), F.concat_ws("; ", *reasons).alias("reasons"))

@@ -125,7 +125,8 @@ x AS (SELECT instrument_id, period_end, period_type,
   total_equity / shares AS equity_per_share, net_income / shares AS earnings_per_share, revenue / shares AS revenue_per_share, fcf / shares AS cash_flow_per_share,
   fcf / nullif(market_cap, 0) AS cash_flow_yield, market_cap / nullif(net_income, 0) AS price_to_earnings, market_cap / nullif(total_equity, 0) AS price_to_book, market_cap / nullif(revenue, 0) AS price_to_sales,
   (market_cap + total_debt - cash) / nullif(ebitda, 0) AS value_to_ebitda, (market_cap + total_debt - cash) / nullif(revenue, 0) AS value_to_revenue,
-  ebit / nullif(abs(interest_expense), 0) AS interest_coverage, total_debt / nullif(total_debt + total_equity, 0) AS debt_to_capital, dividends / nullif(net_income, 0) AS payout_ratio,
+  ebit / nullif(abs(interest_expense), 0) AS interest_coverage, total_debt / nullif(total_debt + total_equity, 0) AS debt_to_capital, dividends / nullif(net_income, 0) AS payout_ratio, (current_assets - inventory) / nullif(current_liabilities, 0) AS quick_ratio,
+  (total_equity / shares - lag(total_equity / shares) OVER w) / nullif(abs(lag(total_equity / shares) OVER w), 0) AS equity_per_share_change,
   365 / nullif(cost / nullif(inventory, 0), 0) AS inventory_days, 365 / nullif(revenue / nullif(receivables, 0), 0) AS collection_days,
   {", ".join(f"({c} - lag({c}) OVER w) / nullif(abs(lag({c}) OVER w), 0) AS {n}_change" for n, c in (("revenue", "revenue"), ("net_income", "net_income"), ("total_equity", "total_equity"), ("free_cash_flow", "fcf"), ("ebit", "ebit"), ("ebitda", "ebitda")))},
   (net_income / shares - lag(net_income / shares) OVER w) / nullif(abs(lag(net_income / shares) OVER w), 0) AS earnings_per_share_change
@@ -134,28 +135,46 @@ x AS (SELECT instrument_id, period_end, period_type,
 
 @query(
     "exp_01_extended_ratios",
-    f"{_QUOTED} SELECT *, inventory_days + collection_days AS cash_cycle_days FROM x",
-    " ".join([*fundamentals.QUOTIENTS, "inventory_days", "collection_days", "cash_cycle_days", *(f"{c}_change" for c in fundamentals.CHANGES)]),
+    f"{_QUOTED} SELECT *, inventory_days + collection_days AS cash_cycle_days, price_to_earnings / nullif(100 * earnings_per_share_change, 0) AS peg_ratio FROM x",
+    " ".join([*fundamentals.QUOTIENTS, "inventory_days", "collection_days", "cash_cycle_days", *(f"{c}_change" for c in fundamentals.CHANGES), "equity_per_share_change", "peg_ratio"]),
 )
 def exp_01(spark, d):
+    return fundamentals.extended_ratios(quoted_statements(spark, d))
+
+
+def quoted_statements(spark, d):
     c = F.col
     more = {"cost_of_revenue": c("revenue") - c("gross_profit"), "receivables": c("total_assets") * 0.1, "shares": c("instrument_id") + 1000.0, "market_cap": c("revenue") * 5, "dividends": c("net_income") * 0.3}
-    return fundamentals.extended_ratios(statements(spark, d).withColumns(more))
+    return statements(spark, d).withColumns(more)
+
+
+@query(
+    "exp_01_snapshot",
+    f"{_QUOTED} SELECT instrument_id, period_end, period_type, asset_turnover AS asset_efficiency, equity_per_share_change AS book_equity_growth, quick_ratio AS acid_test_ratio, price_to_earnings / nullif(100 * earnings_per_share_change, 0) AS growth_adjusted_pe, return_on_capital AS invested_capital_return, revenue_change AS sales_growth FROM x",
+    "asset_efficiency book_equity_growth acid_test_ratio growth_adjusted_pe invested_capital_return sales_growth",
+)
+def exp_01_snapshot(spark, d):
+    found = fundamentals.snapshot(fundamentals.extended_ratios(quoted_statements(spark, d)))
+    return found.select("instrument_id", "period_end", "period_type", "asset_efficiency", "book_equity_growth", "acid_test_ratio", "growth_adjusted_pe", "invested_capital_return", "sales_growth")
 
 
 @query(
     "exp_02_fundamental_score",
-    f"""{S}, x AS (SELECT instrument_id, net_income / nullif(total_equity, 0) > 0.15 AS a, total_debt / nullif(total_equity, 0) < 0.5 AS b, ebit / nullif(revenue, 0) > 0.15 AS c, current_assets / nullif(current_liabilities, 0) > 1.5 AS e
-      FROM statements QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY period_end DESC) = 1)
-    SELECT instrument_id, (CASE WHEN a THEN 2 ELSE 0 END + CASE WHEN b THEN 2 ELSE 0 END + CASE WHEN c THEN 2 ELSE 0 END + CASE WHEN e THEN 1 ELSE 0 END)::BIGINT AS score,
-    concat_ws('; ', CASE WHEN a THEN 'strong return on equity' END, CASE WHEN b THEN 'conservative debt' END, CASE WHEN c THEN 'strong operating margin' END, CASE WHEN e THEN 'good liquidity' END) AS reasons FROM x""",
+    f"""{S}, x AS (SELECT instrument_id, nullif(CASE WHEN instrument_id % 7 <> 0 THEN net_income / nullif(total_equity, 0) END, 0) AS a, nullif(total_debt / nullif(total_equity, 0), 0) AS b, nullif(ebit / nullif(revenue, 0), 0) AS c,
+      nullif(current_assets / nullif(current_liabilities, 0), 0) AS e FROM statements QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY period_end DESC) = 1),
+    y AS (SELECT *, round(a * 100 + 1e-9::DOUBLE, 1)::DECIMAL(20,1)::VARCHAR || '%' AS said_a, round(b + 1e-9::DOUBLE, 1)::DECIMAL(20,1)::VARCHAR AS said_b, round(c * 100 + 1e-9::DOUBLE, 1)::DECIMAL(20,1)::VARCHAR || '%' AS said_c, round(e + 1e-9::DOUBLE, 1)::DECIMAL(20,1)::VARCHAR AS said_e FROM x)
+    SELECT instrument_id, (CASE WHEN a > 0.15 THEN 2 ELSE 0 END + CASE WHEN b < 0.5 THEN 2 ELSE 0 END + CASE WHEN c > 0.15 THEN 2 ELSE 0 END + CASE WHEN e > 1.5 THEN 1 ELSE 0 END)::BIGINT AS score,
+    concat_ws('; ', CASE WHEN a IS NULL THEN 'ROE data not available' WHEN a > 0.15 THEN 'Strong ROE of ' || said_a ELSE 'Weak ROE of ' || said_a END,
+      CASE WHEN b IS NULL THEN 'Debt to equity data not available' WHEN b < 0.5 THEN 'Conservative debt levels' ELSE 'High debt to equity ratio of ' || said_b END,
+      CASE WHEN c IS NULL THEN 'Operating margin data not available' WHEN c > 0.15 THEN 'Strong operating margins' ELSE 'Weak operating margin of ' || said_c END,
+      CASE WHEN e IS NULL THEN 'Current ratio data not available' WHEN e > 1.5 THEN 'Good liquidity position' ELSE 'Weak liquidity with current ratio of ' || said_e END) AS reasons FROM y""",
 )
 def exp_02(spark, d):
     s = statements(spark, d)
     latest = s.groupBy("instrument_id").agg(F.max_by(F.struct(*(c for c in s.columns if c != "instrument_id")), "period_end").alias("s")).select("instrument_id", "s.*")
     div = lambda a, b: F.try_divide(a, b)
     rows = latest.select(
-        "instrument_id", div(F.col("net_income"), F.col("total_equity")).alias("roe"), div(F.col("total_debt"), F.col("total_equity")).alias("debt_to_equity"),
+        "instrument_id", F.when(F.col("instrument_id") % 7 != 0, div(F.col("net_income"), F.col("total_equity"))).alias("roe"), div(F.col("total_debt"), F.col("total_equity")).alias("debt_to_equity"),
         div(F.col("ebit"), F.col("revenue")).alias("operating_margin"), div(F.col("current_assets"), F.col("current_liabilities")).alias("current_ratio"),
     )
     return fundamentals.scored(rows)
