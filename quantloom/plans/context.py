@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantloom.plans.policies import POLICIES, Policy
+
 #: Budgets of the profiles, items and points.
 LIMITS = {"compact": (24, 500), "medium": (40, 1600), "full": (100, 8000), "wide": (180, 4000)}
 KINDS = ("summary", "observation", "series")
@@ -181,6 +183,17 @@ def prepared(df: DataFrame, expand: tuple[str, ...] = (), drop: tuple[str, ...]
     return shaped(expanded(df, expand), (*PLUMBING, *drop), keep)
 
 
+def by_policy(df: DataFrame, record_type: str) -> tuple[DataFrame, dict[str, str]]:
+    """Records of one type for reading: what its policy (none for other types) leaves out is gone, members of what it opens
+    are columns, and columns come in its order, then the rest as they were."""
+    policy = POLICIES.get(record_type, Policy())
+    keep = tuple(c for c in policy.order if c in df.columns and c.endswith(("_id", "_ids")))
+    rows, header = prepared(df, policy.expand, policy.drop, keep)
+    place = {c: k for k, c in enumerate((*policy.order, *(e for e in policy.expand if e not in policy.order)))}
+    ordered = sorted(rows.columns, key=lambda c: place.get(c, place.get(c.split(".")[0], len(place))))
+    return rows.select(*(F.col(f"`{c}`") for c in ordered)), header
+
+
 def shaped(df: DataFrame, drop: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
     """(rows without plumbing, empty and constant columns, {constant column: its value}), after one aggregation."""
     columns = [c for c in df.columns if c in keep or (c not in drop and not c.endswith(("_id", "_ids")))]
@@ -196,7 +209,7 @@ LIMITED = {"text": 900}
 
 
 def cell(name: str, markdown: bool):
-    text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
     if limit := LIMITED.get(name):
         text = F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
     return F.replace(F.regexp_replace(text, r"[\r\n]+", " "), F.lit("|"), F.lit(r"\|")) if markdown else text

@@ -379,6 +379,23 @@ def rpr_01(spark, d):
     return context.prepared(rows, expand=("holders",))[0]
 
 
+@query("rpr_01_policy_lines", """SELECT '| ' || strftime(o_orderdate, '%Y-%m-%d') || ' | ' || 'Client ' || o_custkey || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END || ' | ' || o_orderkey || ' | ' || o_custkey || '.5 | s' || o_orderkey % 3 || ' |' AS line FROM orders
+    UNION ALL SELECT '| ' || strftime(o_orderdate, '%Y-%m-%d') || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN 'quarterly' ELSE 'yearly' END || ' | ' || o_custkey || ' | ' || o_orderkey || ' |' FROM orders""")
+def rpr_01_policies(spark, d):
+    """Large deals and statements, whose columns come in any order, as the lines that their policies make."""
+    o = read(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    deals = o.select(
+        F.format_string("s%d", F.col("o_orderkey") % 3).alias("extra"), F.format_string("%d.5", "o_custkey").alias("weighted_average_price"), F.col("o_orderkey").cast("string").alias("quantity"), day.alias("trade_date"),
+        F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("o_orderkey").alias("event_id"), F.format_string("Client %d", "o_custkey").alias("client_name"), F.lit("bulk").alias("deal_type"),
+        F.lit(None).cast("string").alias("remarks"), F.col("o_custkey").alias("instrument_id"),
+    )
+    metrics = F.struct(F.col("o_custkey").alias("revenue"), F.col("o_orderkey").alias("cash"))
+    statements = o.select(metrics.alias("metrics"), F.when(F.col("o_orderkey") % 2 == 0, "quarterly").otherwise("yearly").alias("period_type"), F.col("o_custkey").alias("instrument_id"), day.alias("period_end"))
+    both = [context.lines(context.by_policy(df, kind)[0])[1] for df, kind in ((deals, "LargeDeal"), (statements, "FundamentalSnapshot"))]
+    return both[0].unionByName(both[1])
+
+
 @query("rpr_04_json_lines", """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"' || CASE WHEN s_nationkey > 10 THEN ',"n":' || s_nationkey ELSE '' END || '}' AS line FROM supplier""")
 def rpr_04(spark, d):
     s = read(spark, d, "supplier")

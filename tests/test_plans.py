@@ -75,3 +75,10 @@ def test_whole_queries_read_every_row(spark, sf_dir):
     assert company_queries.shifted(spark, sf_dir).count() == driver_tables.statements(spark, sf_dir).count()
     queries = entry.queries()
     assert all(queries[name](spark, sf_dir).count() for name in ("ctx_01_select_all_items", "rpr_03_pack_all_text", "fnd_06_period_gaps_all"))
+
+
+def test_policies_order_drop_and_open_columns(spark):
+    df = spark.createDataFrame([("p", 1, ("x", 2.0), "i", "q", 7), ("r", 2, ("y", 3.0), "i", "q", 8)], "zeta string, period_end int, metrics struct<a:string,b:double>, instrument_id string, units_in string, period_start int")
+    rows, header = context.by_policy(df, "FundamentalSnapshot")
+    assert rows.columns == ["period_end", "period_start", "metrics.a", "metrics.b", "zeta"] and header == {"units_in": "q"}
+    assert context.by_policy(df.select("zeta", "period_end"), "Unheard")[0].columns == ["zeta", "period_end"]
