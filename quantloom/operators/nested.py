@@ -18,7 +18,7 @@ MEMBER = "array<struct<step:array<string>,at:int,node:string,kind:int>>"
 
 def kind_of_text(text: Column) -> Column:
     """The kind of a whole JSON text."""
-    return F.when(text.startswith("{"), OBJECT).when(text.startswith("["), LIST).otherwise(LEAF)
+    return F.when(text.startswith("{"), F.lit(OBJECT)).when(text.startswith("["), F.lit(LIST)).otherwise(F.lit(LEAF))
 
 
 def kind_of(text: Column, value: Column) -> Column:
@@ -28,22 +28,25 @@ def kind_of(text: Column, value: Column) -> Column:
     return F.when(is_map, OBJECT).when(is_list, LIST).otherwise(LEAF)
 
 
+#: A text that begins like an object or list: only where there is one does the kind of a member need its VARIANT.
+LOOKS_OPEN = r'"\s*(?:[\[{]|\\u00[57][bB])'
+
+
 def members(node: Column, kind: Column) -> Column:
     """Members of an open node: an object's with a step of their key, a list's with none; what is named exactly ``value``
-    comes before all others of its object."""
-    typed = F.from_json(node, "map<string,variant>")
+    comes before all others of its object. Each node is parsed once, twice if it has texts that look like JSON."""
+    told = "struct<node:string,kind:int>"
+    doubtful = node.rlike(LOOKS_OPEN)
+    plain = lambda x: F.struct(F.trim(x).alias("node"), kind_of_text(F.trim(x)).alias("kind")).cast(told)
+    typed = lambda x, v: F.struct(F.trim(x).alias("node"), kind_of(F.trim(x), v).alias("kind")).cast(told)
+    as_map, as_list = F.from_json(node, "map<string,string>"), F.from_json(node, "array<string>")
+    told_map = F.when(doubtful, F.map_zip_with(as_map, F.from_json(node, "map<string,variant>"), lambda _, x, v: typed(x, v))).otherwise(F.transform_values(as_map, lambda _, x: plain(x)))
+    told_list = F.when(doubtful, F.zip_with(as_list, F.from_json(node, "array<variant>"), typed)).otherwise(F.transform(as_list, plain))
     of_object = F.transform(
-        F.map_entries(F.from_json(node, "map<string,string>")),
-        lambda e, k: F.struct(
-            F.array(e["key"]).alias("step"), F.when(e["key"] == "value", -1).otherwise(k).alias("at"), F.trim(e["value"]).alias("node"),
-            kind_of(F.trim(e["value"]), F.element_at(typed, e["key"])).alias("kind"),
-        ),
-    )
-    listed = F.from_json(node, "array<variant>")
-    of_list = F.transform(
-        F.from_json(node, "array<string>"),
-        lambda x, k: F.struct(F.array().cast("array<string>").alias("step"), k.alias("at"), F.trim(x).alias("node"), kind_of(F.trim(x), F.get(listed, k)).alias("kind")),
+        F.map_entries(told_map),
+        lambda e, k: F.struct(F.array(e["key"]).alias("step"), F.when(e["key"] == "value", -1).otherwise(k).alias("at"), e["value"]["node"].alias("node"), e["value"]["kind"].alias("kind")),
     )
+    of_list = F.transform(told_list, lambda m, k: F.struct(F.array().cast("array<string>").alias("step"), k.alias("at"), m["node"].alias("node"), m["kind"].alias("kind")))
     return F.when(kind == OBJECT, of_object.cast(MEMBER)).when(kind == LIST, of_list.cast(MEMBER))
 
 
