@@ -73,12 +73,12 @@ def flat_metrics(payloads: DataFrame, text: str, *keep: str) -> DataFrame:
     leaves of one name the last counts. What else is named like ``value``, and all below it, is left out."""
     leaves = nested.json_leaves(payloads, text, *keep)
     number = F.col("node").try_cast("double")
-    names = F.transform("path", normal_key)
-    own = F.when(F.try_element_at("path", F.lit(-1)) == "value", F.slice(names, 1, F.size(names) - 1)).otherwise(names)
-    rows = leaves.select(*keep, own.alias("names"), number.alias("value"), "place").where("value IS NOT NULL AND NOT isnan(value) AND abs(value) <> double('Infinity')")
-    rows = rows.where(~F.array_contains("names", "value"))
-    name = F.array_join(F.filter("names", lambda x: x != ""), " ")
-    rows = rows.select(*keep, name.alias("name"), "value", "place").where("name <> ''")
+    own = F.when(F.try_element_at("path", F.lit(-1)) == "value", F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))
+    rows = leaves.select(*keep, own.alias("own"), number.alias("value"), "place").where("value IS NOT NULL AND NOT isnan(value) AND abs(value) <> double('Infinity')")
+    # keys are read one by one only where one may be named like that
+    joined = F.array_join("own", " ")
+    rows = rows.where(~F.when(F.lower(joined).contains("value"), F.exists("own", lambda x: normal_key(x) == "value")).otherwise(False))
+    rows = rows.select(*keep, normal_key(joined).alias("name"), "value", "place").where("name <> ''")
     return rows.groupBy(*keep, "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
 
 

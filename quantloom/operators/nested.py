@@ -1,122 +1,182 @@
 """Recursive descent into JSON of any depth.
 
-A frontier of open nodes is opened a few levels at a time, for all rows at once, until none is left. Only nodes that are
-still open after a round are written (checkpointed), so flat data cost one more pass and nothing else. Members keep the
-order that they have in the text; what kind a member is comes from a VARIANT, so text that looks like JSON stays text.
+Each payload is walked once, by small helpers in Arrow batches, so that a level costs neither a pass over the table nor
+another parse of what is below. Members keep the order that they have in the text; numbers keep their digits, and text that
+looks like JSON stays text. What isn't JSON has neither leaves nor rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+from collections.abc import Iterator
+from json.decoder import WHITESPACE, scanstring
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quantloom.functions.ship import ship_package
+
+#: Objects come as tuples of pairs, lists as lists, numbers and texts as text.
+_DECODER = json.JSONDecoder(object_pairs_hook=tuple, parse_float=str, parse_int=str, parse_constant=str)
+_QUOTED = re.compile(r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'""", re.DOTALL)
+LEAF = (T.StructField("path", T.ArrayType(T.StringType())), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("node", T.StringType()))
+#: Rows of a batch that is handed on.
+BATCH = 20_000
 
-from quantloom.functions.folders import ensure_checkpoint_dir
 
-LEAF, OBJECT, LIST = 0, 1, 2
-MEMBER = "array<struct<step:array<string>,at:int,node:string,kind:int>>"
+def _standard(text: str) -> str:
+    """Texts in single quotes, which Spark's readers take as well, in double ones."""
+    inner = lambda m: "'" if m[0] == "\\'" else '\\"' if m[0] == '"' else m[0]
+    return _QUOTED.sub(lambda m: m[0] if m[0][0] == '"' else '"' + re.sub(r'\\.|"', inner, m[0][1:-1]) + '"', text)
 
 
-def kind_of_text(text: Column) -> Column:
-    """The kind of a whole JSON text."""
-    return F.when(text.startswith("{"), F.lit(OBJECT)).when(text.startswith("["), F.lit(LIST)).otherwise(F.lit(LEAF))
+def _readable(text: str | None) -> tuple[str, object]:
+    """(text, value) of a JSON object or list; no value where there is none."""
+    text = (text or "").strip(" ")
+    if text[:1] not in ("{", "["):
+        return text, None
+    for form in (lambda t: t, _standard):
+        try:
+            return form(text), _DECODER.raw_decode(form(text))[0]
+        except (ValueError, RecursionError):
+            pass
+    return text, None
 
 
-def kind_of(text: Column, value: Column) -> Column:
-    """The kind of a member from its text and its VARIANT."""
-    is_map = text.startswith("{") & F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
-    is_list = text.startswith("[") & F.try_variant_get(value, "$", "array<variant>").isNotNull()
-    return F.when(is_map, OBJECT).when(is_list, LIST).otherwise(LEAF)
+def _members(value: object) -> list[tuple[str | None, int, object]]:
+    """(key, at, member): what is named exactly ``value`` comes before all others of its object."""
+    if isinstance(value, list):
+        return [(None, k, m) for k, m in enumerate(value)]
+    return sorted(((key, -1 if key == "value" else k, m) for k, (key, m) in enumerate(value)), key=lambda m: m[1])
 
 
-#: A text that begins like an object or list: only where there is one does the kind of a member need its VARIANT.
-LOOKS_OPEN = r'"\s*(?:[\[{]|\\u00[57][bB])'
+def _leaves(value: object) -> Iterator[tuple[list[str], list[int], str | None]]:
+    stack = [([], [], value)]
+    while stack:
+        path, place, node = stack.pop()
+        if isinstance(node, list | tuple):
+            stack.extend((path if key is None else [*path, key], [*place, at], m) for key, at, m in reversed(_members(node)))
+        elif node is None or isinstance(node, str):
+            yield path, place, node and node.strip(" ")
+        else:
+            yield path, place, "true" if node else "false"
 
 
-def members(node: Column, kind: Column) -> Column:
-    """Members of an open node: an object's with a step of their key, a list's with none; what is named exactly ``value``
-    comes before all others of its object. Each node is parsed once, twice if it has texts that look like JSON."""
-    told = "struct<node:string,kind:int>"
-    doubtful = node.rlike(LOOKS_OPEN)
-    plain = lambda x: F.struct(F.trim(x).alias("node"), kind_of_text(F.trim(x)).alias("kind")).cast(told)
-    typed = lambda x, v: F.struct(F.trim(x).alias("node"), kind_of(F.trim(x), v).alias("kind")).cast(told)
-    as_map, as_list = F.from_json(node, "map<string,string>"), F.from_json(node, "array<string>")
-    told_map = F.when(doubtful, F.map_zip_with(as_map, F.from_json(node, "map<string,variant>"), lambda _, x, v: typed(x, v))).otherwise(F.transform_values(as_map, lambda _, x: plain(x)))
-    told_list = F.when(doubtful, F.zip_with(as_list, F.from_json(node, "array<variant>"), typed)).otherwise(F.transform(as_list, plain))
-    of_object = F.transform(
-        F.map_entries(told_map),
-        lambda e, k: F.struct(F.array(e["key"]).alias("step"), F.when(e["key"] == "value", -1).otherwise(k).alias("at"), e["value"]["node"].alias("node"), e["value"]["kind"].alias("kind")),
-    )
-    of_list = F.transform(told_list, lambda m, k: F.struct(F.array().cast("array<string>").alias("step"), k.alias("at"), m["node"].alias("node"), m["kind"].alias("kind")))
-    return F.when(kind == OBJECT, of_object.cast(MEMBER)).when(kind == LIST, of_list.cast(MEMBER))
+def _whole(text: str) -> str:
+    """Without halves of surrogate pairs, which UTF-8 has no bytes for."""
+    return text.encode("utf-8", "replace").decode()
 
 
 def json_leaves(payloads: DataFrame, text: str, *keep: str, levels: int = 4) -> DataFrame:
     """(…, path, place, node): all leaves of the JSON texts, to any depth: the keys on the way, the places of the members on
-    the way, by which leaves come in the order of the text, and the leaf as text, null for null. ``levels`` are opened in
-    one round. Empty objects and lists, null and texts that are no JSON object or list have no leaves."""
-    ensure_checkpoint_dir(payloads.sparkSession)
-    node = F.trim(F.col(text))
-    open_ = payloads.select(
-        *keep, F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("place"), node.alias("node"), kind_of_text(node).alias("kind")
-    ).where(F.col("kind") != LEAF)
-    found = None
-    while True:
-        rows = open_
-        for _ in range(levels):
-            itself = F.array(F.struct(F.array().cast("array<string>").alias("step"), F.lit(0).alias("at"), "node", F.col("kind").cast("int").alias("kind"))).cast(MEMBER)
-            each = F.when(F.col("kind") == LEAF, itself).otherwise(members(F.col("node"), F.col("kind")))
-            rows = rows.select(*keep, "path", "place", F.explode(each).alias("m")).select(
-                *keep, F.concat("path", "m.step").alias("path"), F.array_append("place", F.col("m.at")).alias("place"), "m.node", "m.kind"
-            )
-        leaves = rows.where(F.col("kind") == LEAF).drop("kind")
-        found = leaves if found is None else found.unionByName(leaves)
-        open_ = rows.where(F.col("kind") != LEAF).checkpoint()
-        if open_.isEmpty():
-            return found
-
-
-def first_rows(payload: Column, keys: tuple[str, ...]) -> Column:
-    """The list under the first of ``keys`` that is a list, as text."""
-    return F.coalesce(*(F.when(F.trim(c).startswith("["), c) for c in (F.get_json_object(payload, f"$['{k}']") for k in keys)))
+    the way, by which leaves come in the order of the text, and the leaf as text, null for null. Empty objects and lists, null
+    and texts that are no JSON object or list have no leaves. ``levels`` is left from descents in rounds and changes nothing."""
+    ship_package(payloads.sparkSession)
+    given = payloads.select(*keep, F.col(text).alias("_text"))
+    schema = T.StructType([*given.drop("_text").schema.fields, *LEAF])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.select(range(batch.num_columns - 1))
+            rows, paths, places, nodes = [], [], [], []
+
+            def flush() -> pa.RecordBatch:
+                own = kept.take(pa.array(rows, pa.int32())).columns  # noqa: B023
+                more = [pa.array(paths, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(nodes, pa.string())]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, *more], names=schema.names)
+
+            for k, payload in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                _, value = _readable(payload)
+                escaped = value is not None and "\\ud" in payload.lower()
+                for path, place, node in () if value is None else _leaves(value):
+                    rows.append(k)
+                    paths.append([_whole(p) for p in path] if escaped else path)
+                    places.append(place)
+                    nodes.append(_whole(node) if escaped and node else node)
+                    if len(rows) >= BATCH:
+                        yield flush()
+                        rows, paths, places, nodes = [], [], [], []
+            if rows:
+                yield flush()
+
+    return given.mapInArrow(found, schema)
+
+
+def _texts(text: str) -> list[tuple[str | None, str]]:
+    """(key, text) of the members of a JSON object or list that can be read, each as it is written."""
+    out, at, scan, named = [], WHITESPACE.match(text, 1).end(), _DECODER.scan_once, text[0] == "{"
+    while text[at] not in "]}":
+        key = None
+        if named:
+            key, at = scanstring(text, at + 1, True)
+            at = WHITESPACE.match(text, WHITESPACE.match(text, at).end() + 1).end()
+        _, end = scan(text, at)
+        out.append((key, text[at:end]))
+        at = WHITESPACE.match(text, end).end()
+        at = WHITESPACE.match(text, at + 1).end() if text[at] == "," else at
+    return out
+
+
+def _row_texts(text: str, value: object, keys: tuple[str, ...]) -> list[str]:
+    """The objects of the list of rows, as they are written."""
+    objects = lambda rows: any(isinstance(m, tuple) for m in rows)
+    stack = [([], value)]
+    while stack:
+        path, node = stack.pop()
+        if isinstance(node, list):
+            if path and not objects(node):
+                continue
+            for k in path:
+                text = _texts(text)[k][1]
+            return [t for _, t in _texts(text) if t.startswith("{")]
+        lists = {}
+        for k, (key, m) in enumerate(node):
+            if isinstance(m, list):
+                lists.setdefault(key, (k, m))
+        named = next((lists[k] for k in keys if k in lists), None)
+        if named:
+            stack.append(([*path, named[0]], named[1]))
+            continue
+        below = []
+        for k, (_, m) in sorted(enumerate(node), key=lambda e: -1 if e[1][0] == "value" else e[0]):
+            ends = isinstance(m, list) and (not m or isinstance(m[0], tuple))
+            if ends or isinstance(m, tuple):
+                below.append(([*path, k], m))
+            if ends:
+                break
+        stack.extend(reversed(below))
+    return []
 
 
 def nested_rows(payloads: DataFrame, text: str, *keep: str, keys: tuple[str, ...]) -> DataFrame:
     """(…, rank, row): rows (as maps of text) of the list that a payload keeps at any depth: a list is its own rows; an
     object's are those under the first of ``keys`` that is a list, else those of the first member that is a list of
-    objects, or an object in which rows are found by the same rules. Ranks count the objects among the rows.
-
-    Each payload carries its own open objects, so that nothing is grouped; payloads that have any after a level go on."""
-    ensure_checkpoint_dir(payloads.sparkSession)
-    node, found_type = F.trim(F.col(text)), "struct<place:array<int>,rows:string>"
-    start = F.array(F.struct(F.array().cast("array<int>").alias("place"), node.alias("node")))
-    rows = payloads.select(
-        *keep,
-        F.when(node.startswith("["), F.struct(F.array().cast("array<int>").alias("place"), node.alias("rows"))).cast(found_type).alias("best"),
-        F.when(node.startswith("{"), start).otherwise(F.array()).cast("array<struct<place:array<int>,node:string>>").alias("open"),
-    )
-    done = None
-    rows_there = lambda c: F.exists(F.from_json(c, "array<string>"), lambda x: F.trim(x).startswith("{"))
-
-    def level(o: Column) -> Column:
-        """(lists, objects) of one open object."""
-        named = first_rows(o["node"], keys)
-        each = F.transform(members(o["node"], F.lit(OBJECT)), lambda m: F.struct(F.array_append(o["place"], m["at"]).alias("place"), m["node"].alias("node"), m["kind"].alias("kind")))
-        ends = lambda m: (m["kind"] == LIST) & m["node"].rlike(r"^\[\s*[\]{]")
-        first = F.get(F.filter(each, ends), 0)
-        before = F.filter(each, lambda m: (m["kind"] == OBJECT) & (first.isNull() | (m["place"] < first["place"])))
-        lists = F.when(named.isNotNull(), F.array(F.struct(o["place"].alias("place"), named.alias("rows")))).when(first.isNotNull(), F.array(F.struct(first["place"].alias("place"), first["node"].alias("rows"))))
-        objects = F.when(named.isNull(), F.transform(before, lambda m: F.struct(m["place"].alias("place"), m["node"].alias("node"))))
-        return F.struct(F.coalesce(lists, F.array()).cast(f"array<{found_type}>").alias("lists"), F.coalesce(objects, F.array()).cast("array<struct<place:array<int>,node:string>>").alias("objects"))
-
-    while True:
-        opened = rows.withColumn("_levels", F.transform("open", level))
-        lists = F.filter(F.flatten(F.transform("_levels", lambda x: x["lists"])), lambda x: rows_there(x["rows"]))
-        best = F.array_min(F.array_compact(F.array_append(lists, F.col("best"))))
-        opened = opened.select(*keep, best.alias("best"), F.flatten(F.transform("_levels", lambda x: x["objects"])).alias("open"))
-        ready = opened.where(F.size("open") == 0)
-        done = ready if done is None else done.unionByName(ready)
-        rows = opened.where(F.size("open") > 0).checkpoint()
-        if rows.isEmpty():
-            break
-    objects = F.filter(F.from_json("best.rows", "array<string>"), lambda x: F.coalesce(F.trim(x).startswith("{"), F.lit(False)))
-    return done.select(*keep, F.posexplode(objects).alias("_at", "_row")).select(*keep, (F.col("_at") + 1).alias("rank"), F.from_json("_row", "map<string,string>").alias("row"))
+    objects, or an object in which rows are found by the same rules. Ranks count the objects among the rows."""
+    ship_package(payloads.sparkSession)
+    given = payloads.select(*keep, F.col(text).alias("_text"))
+    schema = T.StructType([*given.drop("_text").schema.fields, T.StructField("rank", T.IntegerType()), T.StructField("_row", T.StringType())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.select(range(batch.num_columns - 1))
+            rows, ranks, texts = [], [], []
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*kept.take(pa.array(rows, pa.int32())).columns, pa.array(ranks, pa.int32()), pa.array(texts, pa.string())], names=schema.names)  # noqa: B023
+
+            for k, payload in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                form, value = _readable(payload)
+                for rank, row in enumerate(() if value is None else _row_texts(form, value, keys), 1):
+                    rows.append(k)
+                    ranks.append(rank)
+                    texts.append(row)
+                    if len(rows) >= BATCH:
+                        yield flush()
+                        rows, ranks, texts = [], [], []
+            if rows:
+                yield flush()
+
+    return given.mapInArrow(found, schema).select(*keep, "rank", F.from_json("_row", "map<string,string>").alias("row"))
