@@ -116,9 +116,8 @@ def prs_14(spark, d):
     text = F.format_string('{"note":[1],"inner":{"filings":[{"symbol":"s%d","sm_name":"Example Ltd","xbrlFile":"https://x/%d.xml","details":"https://d/%d","text":"see http://y/z.pdf, and http://y/page","fromDate":"%s","toDate":"%s","type":"Results","title":"Quarterly results","auditedUnaudited":"%s","consolidatedStandalone":"Consolidated","broadcast_date_time":"%s 16:10:00","exchangeReceivedTime":"%s 16:11"},7]}}',
         "o_custkey", "o_orderkey", "o_orderkey", F.date_format(F.date_sub("o_orderdate", 90), "dd-MMM-yyyy"), on, F.when(F.col("o_orderkey") % 2 == 0, "Audited").otherwise("Unaudited"), on, on)
     f = exchange.filings(o.select(F.col("o_orderkey").alias("k"), text.alias("t")), "results", "t", "k")
-    return f.join(exchange.filing_assets(f), "filing_id").select(
-        "k", "instrument_id", "company_name", "filing_type", "subcategory", "title", "period_start", "period_end", "statement_type", "audited", "published_at", "received_at", "details_url", "position", "url", "document_type"
-    )
+    fields = ("k", "instrument_id", "company_name", "filing_type", "subcategory", "title", "period_start", "period_end", "statement_type", "audited", "published_at", "received_at", "details_url")
+    return exchange.filing_assets(f, *fields).drop("filing_id")
 
 
 @query("prs_20_regulatory", """SELECT 'sebi:' || substr(sha256('sebi|orders|Order ' || page_id || '|2026-01-05|' || url), 1, 32) AS regulatory_id, 'sebi:' || substr(sha256(url || '/d.pdf'), 1, 32) AS document_id, 'Order ' || page_id AS title, url || '/d.pdf' AS url, 2 AS n_links FROM pages""")

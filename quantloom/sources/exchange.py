@@ -40,15 +40,17 @@ def of(*names: str, row: str = "row") -> Column:
     return F.coalesce(*(text_or_null(F.col(row)[n]) for n in names))
 
 
-def plain_entries(row: str = "row") -> Column:
-    """The fields of a row with names in plain letters and digits, so that spelling, case and signs don't matter."""
-    return F.transform(F.map_entries(row), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("key"), e["value"].alias("value")))
+def with_fields(rows: DataFrame, row: str = "row") -> DataFrame:
+    """``rows`` with the fields of a row by names in plain letters and digits, so that spelling, case and signs don't matter, and
+    their values, each made once for all that ask for them."""
+    names = F.transform(F.map_keys(row), lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
+    return rows.withColumns({"_names": names, "_values": F.transform(F.map_values(row), text_or_null)})
 
 
-def named(*names: str, entries: str = "_entries") -> Column:
+def named(*names: str) -> Column:
     """The first of the fields that has a value, by plain names."""
     plain = ["".join(x for x in n.lower() if x.isalnum() and x.isascii()) for n in names]
-    return F.coalesce(*(text_or_null(F.get(F.filter(entries, lambda e: e["key"] == n), 0)["value"]) for n in plain))  # noqa: B023
+    return F.coalesce(*(F.get("_values", F.array_position("_names", n).cast("int") - 1) for n in plain))
 
 
 def yes_or_no(c: Column) -> Column:
@@ -128,7 +130,7 @@ def asset_links(row: Column) -> Column:
 
 def filings(payloads: DataFrame, category: str, text: str, *keep: str) -> DataFrame:
     """Filing rows, wherever the payload keeps them, with ids from their content, periods, times, and their documents in ``assets``."""
-    rows = nested.nested_rows(payloads, text, *keep, keys=FILING_KEYS).withColumn("assets", asset_links(F.col("row"))).withColumn("_entries", plain_entries())
+    rows = with_fields(nested.nested_rows(payloads, text, *keep, keys=FILING_KEYS)).withColumn("assets", asset_links(F.col("row")))
     symbol = F.upper(named("symbol", "sm_symbol", "nse_symbol"))
     sorted_row = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("row"))))
     # fixed values: the fields that an id is made of
@@ -137,27 +139,36 @@ def filings(payloads: DataFrame, category: str, text: str, *keep: str) -> DataFr
     # fixed values: the fields of filings
     filing_type = F.coalesce(named("filingType", "filing_type", "type", "desc", "subject", "purpose", "reportType"), F.lit(category))
     details = named("details", "detailsUrl", "details_url", "detailUrl", "link")
+    # read by names once, before the grammar of dates asks for them many times
+    rows = rows.withColumns({
+        "_period_start": named("fromDate", "from_date", "periodStartDate", "period_start"),
+        "_period_end": named("toDate", "to_date", "quarterEndDate", "quarter_end_date", "periodEndDate", "period_end"),
+        "_published_at": named("an_dt", "announcementDateTime", "announcement_datetime", "broadcastDateTime", "broadcast_date_time", "filingDate", "filing_date", "sort_date", "submissionDate", "submission_date"),
+        "_received_at": named("exchangeReceivedTime", "exchange_received_time", "receivedTime", "received_time"),
+        "_revised_at": named("revisedDateTime", "revised_date_time", "revisedDate", "revised_date"),
+    })
     return rows.select(
         *keep, short_id(f"nse:{category}:", *parts, length=32).alias("filing_id"), F.concat(F.lit("NSE:"), symbol).alias("instrument_id"), symbol.alias("symbol"),
         named("companyName", "company_name", "sm_name", "issuer").alias("company_name"), filing_type.alias("filing_type"), F.lit(category).alias("category"),
         named("desc", "subject", "reportType", "type").alias("subcategory"),
         F.coalesce(named("title", "subject", "attchmntText", "desc", "reportType", "type"), filing_type).alias("title"),
-        day(named("fromDate", "from_date", "periodStartDate", "period_start")).alias("period_start"),
-        day(named("toDate", "to_date", "quarterEndDate", "quarter_end_date", "periodEndDate", "period_end")).alias("period_end"),
+        day(F.col("_period_start")).alias("period_start"),
+        day(F.col("_period_end")).alias("period_end"),
         named("financialYear", "financial_year", "fromYear", "from_year").alias("financial_year"),
         named("consolidated", "consolidatedStandalone", "statementType", "statement_type").alias("statement_type"),
         named("typeOfSubmission", "type_of_submission", "submissionType", "submission_type").alias("submission_type"),
         yes_or_no(named("audited", "auditedUnaudited", "auditStatus")).alias("audited"),
-        dates.instant(named("an_dt", "announcementDateTime", "announcement_datetime", "broadcastDateTime", "broadcast_date_time", "filingDate", "filing_date", "sort_date", "submissionDate", "submission_date")).alias("published_at"),
-        dates.instant(named("exchangeReceivedTime", "exchange_received_time", "receivedTime", "received_time")).alias("received_at"),
-        dates.instant(named("revisedDateTime", "revised_date_time", "revisedDate", "revised_date")).alias("revised_at"),
+        dates.instant(F.col("_published_at")).alias("published_at"),
+        dates.instant(F.col("_received_at")).alias("received_at"),
+        dates.instant(F.col("_revised_at")).alias("revised_at"),
         named("revisionRemarks", "revision_remarks").alias("revision_remarks"), F.when(details.rlike("^https?://"), details).alias("details_url"), "assets",
     )
 
 
-def filing_assets(found: DataFrame) -> DataFrame:
-    rows = found.select("filing_id", F.posexplode("assets").alias("position", "url"))
-    return rows.select("filing_id", "position", "url", document_type(F.col("url"), F.lit(None).cast("string")).alias("document_type"))
+def filing_assets(found: DataFrame, *also: str) -> DataFrame:
+    """The documents of filings, with the columns ``also`` of their filing."""
+    rows = found.select("filing_id", *also, F.posexplode("assets").alias("position", "url"))
+    return rows.select("filing_id", *also, "position", "url", document_type(F.col("url"), F.lit(None).cast("string")).alias("document_type"))
 
 
 def index_snapshots(payloads: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -225,7 +236,7 @@ def row_id(prefix: str, row: str = "row") -> Column:
 
 def insider_transactions(payloads: DataFrame, text: str, *keep: str) -> DataFrame:
     """Insiders' transactions as regulators publish them, one row each, under the short or the long names of the fields."""
-    rows = payload_rows(payloads, text, *keep).withColumn("_entries", plain_entries())
+    rows = with_fields(payload_rows(payloads, text, *keep))
     symbol = F.upper(named("symbol"))
     return rows.select(
         *keep, row_id("nse:insider:").alias("event_id"), F.concat(F.lit("NSE:"), symbol).alias("instrument_id"), symbol.alias("symbol"),
@@ -238,7 +249,7 @@ def insider_transactions(payloads: DataFrame, text: str, *keep: str) -> DataFram
 def large_deals(payloads: DataFrame, mode: str, text: str, *keep: str) -> DataFrame:
     """Bulk, block or short deals of a day's snapshot."""
     listed = payloads.select(*keep, F.get_json_object(text, f"$.{DEAL_KEYS[mode]}").alias("_deals"))
-    rows = payload_rows(listed, "_deals", *keep).withColumn("_entries", plain_entries())
+    rows = with_fields(payload_rows(listed, "_deals", *keep))
     return rows.select(
         *keep, row_id(f"nse:{mode}:").alias("event_id"), F.upper(named("symbol")).alias("symbol"), named("name", "company").alias("company_name"), F.lit(mode).alias("deal_type"),
         day(named("date", "trade_date")).alias("trade_date"), named("clientName", "client_name").alias("client_name"), named("buySell", "buy_sell", "side").alias("side"),
@@ -251,7 +262,7 @@ def index_constituents(payloads: DataFrame, text: str, *keep: str, known: DataFr
     (symbol, instrument_id) names instruments."""
     about = lambda n: text_or_null(F.get_json_object(text, f"$.metadata.{n}"))
     top = payloads.select(*keep, text, F.coalesce(about("indexName"), about("name"), about("index")).alias("_name"), about("indexSymbol").alias("_symbol"))
-    rows = payload_rows(top, text, *keep, "_name", "_symbol").withColumn("_entries", plain_entries())
+    rows = with_fields(payload_rows(top, text, *keep, "_name", "_symbol"))
     rows = rows.withColumn("symbol", F.upper(named("symbol", "symbolName", "ticker"))).where("symbol IS NOT NULL")
     if known is not None:
         rows = rows.join(known.select(F.upper("symbol").alias("symbol"), "instrument_id"), "symbol", "left")
