@@ -177,5 +177,6 @@ def known_at(found: DataFrame, questions: DataFrame, key: tuple[str, ...]) -> Da
     blocks = blocks.withColumn("_level", F.col("_b.level")).withColumn("_number", F.col("_b.number")).drop("_b")
     of = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.cast("int").alias("_level"), F.floor(_day_number(F.col("as_of")) / F.pow(F.lit(2.0), k)).cast("int").alias("_number")))
     probes = questions.withColumn("_p", F.explode(of)).select(*questions.columns, "_p.*")
-    met = blocks.join(probes, [*asked, "_level", "_number"])
+    # a question has a probe of each level, which no estimate of its table's size tells: never sent whole to all tasks
+    met = blocks.join(probes.hint("merge") if asked else probes, [*asked, "_level", "_number"])
     return met.where("as_of >= known_from AND (known_to IS NULL OR as_of < known_to)").drop("_level", "_number")
