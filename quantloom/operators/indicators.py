@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.functions.columns import TRADING_DAYS, change, days_between, full_window, history, last_rows, ratio
-from quantloom.functions.folders import ensure_checkpoint_dir
-from quantloom.operators import scan
+from quantloom.functions.ship import ship_package
+from quantloom.operators import alike, scan
 from quantloom.operators.market import drawdown_series, prepared, valid_returns
 
 YEAR = TRADING_DAYS**0.5
@@ -132,30 +133,23 @@ def position_limit(volatility: DataFrame, correlation: DataFrame, base: float =
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, blocks: int = 64, most: int = 100_000) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` vectors most alike by cosine, for a stated set of queries.
 
-    Queries meet all vectors in blocks: each block of vectors keeps its own best ``k`` of a query before the blocks'
-    winners meet, so no task sees all pairs of a query. The query side is broadcast after a count; more than ``most``
-    queries go in parts of about half as many, whose results are checkpointed one after the other."""
-    n = queries.count()
-    if n > most:
-        ensure_checkpoint_dir(queries.sparkSession)
-        parts = 2 * n // most + 1
-        part = F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts))
-        found = [nearest_of(queries.where(part == i), vectors, k, blocks).checkpoint() for i in range(parts)]
-        return functools.reduce(DataFrame.unionByName, found)
-    return nearest_of(queries, vectors, k, blocks)
-
-
-def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, blocks: int) -> DataFrame:
-    """``nearest`` for queries that are few enough to be sent to every task."""
-    def unit(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col("vec_id").alias(name), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-        rows = rows.withColumn("length", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
-        return rows.select(name, F.transform("e", lambda x: x / F.col("length")).alias("e"))
-
-    q, v = unit(queries, "query_id").withColumnRenamed("e", "q"), unit(vectors, "vec_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "block", F.round(dot, 9).alias("similarity"))
-    for keys in (("query_id", "block"), ("query_id",)):
-        order = Window.partitionBy(*keys).orderBy(F.col("similarity").desc(), "vec_id")
-        pairs = pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    return pairs.drop("block")
+    Vectors, in ``blocks`` blocks or as many more as keep them small, meet the queries, of which at most ``most`` are in a part:
+    each meeting is one group of a shuffle and keeps its own best ``k`` of a query before the blocks' winners meet. No task
+    sees all pairs of a query, and nothing is broadcast. The similarity with a zero vector is NaN, which ranks first; where a
+    vector or a component is null or lengths differ it is null, which ranks last."""
+    ship_package(queries.sparkSession)
+    parts = max(-(-queries.count() // min(most, alike.QUERIES)), 1)
+    blocks = max(-(-vectors.count() // alike.VECTORS), blocks)
+
+    def side(df: DataFrame, own: str, n: int, other: str, copies: int) -> GroupedData:
+        e = F.col("embedding").cast("array<double>")
+        rows = df.where("vec_id IS NOT NULL").select(F.col("vec_id").alias("id"), F.when(F.forall(e, lambda x: x.isNotNull()), e).alias("e"))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).groupBy("block", "part")
+
+    fields = [("query_id", queries.schema["vec_id"].dataType), ("vec_id", vectors.schema["vec_id"].dataType), ("similarity", T.DoubleType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    met = side(queries, "part", parts, "block", blocks).cogroup(side(vectors, "block", blocks, "part", parts))
+    pairs = met.applyInArrow(functools.partial(alike.best, k, schema), schema).withColumn("similarity", F.round("similarity", 9))
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
