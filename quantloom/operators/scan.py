@@ -44,7 +44,8 @@ def smoothed(rows: DataFrame, means: Sequence[Smoothing], key: str = "instrument
     for m in means:
         if m.n + m.skip > BLOCK or (1 - m.alpha) ** -BLOCK > 1e300:
             raise ValueError(f"{m.out}: too long or too short for blocks of {BLOCK} rows")
-    series, block = Window.partitionBy(key).orderBy("position"), Window.partitionBy(key, "_block").orderBy("position")
+    # the block is in the order of a series as well, so that all windows are met by one sort
+    series, block = Window.partitionBy(key).orderBy("_block", "position"), Window.partitionBy(key, "_block").orderBy("position")
     added = {}
     for m in means:
         at = F.col("position") - m.skip
