@@ -8,6 +8,7 @@ leaves out the keys that are there; files carry Bloom filters of their keys for
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,9 +192,11 @@ def write_raw(artifacts: DataFrame, root: str, source: str = "source", content:
 
 def raw_files(spark: SparkSession, root: str, hashes: list[str] | None = None) -> DataFrame:
     """(content_hash, path, content) of the raw files, or of those with a few hashes, whose folders alone are listed."""
-    paths = [f"{root}/raw/*/*/*.*"] if hashes is None else [f"{root}/raw/*/{h[:2]}/{h}.*" for h in hashes]
-    rows = spark.read.format("binaryFile").load(paths)
-    return rows.select(F.regexp_extract("path", r"([0-9a-f]{64})\.[^/]*$", 1).alias("content_hash"), F.regexp_extract("path", r"(raw/[^/]+/[^/]+/[^/]+)$", 1).alias("path"), "content")
+    ship_package(spark)
+    spark.dataSource.register(RawFiles)
+    reader = spark.read.format(FORMAT)
+    rows = (reader if hashes is None else reader.option("hashes", json.dumps(hashes))).load(root)
+    return rows.select(F.regexp_extract("path", r"([0-9a-f]{64})\.[^/]*$", 1).alias("content_hash"), "path", "content")
 
 
 def corrupted(spark: SparkSession, root: str) -> DataFrame:
