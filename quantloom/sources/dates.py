@@ -39,6 +39,11 @@ FORMS = (
 )
 CLOCK = r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(am|pm|a\.m\.|p\.m\.)?"
 ZONE = r"\d\s*(?:utc|gmt)?\s*([+-])(\d{2}):?(\d{2})(?!\d)"
+#: What most payloads write, as whole texts: a date of 2024-03-15, of 15-mar-2024 or 15 mar 2024, a month of mar 2024.
+PLAIN_CLOCK = r"(?:[ t]\d{2}:\d{2}(?::\d{2})?)?$"
+PLAIN_DATE = r"^[1-9]\d{3}-\d{2}-\d{2}" + PLAIN_CLOCK
+PLAIN_DAY = rf"^\d{{2}}[- ](?:{'|'.join(MONTHS)})[- ][1-9]\d{{3}}" + PLAIN_CLOCK
+PLAIN_MONTH = rf"^(?:{'|'.join(MONTHS)})[- ][1-9]\d{{3}}$"
 COMPACT = r"(?<!\d)\d{8}[t\s]?(\d{2})(\d{2})(\d{2})?(?!\d)"
 
 
@@ -72,6 +77,17 @@ def day(c: Column) -> Column:
 
 
 def _date(text: Column) -> Column:
+    """Plain texts by their places, which is what the forms would find in them; others are searched for the forms."""
+    part = lambda at, n: F.substring(text, at, n)
+    month = lambda at: F.lpad(F.array_position(F.array(*(F.lit(m) for m in MONTHS)), part(at, 3)).cast("string"), 2, "0")
+    written = lambda *parts: F.concat_ws("-", *parts).try_cast("date")
+    plain = F.when(text.rlike(PLAIN_DATE), part(1, 10).try_cast("date"))
+    plain = plain.when(text.rlike(PLAIN_DAY), written(part(8, 4), month(4), part(1, 2)))
+    plain = plain.when(text.rlike(PLAIN_MONTH), written(part(5, 4), month(1), F.lit("01")))
+    return plain.otherwise(_searched(text))
+
+
+def _searched(text: Column) -> Column:
     return _let(F.regexp_replace(text, CLOCK, " "), lambda plain: _let(_parts(plain), _of_parts))
 
 
