@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from json.decoder import WHITESPACE, scanstring
+from json.encoder import encode_basestring_ascii
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +21,15 @@ from quantloom.functions.ship import ship_package
 
 #: Objects come as tuples of pairs, lists as lists, numbers and texts as text.
 _DECODER = json.JSONDecoder(object_pairs_hook=tuple, parse_float=str, parse_int=str, parse_constant=str)
+
+
+class _Number(str):
+    """A number as it is written, told from texts."""
+
+    __slots__ = ()
+
+
+_NUMBERED = json.JSONDecoder(object_pairs_hook=tuple, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
 _QUOTED = re.compile(r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'""", re.DOTALL)
 LEAF = (T.StructField("path", T.ArrayType(T.StringType())), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("node", T.StringType()))
 #: Rows of a batch that is handed on.
@@ -33,17 +42,20 @@ def _standard(text: str) -> str:
     return _QUOTED.sub(lambda m: m[0] if m[0][0] == '"' else '"' + re.sub(r'\\.|"', inner, m[0][1:-1]) + '"', text)
 
 
-def _readable(text: str | None) -> tuple[str, object]:
-    """(text, value) of a JSON object or list; no value where there is none."""
+def _readable(text: str | None, numbered: bool = False) -> object:
+    """The value of a JSON object or list; none where there is none."""
+    decoder = _NUMBERED if numbered else _DECODER
     text = (text or "").strip(" ")
     if text[:1] not in ("{", "["):
-        return text, None
-    for form in (lambda t: t, _standard):
-        try:
-            return form(text), _DECODER.raw_decode(form(text))[0]
-        except (ValueError, RecursionError):
-            pass
-    return text, None
+        return None
+    try:
+        return decoder.raw_decode(text)[0]
+    except (ValueError, RecursionError):
+        pass
+    try:
+        return decoder.raw_decode(_standard(text))[0]
+    except (ValueError, RecursionError):
+        return None
 
 
 def _members(value: object) -> list[tuple[str | None, int, object]]:
@@ -89,7 +101,7 @@ def json_leaves(payloads: DataFrame, text: str, *keep: str, levels: int = 4) ->
                 return pa.RecordBatch.from_arrays([*own, *more], names=schema.names)
 
             for k, payload in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                _, value = _readable(payload)
+                value = _readable(payload)
                 escaped = value is not None and "\\ud" in payload.lower()
                 for path, place, node in () if value is None else _leaves(value):
                     rows.append(k)
@@ -105,78 +117,105 @@ def json_leaves(payloads: DataFrame, text: str, *keep: str, levels: int = 4) ->
     return given.mapInArrow(found, schema)
 
 
-def _texts(text: str) -> list[tuple[str | None, str]]:
-    """(key, text) of the members of a JSON object or list that can be read, each as it is written."""
-    out, at, scan, named = [], WHITESPACE.match(text, 1).end(), _DECODER.scan_once, text[0] == "{"
-    while text[at] not in "]}":
-        key = None
-        if named:
-            key, at = scanstring(text, at + 1, True)
-            at = WHITESPACE.match(text, WHITESPACE.match(text, at).end() + 1).end()
-        _, end = scan(text, at)
-        out.append((key, text[at:end]))
-        at = WHITESPACE.match(text, end).end()
-        at = WHITESPACE.match(text, at + 1).end() if text[at] == "," else at
-    return out
-
-
-def _row_texts(text: str, value: object, keys: tuple[str, ...]) -> list[str]:
-    """The objects of the list of rows, as they are written."""
-    objects = lambda rows: any(isinstance(m, tuple) for m in rows)
-    stack = [([], value)]
+def _row_objects(value: object, keys: tuple[str, ...]) -> list[tuple]:
+    """The objects of the list of rows."""
+    if type(value) is list:
+        return [m for m in value if type(m) is tuple]
+    stack, known = [value], frozenset(keys)
     while stack:
-        path, node = stack.pop()
-        if isinstance(node, list):
-            if path and not objects(node):
-                continue
-            for k in path:
-                text = _texts(text)[k][1]
-            return [t for _, t in _texts(text) if t.startswith("{")]
-        lists = {}
-        for k, (key, m) in enumerate(node):
-            if isinstance(m, list):
-                lists.setdefault(key, (k, m))
-        named = next((lists[k] for k in keys if k in lists), None)
-        if named:
-            stack.append(([*path, named[0]], named[1]))
+        node = stack.pop()
+        if type(node) is list:
+            if found := [m for m in node if type(m) is tuple]:
+                return found
             continue
+        held = dict(node)
+        if not known.isdisjoint(held):
+            lists = {}
+            for key, m in node:
+                if type(m) is list:
+                    lists.setdefault(key, m)
+            if named := [lists[k] for k in keys if k in lists]:
+                stack.append(named[0])
+                continue
         below = []
-        for k, (_, m) in sorted(enumerate(node), key=lambda e: -1 if e[1][0] == "value" else e[0]):
-            ends = isinstance(m, list) and (not m or isinstance(m[0], tuple))
-            if ends or isinstance(m, tuple):
-                below.append(([*path, k], m))
-            if ends:
+        for _, m in sorted(node, key=lambda pair: pair[0] != "value") if "value" in held else node:
+            if type(m) is tuple:
+                below.append(m)
+            elif type(m) is list and (not m or type(m[0]) is tuple):
+                below.append(m)
                 break
-        stack.extend(reversed(below))
+        stack += reversed(below)
     return []
 
 
+def _plain(row: tuple) -> list[str | None] | None:
+    """The members of a row as text where none has a form of its own to be written in: whole numbers, texts, truth values."""
+    out = []
+    for _, m in row:
+        if type(m) is str or m is None:
+            out.append(m)
+        elif m is True or m is False:
+            out.append("true" if m else "false")
+        elif type(m) is _Number and len(m) < 19 and m.isdigit():
+            out.append(str(m))
+        else:
+            return None
+    return out
+
+
+def _written(value: object) -> str:
+    """JSON of a value whose numbers are told from texts."""
+    out, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            out.append(v if type(v) is _Number else encode_basestring_ascii(v))
+        elif isinstance(v, list | tuple):
+            named, parts = isinstance(v, tuple), []
+            for k, m in enumerate(v):
+                mark = "," if k else ""
+                parts += [_Number(f"{mark}{encode_basestring_ascii(m[0])}:"), m[1]] if named else [_Number(mark), m]
+            stack += [_Number("}" if named else "]"), *reversed(parts), _Number("{" if named else "[")]
+        else:
+            out.append("null" if v is None else "true" if v else "false")
+    return "".join(out)
+
+
 def nested_rows(payloads: DataFrame, text: str, *keep: str, keys: tuple[str, ...]) -> DataFrame:
     """(…, rank, row): rows (as maps of text) of the list that a payload keeps at any depth: a list is its own rows; an
     object's are those under the first of ``keys`` that is a list, else those of the first member that is a list of
     objects, or an object in which rows are found by the same rules. Ranks count the objects among the rows."""
     ship_package(payloads.sparkSession)
     given = payloads.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([*given.drop("_text").schema.fields, T.StructField("rank", T.IntegerType()), T.StructField("_row", T.StringType())])
+    schema = T.StructType([*given.drop("_text").schema.fields, T.StructField("rank", T.IntegerType()), T.StructField("_map", T.MapType(T.StringType(), T.StringType())), T.StructField("_row", T.StringType())])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.select(range(batch.num_columns - 1))
-            rows, ranks, texts = [], [], []
+            rows, ranks, ends, names, members, texts = [], [], [0], [], [], []
 
             def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([*kept.take(pa.array(rows, pa.int32())).columns, pa.array(ranks, pa.int32()), pa.array(texts, pa.string())], names=schema.names)  # noqa: B023
+                maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(members, pa.string()))  # noqa: B023
+                own = kept.take(pa.array(rows, pa.int32())).columns  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, pa.array(ranks, pa.int32()), maps, pa.array(texts, pa.string())], names=schema.names)  # noqa: B023
 
             for k, payload in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                form, value = _readable(payload)
-                for rank, row in enumerate(() if value is None else _row_texts(form, value, keys), 1):
+                value = _readable(payload, numbered=True)
+                escaped = value is not None and "\\ud" in payload.lower()
+                for rank, row in enumerate(() if value is None else _row_objects(value, keys), 1):
+                    plain = None if escaped else _plain(row)
                     rows.append(k)
                     ranks.append(rank)
-                    texts.append(row)
+                    if plain is not None:
+                        names.extend([key for key, _ in row])
+                        members.extend(plain)
+                    ends.append(len(names))
+                    texts.append(_written(row) if plain is None else None)
                     if len(rows) >= BATCH:
                         yield flush()
-                        rows, ranks, texts = [], [], []
+                        rows, ranks, ends, names, members, texts = [], [], [0], [], [], []
             if rows:
                 yield flush()
 
-    return given.mapInArrow(found, schema).select(*keep, "rank", F.from_json("_row", "map<string,string>").alias("row"))
+    row = F.when(F.col("_row").isNull(), F.col("_map")).otherwise(F.from_json("_row", "map<string,string>"))
+    return given.mapInArrow(found, schema).select(*keep, "rank", row.alias("row"))
