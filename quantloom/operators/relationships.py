@@ -48,6 +48,8 @@ IDS = (
     "record_id", "event_id", "asset_id", "filing_id", "document_id", "news_id", "social_id", "index_id",
     "observation_id", "relationship_id", "series_id", "instrument_id",
 )
+#: Types of records about an index, that of its constituents first.
+INDEX = ("indexconstituent", "indexsnapshot", "indexpricebar", "indexvaluationsnapshot")
 NODE = "struct<node_id:string,node_type:string,label:string,instrument_id:string,metadata:map<string,string>>"
 EDGE = "struct<subject_id:string,predicate:string,object_id:string,valid_from:string,metadata:map<string,string>>"
 
@@ -81,12 +83,17 @@ def _list(records: DataFrame, name: str) -> Column:
 
 def stated(records: DataFrame, order_col: str, include_data_records: bool = True) -> DataFrame:
     """(order, source, evidence, nodes, edges) of each record."""
-    get = _field(records)
-    kind = plain(F.col("record_type"))
-    rid = F.coalesce(*(get(n) for n in IDS))
-    instruments = F.array_distinct(F.array_compact(F.array_prepend(_list(records, "instrument_ids"), get("instrument_id"))))
+    get, kind = _field(records), plain(F.col("record_type"))
+    only = lambda value, *kinds: F.when(kind.isin(*kinds), value)
+    # what several rules ask for is read from a record once
+    records = records.select(
+        "*", kind.alias("_kind"), F.coalesce(*(get(n) for n in IDS)).alias("_rid"),
+        F.array_distinct(F.array_compact(F.array_prepend(_list(records, "instrument_ids"), get("instrument_id")))).alias("_instruments"),
+        only(get("index_id"), *INDEX).alias("_index"), only(get("index_symbol"), *INDEX).alias("_symbol"), only(_list(records, "assets"), "filing").alias("_assets"),
+        only(get("filing_id"), "documentasset").alias("_filing"), only(get("regulatory_id"), "regulatorydocument").alias("_regulatory"),
+    )
+    kind, rid, instruments, index, symbol, assets, filing, regulatory = (F.col(f"_{n}") for n in ("kind", "rid", "instruments", "index", "symbol", "assets", "filing", "regulatory"))
     iid = F.get(instruments, 0)
-    index, symbol = get("index_id"), get("index_symbol")
     nothing = F.create_map().cast("map<string,string>")
 
     def about(key: str, value: Column) -> Column:
@@ -122,19 +129,18 @@ def stated(records: DataFrame, order_col: str, include_data_records: bool = True
     none_n, none_e = F.array().cast(f"array<{NODE}>"), F.array().cast(f"array<{EDGE}>")
     data = F.lit(include_data_records)
     first = F.slice(instruments, 1, 1)  # at most one
-    assets, filing, regulatory = _list(records, "assets"), get("filing_id"), get("regulatory_id")
     predicate = F.element_at(F.create_map(*(F.lit(x) for t, p in PREDICATES.items() for x in (t.lower(), p))), kind)
     label = F.coalesce(get("name"), get("symbol"), iid)
     #: (record types, condition, nodes, edges); the first rule of a type counts
     rules = [
         (("instrument",), iid.isNotNull(), F.array(node("instrument", iid, label, iid), node("company", iid, label, iid)), F.array(edge(to("company", iid), "has_instrument", to("instrument", iid)))),
         (
-            ("indexconstituent",), index.isNotNull() & (F.size(instruments) > 0),
+            INDEX[:1], index.isNotNull() & (F.size(instruments) > 0),
             F.concat(F.array(node("index", index, symbol)), F.transform(instruments, lambda i: node("instrument", i, instrument=i))),
             F.transform(instruments, lambda i: edge(to("index", index), "contains_instrument", to("instrument", i), get("effective_date"), about("index_symbol", symbol))),
         ),
         (
-            ("indexsnapshot", "indexpricebar", "indexvaluationsnapshot"), rid.isNotNull() & index.isNotNull(),
+            INDEX[1:], rid.isNotNull() & index.isNotNull(),
             F.concat(F.array(node("index", index, symbol)), F.when(data, record_node(rid)).otherwise(none_n)),
             F.when(data, F.array(edge(to("index", index), "has_index_record", record))).otherwise(none_e),
         ),
@@ -178,41 +184,56 @@ def stated(records: DataFrame, order_col: str, include_data_records: bool = True
     return records.select(F.col(order_col).alias("order"), get("source").alias("source"), evidence.alias("evidence"), nodes.alias("nodes"), edges.alias("edges"))
 
 
-def last_wins(rows: DataFrame, by: str, map_col: str, order_col: str) -> DataFrame:
-    """(by, map_col): one map for each ``by``; of a key's values that of the last row counts."""
-    each = rows.select(by, order_col, F.explode(map_col).alias("k", "v"))
-    last = each.groupBy(by, "k").agg(F.max_by("v", F.struct(F.col(order_col), F.col("v"))).alias("v"))
-    entries = F.array_sort(F.collect_list(F.struct("k", "v")))  # as many as there are different keys
-    return last.groupBy(by).agg(F.map_from_entries(entries).alias(map_col))
+def _mapped(last: Column) -> Column:
+    """A map of the last values ((k, last)) of the keys: as many as there are different keys."""
+    entries = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", last.alias("v")))))
+    return F.map_from_entries(entries.cast("array<struct<k:string,v:string>>"))
+
+
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """Without the rows of empty lists. ``inline`` would leave them out as well, but first, by working out each list once
+    more for a filter on its size."""
+    return rows.where(F.col(name).isNotNull())
 
 
 def nodes_of(facts: DataFrame) -> DataFrame:
     """(node_id, node_type, label, instrument_id, metadata): a row for each node of the facts of ``stated``."""
-    rows = facts.select("order", F.inline("nodes"))
+    rows = _listed(facts.select("order", F.inline_outer("nodes")), "node_id").select("*", F.explode_outer("metadata").alias("k", "v"))
     bare = F.element_at(F.split("node_id", ":", 2), -1)
-    better = F.struct(F.col("label").isin(F.col("node_id"), bare), -F.length("label"), "label")
-    merged = rows.groupBy("node_id").agg(F.min("node_type").alias("node_type"), F.min_by("label", better).alias("label"), F.min("instrument_id").alias("instrument_id"))
-    return merged.join(last_wins(rows, "node_id", "metadata", "order"), "node_id", "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    better = F.struct(F.col("label").isin(F.col("node_id"), bare).alias("bare"), (-F.length("label")).alias("short"), "label")
+    own = lambda label: (F.min("node_type").alias("node_type"), F.min(label).alias("better"), F.min("instrument_id").alias("instrument_id"))
+    # the facts are read once: a row for each node and key of its metadata, then one for each node
+    keyed = rows.groupBy("node_id", "k").agg(*own(better), F.max(F.struct("order", "v")).alias("last"))
+    merged = keyed.groupBy("node_id").agg(*own(F.col("better")), _mapped(F.col("last.v")).alias("metadata"))
+    return merged.select("node_id", "node_type", F.col("better.label").alias("label"), "instrument_id", "metadata")
 
 
 def _edge_rows(facts: DataFrame) -> DataFrame:
-    rows = facts.select("order", "source", "evidence", F.inline("edges"))
+    rows = _listed(facts.select("order", "source", "evidence", F.inline_outer("edges")), "subject_id")
     return rows.withColumn("relationship_id", relationship_id(F.col("subject_id"), F.col("predicate"), F.col("object_id"), F.col("valid_from")))
 
 
 def edges_of(facts: DataFrame) -> DataFrame:
     """(relationship_id, subject_id, predicate, object_id, valid_from, source, n_evidence, metadata): a row for each edge. Its
     source is ``multiple`` where there are several, which are then listed in the metadata."""
-    rows = _edge_rows(facts)
-    key = ["relationship_id", "subject_id", "predicate", "object_id", "valid_from"]
-    merged = rows.groupBy(*key).agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    n = evidence_of(facts).groupBy("relationship_id").agg(F.count(F.lit(1)).alias("n_evidence"))
-    merged = merged.join(n, "relationship_id", "left").join(last_wins(rows, "relationship_id", "metadata", "order"), "relationship_id", "left")
+    key = ["subject_id", "predicate", "object_id", "valid_from"]
+    item = "array<struct<k:string,v:string,evidence_id:string>>"
+    none = F.lit(None).cast("string")
+    said = F.transform(F.map_entries("metadata"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), none.alias("evidence_id"))).cast(item)
+    shown = F.transform("evidence", lambda e: F.struct(none.alias("k"), none.alias("v"), e.alias("evidence_id"))).cast(item)
+    rows = _listed(facts.select("order", "source", "evidence", F.inline_outer("edges")), "subject_id").select("order", "source", F.xxhash64(*key).alias("first"), *key, F.inline_outer(F.concat(said, shown)))
+    # the facts are read once: a row for each edge and piece of evidence or key of its metadata, then one for each edge
+    # sorts look at a hash first, as most ids begin alike
+    keyed = rows.groupBy("first", *key, "k", "evidence_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max(F.struct("order", "v")).alias("last"))
+    merged = keyed.groupBy("first", *key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
+        F.count("evidence_id").alias("n_evidence"), _mapped(F.col("last.v")).alias("known"),
+    )
     several = F.size("sources") > 1
-    known = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    known = F.col("known")
     listed = F.map_concat(F.map_filter(known, lambda k, _: k != "sources"), F.create_map(F.lit("sources"), F.array_join("sources", ",")))
     return merged.select(
-        *key, F.when(several, "multiple").otherwise(F.get("sources", 0)).alias("source"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+        relationship_id(*(F.col(c) for c in key)).alias("relationship_id"), *key, F.when(several, "multiple").otherwise(F.get("sources", 0)).alias("source"), "n_evidence",
         F.when(several, listed).otherwise(known).alias("metadata"),
     )
 
