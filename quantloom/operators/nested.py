@@ -58,10 +58,8 @@ def _readable(text: str | None, numbered: bool = False) -> object:
         return None
 
 
-def _members(value: object) -> list[tuple[str | None, int, object]]:
-    """(key, at, member): what is named exactly ``value`` comes before all others of its object."""
-    if isinstance(value, list):
-        return [(None, k, m) for k, m in enumerate(value)]
+def _members(value: tuple) -> list[tuple[str, int, object]]:
+    """(key, at, member) of an object: what is named exactly ``value`` comes before all others of its object."""
     return sorted(((key, -1 if key == "value" else k, m) for k, (key, m) in enumerate(value)), key=lambda m: m[1])
 
 
@@ -69,8 +67,13 @@ def _leaves(value: object) -> Iterator[tuple[list[str], list[int], str | None]]:
     stack = [([], [], value)]
     while stack:
         path, place, node = stack.pop()
-        if isinstance(node, list | tuple):
-            stack.extend((path if key is None else [*path, key], [*place, at], m) for key, at, m in reversed(_members(node)))
+        if type(node) is list:
+            stack += [(path, [*place, at], m) for at, m in enumerate(node)][::-1]
+        elif type(node) is tuple:
+            below = [([*path, key], [*place, at], m) for at, (key, m) in enumerate(node)]
+            if any(key == "value" for key, _ in node):
+                below = [([*path, key], [*place, at], m) for key, at, m in _members(node)]
+            stack += below[::-1]
         elif node is None or isinstance(node, str):
             yield path, place, node and node.strip(" ")
         else:
