@@ -23,11 +23,18 @@ def midrank(values: Column, latest: Column) -> Column:
 
 
 def historical_state(prices: DataFrame, lookbacks: tuple[tuple[str, int], ...] = LOOKBACKS) -> DataFrame:
-    """For each lookback (all rows where the history is shorter): span, returns, risk and the deepest fall within it."""
-    spans = F.array(*(F.struct(F.lit(name).alias("horizon"), F.lit(n).alias("rows")) for name, n in lookbacks))
-    rows = latest_first(prepared(prices)).select("instrument_id", "ts", "close", "back", F.inline(spans)).where("back < rows")
-    w = history("instrument_id", "horizon")
-    rows = rows.withColumn("prev", F.lag("close").over(w)).withColumn("peak", F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """For each lookback (all rows where the history is shorter): span, returns, risk and the deepest fall within it.
+
+    A history is sorted once; its rows are multiplied by the lookbacks only on their way into the sums."""
+    w = history()
+    so_far, all_rows = (w.rowsBetween(Window.unboundedPreceding, end) for end in (0, Window.unboundedFollowing))
+    back = F.count(F.lit(1)).over(all_rows) - F.row_number().over(w)
+    rows = prepared(prices).select("instrument_id", "ts", "close", F.lag("close").over(w).alias("before"), back.alias("back"))
+    peaks = {n: F.max(F.when(F.col("back") < n, F.col("close"))).over(so_far) for _, n in lookbacks}
+    rows = rows.select("*", *(peak.alias(f"peak_{n}") for n, peak in peaks.items()))
+    before = lambda n: F.when(F.col("back") < n - 1, F.col("before"))
+    spans = F.array(*(F.struct(F.lit(name).alias("horizon"), F.lit(n).alias("rows"), before(n).alias("prev"), F.col(f"peak_{n}").alias("peak")) for name, n in lookbacks))
+    rows = rows.select("instrument_id", "ts", "close", "back", F.inline(spans)).where("back < rows")
     r = F.when((F.col("prev") > 0) & (F.col("close") > 0), F.col("close") / F.col("prev") - 1)
     rows = rows.withColumn("r", r).withColumn("fall", F.when(F.col("peak") > 0, F.col("close") / F.col("peak") - 1).otherwise(0.0))
     start, end = F.min_by("close", "ts"), F.max_by("close", "ts")
