@@ -4,8 +4,9 @@ Anchors are taken in blocks of bounded size. A block's anchors make a tree of ba
 task with the block; a task makes a tree of balls of each batch of candidates. Pairs of nodes go down both trees together:
 the inner products of all anchors and candidates below a pair lie within c.d -+ (|c| s + |d| r + r s), where c, d are
 the centres and r, s the radii, so a pair whose interval can't give any of its anchors a better row is dropped with all
-below it. Leaf pairs that remain are scored exactly, in integers, those of the highest bounds first, so that what they
-find drops others. What the anchors of a block are to each other makes the first, already valid, limits.
+below it. Leaf pairs that remain are scored exactly, in numbers that hold every integer that may come up: each leaf of
+anchors meets its highest bounds first, so that what they find drops others. What the anchors of a block are to each
+other makes the first, already valid, limits.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.ship import ship_package
 from quantloom.llm.common import materialise, tidy
-from quantloom.llm.vectors import matrix, numbers, products, rows_of, usable, whole_numbers
+from quantloom.llm.vectors import matrix, numbers, rows_of, usable, whole_numbers
 
-#: Rows of a leaf of the anchors' and of the candidates' trees; leaf pairs that are scored before bounds are looked at again.
-ANCHOR_LEAF, CANDIDATE_LEAF, LEAF_PAIRS = 32, 128, 256
+#: Rows of a leaf of the anchors' and of the candidates' trees; leaves that a leaf of anchors meets, at most, before bounds are
+#: looked at again.
+ANCHOR_LEAF, CANDIDATE_LEAF, LEAVES = 32, 128, 64
 #: Below every score, above every score.
 LEAST, MOST = -(2**62), 2**62
 
@@ -64,6 +66,14 @@ class Balls:
         self.length = np.linalg.norm(self.center, axis=1)
         self.begin, self.end, self.child, self.label = (np.array(v, np.int64) for v in (self.begin, self.end, self.child, self.label))
         self.x = x[self.order]
+        self.longest = float(np.linalg.norm(self.x.astype(np.float64), axis=1).max(initial=0))
+        self.held = {}
+
+    def of_type(self, kind: type) -> np.ndarray:
+        """The rows in tree order as numbers of a type."""
+        if kind not in self.held:
+            self.held[kind] = self.x.astype(kind)
+        return self.held[kind]
 
     def node(self, begin: int, end: int, label: int) -> None:
         for column, value in ((self.begin, begin), (self.end, end), (self.child, -1), (self.label, label)):
@@ -82,15 +92,16 @@ class Balls:
 
 def interval(a: Balls, i: np.ndarray, b: Balls, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the inner products of the rows below the nodes i of ``a`` and j of ``b``."""
-    middle = np.einsum("ij,ij->i", a.center[i], b.center[j])
+    middle = (a.center @ b.center.T)[i, j]
     away = a.length[i] * b.radius[j] + b.length[j] * a.radius[i] + a.radius[i] * b.radius[j]
     away += 1e-9 * (a.length[i] * b.length[j] + away) + 1e-3
     return middle - away, middle + away
 
 
 def leaf_pairs(a: Balls, b: Balls, same: bool, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(anchor leaves, candidate leaves) whose labels are the ``same`` or differ and which ``wanted`` keeps, the
-    highest upper bounds first, in portions; ``wanted(nodes, lower, upper)`` is asked again before each portion."""
+    """(anchor leaves, candidate leaves) whose labels are the ``same`` or differ and which ``wanted`` keeps, by anchor leaf, in
+    portions: 1, 2, 4, ... leaves for each, its highest upper bounds first; ``wanted(nodes, lower, upper)`` is asked again
+    before each portion."""
     i, j = (g.ravel() for g in np.meshgrid(np.arange(a.n_roots), np.arange(b.n_roots), indexing="ij"))
     fit = (a.label[i] == b.label[j]) == same
     i, j, leaves = i[fit], j[fit], []
@@ -111,14 +122,23 @@ def leaf_pairs(a: Balls, b: Balls, same: bool, wanted) -> Iterator[tuple[np.ndar
     if not leaves:
         return
     i, j, low, high = (np.concatenate(v) for v in zip(*leaves, strict=True))
-    ranked = np.argsort(-high, kind="stable")
-    k, portion = 0, 8
-    while k < len(ranked):
-        some = ranked[k : k + portion]
-        k, portion = k + portion, min(2 * portion, LEAF_PAIRS)
-        some = some[wanted(i[some], low[some], high[some])]
-        if len(some):
+    ranked = np.lexsort((-high, i))
+    i, j, low, high = i[ranked], j[ranked], low[ranked], high[ranked]
+    place = places(i)
+    k, portion = 0, 1
+    while len(i):
+        now = place < k + portion
+        k, portion = k + portion, min(2 * portion, LEAVES)
+        some = now & wanted(i, low, high)
+        if some.any():
             yield i[some], j[some]
+        i, j, low, high, place = (v[~now] for v in (i, j, low, high, place))
+
+
+def places(group: np.ndarray) -> np.ndarray:
+    """The place of each element among those of its group, whose elements lie together."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
 
 
 class Best:
@@ -130,22 +150,25 @@ class Best:
 
     def forget(self) -> None:
         """Drop the rows, keep the limits that they set."""
-        self.found = np.zeros((0, 4), np.int64)  # slot, score, id, row
+        self.score = np.full((len(self.limit), self.k), LEAST, np.int64)
+        self.id, self.row = (np.full(self.score.shape, MOST, np.int64) for _ in range(2))
 
     def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
+        """Only the slots that have new rows are read and written."""
         if not len(slot):
             return
-        new = np.stack([slot, score, ids, row], axis=1)
-        touched = np.unique(slot)
-        mine = np.isin(self.found[:, 0], touched)
-        both = np.concatenate([self.found[mine], new])
-        both = both[np.lexsort((both[:, 3], both[:, 2], -both[:, 1], both[:, 0]))]
-        starts = np.flatnonzero(np.r_[True, both[1:, 0] != both[:-1, 0]])
-        rank = np.arange(len(both)) - np.repeat(starts, np.diff(np.r_[starts, len(both)]))
-        both = both[rank < self.k]
-        full = both[rank[rank < self.k] == self.k - 1]
-        self.limit[full[:, 0]] = np.maximum(self.limit[full[:, 0]], full[:, 1])
-        self.found = np.concatenate([self.found[~mine], both])
+        touched, new = np.unique(slot, return_inverse=True)
+        both = np.concatenate([np.repeat(np.arange(len(touched)), self.k), new])
+        score, ids, row = (np.concatenate([held[touched].ravel(), v]) for held, v in ((self.score, score), (self.id, ids), (self.row, row)))
+        ranked = np.lexsort((row, ids, -score, both))
+        ranked = ranked[places(both[ranked]) < self.k].reshape(-1, self.k)  # no slot has fewer, as empty ones count
+        self.score[touched], self.id[touched], self.row[touched] = score[ranked], ids[ranked], row[ranked]
+        self.limit[touched] = np.maximum(self.limit[touched], self.score[touched, -1])
+
+    def found(self) -> list[np.ndarray]:
+        """slot, score, id and row of what is there."""
+        slot, place = np.nonzero(self.score > LEAST)
+        return [slot, self.score[slot, place], self.id[slot, place], self.row[slot, place]]
 
 
 class Anchors:
@@ -157,11 +180,16 @@ class Anchors:
         self.ids, self.rows, self.labels = ids[order], rows[order], labels[order]
 
     def pairs(self, batch: Balls, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(anchors, candidates in tree order, scores) of leaf pairs, a leaf of anchors with all its partners at once."""
-        for leaf in np.unique(i):
-            at = np.arange(self.tree.begin[leaf], self.tree.end[leaf])
-            of = np.concatenate([np.arange(batch.begin[k], batch.end[k]) for k in j[i == leaf]])
-            yield at, of, products(self.tree.x[at], batch.x[of])
+        """(anchors, candidates in tree order, scores) of leaf pairs that lie together by anchor leaf, a leaf of anchors with
+        all its partners at once. No sum of products is longer than the two vectors, so scores are exact."""
+        largest = (self.tree.longest + 1) * (batch.longest + 1)
+        kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
+        x, y = self.tree.of_type(kind), batch.of_type(kind)
+        starts = np.flatnonzero(places(i) == 0)
+        for a, b in zip(starts, np.r_[starts[1:], len(i)], strict=True):
+            begin, end = self.tree.begin[i[a]], self.tree.end[i[a]]
+            of = np.concatenate([np.arange(batch.begin[k], batch.end[k]) for k in j[a:b]])
+            yield np.arange(begin, end), of, x[begin:end] @ y[of].T
 
 
 class Positives:
@@ -179,11 +207,11 @@ class Positives:
         self.refresh()
         for i, j in leaf_pairs(anchors.tree, batch, True, wanted):
             for at, of, score in anchors.pairs(batch, i, j):
-                a, c = np.nonzero(score >= best.limit[at][:, None])
+                a, c = np.nonzero(score >= best.limit[at].astype(score.dtype)[:, None])
                 row = rows[batch.order[of[c]]]
                 other = row != anchors.rows[at[a]]
                 a, c, row = a[other], c[other], row[other]
-                best.add(at[a], score[a, c], ids[batch.order[of[c]]], row)
+                best.add(at[a], score[a, c].astype(np.int64), ids[batch.order[of[c]]], row)
             self.refresh()
 
     def refresh(self) -> None:
@@ -208,15 +236,21 @@ class Negatives:
         self.refresh()
         for i, j in leaf_pairs(anchors.tree, batch, False, wanted):
             for at, of, score in anchors.pairs(batch, i, j):
-                for p in range(per):
-                    need = np.maximum(self.least[at, p], best.limit[at * per + p])
-                    a, c = np.nonzero((score >= need[:, None]) & (score <= self.most[at, p][:, None]))
-                    best.add(at[a] * per + p, score[a, c], ids[batch.order[of[c]]], rows[batch.order[of[c]]])
+                need, most = self.need(at), self.most[at]
+                low, high = (v.astype(score.dtype)[:, None] for v in (need.min(axis=1), most.max(axis=1)))
+                a, c = np.nonzero((score >= low) & (score <= high))
+                value = score[a, c].astype(np.int64)
+                k, p = np.nonzero((value[:, None] >= need[a]) & (value[:, None] <= most[a]))
+                row = batch.order[of[c[k]]]
+                best.add(at[a[k]] * per + p, value[k], ids[row], rows[row])
             self.refresh()
 
+    def need(self, at: np.ndarray | slice) -> np.ndarray:
+        """The score from which on a row counts for each positive of anchors."""
+        return np.maximum(self.least[at], self.best.limit.reshape(self.least.shape)[at])
+
     def refresh(self) -> None:
-        need = np.maximum(self.least, self.best.limit.reshape(self.least.shape)).min(axis=1)
-        self.floor = self.anchors.tree.over(need, np.minimum)
+        self.floor = self.anchors.tree.over(self.need(slice(None)).min(axis=1), np.minimum)
 
 
 def searched(candidates: DataFrame, start: Positives | Negatives) -> DataFrame:
@@ -232,8 +266,7 @@ def searched(candidates: DataFrame, start: Positives | Negatives) -> DataFrame:
                 x = matrix(batch.column("vec"), np.int64)
                 ids, rows, labels = (numbers(batch.column(c)) for c in ("id", "row", "class"))
                 search.search(Balls(x, labels, CANDIDATE_LEAF), ids, rows)
-        found = search.best.found
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["slot", "score", "id", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in search.best.found()], ["slot", "score", "id", "row"])
 
     return candidates.mapInArrow(tidy(run), "slot long, score long, id long, row long")
 
@@ -273,7 +306,9 @@ def hard_negatives(
     ship_package(spark)
     rows = rows_of(vectors, id_col, label_col, vec_col).where(usable(F.col("vec")) & F.col("label").isNotNull())
     rows = rows.select("id", "label", whole_numbers(F.col("vec"), scale).alias("vec"), F.size("vec").alias("dim"))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # dealt out evenly, as each row meets all anchors, however few files the table has
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows.repartition(spark.sparkContext.defaultParallelism, "row"), "vectors")
     if dict(rows.dtypes)["label"] in ("tinyint", "smallint", "int", "bigint"):
         rows = rows.withColumn("class", F.col("label").cast("long"))
     else:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -218,6 +219,40 @@ def test_intervals_hold_and_prune(monkeypatch):
     assert sum(scored) < len(x) * len(x[::7]) / 4  # half of the pairs of one label
 
 
+def test_what_is_found_is_added_without_copying_the_rest():
+    slots = np.arange(50_000)
+    best = hard_negatives.Best(len(slots), 10)
+    for n in range(10):
+        best.add(slots, slots + n, slots, slots)
+    tracemalloc.start()
+    best.add(np.array([7, 7, 3]), np.array([12, 1, 10**6]), np.array([1, 2, 3]), np.array([0, 0, 0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000  # the rows of all slots are 16 MB
+    assert best.limit[[3, 7, 9]].tolist() == [4, 8, 9]
+
+
+@pytest.mark.parametrize("largest", [200, 20_000, 2**24])
+def test_scores_are_exact_whatever_the_size_of_components(largest):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-largest, largest, (40, 64), endpoint=True)
+    x[::2] = largest - rng.integers(0, 2, (20, 64))
+    labels, ids = np.arange(len(x)) // 2 % 2, np.arange(len(x))
+    search = hard_negatives.Positives(hard_negatives.Anchors(ids, ids, labels, x), 3)
+    search.search(hard_negatives.Balls(x, labels, 4), ids, ids)
+    slot, score, found, _ = search.best.found()
+    for k, anchor in enumerate(search.anchors.ids):
+        others = [(-sum(int(u) * int(v) for u, v in zip(x[anchor], x[j], strict=True)), int(j)) for j in ids if j != anchor and labels[j] == labels[anchor]]
+        assert [(-int(s), int(j)) for s, j in zip(score[slot == k], found[slot == k], strict=True)] == sorted(others)[:3]
+
+
+def test_rows_of_one_file_are_searched_by_many_tasks(vectors, monkeypatch):
+    tasks, plain = [], hard_negatives.searched
+    monkeypatch.setattr(hard_negatives, "searched", lambda rows, start: (tasks.append(len(rows.inputFiles())), plain(rows, start))[1])
+    assert hard_negatives.hard_negatives(vectors(table(5)).coalesce(1)).count()
+    assert len(tasks) == 2 and min(tasks) > 1
+
+
 def test_too_large_components_are_an_error(vectors):
     for run in (kmeans.clusters, hard_negatives.hard_negatives):
         with pytest.raises(Exception, match="beyond"):
